@@ -54,6 +54,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_digests(rows.unionByName(extra))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard_join import link_components
+
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_files import read_token_blocks, write_token_blocks
 

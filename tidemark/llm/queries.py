@@ -24,6 +24,13 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_id import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs.select("doc_id", "text"), train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import count_tokens
 

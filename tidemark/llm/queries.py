@@ -24,6 +24,13 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of 50 words or more that repeat a passage of the documents in kept_ids, which keep it."""
+    from tidemark.llm.suffix_dedup import joined_spans, repeated_spans
+
+    return joined_spans(repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language_id import held_out, predict, train
 

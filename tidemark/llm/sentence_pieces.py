@@ -14,7 +14,7 @@ least weight in the tropical semiring (min, +).
   that merging gives, and it is the only one, so the path of weight 0 is it.
 
 No piece goes on past a blank, so texts are cut before blanks and paths of words
-that come again are kept in a table of at most ``CACHE`` entries a task.
+that come again are kept in a table of at most ``CACHE`` entries a worker.
 """
 
 from __future__ import annotations
@@ -238,6 +238,16 @@ class PieceTransducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+_machines: dict[str, PieceTransducer] = {}
+
+
+def machine_of(path: str) -> PieceTransducer:
+    """One compiled transducer in a Python worker, whatever tasks it runs."""
+    if path not in _machines:
+        _machines[path] = PieceTransducer(path)
+    return _machines[path]
+
+
 def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, ids (array of int), n_pieces, ids_crc32, round_trip.
 
@@ -250,7 +260,7 @@ def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = PieceTransducer(path)
+        machine = machine_of(path)
         for b in batches:
             raws, same = [], []
             for t in b.column(1).to_pylist():
@@ -271,7 +281,7 @@ def decode_pieces(encoded: DataFrame, path: str, key: str = "doc_id", ids: str =
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = PieceTransducer(path)
+        machine = machine_of(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([machine.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
 

@@ -5,7 +5,7 @@ A pre-token starts as one symbol a byte. A heap holds the adjacent pairs by
 popped and merged until no ranked pair is left. The count is the initial
 symbols minus the merges: no id is looked up or emitted.
 
-Pre-tokens repeat, so each task keeps a table of those it has counted, cleared
+Pre-tokens repeat, so each worker keeps a table of those it has counted, cleared
 when it reaches ``CACHE`` entries. Memory is bounded by that and by one batch.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts, prepare
 
-#: Entries in a task's table of counted words.
+#: Entries in a worker's table of counted words.
 CACHE = 400_000
 _WORDS = re.compile(r"[^ \n\t\r]+").findall
 #: White space as Unicode defines it (the library's ``\s``).
@@ -114,6 +114,16 @@ class PairCounter:
         return total
 
 
+_counters: dict[str, PairCounter] = {}
+
+
+def counter_of(path: str) -> PairCounter:
+    """One counter in a Python worker, whatever tasks it runs."""
+    if path not in _counters:
+        _counters[path] = PairCounter(path)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -123,7 +133,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
     prepare(docs.sparkSession)
 
     def make():
-        counter = PairCounter(path)
+        counter = counter_of(path)
 
         def f(keys, texts):
             return [keys, [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], [counter.count(t or "") for t in texts]]

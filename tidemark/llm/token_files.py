@@ -115,29 +115,60 @@ def open_block(raw: bytes) -> tuple[EliasFano, memoryview]:
 class WordEncoder:
     """Ids from the ``tokenizers`` library; words that come again are encoded once.
 
-    The vocabulary drops white space before it merges, so the ids of a text are
-    those of its blank-separated words in order.
+    The vocabulary drops white space and letter case before it merges, so the ids
+    of a text are those of its blank-separated words in order, and a full stop or
+    comma after a Latin letter (but for the one that becomes letter and mark in
+    lower case) begins a new pre-token. Words are kept in two
+    generations of ``CACHE`` entries: when the younger is full the older goes.
     """
 
-    def __init__(self, path: str, end_id: int | None):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [_WORDS(t or "") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws] + [self.end]) for ws in words]
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        # A-Z alone, and not where a special string could come of it
+        words = [_WORDS(t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) for t in (x or "" for x in texts)]
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        ends: dict[str, str] = {}
+        new: set[str] = set()
+        for w in {w for ws in words for w in ws if w not in known}:
+            if (x := older.get(w)) is not None:
+                known[w] = x
+                continue
+            if w[-1] in ".," and len(w) > 1 and w[-2].isalpha() and w[-2] < "\u0250" and w[-2] != "İ" and "<|" not in w:
+                ends[w] = w[:-1]
+                new.add(w[-1])
+                w = w[:-1]
+            new.add(w)
+        for w in [w for w in new if w in older]:
+            known[w] = older[w]
+        self._learn([w for w in new if w not in known])
+        for w, core in ends.items():
+            known[w] = known[core] + known[w[-1]]
+        return [b"".join([known[w] for w in ws]) + end for ws in words]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder in a Python worker, whatever tasks it runs."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_token_blocks(docs: DataFrame, path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +186,7 @@ def write_token_blocks(docs: DataFrame, path: str, end_id: int | None = 1, key:
     arrow = pa.schema([("part_key", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
+        words, end = encoder(path), b"" if end_id is None else struct.pack("<I", end_id)
         keys, ids, held, first, seq = [], [], 0, None, 0
 
         def block():
@@ -164,7 +195,7 @@ def write_token_blocks(docs: DataFrame, path: str, end_id: int | None = 1, key:
         for b in batches:
             got = b.column(0).to_pylist()
             for at in range(0, len(got), 256):
-                for k, x in zip(got[at : at + 256], encoder.encode(b.column(1)[at : at + 256].to_pylist()), strict=True):
+                for k, x in zip(got[at : at + 256], words.encode(b.column(1)[at : at + 256].to_pylist(), end), strict=True):
                     if not keys and not seq:
                         first = k
                     keys.append(k)

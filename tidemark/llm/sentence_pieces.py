@@ -14,7 +14,7 @@ least weight in the tropical semiring (min, +).
   that merging gives, and it is the only one, so the path of weight 0 is it.
 
 No piece goes on past a blank, so texts are cut before blanks and paths of words
-that come again are kept in a table of at most ``CACHE`` entries a worker.
+that come again are kept in two generations of ``CACHE`` entries a worker.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ class PieceTransducer:
         self.score = [s for _, s, _ in self.pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == 6}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == 2), 0)
-        self.longest = max(map(len, self.ids), default=1)
+        self.heads = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         self.floor = min(self.score, default=0.0) - 10
         self.out = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else b" \xe2\x81\x87 " if kind == 2 else p.replace(BLANK, " ").encode() for p, _, kind in self.pieces]
         inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
@@ -105,6 +105,7 @@ class PieceTransducer:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # --- normaliser
 
@@ -175,37 +176,48 @@ class PieceTransducer:
 
     def path(self, word: str) -> list[int]:
         """Ids on the best path of one normalised word."""
-        n, ids, longest = len(word), self.ids, self.longest
-        # a state is (context, place before, weight); unigram models have one a place
-        states: list[list[tuple[int, int, float]]] = [[(-1, -1, 0.0)]] + [[] for _ in range(n)]
-        for end in range(1, n + 1):
-            best = (-1, -1, INF)
-            for begin in range(max(0, end - longest), end):
-                if not states[begin]:
-                    continue
-                k = ids.get(word[begin:end])
+        n, ids, heads = len(word), self.ids, self.heads
+        # the best state of each place: weight, context, place before; BPE contexts leave one state of weight 0
+        weight, last, back = [INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        weight[0] = 0.0
+        pairs, unigram = self.pairs, self.unigram
+        for begin in range(n):
+            w, a = weight[begin], last[begin]
+            if w == INF:
+                continue
+            for end in range(begin + 1, n + 1):
+                x = word[begin:end]
+                if x not in heads:  # no piece goes on this way
+                    if end == begin + 1:
+                        k = -2 - ord(x)
+                        arc = -self.floor if unigram else 0.0
+                        if w + arc < weight[end]:
+                            weight[end], last[end], back[end] = w + arc, k, begin
+                    break
+                k = ids.get(x)
                 if k is None:
-                    if end - begin > 1:
+                    if end > begin + 1:
                         continue
-                    k = -2 - ord(word[begin])
-                if self.unigram:
-                    w = states[begin][0][2] + (self.floor if k < 0 else self.score[k]) * -1
-                    if w < best[2]:
-                        best = (k, begin, w)
-                else:
-                    if k >= 0 and end - begin > 1 and self.split(k) is None:
+                    k = -2 - ord(x)
+                if unigram:
+                    arc = -self.floor if k < 0 else -self.score[k]
+                elif weight[end] == 0.0:
+                    continue  # the one path of weight 0 is known
+                elif begin and a >= 0 and k >= 0:
+                    ok = pairs.get((a, k))
+                    arc = self.weight(a, k) if ok is None else 0.0 if ok else INF
+                    if arc == 0.0 and end > begin + 1 and self.split(k) is None:
                         continue
-                    last = states[begin][0]
-                    w = last[2] + (self.weight(last[0], k) if begin else 0.0)
-                    if w < best[2]:
-                        best = (k, begin, w)
-                        break  # nothing is below 0, and no other path has weight 0
-            if best[1] >= 0:
-                states[end] = [best]
+                else:
+                    if k >= 0 and end > begin + 1 and self.split(k) is None:
+                        continue  # merging never makes this piece
+                    arc = 0.0
+                if w + arc < weight[end]:
+                    weight[end], last[end], back[end] = w + arc, k, begin
         out, at = [], n
         while at:
-            k, at, _ = states[at][0]
-            out.append(k)
+            out.append(last[at])
+            at = back[at]
         return out[::-1]
 
     def word_ids(self, word: str) -> bytes:
@@ -221,15 +233,15 @@ class PieceTransducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        known, out = self.words, []
-        for w in self.cut(self.normal(text)) if text else ():
-            x = known.get(w)
-            if x is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                x = known[w] = self.word_ids(w)
-            out.append(x)
-        return b"".join(out)
+        if not text:
+            return b""
+        words, known = self.cut(self.normal(text)), self.words
+        for w in {w for w in words if w not in known}:
+            known[w] = self.older.get(w) or self.word_ids(w)
+        out = b"".join([known[w] for w in words])
+        if len(known) > CACHE:
+            self.words, self.older = {}, known
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of an id sequence; bytes that are no UTF-8 become U+FFFD, and the dummy prefix goes."""

@@ -5,8 +5,8 @@ A pre-token starts as one symbol a byte. A heap holds the adjacent pairs by
 popped and merged until no ranked pair is left. The count is the initial
 symbols minus the merges: no id is looked up or emitted.
 
-Pre-tokens repeat, so each worker keeps a table of those it has counted, cleared
-when it reaches ``CACHE`` entries. Memory is bounded by that and by one batch.
+Pre-tokens repeat, so each worker keeps those it has counted in two generations
+of ``CACHE`` entries; when the younger is full the older goes. Memory is bounded by that and by one batch.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ class PairCounter:
         self.found = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces: dict[str, int] = {}
         self.words: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def merged(self, piece: str) -> int:
         """Symbols left of one pre-token once no adjacent pair has a rank."""
@@ -103,14 +104,12 @@ class PairCounter:
 
     def count(self, text: str) -> int:
         """Tokens of one whole text. Words between blanks are independent: the pre-tokeniser drops white space."""
-        known, total = self.words, 0
-        for w in _WORDS(text):
-            n = known.get(w)
-            if n is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                n = known[w] = self.word(w)
-            total += n
+        words, known = _WORDS(text), self.words
+        for w in {w for w in words if w not in known}:
+            known[w] = self.older[w] if w in self.older else self.word(w)
+        total = sum([known[w] for w in words])
+        if len(known) > CACHE:
+            self.words, self.older = {}, known
         return total
 
 

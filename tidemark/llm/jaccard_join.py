@@ -6,14 +6,16 @@ global order, frequent shingles last by a count sketch of the whole corpus.
 * Two sets of n and m shingles link only if 100 * overlap >= 80 * union, so at
   least ceil(0.8 n) shingles of the first are shared. The first
   n - ceil(0.8 n) + l shingles of both then share at least l.
+* Of a pair, the smaller set n needs ceil(2 * 0.8 / 1.8 n) shared ones, so its first
+  n - that + l shingles are enough on its side (``front``).
 * Each document takes the l (1 to ``MOST``) whose estimated cost is least: sketched
   list lengths over its prefix, and those by l for verification. A pair must
   share min(l, l') prefix shingles before it is verified.
 * Equal sets are one node; only one of them in a task is posted.
-* Components need no pair inside a group that is linked already. Two star rounds
-  verify each list's members against one head of the list (the smallest, then
-  the largest by hash); then every pair across components that shares enough is
-  verified. No pair is skipped otherwise, so no link between components is lost.
+* Components need no pair inside a group that is linked already. In star
+  rounds each list's members are verified against one head, another in each round;
+  then every pair across components that shares enough is verified. No pair is skipped otherwise, so no
+  link between components is lost.
 
 Shingle hashes have 64 bits: two texts that differ would need a collision of
 2**-64 a pair to count as sharing one more.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_staged, prepare, stage
@@ -34,11 +36,13 @@ from tidemark.llm.graph import components
 from tidemark.llm.words import shingles
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the sketch (2 MB), longest multi-match, cost of one verification in list entries.
-WIDTH, MOST, VERIFY = 1 << 19, 8, 30
-_CHUNK = 4096
-#: Bits of the filter that keeps texts of unpaired documents out of a shuffle (4 MB at most).
-BITS = 1 << 25
+#: Counters of the sketch (8 MB), longest multi-match, cost of one verification in list entries.
+WIDTH, MOST, VERIFY = 1 << 21, 12, 30
+_CHUNK = 16384
+#: Star rounds after the first.
+STARS = 3
+#: Bits of the filter that keeps texts of unpaired documents out of a shuffle (262,144 rows at most).
+BITS = 1 << 24
 
 
 def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -87,42 +91,49 @@ def prefix(own: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarra
     return own[ahead[: n - need + best]], best
 
 
+def row_hash(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), F.col(text).cast("string"))
+
+
 def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, node (64 bits of the set's digest; null for an empty set), n, l, prefix (null if this task has posted the node)."""
+    """key, row (hash of key and text), node (64 bits of the set's digest; null for an empty set), n, l, prefix (null if this task has posted the node)."""
     counts = sketch(docs, text)
-    noise = 4 * float(counts.mean()) + 16
+    noise = float(counts.mean() + 6 * counts.mean() ** 0.5 + 2)
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for b in batches:
             rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t in b.column(1).to_pylist():
                 own = shingles(t, SHINGLE)
                 if not len(own):
-                    rows.append((k, None, 0, 0, None))
+                    rows.append((None, 0, 0, None))
                     continue
                 node = set_node(own)
                 if node in seen:
-                    rows.append((k, node, len(own), 0, None))
+                    rows.append((node, len(own), 0, None))
                     continue
                 seen.add(node)
                 ahead, l = prefix(own, counts, noise)
-                rows.append((k, node, len(own), l, ahead.astype(np.int64).tolist()))
+                rows.append((node, len(own), l, ahead.astype(np.int64).tolist()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b.schema.types[0], pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=[key, "node", "n", "l", "prefix"])
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=[key, "row", "node", "n", "l", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, node long, n long, l int, prefix array<long>")
+    return docs.select(key, F.col(text).cast("string"), row_hash(key, text).alias("row")).mapInArrow(run, f"`{key}` {kind}, row long, node long, n long, l int, prefix array<long>")
 
 
 def shared_postings(sets: DataFrame) -> DataFrame:
-    """(token, node, meta, head, head_meta) of prefix shingles that two nodes or more have; meta is n * 16 + l.
+    """(token, node, meta, head, head_meta) of prefix shingles that two nodes or more have; meta is n * 128 + l * 2 + front.
 
     One shuffle by token; a task streams over sorted postings, drops repeated
     nodes, holds one batch, and passes on lists of two or more with their first node.
     """
-    posts = sets.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", (F.col("n") * 16 + F.col("l")).alias("meta"))
+    posts = sets.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), "node", "n", "l")
+    front = F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)) + F.col("l")
+    posts = posts.select("token", "node", (F.col("n") * 128 + F.col("l") * 2 + front.cast("long")).alias("meta"))
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posts = posts.repartition(parts, "token").sortWithinPartitions("token", "node")
     names = ["token", "node", "meta", "head", "head_meta"]
@@ -159,25 +170,36 @@ def members(shared: DataFrame) -> DataFrame:
     return shared.select("token", "node", "meta").unionByName(first)
 
 
-def _fits(x: str, y: str) -> F.Column:
-    """Sizes allow the similarity."""
-    n, m = F.shiftright(x, 4), F.shiftright(y, 4)
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def _size(meta: str) -> Column:
+    return F.shiftright(meta, 7)
+
+
+def _l(meta: str) -> Column:
+    return F.shiftright(F.col(meta).bitwiseAND(F.lit(127)), 1)
 
 
-def _enough(x: str, y: str, count: str):
-    """Enough shared prefix shingles for both sides' matches."""
-    bits = lambda c: F.col(c).bitwiseAND(F.lit(15))
-    return F.col(count) >= F.least(bits(x), bits(y))
+def _fits(x: str, y: str, a: str, b: str) -> Column:
+    """Sizes allow the similarity, and the shingle is in the smaller set's front (of equal sizes, the smaller node's)."""
+    n, m = _size(x), _size(y)
+    own = F.when((n < m) | ((n == m) & (F.col(a) < F.col(b))), F.col(x)).otherwise(F.col(y))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (own.bitwiseAND(F.lit(1)) == 1)
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A filter of node ids by their low bits: 4 MB whatever their number."""
-    words = ids.selectExpr(f"cast((node & {BITS - 1}) >> 5 as int) AS word", "shiftleft(1L, cast(node & 31 as int)) AS bit")
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BITS // 32, np.uint32)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-    return out
+def _enough(x: str, y: str, count: str) -> Column:
+    """Enough shared prefix shingles: both sides' matches, and what the rest of the sets can't make up for."""
+    n, m = _size(x), _size(y)
+    small, large = F.least(n, m), F.greatest(n, m)
+    l_small = F.when(n < m, _l(x)).when(n > m, _l(y)).otherwise(F.least(_l(x), _l(y)))
+    l_large = F.when(n < m, _l(y)).when(n > m, _l(x)).otherwise(F.least(_l(x), _l(y)))
+    rest = F.greatest(F.ceil(small * (2 * PERCENT) / (100 + PERCENT)) - l_small, F.ceil(large * PERCENT / 100) - l_large)
+    need = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    return F.col(count) >= F.greatest(F.least(_l(x), _l(y)), need - rest)
+
+
+def _bits(ids: DataFrame) -> DataFrame:
+    """(word, bits): a filter of row hashes by their low bits, ``BITS`` / 64 rows whatever their number."""
+    words = ids.selectExpr(f"cast((row & {BITS - 1}) >> 6 as int) AS word", "shiftleft(1L, cast(row & 63 as int)) AS bit")
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def set_node(own: np.ndarray) -> int:
@@ -185,37 +207,22 @@ def set_node(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def node_texts(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
-    """(node, text) of the nodes in ``ids`` and few others: one text of each node.
+def node_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, text) for (node, row) in ``ids``, each node's one row.
 
-    Which documents can be dropped is asked of a 4 MB bit filter, so texts of
-    unpaired documents aren't shuffled; a task sends a node once.
+    Rows are first asked of a bit filter of bounded size, so that texts of
+    unpaired documents and of other copies aren't shuffled; a false hit ends at the join.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            nodes, texts = [], []
-            for t in b.column(0).to_pylist():
-                own = shingles(t, SHINGLE)
-                if not len(own):
-                    continue
-                node = set_node(own)
-                at = node & (BITS - 1)
-                if node not in seen and bits.value[at >> 5] >> (at & 31) & 1:
-                    seen.add(node)
-                    nodes.append(node)
-                    texts.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
-
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+    rows = docs.select(row_hash(key, text).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("word", F.expr(f"cast((row & {BITS - 1}) >> 6 as int)")).join(F.broadcast(_bits(ids)), "word").where("shiftright(bits, cast(row & 63 as int)) & 1 = 1")
+    return rows.select("row", "text").join(ids, "row").dropDuplicates(["row"]).select("node", "text")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Written pairs (a, b) of nodes whose whole sets link."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    own = stage(node_texts(docs, ids, text), "jaccard-texts")
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Written pairs (a, b) of nodes whose whole sets link; ``nodes`` has each node's row."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = stage(ids.join(nodes.select("node", "row"), "node"), "jaccard-ids")
+    own = stage(node_texts(docs, ids, key, text), "jaccard-texts")
     left, right = own.select(F.col("node").alias("a"), F.col("text").alias("ta")), own.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
@@ -254,39 +261,46 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = stage(document_sets(docs, key, text), "jaccard-sets")
     shared = stage(shared_postings(sets), "jaccard-shared")
     kind = dict(docs.dtypes)[key]
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min(key).alias("k"))
+    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("row").alias("row")))
+    nodes = stage(sets.where("node is not null").groupBy("node").agg(least.alias("m")).select("node", "m.k", "m.row"), "jaccard-nodes")
 
     def stars(rows: DataFrame) -> DataFrame:
-        pairs = rows.where("node <> head").where(_fits("meta", "head_meta")).groupBy("head", "node").agg(F.count("*").alias("c"), F.first("meta").alias("m"), F.first("head_meta").alias("hm"))
-        return pairs.where(_enough("m", "hm", "c")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+        """For each node the head it shares most lists with, if more than by chance; whatever this leaves out is looked at below."""
+        pairs = rows.where("node <> head").where(_fits("meta", "head_meta", "node", "head")).groupBy("head", "node").agg(F.count("*").alias("c"), F.first("meta").alias("m"), F.first("head_meta").alias("hm"))
+        pairs = pairs.where((F.col("c") > 1) & (F.col("c") * 4 >= F.least(_l("m"), _l("hm"))))
+        return pairs.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
 
     first = stage(stars(shared), "jaccard-pairs")
-    links = verify(first, docs, text)
+    links = verify(first, nodes, docs, key, text)
     label = components(links)
 
-    full = members(shared)
-    for step in (1, 2):
-        got = full.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        got = stage(got, "jaccard-members")
-        mixed = got.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(F.xxhash64("node"), "node", "meta", "comp")).alias("h")).where("lo < hi")
-        if step == 1:  # a second head for lists that still hold two components
-            heads = stage(mixed.select("token", F.col("h.node").alias("head"), F.col("h.meta").alias("head_meta"), F.col("h.comp").alias("head_comp")), "jaccard-heads")
-            pairs = stars(got.join(heads, "token").where("comp <> head_comp").drop("comp", "head_comp"))
-        else:  # every pair across components
-            sizes = got.join(stage(mixed.select("token"), "jaccard-open"), "token")
-            sizes = stage(sizes, "jaccard-rest")
-            big = sizes.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-            rest = sizes.join(stage(big, "jaccard-major"), "token")
-            x = rest.where("comp <> major").select("token", F.col("node").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"))
-            y = rest.select("token", F.col("node").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), (F.col("comp") == F.col("major")).alias("big"))
-            pairs = x.join(y, "token").where((F.col("ac") != F.col("bc")) & (F.col("big") | (F.col("a") < F.col("b"))) & _fits("am", "bm"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "am", "bm").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("am").alias("am"), F.first("bm").alias("bm"))
-            pairs = pairs.where(_enough("am", "bm", "c")).select("a", "b")
-        pairs = stage(pairs, "jaccard-pairs")
+    rest = members(shared)
+    for turn in range(1, STARS + 1):
+        # lists that still hold two components, and another head for each
+        got = stage(rest.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-members")
+        heads = got.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "meta", "comp")).alias("m")).where("lo < hi")
+        heads = stage(heads.select("token", F.col("m.node").alias("head"), F.col("m.meta").alias("head_meta"), F.col("m.comp").alias("head_comp")), "jaccard-heads")
+        mixed = stage(got.join(heads, "token"), "jaccard-mixed")
         drop_staged(got)
+        rest = mixed.select("token", "node", "meta")
+        pairs = stage(stars(mixed.where("comp <> head_comp")), "jaccard-pairs")
         if pairs.limit(1).count():
-            links = links.union(verify(pairs, docs, text))
+            links = links.union(verify(pairs, nodes, docs, key, text))
             label = components(links)
+    # every pair across components
+    rest = stage(rest.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-rest")
+    # a list's largest component on one side: its own pairs are never looked at
+    major = rest.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
+    rest = rest.join(stage(major, "jaccard-major"), "token")
+    x = rest.where("comp <> major").select("token", F.col("node").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"))
+    y = rest.select("token", F.col("node").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), (F.col("comp") == F.col("major")).alias("big"))
+    met = x.join(y, "token").where((F.col("ac") != F.col("bc")) & (F.col("big") | (F.col("a") < F.col("b"))) & _fits("am", "bm", "a", "b"))
+    swap = F.col("a") > F.col("b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("bm")).otherwise(F.col("am")).alias("am"), F.when(swap, F.col("am")).otherwise(F.col("bm")).alias("bm"))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("am").alias("am"), F.first("bm").alias("bm"))
+    pairs = stage(pairs.where(_enough("am", "bm", "c")).select("a", "b"), "jaccard-pairs")
+    if pairs.limit(1).count():
+        label = components(links.union(verify(pairs, nodes, docs, key, text)))
     # the smallest key of each node, then of each component
     comp = nodes.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     comp = stage(comp, "jaccard-comp")

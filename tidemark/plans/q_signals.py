@@ -1 +1,252 @@
-"""Queries."""
+"""Queries of signals, regimes and signal combination."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import combine
+from tidemark.operators import signals as sig
+from tidemark.operators import windows as win
+from tidemark.plans.fixtures import BARS_1D, BARS_1H, bars_1d, bars_1h, table
+from tidemark.plans.registry import query
+from tidemark.plans.sqlsteps import ORDER, RUN, Steps, cross, full, lag, last, sma
+
+#: Columns that some signals need beside bars, derived from the bars themselves.
+EXTRA = {
+    "funding_rate": "(close - open) / open",
+    "open_interest": "volume * 100 + close",
+    "long_short_ratio": "high / low",
+    "taker_buy_ratio": "(close - low) / (high - low + 1)",
+    "basis": "close - (high + low) / 2",
+    "vix": "10 + volume",
+    "yield_spread": "(close - open) / 10",
+    "credit_spread": "high / (open + 1)",
+    "ref_close": "open",
+}
+MORE = f"{BARS_1H}, more AS MATERIALIZED (SELECT *, {', '.join(f'{x} AS {c}' for c, x in EXTRA.items())} FROM bars)"
+
+
+def more(spark, sf):
+    return bars_1h(spark, sf).selectExpr("*", *[f"{x} AS {c}" for c, x in EXTRA.items()])
+
+
+def S() -> Steps:
+    return Steps(MORE, "more")
+
+
+def put(name: str, sql: str | None, base: str | None = None, **params) -> None:
+    query(name, sql)(lambda spark, sf: sig.compute(base or name, more(spark, sf), **params).select("symbol", "ts", "signal"))
+
+
+def _ash() -> str:
+    s = S().add(d=f"close - {lag('close')}").ema("u1", "coalesce(greatest(d, 0), 0)", 9).ema("d1", "coalesce(greatest(-d, 0), 0)", 9).ema("u", "u1", 3).ema("e", "d1", 3)
+    return s.signal(f"abs(u - e) > e AND NOT abs(u - e) > u AND u >= {lag('u')}")
+
+
+def _ssl(up: bool, hold: int) -> str:
+    s = S().ema("eh", "high", 12).ema("el", "low", 12).add(st="CASE WHEN close > eh THEN 1 WHEN close < el THEN -1 END")
+    s.add(hl=f"coalesce(last_value(st IGNORE NULLS) OVER {RUN}, 0)").add(ab="CASE WHEN hl < 0 THEN el > eh ELSE eh > el END")
+    return s.signal(f"ab AND NOT coalesce({lag('ab')}, false)" if up else f"NOT ab AND coalesce({lag('ab')}, true)", hold)
+
+
+def _wt() -> Steps:
+    s = S().add(p="(high + low + close) / 3").ema("esa", "p", 9).ema("de", "abs(p - esa)", 9).ema("wt1", "CASE WHEN de <> 0 THEN (p - esa) / (0.015 * de) ELSE 0 END", 12)
+    return s.add(wt2=f"avg(wt1) OVER {last(3)}")
+
+
+put("ash", _ash())
+put("ssl_channel", _ssl(True, 4))
+put("ssl_channel_low", _ssl(False, 1))
+put("wavetrend_reversal", _wt().signal(f"wt1 > wt2 AND coalesce({lag('wt1')}, 0) <= coalesce({lag('wt2')}, 0) AND wt2 <= -20", 3), oversold=-20.0)
+B4, AF = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)"
+BEFORE, TEN = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+DIV = _wt().add(v=f"coalesce(count(wt2) OVER {B4} = 5 AND count(wt2) OVER {AF} = 1 AND wt2 < min(wt2) OVER {B4} AND wt2 < min(wt2) OVER {AF}, false) AND wt2 <= 0")
+DIV.add(div=f"coalesce(v AND low < last_value(CASE WHEN v THEN low END IGNORE NULLS) OVER {BEFORE} AND wt2 > last_value(CASE WHEN v THEN wt2 END IGNORE NULLS) OVER {BEFORE}, false)", edge=f"min(wt1) OVER {TEN}", p1=lag("wt1"))
+put("wavetrend_divergence", DIV.signal(f"coalesce({lag('div')}, false) OR coalesce(wt1 > edge AND p1 <= edge AND rn > 10, false)", 2), oversold=0.0, left=5, length=10, hold=2)
+put("rsi", S().rsi("r", 14).add(t="45.0").signal(cross("r", "t")), threshold=45.0)
+put("ema_cross", S().ema("e", "close", 21, True).signal(cross("close", "e")))
+MACD = lambda k=1: S().ema("f", "close", 12 * k, True).ema("s", "close", 26 * k, True).ema("g", "f - s", 9 * k, True).add(hist="f - s - g", zero="0.0")
+put("macd", MACD().signal(cross("hist", "zero")))
+put("atr_breakout", S().true_range().wilder("a", "tr", 14).signal(f"a > 1.05 * ({sma('a', 20)})"), mult=1.05)
+put("vwap_cross", S().add(v=f"sum((high + low + close) / 3 * volume) OVER {RUN} / sum(volume) OVER {RUN}").signal(cross("close", "v")))
+put("bollinger", S().add(b=f"({sma('close', 20)}) - 1.5 * ({full('stddev_pop', 'close', 20)})").signal(cross("close", "b")), width=1.5)
+put("roc", S().signal(f"close / {lag('close', 12)} - 1 > 0", 1, 12))
+put("donchian", S().signal(f"close >= ({full('max', 'high', 5)})"), n=5)
+
+
+def _adx() -> str:
+    n = 14
+    s = S().true_range().add(u=f"high - {lag('high')}", d=f"{lag('low')} - low").add(pd="coalesce(CASE WHEN u > d AND u > 0 THEN u END, 0)", md="coalesce(CASE WHEN d > u AND d > 0 THEN d END, 0)")
+    s.wilder("wt", "tr", n).wilder("wp", "pd", n).wilder("wm", "md", n).add(p="CASE WHEN wt > 0 THEN 100 * wp / wt ELSE 0 END", m="CASE WHEN wt > 0 THEN 100 * wm / wt ELSE 0 END")
+    s.wilder("adx", f"CASE WHEN rn > {n} THEN CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) ELSE 0 END END", n)
+    return s.signal("coalesce(adx, 0) > 8", 1, 2 * n)
+
+
+put("adx_filter", _adx(), threshold=8.0)
+put("ma_crossover", S().ema("f", "close", 10).ema("s", "close", 50).signal("f > s", 1, 50))
+
+
+def _squeeze() -> str:
+    s = S().add(mid=sma("close", 20), sd=full("stddev_pop", "close", 20), mo=f"close - (({full('max', 'high', 20)}) + ({full('min', 'low', 20)})) / 2").ema("km", "close", 20).ema("kr", "high - low", 20).ema("mom", "mo", 20)
+    s.add(onn="coalesce(mid - 2 * sd > km - 1.5 * kr AND mid + 2 * sd < km + 1.5 * kr, false)")
+    return s.signal(f"NOT onn AND {lag('onn')} AND mom > 0", 1, 20)
+
+
+put("squeeze", _squeeze())
+
+
+def _stoch() -> str:
+    s = S().rsi("r", 14).add(lo=full("min", "r", 14), hi=full("max", "r", 14)).add(st="CASE WHEN hi > lo THEN (r - lo) / (hi - lo) * 100 ELSE 50 END").add(k=sma("st", 3)).add(dd=sma("k", 3))
+    return s.signal(f"{lag('k')} <= {lag('dd')} AND k > dd AND k < 50", 1, 31)
+
+
+put("stoch_rsi", _stoch(), oversold=50.0)
+MID = lambda n: f"(({full('max', 'high', n)}) + ({full('min', 'low', n)})) / 2"
+put("ichimoku", S().add(t=MID(9), k=MID(26), sb=MID(52)).signal(f"{lag('t')} <= {lag('k')} AND t > k AND close > greatest((t + k) / 2, sb)", 1, 52))
+put("obv_trend", S().add(d=f"close - {lag('close')}").add(o=f"sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) OVER {RUN}").ema("e", "o", 20).signal("o > e", 1, 20))
+put("volatility_regime", S().true_range().wilder("a", "tr", 14).add(p=f"CASE WHEN count(a) OVER {last(50)} = 50 THEN len(list_filter(list(a) OVER {last(50)}, lambda x: x < a)) / 50.0 END").signal("p > 0.5"))
+put("volume_spike", S().signal(f"volume > 1.3 * ({sma('volume', 20)}) AND close > open", 1, 20), k=1.3)
+THEN = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING)"
+put("momentum_divergence", S().add(r=f"coalesce(close / {lag('close', 14)} - 1, 0)").signal(f"min(close) OVER {last(20)} < min(close) OVER {THEN} AND min(r) OVER {last(20)} > min(r) OVER {THEN}", 1, 54))
+Z50 = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"
+for _name in ("funding_rate", "long_short_ratio", "basis"):
+    put(_name, S().signal(f"CASE WHEN count({_name}) OVER {Z50} = 50 AND stddev_samp({_name}) OVER {Z50} > 1e-12 THEN ({_name} - avg({_name}) OVER {Z50}) / stddev_samp({_name}) OVER {Z50} END > 1.5"), high=True)
+put("oi_divergence", S().signal(f"close / {lag('close', 14)} - 1 > 0 AND open_interest / {lag('open_interest', 14)} - 1 < 0"))
+put("taker_volume", S().signal(f"({sma('taker_buy_ratio', 14)}) > 0.5"), threshold=0.5)
+put("vrp", S().add(lr=f"ln(close / {lag('close')})").signal(f"pow(vix / 100, 2) - ({full('var_samp', 'lr', 21)}) * 252 < 0"), positive=False)
+put("yield_curve", S().signal(f"yield_spread > ({sma('yield_spread', 50)})"), mode="steepening")
+put("credit_spread", S().add(m=sma("credit_spread", 50)).signal(cross("credit_spread", "m")), mode="momentum")
+put("cross_asset_momentum", S().signal(f"ref_close / {lag('ref_close', 20)} - 1 > 0"))
+put("cross_asset_momentum_inv", S().signal(f"ref_close / {lag('ref_close', 20)} - 1 < 0"))
+put("vol_scaled_momentum", S().add(r=f"close / {lag('close', 20)} - 1").signal(f"r / nullif({full('stddev_samp', 'r', 20)}, 0) > 1"))
+put("macro_regime_signal", S().signal(f"(vix - ({sma('vix', 50)})) / ({full('stddev_samp', 'vix', 50)}) > 1"))
+put("rsi_bb", S().rsi("r", 14).ema("m", "r", 20).add(b=f"m + 1.0 * ({full('stddev_pop', 'r', 20)})").signal(cross("r", "b")), width=1.0)
+put("mtf_ma_stack", S().signal(" AND ".join(f"coalesce(close > ({sma('close', n)}), false)" for n in (4, 8, 24))))
+put("macd_mtf", S().ema("f1", "close", 12, True).ema("s1", "close", 26, True).ema("g1", "f1 - s1", 9, True).ema("f2", "close", 24, True).ema("s2", "close", 52, True).ema("g2", "f2 - s2", 18, True).signal("f1 - s1 - g1 > 0 AND f2 - s2 - g2 > 0"))
+put("squeeze_linreg", S().add(mo=f"close - ((({full('max', 'high', 20)}) + ({full('min', 'low', 20)})) / 2 + ({sma('close', 20)})) / 2", x="CAST(rn AS DOUBLE)").signal(f"CASE WHEN count(mo) OVER {last(20)} = 20 THEN regr_intercept(mo, x) OVER {last(20)} + regr_slope(mo, x) OVER {last(20)} * x > 0 END"))
+put("fibo_ma_cross", S().ema("a", "close", 5).ema("b", "close", 8).ema("c", "close", 13).ema("d", "close", 21).add(st="a > b AND b > c AND c > d").signal(f"st AND NOT coalesce({lag('st')}, false)"))
+put("hurst", None, n=64, above=0.6)
+
+
+@query("cs_momentum", f"WITH {BARS_1D}, m AS (SELECT symbol, ts, lag(close, 5) OVER {ORDER} / lag(close, 40) OVER {ORDER} - 1 AS mom FROM days), r AS (SELECT *, percent_rank() OVER (PARTITION BY ts ORDER BY mom) AS k FROM m WHERE mom IS NOT NULL) SELECT symbol, ts, k >= 0.8 AS signal FROM r")
+def cs_momentum(spark, sf):
+    return sig.cs_momentum(win.cs_momentum_rank(bars_1d(spark, sf), 40, 5)).select("symbol", "ts", "signal")
+
+
+_F = Steps().true_range().ema("a", "tr", 10).add(mid="(open + high + low + close) / 4")
+_F.ctes.append(
+    f"""r AS (SELECT symbol, rn, ts, close, mid - 1.8 * a AS up, mid + 1.8 * a AS dn, 1 AS trend, 0 AS flip FROM {_F.at} WHERE rn = 1 UNION ALL
+    SELECT symbol, rn, ts, close, up, dn, trend, CASE WHEN trend <> pt THEN trend ELSE 0 END FROM (SELECT s.symbol, s.rn, s.ts, s.close, CASE WHEN r.close > r.up THEN greatest(mid - 1.8 * a, r.up) ELSE mid - 1.8 * a END AS up,
+      CASE WHEN r.close < r.dn THEN least(mid + 1.8 * a, r.dn) ELSE mid + 1.8 * a END AS dn, CASE WHEN r.trend < 0 AND s.close > r.dn THEN 1 WHEN r.trend > 0 AND s.close < r.up THEN -1 ELSE r.trend END AS trend, r.trend AS pt
+      FROM r JOIN {_F.at} s ON s.symbol = r.symbol AND s.rn = r.rn + 1))"""
+)
+_F.at = "r"
+
+
+@query("firestorm", _F.select("symbol, ts, flip = 1 AS signal").replace("WITH ", "WITH RECURSIVE ", 1))
+def firestorm(spark, sf):
+    return sig.firestorm(bars_1h(spark, sf)).select("symbol", "ts", "signal")
+
+
+@query("firestorm_tm", _F.select("symbol, ts, round(up, 6) AS stop").replace("WITH ", "WITH RECURSIVE ", 1))
+def firestorm_tm(spark, sf):
+    return sig.firestorm_tm(bars_1h(spark, sf)).withColumn("stop", F.round("stop", 6))
+
+
+# --- regimes and combination
+
+
+def _adx_steps() -> Steps:
+    n = 14
+    s = Steps().true_range().add(u=f"high - {lag('high')}", d=f"{lag('low')} - low").add(pd="coalesce(CASE WHEN u > d AND u > 0 THEN u END, 0)", md="coalesce(CASE WHEN d > u AND d > 0 THEN d END, 0)")
+    s.wilder("wt", "tr", n).wilder("wp", "pd", n).wilder("wm", "md", n).add(p="CASE WHEN wt > 0 THEN 100 * wp / wt ELSE 0 END", m="CASE WHEN wt > 0 THEN 100 * wm / wt ELSE 0 END")
+    return s.wilder("adx", f"CASE WHEN rn > {n} THEN CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) ELSE 0 END END", n)
+
+
+_B = _adx_steps().ema("e50", "close", 50).add(ret=f"close / {lag('close')} - 1").add(vol=full("stddev_pop", "ret", 20)).add(vp=f"CASE WHEN count(vol) OVER {last(100)} = 100 THEN len(list_filter(list(vol) OVER {last(100)}, lambda x: x <= vol)) / 100.0 END", dd=f"1 - close / max(close) OVER {last(10)}")
+
+
+@query("bar_regime", _B.select("symbol, ts, CASE WHEN dd > 0.5 THEN 'crash' WHEN vp > 0.85 THEN 'high_vol' WHEN adx > 8 AND close > e50 THEN 'trend_up' WHEN adx > 8 AND close < e50 THEN 'trend_down' ELSE 'range' END AS regime"))
+def bar_regime(spark, sf):
+    return combine.bar_regime(bars_1h(spark, sf), crash=0.5, high_vol=0.85, trend=8.0).select("symbol", "ts", "regime")
+
+
+@query("window_regime", f"WITH {BARS_1D}, w AS (SELECT *, date_trunc('quarter', ts) AS q, close / lag(close) OVER (PARTITION BY symbol, date_trunc('quarter', ts) ORDER BY ts) - 1 AS r, 1 - close / max(close) OVER (PARTITION BY symbol, date_trunc('quarter', ts) ORDER BY ts) AS dd FROM days), a AS (SELECT symbol, q, arg_max(close, ts) / arg_min(close, ts) - 1 AS ret, max(dd) AS dd, stddev_samp(r) AS vol FROM w GROUP BY 1, 2) SELECT symbol, CAST(q AS DATE) AS window_start, round(ret, 6) AS ret, CASE WHEN dd > 0.6 THEN 'crisis' WHEN vol > 0.9 THEN 'high_vol' WHEN ret > 0.1 THEN 'bull' WHEN ret < -0.1 THEN 'bear' ELSE 'sideways' END AS regime FROM a")
+def window_regime(spark, sf):
+    rows = bars_1d(spark, sf).withColumn("window_start", F.to_date(F.date_trunc("quarter", "ts")))
+    return combine.window_regime(rows, crisis=0.6, high_vol=0.9, move=0.1).select("symbol", "window_start", F.round("ret", 6).alias("ret"), "regime")
+
+
+@query("market_phase", f"WITH {BARS_1D} SELECT symbol, ts, CASE WHEN f > 0.1 THEN 'bull' WHEN f < -0.1 THEN 'bear' WHEN f IS NOT NULL THEN 'sideways' END AS phase FROM (SELECT *, lead(close, 126) OVER {ORDER} / close - 1 AS f FROM days)")
+def market_phase(spark, sf):
+    return combine.market_phase(bars_1d(spark, sf)).select("symbol", "ts", "phase")
+
+
+FLAGS = {"a": f"close > {lag('close', 3)}", "b": "close > open", "c": "volume >= 5", "d": f"high > {lag('high')}"}
+LONG = Steps().add(**{k: f"coalesce({v}, false)" for k, v in FLAGS.items()})
+LONG.ctes.append(f"long AS (SELECT symbol, ts, 'a' AS indicator, 'exclusive' AS state, a AS signal FROM {LONG.at} UNION ALL SELECT symbol, ts, 'b', 'optional', b FROM {LONG.at} UNION ALL SELECT symbol, ts, 'c', 'optional', c FROM {LONG.at} UNION ALL SELECT symbol, ts, 'd', 'disabled', d FROM {LONG.at})")
+
+
+def wide(spark, sf):
+    b = bars_1h(spark, sf)
+    return b.withColumns({k: F.coalesce(F.expr(v.replace(ORDER, "(PARTITION BY symbol ORDER BY ts)")), F.lit(False)) for k, v in FLAGS.items()})
+
+
+def long(spark, sf):
+    states = {"a": "exclusive", "b": "optional", "c": "optional", "d": "disabled"}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("indicator"), F.lit(s).alias("state"), F.col(k).alias("signal")) for k, s in states.items()]))
+    return wide(spark, sf).select("symbol", "ts", each.alias("x")).select("symbol", "ts", "x.*")
+
+
+LONG.at = "long"
+
+
+@query("combine_exclusive", LONG.select("symbol, ts, coalesce(bool_and(signal) FILTER (state = 'exclusive'), true) AND (count(*) FILTER (state = 'optional') = 0 OR count(*) FILTER (state = 'optional' AND signal) >= 1) AS signal").replace("WHERE true", "GROUP BY symbol, ts"))
+def combine_exclusive(spark, sf):
+    return combine.combine_exclusive(long(spark, sf), 1)
+
+
+@query("combine_majority", LONG.select("symbol, ts, count(*) FILTER (signal) >= ceil(count(*) / 2.0) AS signal", "state <> 'disabled'").replace("WHERE state <> 'disabled'", "WHERE state <> 'disabled' GROUP BY symbol, ts"))
+def combine_majority(spark, sf):
+    return combine.combine_majority(long(spark, sf))
+
+
+@query("invert_signal_params", "SELECT p_partkey AS config, CASE WHEN p_size % 2 = 0 THEN 'bearish' ELSE 'bullish' END AS mode FROM part WHERE p_size % 3 < 2 UNION ALL SELECT p_partkey, p_type FROM part WHERE p_size % 3 = 2")
+def invert_signal_params(spark, sf):
+    p = table(spark, sf, "part")
+    c = p.select(F.col("p_partkey").alias("config"), F.when(F.col("p_size") % 3 < 2, F.when(F.col("p_size") % 2 == 0, "bullish").otherwise("bearish")).otherwise(F.col("p_type")).alias("mode"))
+    return combine.invert_params(c, "mode")
+
+
+@query("htf_filter", f"WITH {BARS_1H}, d AS (SELECT symbol, date_trunc('day', ts) + INTERVAL 1 DAY AS ts, arg_max(close, ts) > arg_min(open, ts) AS bull FROM bars GROUP BY symbol, date_trunc('day', ts)) SELECT b.symbol, b.ts, coalesce(b.close > b.open AND bull, false) AS signal FROM bars b ASOF LEFT JOIN d ON b.symbol = d.symbol AND b.ts >= d.ts")
+def htf_filter(spark, sf):
+    b = bars_1h(spark, sf)
+    return combine.htf_filter(b.withColumn("signal", F.col("close") > F.col("open")), b, "1d", long=True).select("symbol", "ts", "signal")
+
+
+@query("optional_range", "SELECT p_brand, CASE WHEN o = 0 THEN 0 WHEN e = 0 THEN least(2, o) ELSE 1 END AS lo, CASE WHEN o = 0 THEN 0 ELSE o END AS hi, least(e, 2) AS exclusives FROM (SELECT p_brand, CAST(count(DISTINCT p_name) FILTER (p_size < 10) AS INT) AS e, CAST(count(DISTINCT p_type) FILTER (p_size > 45) AS INT) AS o FROM part GROUP BY 1)")
+def optional_range(spark, sf):
+    p = table(spark, sf, "part").groupBy("p_brand").agg(F.countDistinct(F.when(F.col("p_size") < 10, F.col("p_name"))).cast("int").alias("e"), F.countDistinct(F.when(F.col("p_size") > 45, F.col("p_type"))).cast("int").alias("o"))
+    return p.select("p_brand", *combine.optional_range(F.col("e"), F.col("o")))
+
+
+@query("resolve_timeframe", "SELECT l_linenumber, CASE l_linenumber WHEN 1 THEN '4h' WHEN 2 THEN '1d' WHEN 3 THEN '1w' ELSE '1M' END AS resolved, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def resolve_timeframe(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("base", F.lit("1h")).withColumn("up", F.col("l_linenumber"))
+    return combine.resolve_timeframe(li, "base", "up").groupBy("l_linenumber", "resolved").agg(F.count("*").alias("n"))
+
+
+@query("signal_export", LONG.select("symbol, ts, string_agg(indicator, ',' ORDER BY indicator) AS fired", "signal AND state <> 'disabled'") + " GROUP BY symbol, ts")
+def signal_export(spark, sf):
+    return combine.signal_export(long(spark, sf).where("state <> 'disabled'"))
+
+
+@query("last_bar_signal", Steps().add(f="close > open").add(p=lag("f")).select("symbol, arg_max(f, ts) AS entry, arg_max(coalesce(p, false) AND NOT f, ts) AS exit") + " GROUP BY symbol")
+def last_bar_signal(spark, sf):
+    return combine.last_bar_signal(bars_1h(spark, sf).withColumn("signal", F.col("close") > F.col("open")))
+
+
+@query("strategy_signal_join", LONG.select("symbol, ts, s.spec, bool_and(signal) AS signal").replace("FROM long", "FROM long JOIN (SELECT * FROM (VALUES ('x', 'a'), ('x', 'b'), ('y', 'b'), ('y', 'c'), ('y', 'd')) AS v(spec, ind)) s ON s.ind = indicator") + " GROUP BY symbol, ts, s.spec")
+def strategy_signal_join(spark, sf):
+    specs = spark.createDataFrame([("x", ["a", "b"]), ("y", ["b", "c", "d"])], "spec string, entry array<string>")
+    return combine.strategy_signals(specs, long(spark, sf))

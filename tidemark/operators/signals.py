@@ -462,24 +462,6 @@ def firestorm_tm(bars, n=10, mult=1.8, long=True):
     return firestorm_bands(bars, n, mult).select("symbol", "ts", F.col("up_band" if long else "dn_band").alias("stop"))
 
 
-def hurst_exponent(values) -> float:
-    """Slope of log rescaled range on log length; half without enough lengths."""
-    import numpy as np
-
-    x, points, k = np.asarray(values, float), [], 8
-    while k <= len(x) // 2:
-        parts = x[: len(x) // k * k].reshape(-1, k)
-        walk = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
-        spread, sd = walk.max(axis=1) - walk.min(axis=1), parts.std(axis=1, ddof=1)
-        if (ok := sd > 1e-15).any():
-            points.append((np.log(k), np.log((spread[ok] / sd[ok]).mean())))
-        k *= 2
-    if len(points) < 2:
-        return 0.5
-    a, b = np.array(points).T
-    return float(np.clip(np.polyfit(a, b, 1)[0], 0.0, 1.0))
-
-
 @signal
 def hurst(bars, n=100, above=0.55, below=0.45, mode="trending", hold=1):
     """Rescaled-range exponent of the last n log returns against thresholds."""
@@ -487,6 +469,8 @@ def hurst(bars, n=100, above=0.55, below=0.45, mode="trending", hold=1):
     def run(pdf):
         import numpy as np
 
+        from tidemark.functions.stats import hurst_exponent
+
         pdf = pdf.sort_values("ts")
         r = np.diff(np.log(pdf["close"].to_numpy()), prepend=np.nan)
         h = np.full(len(r), np.nan)

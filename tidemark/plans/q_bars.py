@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, bars, quality
-from tidemark.plans.fixtures import BARS_1D, BARS_1H, SLOW, TICKS, bars_1d, bars_1h, slow_series, table, ticks
+from tidemark.plans.fixtures import BARS_1D, BARS_1H, SLOW, bars_1d, bars_1h, slow_series, table, ticks
 from tidemark.plans.registry import query
 from tidemark.sources import bars as store
 from tidemark.sources.scratch import folder
@@ -435,4 +435,3 @@ def dedup_keep_last(spark, sf):
     return bars.dedup_keep_last(rows, "seq", "symbol", "ts").select("symbol", "ts", "price")
 
 
-assert TICKS

@@ -236,9 +236,9 @@ class PieceTransducer:
         if not text:
             return b""
         words, known = self.cut(self.normal(text)), self.words
-        for w in {w for w in words if w not in known}:
+        for w in set(words).difference(known):
             known[w] = self.older.get(w) or self.word_ids(w)
-        out = b"".join([known[w] for w in words])
+        out = b"".join(map(known.__getitem__, words))
         if len(known) > CACHE:
             self.words, self.older = {}, known
         return out

@@ -105,9 +105,9 @@ class PairCounter:
     def count(self, text: str) -> int:
         """Tokens of one whole text. Words between blanks are independent: the pre-tokeniser drops white space."""
         words, known = _WORDS(text), self.words
-        for w in {w for w in words if w not in known}:
+        for w in set(words).difference(known):
             known[w] = self.older[w] if w in self.older else self.word(w)
-        total = sum([known[w] for w in words])
+        total = sum(map(known.__getitem__, words))
         if len(known) > CACHE:
             self.words, self.older = {}, known
         return total

@@ -34,6 +34,14 @@ BLOCK_DOCS, BLOCK_IDS = 1024, 1 << 20
 #: Entries in a task's table of encoded words.
 CACHE = 300_000
 _WORDS = re.compile(r"[^ \n\t\r]+").findall
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+_ODD = re.compile("[\x1c-\x1f]").search
+
+
+def split_words(text: str) -> list[str]:
+    """Words between blanks. Python counts four control characters as blanks that the library doesn't."""
+    return _WORDS(text) if _ODD(text) else text.split()
+
 
 
 class EliasFano:
@@ -127,24 +135,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        last = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(last)])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
+        """Encode new words; Latin letters alone are one pre-token, so many such words go in one text and are cut at word ends."""
+        plain = [w for w in words if _LETTERS(w)]
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
+            got = self.tokenizer.encode_batch_fast([" ".join(part[i : i + 50]) for i in range(0, len(part), 50)], add_special_tokens=False)
+            ids = np.array([i for e in got for i in e.ids], "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(part, cut, strict=True):
+                self.known[w] = raw[begin:end]
+                begin = end
+        rest = [w for w in words if not _LETTERS(w)]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
         # A-Z alone, and not where a special string could come of it
-        words = [_WORDS(t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) for t in (x or "" for x in texts)]
+        words = [split_words(t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) for t in (x or "" for x in texts)]
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         ends: dict[str, str] = {}
         new: set[str] = set()
-        for w in {w for ws in words for w in ws if w not in known}:
+        for w in set().union(*[set(ws).difference(known) for ws in words]):
             if (x := older.get(w)) is not None:
                 known[w] = x
                 continue
@@ -158,7 +180,7 @@ class WordEncoder:
         self._learn([w for w in new if w not in known])
         for w, core in ends.items():
             known[w] = known[core] + known[w[-1]]
-        return [b"".join([known[w] for w in ws]) + end for ws in words]
+        return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 
 
 _encoders: dict[str, WordEncoder] = {}

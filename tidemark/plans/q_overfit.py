@@ -1 +1,223 @@
-"""Queries."""
+"""Queries of walk-forward, overfitting statistics and resampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import asof, edge, overfit, perf
+from tidemark.operators import portfolio as pf
+from tidemark.plans.fixtures import BARS_1H, bars_1h, table
+from tidemark.plans.q_portfolio import RETS, R, rets, rnd
+from tidemark.plans.q_portfolio import weights as equal
+from tidemark.plans.registry import query
+
+#: Candidates are the hourly strategies; t counts bars from 0.
+CAND = f"{RETS}, cand AS MATERIALIZED (SELECT strategy_id AS candidate, row_number() OVER (PARTITION BY strategy_id ORDER BY t) - 1 AS t, ret FROM rets)"
+FOLDS = "folds AS (SELECT CAST(i AS INT) AS fold, i * 80 AS is_start, i * 80 + 150 AS is_end, i * 80 + 160 AS oos_start, i * 80 + 200 AS oos_end FROM range(4) AS r(i))"
+PARTS = f"{CAND}, {FOLDS}, parts AS MATERIALIZED (SELECT candidate, fold, t, ret, CASE WHEN t >= oos_start THEN 'oos' ELSE 'is' END AS part FROM cand JOIN folds ON (t >= is_start AND t < is_end) OR (t >= oos_start AND t < oos_end)), fm AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY is_metric DESC, candidate) = 1 AS best FROM (SELECT candidate, fold, avg(ret) FILTER (part = 'is') / stddev_samp(ret) FILTER (part = 'is') AS is_metric, avg(ret) FILTER (part = 'oos') / stddev_samp(ret) FILTER (part = 'oos') AS oos_metric FROM parts GROUP BY 1, 2))"
+
+
+def cand(spark, sf):
+    r = rets(spark, sf)
+    return r.select(F.col("strategy_id").alias("candidate"), (F.row_number().over(pf.S) - 1).cast("long").alias("t"), "ret")
+
+
+def folds(spark):
+    return overfit.splits(spark, 440, 4, 150, 10, 40)
+
+
+def parts(spark, sf):
+    return asof.fold_range_join(cand(spark, sf), folds(spark))
+
+
+@query("wf_splits", f"WITH {FOLDS} SELECT 'rolling' AS mode, * FROM folds UNION ALL SELECT 'anchored', fold, 0, is_end, oos_start, oos_end FROM folds")
+def wf_splits(spark, sf):
+    a = folds(spark).withColumn("mode", F.lit("rolling"))
+    return a.unionByName(overfit.splits(spark, 440, 4, 150, 10, 40, anchored=True).withColumn("mode", F.lit("anchored")))
+
+
+@query("wf_fold_metrics", f"WITH {PARTS} SELECT candidate, fold, round(is_metric, {R}) AS is_metric, round(oos_metric, {R}) AS oos_metric, best FROM fm")
+def wf_fold_metrics(spark, sf):
+    return rnd(overfit.fold_metrics(parts(spark, sf)), "is_metric", "oos_metric")
+
+
+@query("wf_oos_curve", f"WITH {PARTS} SELECT candidate, fold, t, round(sum(ln(1 + ret)) OVER (PARTITION BY candidate ORDER BY fold, t), {R}) AS log_equity FROM parts WHERE part = 'oos'")
+def wf_oos_curve(spark, sf):
+    return overfit.oos_curve(parts(spark, sf), 1.0).select("candidate", "fold", "t", F.round(F.ln("equity"), R).alias("log_equity"))
+
+
+DEG = "SELECT candidate, round(avg(is_metric / oos_metric) FILTER (oos_metric <> 0), 4) AS degradation, count(*) FILTER (oos_metric > 0) AS profitable_folds FROM fm GROUP BY 1"
+
+
+@query("wf_degradation", f"WITH {PARTS} {DEG}")
+def wf_degradation(spark, sf):
+    return rnd(overfit.degradation(overfit.fold_metrics(parts(spark, sf))), "degradation", places=4)
+
+
+@query("fold_consistency", f"WITH {PARTS} SELECT candidate, profitable_folds FROM ({DEG})")
+def fold_consistency(spark, sf):
+    return overfit.degradation(overfit.fold_metrics(parts(spark, sf))).select("candidate", "profitable_folds")
+
+
+BLK = lambda n: f"{CAND}, blk AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(floor(t / floor(count(*) OVER (PARTITION BY candidate) / {n}.0)) AS INT) AS block FROM cand) WHERE block < {n})"
+PBO = f"{BLK(8)}, sm AS (SELECT candidate, block, sum(ret) AS s, sum(ret * ret) AS q, count(*) AS n FROM blk GROUP BY 1, 2), msk AS (SELECT i AS mask FROM range(256) AS r(i) WHERE bit_count(i) = 4), e AS (SELECT mask, candidate, (mask >> block) & 1 = 1 AS inside, sum(s) AS s, sum(q) AS q, sum(n) AS n FROM sm, msk GROUP BY ALL), sh AS (SELECT mask, candidate, max(s / n / sqrt((q - s * s / n) / (n - 1))) FILTER (inside) AS a, max(s / n / sqrt((q - s * s / n) / (n - 1))) FILTER (NOT inside) AS b FROM e GROUP BY 1, 2), rk AS (SELECT *, rank() OVER (PARTITION BY mask ORDER BY b) / (count(*) OVER (PARTITION BY mask) + 1.0) AS w FROM sh), bs AS (SELECT mask, arg_max(w, (a, candidate)) AS w FROM rk GROUP BY 1)"
+
+
+@query("pbo_cscv", f"WITH {PBO} SELECT round(avg(CASE WHEN ln(w / (1 - w)) <= 0 THEN 1.0 ELSE 0 END), {R}) AS pbo, round(avg(ln(w / (1 - w))), {R}) AS mean_logit, count(*) AS n_splits FROM bs")
+def pbo_cscv(spark, sf):
+    return rnd(overfit.pbo(cand(spark, sf)), "pbo", "mean_logit")
+
+
+@query("temporal_pbo", f"WITH {BLK(8)}, p AS (SELECT block, sum(ret) AS s FROM blk WHERE candidate = 'click' GROUP BY 1), msk AS (SELECT i AS mask FROM range(256) AS r(i) WHERE bit_count(i) = 4), e AS (SELECT mask, sum(s) FILTER ((mask >> block) & 1 = 1) AS a, sum(s) FILTER ((mask >> block) & 1 = 0) AS b FROM p, msk GROUP BY 1) SELECT round(avg(CASE WHEN b <= 0 THEN 1.0 ELSE 0 END) FILTER (a > 0), {R}) AS temporal_pbo, count(*) AS n_splits FROM e")
+def temporal_pbo(spark, sf):
+    return rnd(overfit.temporal_pbo(cand(spark, sf).where("candidate = 'click'").drop("candidate")), "temporal_pbo")
+
+
+MOM = "avg(ret) / stddev_samp(ret) AS sr, (avg(ret ** 3) - 3 * avg(ret) * avg(ret ** 2) + 2 * avg(ret) ** 3) / stddev_pop(ret) ** 3 AS skew, count(*) AS \"T\""
+
+
+@query("dsr", f"WITH {CAND} SELECT candidate, round(sr, {R}) AS sr, round(skew, 4) AS skew, \"T\" FROM (SELECT candidate, {MOM} FROM cand GROUP BY 1)")
+def dsr(spark, sf):
+    """The statistic's parts (no normal distribution in SQL); tests check the probability."""
+    out = overfit.deflated_sharpe(cand(spark, sf), 100)
+    return rnd(rnd(out.where("dsr between 0 and 1").select("candidate", "sr", "skew", "T"), "sr"), "skew", places=4)
+
+
+@query("dsr_portfolio")
+def dsr_portfolio(spark, sf):
+    p = pf.portfolio_returns(rets(spark, sf), equal(spark, sf))
+    return rnd(overfit.deflated_sharpe_portfolio(p, 100), "sr", "skew", "kurt", "sd", "expected_max", "dsr")
+
+
+SPA = f"{CAND}, x AS (SELECT a.candidate, a.ret - b.ret AS x FROM cand a JOIN cand b ON a.t = b.t AND b.candidate = 'click')"
+
+
+@query("spa_test", f"WITH {SPA} SELECT candidate, round(avg(x), {R}) AS excess, round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 4) AS t, count(*) AS n FROM x WHERE candidate <> 'click' GROUP BY 1")
+def spa_test(spark, sf):
+    c = cand(spark, sf)
+    out = overfit.paired_t(c.where("candidate <> 'click'"), c.where("candidate = 'click'").select("t", "ret"))
+    return rnd(rnd(out.where("p between 0 and 1").drop("p"), "excess"), "t", places=4)
+
+
+@query("overfit_funnel", f"WITH {PARTS} SELECT count(*) AS n_all, count(*) FILTER (profitable_folds >= 2) AS n_folds, count(*) FILTER (profitable_folds >= 2 AND abs(degradation) < 3) AS n_decay FROM ({DEG})")
+def overfit_funnel(spark, sf):
+    d = overfit.degradation(overfit.fold_metrics(parts(spark, sf)))
+    a = F.col("profitable_folds") >= 2
+    return d.agg(F.count("*").alias("n_all"), F.count_if(a).alias("n_folds"), F.count_if(a & (F.abs("degradation") < 3)).alias("n_decay"))
+
+
+BSH = f"{BLK(6)}, bs AS (SELECT candidate, block, avg(ret) / stddev_samp(ret) AS s FROM blk GROUP BY 1, 2)"
+
+
+@query("temporal_cv", f"WITH {BSH} SELECT candidate, count(*) FILTER (s > 0) AS positive, round(avg(s), {R}) AS mean, count(*) FILTER (s > 0) >= 5 AS passed FROM bs GROUP BY 1")
+def temporal_cv(spark, sf):
+    return rnd(overfit.temporal_cv(cand(spark, sf), 6), "mean")
+
+
+@query("alpha_decay", f"WITH {BSH}, a AS (SELECT candidate, regr_slope(s, block) AS slope, regr_r2(s, block) AS r2, avg(s) FILTER (block >= 3) / avg(s) FILTER (block < 3) AS ratio FROM bs GROUP BY 1) SELECT candidate, round(slope, {R}) AS slope, round(r2, {R}) AS r2, round(ratio, {R}) AS ratio, CASE WHEN slope < -0.01 THEN 'decaying' WHEN slope > 0.01 THEN 'improving' ELSE 'stable' END AS status FROM a")
+def alpha_decay(spark, sf):
+    return rnd(overfit.alpha_decay(cand(spark, sf), 6), "slope", "r2", "ratio")
+
+
+PV = "(PARTITION BY candidate ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+
+
+@query("vol_regime_perf", f"WITH {CAND}, v AS (SELECT * FROM (SELECT *, CASE WHEN count(ret) OVER {PV} = 20 THEN stddev_samp(ret) OVER {PV} END AS vol FROM cand) WHERE vol IS NOT NULL), c AS (SELECT candidate, quantile_cont(vol, 0.33) AS lo, quantile_cont(vol, 0.67) AS hi FROM v GROUP BY 1) SELECT candidate, CASE WHEN vol <= lo THEN 'low' WHEN vol >= hi THEN 'high' ELSE 'normal' END AS regime, count(*) AS n, round(avg(ret), {R}) AS mean, round(avg(ret) / stddev_samp(ret), {R}) AS sharpe FROM v JOIN c USING (candidate) GROUP BY 1, 2")
+def vol_regime_perf(spark, sf):
+    return rnd(overfit.vol_regime_perf(cand(spark, sf), 20), "mean", "sharpe")
+
+
+@query("tail_risk", f"WITH {CAND}, p AS (SELECT candidate, quantile_cont(ret, 0.05) AS a, quantile_cont(ret, 0.01) AS b, quantile_cont(ret, 0.95) AS c FROM cand GROUP BY 1) SELECT candidate, round(any_value(a), {R}) AS var95, round(any_value(b), {R}) AS var99, round(avg(ret) FILTER (ret <= a), {R}) AS cvar95, round(avg(ret) FILTER (ret <= b), {R}) AS cvar99, round(any_value(c) / abs(any_value(a)), {R}) AS tail_ratio, round(min(ret), {R}) AS worst, round(max(ret), {R}) AS best, round(avg(CASE WHEN ret < -0.02 THEN 1.0 ELSE 0 END), {R}) AS p_loss, round((avg(ret ** 3) - 3 * avg(ret) * avg(ret ** 2) + 2 * avg(ret) ** 3) / stddev_pop(ret) ** 3, 4) AS skew FROM cand JOIN p USING (candidate) GROUP BY 1")
+def tail_risk(spark, sf):
+    t = overfit.tail_risk(cand(spark, sf)).drop("kurt")
+    return rnd(rnd(t, *[c for c in t.columns if c not in ("candidate", "skew")]), "skew", places=4)
+
+
+@query("portfolio_verdict", f"WITH {BLK(6)}, p AS (SELECT t, any_value(block) AS block, avg(ret) AS ret FROM blk GROUP BY t), s AS (SELECT block, avg(ret) / stddev_samp(ret) AS s FROM p GROUP BY 1) SELECT (SELECT count(*) FILTER (s > 0) >= 5 FROM s) AS cv_passed, (SELECT regr_slope(s, block) < -0.01 FROM s) AS decaying, (SELECT min(ret) > -0.5 FROM p) AS tail_ok")
+def portfolio_verdict(spark, sf):
+    p = cand(spark, sf).groupBy("t").agg(F.avg("ret").alias("ret")).withColumn("candidate", F.lit("p"))
+    cv = overfit.temporal_cv(p, 6).select(F.col("passed").alias("cv_passed"))
+    return cv.crossJoin(overfit.alpha_decay(p, 6).select((F.col("slope") < -0.01).alias("decaying"))).crossJoin(overfit.tail_risk(p).select((F.col("worst") > -0.5).alias("tail_ok")))  # one row each
+
+
+@query("rolling_windows", "SELECT CAST(s AS DATE) AS start, CAST(s + INTERVAL 6 MONTHS AS DATE) AS \"end\", CAST(s AS DATE) + CAST((date_diff('day', CAST(s AS DATE), CAST(s + INTERVAL 6 MONTHS AS DATE)) // 2) AS INT) >= DATE '1999-01-01' AS oos, n FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 2 MONTHS)) AS s) w JOIN LATERAL (SELECT count(*) AS n FROM orders WHERE o_orderdate >= s AND o_orderdate < s + INTERVAL 6 MONTHS) x ON true WHERE s + INTERVAL 6 MONTHS <= TIMESTAMP '2001-12-31' AND n > 0")
+def rolling_windows(spark, sf):
+    w = overfit.rolling_windows(spark, "1995-01-01", "2001-12-31", 6, 2, "1999-01-01")
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"))
+    return asof.period_range_join(o, w, "d").groupBy("start", "end", "oos").agg(F.count("*").alias("n"))
+
+
+def methods(spark, sf):
+    b = overfit.blocks(cand(spark, sf), 10).groupBy(F.col("candidate").alias("method"), F.col("block").alias("window")).agg(overfit.sharpe().alias("sharpe"), F.max(-F.col("ret")).alias("max_dd"))
+    return b
+
+
+@query("rolling_summary", f"WITH {BLK(10)}, b AS (SELECT candidate AS method, block, avg(ret) / stddev_samp(ret) AS s, max(-ret) AS dd FROM blk GROUP BY 1, 2) SELECT method, count(*) AS n, count(*) FILTER (s > 0) AS k, round(avg(s), {R}) AS mean_sharpe, round(max(dd), {R}) AS max_dd, round(regr_slope(s, block), {R}) AS slope, count(*) FILTER (s > 0) / count(*) > 0.6 AND avg(s) > 0 AS passed FROM b GROUP BY 1")
+def rolling_summary(spark, sf):
+    return rnd(overfit.rolling_summary(methods(spark, sf)).drop("p"), "mean_sharpe", "max_dd", "slope")
+
+
+@query("null_hit_rate", f"WITH {BLK(10)}, b AS (SELECT block AS seed, candidate, avg(ret) > 0 AS passed FROM blk GROUP BY 1, 2) SELECT seed, round(avg(CASE WHEN passed THEN 1.0 ELSE 0 END), {R}) AS rate, count(*) AS n, count(*) FILTER (passed) AS k FROM b GROUP BY 1")
+def null_hit_rate(spark, sf):
+    runs = overfit.blocks(cand(spark, sf), 10).groupBy(F.col("block").alias("seed"), "candidate").agg((F.avg("ret") > 0).alias("passed"))
+    return rnd(overfit.null_hit_rate(runs, 0.5).drop("p"), "rate")
+
+
+@query("holdout_scatter", f"WITH {CAND}, s AS (SELECT candidate, avg(ret) FILTER (t < 300) / stddev_samp(ret) FILTER (t < 300) AS a, avg(ret) FILTER (t >= 300) / stddev_samp(ret) FILTER (t >= 300) AS b FROM cand GROUP BY 1) SELECT candidate, round(b - a, {R}) AS shift, round(median(b - a) OVER (), {R}) AS median_shift FROM s")
+def holdout_scatter(spark, sf):
+    c = cand(spark, sf)
+    a = c.where("t < 300").groupBy("candidate").agg(overfit.sharpe().alias("a"))
+    s = a.join(c.where("t >= 300").groupBy("candidate").agg(overfit.sharpe().alias("b")), "candidate").withColumn("shift", F.col("b") - F.col("a"))
+    m = s.agg(F.median("shift").alias("median_shift"))  # one row
+    return rnd(s.crossJoin(m).select("candidate", "shift", "median_shift"), "shift", "median_shift")
+
+
+@query("metric_consistency", "WITH c AS (SELECT c_acctbal AS x, c_acctbal * (1 + (c_custkey % 7) / 10.0) AS y FROM customer), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM c) SELECT 1 AS k, round(corr(rx, ry), 6) AS ic, count(*) AS n FROM r")
+def metric_consistency(spark, sf):
+    c = table(spark, sf, "customer").select(F.lit(1).alias("k"), F.col("c_acctbal").alias("x"), (F.col("c_acctbal") * (1 + (F.col("c_custkey") % 7) / 10.0)).alias("y"))
+    return rnd(edge.spearman(c, "x", "y", "k").drop("n_signals"), "ic")
+
+
+# --- 2.12
+
+
+@query("permute_bars", f"WITH {BARS_1H} SELECT symbol, count(*) AS n, round(arg_min(close, ts), {R}) AS first_close, round(arg_max(close, ts), 4) AS last_close, round(sum(volume), {R}) AS volume, true AS whole FROM bars GROUP BY 1")
+def permute_bars(spark, sf):
+    """What a permutation keeps: first and last close, volume and the order of high and low."""
+    p = overfit.permute_bars(bars_1h(spark, sf), 7)
+    whole = F.bool_and((F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close")))
+    return p.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.min_by("close", "ts"), R).alias("first_close"), F.round(F.max_by("close", "ts"), 4).alias("last_close"), F.round(F.sum("volume"), R).alias("volume"), whole.alias("whole"))
+
+
+def flat(paths):
+    s = overfit.summary(paths)
+    return s.select(*[F.round(F.col(c)[i], R).alias(f"{c}{i}") for c, n in (("t", 3), ("d", 2), ("s", 2)) for i in range(n)], F.round("ruin", R).alias("ruin"), F.round("p_negative", R).alias("p_negative"))
+
+
+@query("trade_bootstrap")
+def trade_bootstrap(spark, sf):
+    t = perf.signal_episodes(bars_1h(spark, sf).withColumn("signal", F.col("close") > F.col("open"))).where("symbol = 'click'")
+    return flat(overfit.trade_bootstrap(t.withColumn("ret", F.col("pnl") / (F.col("entry_price") + 100)), 100))
+
+
+@query("block_bootstrap")
+def block_bootstrap(spark, sf):
+    return flat(overfit.block_bootstrap(pf.portfolio_returns(rets(spark, sf), equal(spark, sf)), 100, 24))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf):
+    return flat(overfit.block_bootstrap(pf.portfolio_returns(rets(spark, sf), equal(spark, sf)), 100, 24, seed=2)).select("s0", "s1", "p_negative")
+
+
+@query("null_ic")
+def null_ic(spark, sf):
+    from tidemark.operators.windows import hold_bars, lag
+
+    out = None
+    for seed in range(3):
+        b = overfit.permute_bars(bars_1h(spark, sf), seed)
+        b = b.withColumn("raw", F.coalesce(F.col("close") / lag("close", 6) - 1 > 0.2, F.lit(False))).withColumn("signal", hold_bars("raw", 3).cast("double"))
+        ic = edge.information_coefficient(edge.forward_returns(b, [2, 4], keep=("signal",))).withColumn("seed", F.lit(seed))
+        out = ic if out is None else out.unionByName(ic)
+    return out.groupBy("seed").agg(F.round(F.avg((F.col("ic") > 0.1).cast("double")), R).alias("false_rate"), F.count("*").alias("n"))

@@ -1 +1,70 @@
-"""Queries."""
+"""Queries that run Structured Streaming over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.fixtures import BARS_1H, bars_1h, ticks
+from tidemark.plans.registry import query
+from tidemark.plans.sqlsteps import Steps, lag
+from tidemark.sources.scratch import folder
+from tidemark.streaming import bars as st
+
+R = 6
+
+
+def as_stream(spark, rows, what: str, n_files: int = 1):
+    """Write rows and read them as a stream."""
+    path = folder(spark, what)
+    rows.coalesce(n_files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def result(spark, stream, what: str):
+    path = folder(spark, what)
+    st.run_to_end(stream, path)
+    return spark.read.parquet(path)
+
+
+@query("stream_bars", f"WITH {BARS_1H} SELECT * FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
+def stream_bars(spark, sf):
+    return result(spark, st.closed_bars(as_stream(spark, ticks(spark, sf), "ticks"), "1 hour", "10 minutes"), "stream-bars")
+
+
+@query("stream_dedup", f"WITH {BARS_1H} SELECT symbol, ts, close FROM bars")
+def stream_dedup(spark, sf):
+    b = bars_1h(spark, sf)
+    twice = b.union(b)
+    return result(spark, st.dedup(as_stream(spark, twice, "bars"), "40 days"), "stream-dedup").select("symbol", "ts", "close")
+
+
+def states(spark, sf):
+    return result(spark, st.indicator_state(as_stream(spark, bars_1h(spark, sf), "bars"), 12, 14, 3, 3600.0), "stream-state")
+
+
+_S = Steps().true_range().ema("ema", "close", 12).wilder("atr", "tr", 14).add(d=f"close - {lag('close')}").add(obv="sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts)", cr=f"coalesce({lag('close')} <= {lag('ema')} AND close > ema, false)")
+
+
+@query("stream_indicator_state", _S.select(f"symbol, ts, round(ema, {R}) AS ema, round(atr, {R}) AS atr, round(obv, {R}) AS obv", "rn >= 14"))
+def stream_indicator_state(spark, sf):
+    rows = states(spark, sf).select("symbol", "ts", *[F.round(c, R).alias(c) for c in ("ema", "atr", "obv")])
+    first = bars_1h(spark, sf).groupBy("symbol").agg(F.sort_array(F.collect_list("ts"))[13].alias("from"))  # one array a symbol of the fixture
+    return rows.join(first, "symbol").where(F.col("ts") >= F.col("from")).drop("from")
+
+
+@query("stream_signal", _S.select("symbol, ts, max(CASE WHEN cr THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS 2 PRECEDING) = 1 AS signal"))
+def stream_signal(spark, sf):
+    return states(spark, sf).select("symbol", "ts", "signal")
+
+
+@query("stream_gap_alert", f"WITH {BARS_1H} SELECT symbol, ts, epoch(ts) - epoch(p) AS gap_s FROM (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars) WHERE epoch(ts) - epoch(p) > 5400")
+def stream_gap_alert(spark, sf):
+    return states(spark, sf).where("gap_s is not null").select("symbol", "ts", "gap_s")
+
+
+@query("stream_positions", "SELECT event_type AS symbol, round(sum(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END), 4) AS net, round(sum(value), 4) AS gross, count(*) AS n_fills FROM events GROUP BY 1")
+def stream_positions(spark, sf):
+    fills = ticks(spark, sf).select("symbol", F.when(F.col("seq") % 2 == 0, F.col("price")).otherwise(-F.col("price")).alias("quantity"))
+    path = folder(spark, "stream-positions")
+    st.run_batches(st.position_totals(as_stream(spark, fills, "fills")), path, "complete")
+    return spark.read.parquet(path).select("symbol", F.round("net", 4).alias("net"), F.round("gross", 4).alias("gross"), "n_fills")

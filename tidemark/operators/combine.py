@@ -38,7 +38,7 @@ def window_regime(rows: DataFrame, crisis: float, high_vol: float, move: float)
 
 def market_phase(bars: DataFrame, ahead: int = 126, move: float = 0.1) -> DataFrame:
     """Label by the return to come: for labels only, it looks ahead by design."""
-    f = F.lead("close", ahead).over(W) / F.col("close") - 1
+    f = F.lead("close", ahead).over(W()) / F.col("close") - 1
     return bars.withColumn("phase", F.when(f > move, "bull").when(f < -move, "bear").when(f.isNotNull(), "sideways"))
 
 

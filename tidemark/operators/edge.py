@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("ts")
+
+def W():
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def forward_returns(bars: DataFrame, horizons: list[int], short: bool = False, keep: tuple = ()) -> DataFrame:
     """symbol, ts, horizon, fwd (null at the end of a series)."""
     sign = -1 if short else 1
-    bars = bars.withColumns({f"f{h}__": sign * (F.lead("close", h).over(W) / F.col("close") - 1) for h in horizons})
+    bars = bars.withColumns({f"f{h}__": sign * (F.lead("close", h).over(W()) / F.col("close") - 1) for h in horizons})
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}__").alias("fwd")) for h in horizons]))
     return bars.select("symbol", "ts", *keep, each.alias("x")).select("symbol", "ts", *keep, "x.horizon", "x.fwd")
 
@@ -99,8 +101,8 @@ def half_life(decay: DataFrame, *keys: str) -> DataFrame:
 
 def exposure_returns(bars: DataFrame) -> DataFrame:
     """Yesterday's signal times today's log return, and the log return itself."""
-    r = F.ln(F.col("close") / F.lag("close").over(W))
-    pos = F.coalesce(F.lag(F.col("signal").cast("double")).over(W), F.lit(0.0))
+    r = F.ln(F.col("close") / F.lag("close").over(W()))
+    pos = F.coalesce(F.lag(F.col("signal").cast("double")).over(W()), F.lit(0.0))
     return bars.withColumns({"log_ret": r, "position": pos}).where("log_ret is not null").withColumn("ret", F.col("position") * F.col("log_ret"))
 
 

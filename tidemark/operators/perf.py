@@ -8,8 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-S = Window.partitionBy("strategy_id").orderBy("t")
-RUN = S.rowsBetween(Window.unboundedPreceding, 0)
+
+def S():
+    return Window.partitionBy("strategy_id").orderBy("t")
+
+
+def RUN():
+    return S().rowsBetween(Window.unboundedPreceding, 0)
+
 #: Bars a year by timeframe, for markets that never close and for those of 252 days.
 BARS_A_YEAR = {"1h": (8760, 1638), "4h": (2190, 504), "1d": (365, 252), "1w": (52, 52), "1M": (12, 12)}
 #: Spread by symbol and impact by timeframe, in percent, with defaults.
@@ -18,11 +24,11 @@ SPREAD, IMPACT = {"BTCUSDT": 0.02, "ETHUSDT": 0.03, "click": 0.01, "view": 0.04}
 
 def simple_returns(curves: DataFrame) -> DataFrame:
     """Returns of an equity curve; the first is 0 and counts."""
-    return curves.withColumn("ret", F.coalesce(F.col("equity") / F.lag("equity").over(S) - 1, F.lit(0.0)))
+    return curves.withColumn("ret", F.coalesce(F.col("equity") / F.lag("equity").over(S()) - 1, F.lit(0.0)))
 
 
 def drawdowns(curves: DataFrame) -> DataFrame:
-    peak = F.max("equity").over(RUN)
+    peak = F.max("equity").over(RUN())
     return curves.withColumn("dd", (peak - F.col("equity")) / peak)
 
 
@@ -38,7 +44,7 @@ def perf_metrics(curves: DataFrame, bars_a_year: float, *keys: str) -> DataFrame
 
 def compound(returns: DataFrame, capital: float) -> DataFrame:
     """Equity from returns above -1: capital times e to the running sum of log growth."""
-    return returns.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(RUN)))
+    return returns.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(RUN())))
 
 
 def annualisation(rows: DataFrame, timeframe: Column, always_open: Column) -> DataFrame:
@@ -134,7 +140,7 @@ def crisis_replay(rows: DataFrame) -> DataFrame:
 def drawdown_gate(curves: DataFrame, reduce: float, halt: float) -> DataFrame:
     """Drawdown, a kill flag that stays, and the action it calls for."""
     rows = drawdowns(curves)
-    killed = F.max(F.col("dd") >= halt).over(RUN)
+    killed = F.max(F.col("dd") >= halt).over(RUN())
     return rows.withColumn("killed", killed).withColumn("action", F.when(F.col("killed"), "halt").when(F.col("dd") >= reduce, "reduce").otherwise("approve"))
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.edge import average_rank
 
-S = Window.partitionBy("strategy_id").orderBy("t")
+
+def S():
+    return Window.partitionBy("strategy_id").orderBy("t")
 
 
 def pair_join(rows: DataFrame, value: str = "ret") -> DataFrame:
@@ -39,7 +41,7 @@ def spearman_correlations(rows: DataFrame) -> DataFrame:
 
 
 def drawdown_correlations(curves: DataFrame) -> DataFrame:
-    peak = F.max("equity").over(S.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("equity").over(S().rowsBetween(Window.unboundedPreceding, 0))
     return correlations(curves.withColumn("dd", (peak - F.col("equity")) / peak), "dd")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("ts")
+
+def W():
+    return Window.partitionBy("symbol").orderBy("ts")
+
 ISSUE = "symbol string, severity string, issue_type string, ts timestamp, description string, affected_rows long"
 SEVERITY = {"error": 0, "warning": 1, "info": 2}
 
@@ -47,13 +50,13 @@ def zero_volume(bars: DataFrame, limit: float = 0.01) -> DataFrame:
 
 
 def outliers(bars: DataFrame, limit: float = 0.5) -> DataFrame:
-    rows = bars.withColumn("change", F.col("close") / F.lag("close").over(W) - 1)
+    rows = bars.withColumn("change", F.col("close") / F.lag("close").over(W()) - 1)
     return rows.where(F.abs("change") > limit).select("symbol", "ts", "change")
 
 
 def gaps(bars: DataFrame, step: int, ignore_weekends: bool = False) -> DataFrame:
     """Breaks of more than 1.5 steps: start, end, seconds, missing bars."""
-    rows = bars.select("symbol", "ts", F.lag("ts").over(W).alias("gap_start"))
+    rows = bars.select("symbol", "ts", F.lag("ts").over(W()).alias("gap_start"))
     rows = rows.withColumn("duration_s", F.unix_seconds("ts") - F.unix_seconds("gap_start")).where(F.col("duration_s") > 1.5 * step)
     if ignore_weekends:
         rows = rows.where(~F.weekday("gap_start").isin(4, 5))
@@ -66,7 +69,7 @@ def fill_gaps(bars: DataFrame, step: int, mode: str = "ffill") -> DataFrame:
     rows = span.join(bars, ["symbol", "ts"], "left").withColumn("added", F.col("close").isNull())
     if mode == "ffill":
         for c in ("open", "high", "low", "close"):
-            rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(W))
+            rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(W()))
         rows = rows.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
     return rows
 
@@ -136,7 +139,7 @@ def is_oos_split(rows: DataFrame, share: float = 0.7, least_is: int = 50, least_
     """``part`` by place in the series; symbols too short for both parts go."""
     n = F.count("*").over(Window.partitionBy("symbol"))
     cut = F.floor(n * share)
-    rows = rows.withColumn("n__", n).withColumn("part", F.when(F.row_number().over(W) <= cut, "is").otherwise("oos"))
+    rows = rows.withColumn("n__", n).withColumn("part", F.when(F.row_number().over(W()) <= cut, "is").otherwise("oos"))
     return rows.where((F.floor(F.col("n__") * share) >= least_is) & (F.col("n__") - F.floor(F.col("n__") * share) >= least_oos)).drop("n__")
 
 

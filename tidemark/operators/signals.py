@@ -16,7 +16,6 @@ from tidemark.operators import windows as win
 from tidemark.operators.windows import ALL, W, lag, last_n
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
-C, H, L, O, V = (F.col(x) for x in ("close", "high", "low", "open", "volume"))
 
 
 def signal(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -54,13 +53,13 @@ def _side(up: bool, a: Column, b: Column) -> Column:
 @signal
 def ash(bars, length=9, smooth=3, mode="rsi", ma_type="ema", bullish=True, hold=None):
     """Bulls and bears smoothed twice; bullish while their distance lies between them and bulls don't fall."""
-    d = C - lag("close")
+    d = F.col("close") - lag("close")
     if mode == "rsi":
         up, down = F.greatest(d, F.lit(0.0)), F.greatest(-d, F.lit(0.0))
     elif mode == "stochastic":
-        up, down = C - F.min("close").over(last_n(length)), F.max("close").over(last_n(length)) - C
+        up, down = F.col("close") - F.min("close").over(last_n(length)), F.max("close").over(last_n(length)) - F.col("close")
     else:
-        up, down = F.greatest(H - lag("high"), F.lit(0.0)), F.greatest(lag("low") - L, F.lit(0.0))
+        up, down = F.greatest(F.col("high") - lag("high"), F.lit(0.0)), F.greatest(lag("low") - F.col("low"), F.lit(0.0))
     rows = bars.withColumns({"bu__": F.when(lag("close").isNull(), 0.0).otherwise(up) if mode != "stochastic" else up, "be__": F.when(lag("close").isNull(), 0.0).otherwise(down) if mode != "stochastic" else down})
     for n in (length, smooth):
         for c in ("bu__", "be__"):
@@ -78,7 +77,7 @@ def ash(bars, length=9, smooth=3, mode="rsi", ma_type="ema", bullish=True, hold=
 def ssl_channel(bars, n=12, up=True, level=False, hold=4):
     """Averages of high and low change places by the last break of the close."""
     rows = win.ema(win.ema(bars, "eh__", "high", n), "el__", "low", n)
-    state = win.last_state(F.when(C > F.col("eh__"), 1).when(C < F.col("el__"), -1))
+    state = win.last_state(F.when(F.col("close") > F.col("eh__"), 1).when(F.col("close") < F.col("el__"), -1))
     rows = rows.withColumn("s__", F.coalesce(state, F.lit(0)))
     rows = rows.withColumn("above__", F.when(F.col("s__") < 0, F.col("el__") > F.col("eh__")).otherwise(F.col("eh__") > F.col("el__")))
     above = F.col("above__") if up else ~F.col("above__")
@@ -94,7 +93,7 @@ def ssl_channel_low(bars, n=12, hold=1):
 
 def wavetrend_lines(bars, channel=9, average=12, ma=3):
     """wt1__ and wt2__."""
-    rows = bars.withColumn("p__", (H + L + C) / 3)
+    rows = bars.withColumn("p__", (F.col("high") + F.col("low") + F.col("close")) / 3)
     rows = win.ema(rows, "esa__", "p__", channel).withColumn("dev__", F.abs(F.col("p__") - F.col("esa__")))
     rows = win.ema(rows, "de__", "dev__", channel)
     rows = rows.withColumn("ci__", F.when(F.col("de__") != 0, (F.col("p__") - F.col("esa__")) / (0.015 * F.col("de__"))).otherwise(0.0))
@@ -117,16 +116,16 @@ def wavetrend_divergence(bars, overbought=60.0, oversold=-60.0, left=20, right=1
     pivot = win.pivot_low("wt2__", left, right) & (F.col("wt2__") <= oversold) if bullish else win.pivot_high("wt2__", left, right) & (F.col("wt2__") >= overbought)
     price = "low" if bullish else "high"
     rows = rows.withColumn("v__", pivot)
-    before = W.rowsBetween(Window.unboundedPreceding, -1)
+    before = W().rowsBetween(Window.unboundedPreceding, -1)
     wt = F.last(F.when(F.col("v__"), F.col("wt2__")), ignorenulls=True).over(before)
     pr = F.last(F.when(F.col("v__"), F.col(price)), ignorenulls=True).over(before)
     div = (F.col("v__") & (F.col(price) < pr) & (F.col("wt2__") > wt)) if bullish else (F.col("v__") & (F.col(price) > pr) & (F.col("wt2__") < wt))
     rows = rows.withColumn("div__", F.coalesce(div, F.lit(False)))
     known = F.col("div__") if compat else F.coalesce(lag("div__", right), F.lit(False))
-    w = W.rowsBetween(-length, -1)
+    w = W().rowsBetween(-length, -1)
     edge = F.min("wt1__").over(w) if bullish else F.max("wt1__").over(w)
     out = (F.col("wt1__") > edge) & (lag("wt1__") <= edge) if bullish else (F.col("wt1__") < edge) & (lag("wt1__") >= edge)
-    return _done(rows, known | F.coalesce(out & (F.row_number().over(W) > length), F.lit(False)), hold)
+    return _done(rows, known | F.coalesce(out & (F.row_number().over(W()) > length), F.lit(False)), hold)
 
 
 @signal
@@ -139,7 +138,7 @@ def rsi(bars, n=14, threshold=30.0, up=True, hold=1):
 @signal
 def ema_cross(bars, n=21, up=True, hold=1):
     rows = win.ema(bars, "e__", "close", n, sma_seed=True)
-    return _done(rows, win.crossover(C, F.col("e__")) if up else win.crossunder(C, F.col("e__")), hold)
+    return _done(rows, win.crossover(F.col("close"), F.col("e__")) if up else win.crossunder(F.col("close"), F.col("e__")), hold)
 
 
 def macd_lines(bars, fast=12, slow=26, smooth=9):
@@ -164,7 +163,7 @@ def atr_breakout(bars, n=14, mult=1.5, ma=20):
 @signal
 def vwap_cross(bars, up=True, hold=1):
     rows = bars.withColumn("v__", win.cumulative_vwap())
-    return _done(rows, win.crossover(C, F.col("v__")) if up else win.crossunder(C, F.col("v__")), hold)
+    return _done(rows, win.crossover(F.col("close"), F.col("v__")) if up else win.crossunder(F.col("close"), F.col("v__")), hold)
 
 
 @signal
@@ -172,29 +171,29 @@ def bollinger(bars, n=20, width=2.0, up=True, hold=1):
     """Close comes back over the lower band, or under the upper one."""
     sd = win.rolling_std("close", n, ddof=0)
     rows = bars.withColumn("b__", win.sma("close", n) + (-width if up else width) * sd)
-    return _done(rows, win.crossover(C, F.col("b__")) if up else win.crossunder(C, F.col("b__")), hold)
+    return _done(rows, win.crossover(F.col("close"), F.col("b__")) if up else win.crossunder(F.col("close"), F.col("b__")), hold)
 
 
 @signal
 def roc(bars, n=12, up=True, hold=1):
-    return _done(bars, _side(up, C / lag("close", n) - 1, F.lit(0.0)), hold, n)
+    return _done(bars, _side(up, F.col("close") / lag("close", n) - 1, F.lit(0.0)), hold, n)
 
 
 @signal
 def donchian(bars, n=20, up=True, hold=1):
-    return _done(bars, C >= win.rolling_max("high", n) if up else C <= win.rolling_min("low", n), hold)
+    return _done(bars, F.col("close") >= win.rolling_max("high", n) if up else F.col("close") <= win.rolling_min("low", n), hold)
 
 
 def adx_lines(bars, n=14):
     """adx__ by Wilder's smoothing of range and directional moves."""
-    u, d = H - lag("high"), lag("low") - L
+    u, d = F.col("high") - lag("high"), lag("low") - F.col("low")
     rows = bars.withColumns({"tr__": win.true_range(), "pd__": F.coalesce(F.when((u > d) & (u > 0), u), F.lit(0.0)), "md__": F.coalesce(F.when((d > u) & (d > 0), d), F.lit(0.0))})
     for c in ("tr", "pd", "md"):
         rows = win.wilder(rows, f"w{c}__", f"{c}__", n)
     p, m = (F.when(F.col("wtr__") > 0, 100 * F.col(x) / F.col("wtr__")).otherwise(0.0) for x in ("wpd__", "wmd__"))
     rows = rows.withColumns({"p__": p, "m__": m})
     dx = F.when(F.col("p__") + F.col("m__") > 0, 100 * F.abs(F.col("p__") - F.col("m__")) / (F.col("p__") + F.col("m__"))).otherwise(0.0)
-    rows = rows.withColumn("dx__", F.when(F.row_number().over(W) > n, dx))
+    rows = rows.withColumn("dx__", F.when(F.row_number().over(W()) > n, dx))
     return win.wilder(rows, "adx__", "dx__", n)
 
 
@@ -213,7 +212,7 @@ def ma_crossover(bars, fast=10, slow=50, up=True, hold=1):
 @signal
 def squeeze(bars, n=20, bb=2.0, kc=1.5, bullish=True, hold=1):
     """First bar after Bollinger bands leave the Keltner channel, with the sign of smoothed momentum."""
-    rows = bars.withColumns({"r__": H - L, "mid__": win.sma("close", n), "sd__": win.rolling_std("close", n, ddof=0), "mo__": C - (win.rolling_max("high", n) + win.rolling_min("low", n)) / 2})
+    rows = bars.withColumns({"r__": F.col("high") - F.col("low"), "mid__": win.sma("close", n), "sd__": win.rolling_std("close", n, ddof=0), "mo__": F.col("close") - (win.rolling_max("high", n) + win.rolling_min("low", n)) / 2})
     rows = win.ema(win.ema(win.ema(rows, "km__", "close", n), "kr__", "r__", n), "mom__", "mo__", n)
     inside = (F.col("mid__") - bb * F.col("sd__") > F.col("km__") - kc * F.col("kr__")) & (F.col("mid__") + bb * F.col("sd__") < F.col("km__") + kc * F.col("kr__"))
     rows = rows.withColumn("on__", F.coalesce(inside, F.lit(False)))
@@ -236,13 +235,13 @@ def ichimoku(bars, tenkan=9, kijun=26, senkou=52, bullish=True, hold=1):
     rows = bars.withColumns({"t__": mid(tenkan), "k__": mid(kijun), "sb__": mid(senkou)})
     t, k = F.col("t__"), F.col("k__")
     sa = (t + k) / 2
-    raw = (lag("t__") <= lag("k__")) & (t > k) & (C > F.greatest(sa, F.col("sb__"))) if bullish else (lag("t__") >= lag("k__")) & (t < k) & (C < F.least(sa, F.col("sb__")))
+    raw = (lag("t__") <= lag("k__")) & (t > k) & (F.col("close") > F.greatest(sa, F.col("sb__"))) if bullish else (lag("t__") >= lag("k__")) & (t < k) & (F.col("close") < F.least(sa, F.col("sb__")))
     return _done(rows, raw, hold, senkou)
 
 
 @signal
 def obv_trend(bars, n=20, up=True, hold=1):
-    rows = bars.withColumn("st__", win.obv_step()).withColumn("o__", F.sum("st__").over(ALL))
+    rows = bars.withColumn("st__", win.obv_step()).withColumn("o__", F.sum("st__").over(ALL()))
     return _done(win.ema(rows, "e__", "o__", n), _side(up, F.col("o__"), F.col("e__")), hold, n)
 
 
@@ -255,14 +254,14 @@ def volatility_regime(bars, n=14, lookback=50, threshold=0.5, high=True, hold=1)
 
 @signal
 def volume_spike(bars, n=20, k=2.0, bullish=True, hold=1):
-    return _done(bars, (V > k * win.sma("volume", n)) & _side(bullish, C, O), hold, n)
+    return _done(bars, (F.col("volume") > k * win.sma("volume", n)) & _side(bullish, F.col("close"), F.col("open")), hold, n)
 
 
 @signal
 def momentum_divergence(bars, n=14, lookback=20, bullish=True, hold=1):
     """Extremes of price and rate of change, this window against the one before."""
-    rows = bars.withColumn("r__", F.coalesce(C / lag("close", n) - 1, F.lit(0.0)))
-    now, then = last_n(lookback), W.rowsBetween(-(2 * lookback - 1), -lookback)
+    rows = bars.withColumn("r__", F.coalesce(F.col("close") / lag("close", n) - 1, F.lit(0.0)))
+    now, then = last_n(lookback), W().rowsBetween(-(2 * lookback - 1), -lookback)
     f = F.min if bullish else F.max
     price, osc = (f("close").over(now), f("close").over(then)), (f("r__").over(now), f("r__").over(then))
     return _done(rows, _side(not bullish, *price) & _side(bullish, *osc), hold, n + 2 * lookback)
@@ -292,7 +291,7 @@ def oi_divergence(bars, n=14, price_up=True, hold=1):
     """Price and open interest move apart."""
     if (x := _absent(bars, "open_interest")) is not None:
         return x
-    p, i = C / lag("close", n) - 1, F.col("open_interest") / lag("open_interest", n) - 1
+    p, i = F.col("close") / lag("close", n) - 1, F.col("open_interest") / lag("open_interest", n) - 1
     return _done(bars, (p > 0) & (i < 0) if price_up else (p < 0) & (i > 0), hold)
 
 
@@ -309,7 +308,7 @@ def vrp(bars, n=21, positive=True, hold=1):
     """Implied variance above realised variance of log returns."""
     if (x := _absent(bars, "vix")) is not None:
         return x
-    rows = bars.withColumn("lr__", F.ln(C / lag("close")))
+    rows = bars.withColumn("lr__", F.ln(F.col("close") / lag("close")))
     return _done(rows, _side(positive, F.pow(F.col("vix") / 100, 2) - win.rolling_var("lr__", n) * 252, F.lit(0.0)), hold)
 
 
@@ -352,7 +351,7 @@ def cross_asset_momentum_inv(bars, n=20, up=True, hold=1):
 
 @signal
 def vol_scaled_momentum(bars, n=20, z=1.0, up=True, hold=1):
-    rows = bars.withColumn("r__", C / lag("close", n) - 1)
+    rows = bars.withColumn("r__", F.col("close") / lag("close", n) - 1)
     sd = win.rolling_std("r__", n)
     x = F.when(sd > 1e-12, F.col("r__") / sd)
     return _done(rows, x > z if up else x < -z, hold)
@@ -380,7 +379,7 @@ def rsi_bb(bars, n=14, ma=20, width=2.0, up=True, hold=1):
 @signal
 def mtf_ma_stack(bars, lengths=(4, 8, 24), every=True, hold=1):
     """Close above all (or any) of several averages."""
-    over = F.array(*[F.coalesce(C > win.sma("close", n), F.lit(False)) for n in lengths])
+    over = F.array(*[F.coalesce(F.col("close") > win.sma("close", n), F.lit(False)) for n in lengths])
     return _done(bars, F.forall(over, lambda x: x) if every else F.exists(over, lambda x: x), hold)
 
 
@@ -399,7 +398,7 @@ def macd_mtf(bars, scales=(1, 2), hold=1):
 @signal
 def squeeze_linreg(bars, n=20, up=True, hold=1):
     """End of the regression line of momentum over the last n bars, its sign."""
-    rows = bars.withColumns({"mo__": C - ((win.rolling_max("high", n) + win.rolling_min("low", n)) / 2 + win.sma("close", n)) / 2, "x__": F.row_number().over(W).cast("double")})
+    rows = bars.withColumns({"mo__": F.col("close") - ((win.rolling_max("high", n) + win.rolling_min("low", n)) / 2 + win.sma("close", n)) / 2, "x__": F.row_number().over(W()).cast("double")})
     slope, intercept = F.regr_slope("mo__", "x__").over(last_n(n)), F.regr_intercept("mo__", "x__").over(last_n(n))
     return _done(rows, win.full(_side(up, intercept + slope * F.col("x__"), F.lit(0.0)), "mo__", n), hold)
 
@@ -426,7 +425,7 @@ def firestorm_bands(bars, n=10, mult=1.8):
     A band holds its best value while the close before stays on its side, which
     is no linear recurrence; each symbol runs alone in a grouped map.
     """
-    rows = bars.withColumn("mid__", (O + H + L + C) / 4).withColumn("tr__", win.true_range())
+    rows = bars.withColumn("mid__", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4).withColumn("tr__", win.true_range())
     rows = win.ema(rows, "a__", "tr__", n).select("symbol", "ts", "close", "mid__", "a__")
     schema = "symbol string, ts timestamp, up_band double, dn_band double, trend int, flip int"
 

@@ -11,12 +11,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("ts")
-ALL = W.rowsBetween(Window.unboundedPreceding, 0)
+
+def W():
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def ALL():
+    return W().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def last_n(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return W().rowsBetween(-(n - 1), 0)
 
 
 def col(c: Column | str) -> Column:
@@ -24,7 +29,7 @@ def col(c: Column | str) -> Column:
 
 
 def lag(c: Column | str, n: int = 1) -> Column:
-    return F.lag(c, n).over(W)
+    return F.lag(c, n).over(W())
 
 
 def full(value: Column, c: Column | str, n: int) -> Column:
@@ -53,7 +58,7 @@ def rolling_var(c: Column | str, n: int) -> Column:
 
 def wma(c: Column | str, n: int) -> Column:
     """Weights 1 to n, the latest heaviest; fewer rows at the start take the last weights."""
-    terms = [(F.lag(c, k).over(W), n - k) for k in range(n)]
+    terms = [(F.lag(c, k).over(W()), n - k) for k in range(n)]
     top = sum((F.coalesce(x, F.lit(0.0)) * w for x, w in terms), F.lit(0.0))
     return top / sum((F.when(x.isNotNull(), w).otherwise(0) for x, w in terms), F.lit(0))
 
@@ -78,7 +83,7 @@ def true_range() -> Column:
 
 def cumulative_vwap() -> Column:
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    return F.sum(tp * F.col("volume")).over(ALL) / F.sum("volume").over(ALL)
+    return F.sum(tp * F.col("volume")).over(ALL()) / F.sum("volume").over(ALL())
 
 
 def obv_step() -> Column:
@@ -89,25 +94,25 @@ def obv_step() -> Column:
 
 def pivot_high(c: str, left: int, right: int) -> Column:
     """Strictly above the bars on both sides; false where a side is short."""
-    before, after = W.rowsBetween(-left, -1), W.rowsBetween(1, right)
+    before, after = W().rowsBetween(-left, -1), W().rowsBetween(1, right)
     whole = (F.count(c).over(before) == left) & (F.count(c).over(after) == right)
     return F.coalesce(whole & (F.col(c) > F.max(c).over(before)) & (F.col(c) > F.max(c).over(after)), F.lit(False))
 
 
 def pivot_low(c: str, left: int, right: int) -> Column:
-    before, after = W.rowsBetween(-left, -1), W.rowsBetween(1, right)
+    before, after = W().rowsBetween(-left, -1), W().rowsBetween(1, right)
     whole = (F.count(c).over(before) == left) & (F.count(c).over(after) == right)
     return F.coalesce(whole & (F.col(c) < F.min(c).over(before)) & (F.col(c) < F.min(c).over(after)), F.lit(False))
 
 
 def last_state(c: Column) -> Column:
     """The last value that isn't null."""
-    return F.last(c, ignorenulls=True).over(ALL)
+    return F.last(c, ignorenulls=True).over(ALL())
 
 
 def zscore_prior(c: str, n: int) -> Column:
     """Value against the n values before it; null while they are too few or don't vary."""
-    w = W.rowsBetween(-n, -1)
+    w = W().rowsBetween(-n, -1)
     sd = F.stddev_samp(c).over(w)
     return F.when((F.count(c).over(w) == n) & (sd > 1e-12), (F.col(c) - F.avg(c).over(w)) / sd)
 
@@ -126,13 +131,13 @@ def pct_rank(c: Column | str, n: int, strict: bool = False) -> Column:
 
 
 def drawdown(c: Column | str) -> Column:
-    peak = F.max(c).over(ALL)
+    peak = F.max(c).over(ALL())
     return (peak - col(c)) / peak
 
 
 def warm(signal: Column, n: int) -> Column:
     """False for the first n bars."""
-    return (F.row_number().over(W) > n) & F.coalesce(signal, F.lit(False))
+    return (F.row_number().over(W()) > n) & F.coalesce(signal, F.lit(False))
 
 
 # --- linear recurrences
@@ -207,7 +212,7 @@ def atr(rows: DataFrame, out: str, n: int) -> DataFrame:
 
 def max_streak(rows: DataFrame, flag: str) -> DataFrame:
     """Longest run of True for each symbol (0 if none): gaps and islands."""
-    n = F.row_number().over(W)
+    n = F.row_number().over(W())
     rows = rows.withColumn("n__", n)
     island = F.col("n__") - F.row_number().over(Window.partitionBy("symbol", flag).orderBy("ts"))
     runs = rows.withColumn("i__", island).groupBy("symbol", flag, "i__").agg(F.count("*").alias("c"))
@@ -216,5 +221,5 @@ def max_streak(rows: DataFrame, flag: str) -> DataFrame:
 
 def cs_momentum_rank(rows: DataFrame, far: int, near: int) -> DataFrame:
     """Percentile rank, among symbols of each time, of the return from ``far`` to ``near`` bars ago."""
-    rows = rows.withColumn("mom", F.lag("close", near).over(W) / F.lag("close", far).over(W) - 1).where("mom is not null")
+    rows = rows.withColumn("mom", F.lag("close", near).over(W()) / F.lag("close", far).over(W()) - 1).where("mom is not null")
     return rows.withColumn("cs_momentum_rank", F.percent_rank().over(Window.partitionBy("ts").orderBy("mom")))

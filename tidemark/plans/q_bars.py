@@ -368,7 +368,7 @@ def period_range_join(spark, sf):
 
 @query("fold_range_join", f"WITH {BARS_1H}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS t FROM bars), f AS (SELECT i AS fold, i * 100 AS a, i * 100 + 200 AS b, i * 100 + 210 AS c, i * 100 + 300 AS d FROM range(4) AS r(i)) SELECT symbol, fold, CASE WHEN t >= c THEN 'oos' ELSE 'is' END AS part, count(*) AS n, round(avg(close), {R}) AS mean FROM t JOIN f ON (t >= a AND t < b) OR (t >= c AND t < d) GROUP BY 1, 2, 3")
 def fold_range_join(spark, sf):
-    b = bars_1h(spark, sf).withColumn("t", F.row_number().over(quality.W))
+    b = bars_1h(spark, sf).withColumn("t", F.row_number().over(quality.W()))
     folds = spark.range(4).select(F.col("id").alias("fold"), (F.col("id") * 100).alias("is_start"), (F.col("id") * 100 + 200).alias("is_end"), (F.col("id") * 100 + 210).alias("oos_start"), (F.col("id") * 100 + 300).alias("oos_end"))
     return asof.fold_range_join(b, folds).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.round(F.avg("close"), R).alias("mean"))
 

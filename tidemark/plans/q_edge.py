@@ -96,7 +96,7 @@ CROSS = f"{BARS_1H}, p AS (SELECT * FROM (VALUES ('click', 'view'), ('error', 'c
 def cross_asset_ic(spark, sf):
     pairs = spark.createDataFrame([("click", "view"), ("error", "click"), ("view", "error")], "symbol string, reference string")
     rows = asof.reference_join(bars_1h(spark, sf), pairs)
-    rows = rows.withColumns({"signal": F.coalesce(F.col("ref_close") / win.lag("ref_close", 6) - 1 > 0, F.lit(False)).cast("double"), "fwd": F.lead("close", 4).over(win.W) / F.col("close") - 1})
+    rows = rows.withColumns({"signal": F.coalesce(F.col("ref_close") / win.lag("ref_close", 6) - 1 > 0, F.lit(False)).cast("double"), "fwd": F.lead("close", 4).over(win.W()) / F.col("close") - 1})
     return rnd(edge.spearman(rows, "signal", "fwd", "symbol", "reference"), "ic")
 
 

@@ -19,7 +19,7 @@ PARTS = f"{CAND}, {FOLDS}, parts AS MATERIALIZED (SELECT candidate, fold, t, ret
 
 def cand(spark, sf):
     r = rets(spark, sf)
-    return r.select(F.col("strategy_id").alias("candidate"), (F.row_number().over(pf.S) - 1).cast("long").alias("t"), "ret")
+    return r.select(F.col("strategy_id").alias("candidate"), (F.row_number().over(pf.S()) - 1).cast("long").alias("t"), "ret")
 
 
 def folds(spark):

@@ -23,7 +23,7 @@ def curves(spark, sf):
 
 
 def rets(spark, sf):
-    return curves(spark, sf).withColumn("ret", F.col("equity") / F.lag("equity").over(pf.S) - 1).where("ret is not null").drop("equity")
+    return curves(spark, sf).withColumn("ret", F.col("equity") / F.lag("equity").over(pf.S()) - 1).where("ret is not null").drop("equity")
 
 
 def names(spark, sf):
@@ -187,7 +187,7 @@ def stress_verdict(spark, sf):
 @query("portfolio_is_oos", f"WITH {RETS}, p AS (SELECT *, CASE WHEN row_number() OVER {W} <= floor(count(*) OVER (PARTITION BY strategy_id) * 0.7) THEN 'is' ELSE 'oos' END AS part FROM rets), s AS (SELECT strategy_id, avg(ret) FILTER (part = 'is') / stddev_samp(ret) FILTER (part = 'is') AS a, avg(ret) FILTER (part = 'oos') / stddev_samp(ret) FILTER (part = 'oos') AS b FROM p GROUP BY 1) SELECT strategy_id, round(a, {R}) AS is_sharpe, round(b, {R}) AS oos_sharpe, round(a - b, {R}) AS degradation, b > 0 AS positive FROM s ORDER BY a DESC, strategy_id LIMIT 3")
 def portfolio_is_oos(spark, sf):
     n = F.count("*").over(pf.Window.partitionBy("strategy_id"))
-    p = rets(spark, sf).withColumn("oos", F.row_number().over(pf.S) > F.floor(n * 0.7))
+    p = rets(spark, sf).withColumn("oos", F.row_number().over(pf.S()) > F.floor(n * 0.7))
     sharpe = lambda c: F.avg(F.when(c, F.col("ret"))) / F.stddev_samp(F.when(c, F.col("ret")))
     s = p.groupBy("strategy_id").agg(sharpe(~F.col("oos")).alias("is_sharpe"), sharpe(F.col("oos")).alias("oos_sharpe"))
     top = s.orderBy(F.desc("is_sharpe"), "strategy_id").limit(3)

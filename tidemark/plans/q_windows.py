@@ -51,7 +51,7 @@ def _wma(x: str, n: int) -> str:
 put("hma", Steps().add(h=f"2 * {_wma('close', 4)} - {_wma('close', 9)}").add(v=_wma("h", 3)).select(f"symbol, ts, round(v, {R}) AS v"), lambda b: win.hma(b, "v", "close", 9))
 col("true_range", f"greatest(high - low, coalesce(abs(high - {lag('close')}), 0), coalesce(abs(low - {lag('close')}), 0))", win.true_range)
 col("cumulative_vwap", f"sum((high + low + close) / 3 * volume) OVER {RUN} / sum(volume) OVER {RUN}", win.cumulative_vwap)
-put("obv", Steps().add(d=f"close - {lag('close')}").add(v=f"sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) OVER {RUN}").select("symbol, ts, v"), lambda b: b.withColumn("s", win.obv_step()).withColumn("v", F.sum("s").over(win.ALL)))
+put("obv", Steps().add(d=f"close - {lag('close')}").add(v=f"sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) OVER {RUN}").select("symbol, ts, v"), lambda b: b.withColumn("s", win.obv_step()).withColumn("v", F.sum("s").over(win.ALL())))
 PIVOT = "coalesce(count(high) OVER b = 3 AND count(high) OVER a = 2 AND high > max(high) OVER b AND high > max(high) OVER a, false)"
 WINDOWS = " WINDOW b AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)"
 put("pivot_high", Steps().select(f"symbol, ts, {PIVOT} AS v") + WINDOWS, lambda b: b.withColumn("v", win.pivot_high("high", 3, 2)))

@@ -83,7 +83,7 @@ def ssl_channel(bars, n=12, up=True, level=False, hold=4):
     above = F.col("above__") if up else ~F.col("above__")
     if level:
         return _done(rows, above, hold)
-    return _done(rows, above & ~F.coalesce(lag(above), F.lit(not up)), hold)
+    return _done(rows, above & ~F.coalesce(lag(above), F.lit(False)), hold)
 
 
 @signal

@@ -281,7 +281,7 @@ def holdout_split(spark, sf):
     return quality.holdout_split(bars_1h(spark, sf), 7).select("symbol", "part", "ts")
 
 
-@query("is_oos_split", f"WITH {BARS_1H} SELECT symbol, ts, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) <= floor(n * 0.7) THEN 'is' ELSE 'oos' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars) WHERE floor(n * 0.7) >= 50 AND n - floor(n * 0.7) >= 20")
+@query("is_oos_split", f"WITH {BARS_1H} SELECT symbol, ts, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) <= floor(n * 0.7::DOUBLE) THEN 'is' ELSE 'oos' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars) WHERE floor(n * 0.7::DOUBLE) >= 50 AND n - floor(n * 0.7::DOUBLE) >= 20")
 def is_oos_split(spark, sf):
     return quality.is_oos_split(bars_1h(spark, sf)).select("symbol", "ts", "part")
 

@@ -49,7 +49,7 @@ def _ranked(source: str, keys: str) -> str:
     return f"(SELECT *, {rank('signal')} AS rx, {rank('fwd')} AS ry FROM {source})"
 
 
-PARTS = f"{SCORED}, cut AS (SELECT *, floor(count(*) OVER (PARTITION BY {K}) * 0.6) AS c FROM scored), parts AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {K} ORDER BY ts) <= c THEN 'train' ELSE 'validation' END AS part FROM cut WHERE fwd IS NOT NULL)"
+PARTS = f"{SCORED}, cut AS (SELECT *, floor(count(*) OVER (PARTITION BY {K}) * 0.6::DOUBLE) AS c FROM scored), parts AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {K} ORDER BY ts) <= c THEN 'train' ELSE 'validation' END AS part FROM cut WHERE fwd IS NOT NULL)"
 IC = f"{PARTS}, ic AS MATERIALIZED (SELECT * FROM (SELECT {K}, part, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS ic, count(*) AS n, sum(signal) AS n_signals FROM {_ranked('parts', K + ', part')} GROUP BY ALL) WHERE n >= 30 AND n_signals >= 3 AND ic IS NOT NULL)"
 
 

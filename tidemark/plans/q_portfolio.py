@@ -184,7 +184,7 @@ def stress_verdict(spark, sf):
     return cv.crossJoin(dd).select(F.round("cv", R).alias("cv"), F.round("p95", R).alias("p95"), ((F.col("p95") < 0.5) & (F.col("cv") < 0.3)).alias("passed"))  # one row each
 
 
-@query("portfolio_is_oos", f"WITH {RETS}, p AS (SELECT *, CASE WHEN row_number() OVER {W} <= floor(count(*) OVER (PARTITION BY strategy_id) * 0.7) THEN 'is' ELSE 'oos' END AS part FROM rets), s AS (SELECT strategy_id, avg(ret) FILTER (part = 'is') / stddev_samp(ret) FILTER (part = 'is') AS a, avg(ret) FILTER (part = 'oos') / stddev_samp(ret) FILTER (part = 'oos') AS b FROM p GROUP BY 1) SELECT strategy_id, round(a, {R}) AS is_sharpe, round(b, {R}) AS oos_sharpe, round(a - b, {R}) AS degradation, b > 0 AS positive FROM s ORDER BY a DESC, strategy_id LIMIT 3")
+@query("portfolio_is_oos", f"WITH {RETS}, p AS (SELECT *, CASE WHEN row_number() OVER {W} <= floor(count(*) OVER (PARTITION BY strategy_id) * 0.7::DOUBLE) THEN 'is' ELSE 'oos' END AS part FROM rets), s AS (SELECT strategy_id, avg(ret) FILTER (part = 'is') / stddev_samp(ret) FILTER (part = 'is') AS a, avg(ret) FILTER (part = 'oos') / stddev_samp(ret) FILTER (part = 'oos') AS b FROM p GROUP BY 1) SELECT strategy_id, round(a, {R}) AS is_sharpe, round(b, {R}) AS oos_sharpe, round(a - b, {R}) AS degradation, b > 0 AS positive FROM s ORDER BY a DESC, strategy_id LIMIT 3")
 def portfolio_is_oos(spark, sf):
     n = F.count("*").over(pf.Window.partitionBy("strategy_id"))
     p = rets(spark, sf).withColumn("oos", F.row_number().over(pf.S()) > F.floor(n * 0.7))

@@ -11,6 +11,9 @@ global order, frequent shingles last by a count sketch of the whole corpus.
 * Each document takes the l (1 to ``MOST``) whose estimated cost is least: sketched
   list lengths over its prefix, and those by l for verification. A pair must
   share min(l, l') prefix shingles before it is verified.
+* A pair's overlap is at most half of what its sizes leave after the Hamming distance
+  of two parity bitmaps (``PARITY`` bits, each the parity of the shingles on it): the
+  distance never exceeds the symmetric difference. This is part of the join's condition.
 * Equal sets are one node; only one of them in a task is posted.
 * Components need no pair inside a group that is linked already. In star
   rounds each list's members are verified against one head, another in each round;
@@ -39,6 +42,8 @@ SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch (8 MB), longest multi-match, cost of one verification in list entries.
 WIDTH, MOST, VERIFY = 1 << 21, 12, 30
 _CHUNK = 16384
+#: Bits of a set's parity bitmap.
+PARITY = 512
 #: Star rounds after the first.
 STARS = 3
 #: Bits of the filter that keeps texts of unpaired documents out of a shuffle (262,144 rows at most).
@@ -95,8 +100,14 @@ def row_hash(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text).cast("string"))
 
 
+def parity(own: np.ndarray) -> list[int]:
+    """Parity of the shingles on each of ``PARITY`` bits, as 64-bit integers."""
+    odd = np.bincount((own >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row (hash of key and text), node (64 bits of the set's digest; null for an empty set), n, l, prefix (null if this task has posted the node)."""
+    """key, row (hash of key and text), node (64 bits of the set's digest; null for an empty set), n, l, bits, prefix (these two null if this task has posted the node)."""
     counts = sketch(docs, text)
     noise = float(counts.mean() + 6 * counts.mean() ** 0.5 + 2)
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
@@ -108,21 +119,21 @@ def document_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             for t in b.column(1).to_pylist():
                 own = shingles(t, SHINGLE)
                 if not len(own):
-                    rows.append((None, 0, 0, None))
+                    rows.append((None, 0, 0, None, None))
                     continue
                 node = set_node(own)
                 if node in seen:
-                    rows.append((node, len(own), 0, None))
+                    rows.append((node, len(own), 0, None, None))
                     continue
                 seen.add(node)
                 ahead, l = prefix(own, counts, noise)
-                rows.append((node, len(own), l, ahead.astype(np.int64).tolist()))
+                rows.append((node, len(own), l, parity(own), ahead.astype(np.int64).tolist()))
             if rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=[key, "row", "node", "n", "l", "prefix"])
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=[key, "row", "node", "n", "l", "bits", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string"), row_hash(key, text).alias("row")).mapInArrow(run, f"`{key}` {kind}, row long, node long, n long, l int, prefix array<long>")
+    return docs.select(key, F.col(text).cast("string"), row_hash(key, text).alias("row")).mapInArrow(run, f"`{key}` {kind}, row long, node long, n long, l int, bits array<long>, prefix array<long>")
 
 
 def shared_postings(sets: DataFrame) -> DataFrame:
@@ -196,6 +207,13 @@ def _enough(x: str, y: str, count: str) -> Column:
     return F.col(count) >= F.greatest(F.least(_l(x), _l(y)), need - rest)
 
 
+def _can_overlap(x: str, y: str, xbits: str, ybits: str) -> Column:
+    """The parity bitmaps leave room for the overlap that sizes call for."""
+    apart = sum((F.bit_count(F.col(xbits)[i].bitwiseXOR(F.col(ybits)[i])) for i in range(PARITY // 64)), F.lit(0))
+    both = _size(x) + _size(y)
+    return both - apart >= 2 * F.ceil(both * PERCENT / (100 + PERCENT))
+
+
 def _bits(ids: DataFrame) -> DataFrame:
     """(word, bits): a filter of row hashes by their low bits, ``BITS`` / 64 rows whatever their number."""
     words = ids.selectExpr(f"cast((row & {BITS - 1}) >> 6 as int) AS word", "shiftleft(1L, cast(row & 63 as int)) AS bit")
@@ -262,7 +280,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = stage(shared_postings(sets), "jaccard-shared")
     kind = dict(docs.dtypes)[key]
     least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("row").alias("row")))
-    nodes = stage(sets.where("node is not null").groupBy("node").agg(least.alias("m")).select("node", "m.k", "m.row"), "jaccard-nodes")
+    nodes = stage(sets.where("node is not null").groupBy("node").agg(least.alias("m"), F.first("bits", ignorenulls=True).alias("bits")).select("node", "m.k", "m.row", "bits"), "jaccard-nodes")
 
     def stars(rows: DataFrame) -> DataFrame:
         """For each node the head it shares most lists with, if more than by chance; whatever this leaves out is looked at below."""
@@ -291,10 +309,10 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = stage(rest.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-rest")
     # a list's largest component on one side: its own pairs are never looked at
     major = rest.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-    rest = rest.join(stage(major, "jaccard-major"), "token")
-    x = rest.where("comp <> major").select("token", F.col("node").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"))
-    y = rest.select("token", F.col("node").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), (F.col("comp") == F.col("major")).alias("big"))
-    met = x.join(y, "token").where((F.col("ac") != F.col("bc")) & (F.col("big") | (F.col("a") < F.col("b"))) & _fits("am", "bm", "a", "b"))
+    rest = rest.join(stage(major, "jaccard-major"), "token").join(nodes.select("node", "bits"), "node")
+    x = rest.where("comp <> major").select("token", F.col("node").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"), F.col("bits").alias("ab"))
+    y = rest.select("token", F.col("node").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), F.col("bits").alias("bb"), (F.col("comp") == F.col("major")).alias("big"))
+    met = x.join(y, "token").where((F.col("ac") != F.col("bc")) & (F.col("big") | (F.col("a") < F.col("b"))) & _fits("am", "bm", "a", "b") & _can_overlap("am", "bm", "ab", "bb"))
     swap = F.col("a") > F.col("b")
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("bm")).otherwise(F.col("am")).alias("am"), F.when(swap, F.col("am")).otherwise(F.col("bm")).alias("bm"))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("am").alias("am"), F.first("bm").alias("bm"))

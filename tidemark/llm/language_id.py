@@ -61,19 +61,21 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     return (_TWICE[a] * _ONCE[b] * _LETTERS[c]).astype(np.float32)
 
 
-_bound = np.zeros((0, DIMENSIONS), np.int8)
-_ready = np.zeros(GRAMS, bool)
+_place = np.full(GRAMS, -1, np.int32)
+_made = np.zeros((4096, DIMENSIONS), np.int8)
+_count = 0
 
 
 def vectors_of(grams: np.ndarray) -> np.ndarray:
-    """Bound vectors, each made once in a worker: at most GRAMS rows of DIMENSIONS bytes, of which pages fill as n-grams occur."""
-    global _bound
-    if not len(_bound):
-        _bound = np.zeros((GRAMS, DIMENSIONS), np.int8)
-    if len(new := grams[~_ready[grams]]):
-        _bound[new] = gram_vectors(new)
-        _ready[new] = True
-    return _bound[grams].astype(np.float32)
+    """Bound vectors, each made once in a worker and kept in rows that grow with the n-grams met (GRAMS at most)."""
+    global _made, _count
+    if len(new := grams[_place[grams] < 0]):
+        while _count + len(new) > len(_made):
+            _made = np.concatenate((_made, np.zeros_like(_made)))
+        _made[_count : _count + len(new)] = gram_vectors(new)
+        _place[new] = np.arange(_count, _count + len(new))
+        _count += len(new)
+    return _made[_place[grams]].astype(np.float32)
 
 
 def has_letter(text: str) -> bool:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import prepare
 
-CACHE = 300_000
+CACHE = 200_000
 BLANK = "▁"
 INF = float("inf")
 
@@ -145,7 +145,7 @@ class PieceTransducer:
             return 0.0
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
             if a in self.tied or b in self.tied:
                 ok = self.merge(self.pieces[a][0] + self.pieces[b][0])[0] == [self.pieces[a][0], self.pieces[b][0]]

@@ -32,7 +32,7 @@ SAMPLE = 64
 #: Documents and ids at which a block is closed.
 BLOCK_DOCS, BLOCK_IDS = 1024, 1 << 20
 #: Entries in a task's table of encoded words.
-CACHE = 300_000
+CACHE = 700_000
 _WORDS = re.compile(r"[^ \n\t\r]+").findall
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 _ODD = re.compile("[\x1c-\x1f]").search
@@ -142,7 +142,9 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words; Latin letters alone are one pre-token, so many such words go in one text and are cut at word ends."""
-        plain = [w for w in words if _LETTERS(w)]
+        plain, rest = [], []
+        for w in words:
+            (plain if _LETTERS(w) else rest).append(w)
         for at in range(0, len(plain), 5_000):
             part = plain[at : at + 5_000]
             got = self.tokenizer.encode_batch_fast([" ".join(part[i : i + 50]) for i in range(0, len(part), 50)], add_special_tokens=False)
@@ -152,7 +154,6 @@ class WordEncoder:
             for w, end in zip(part, cut, strict=True):
                 self.known[w] = raw[begin:end]
                 begin = end
-        rest = [w for w in words if not _LETTERS(w)]
         for at in range(0, len(rest), 10_000):
             part = rest[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):

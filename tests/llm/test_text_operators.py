@@ -311,6 +311,22 @@ def test_suffix_dedup_leaves_no_repeated_passage(spark, odd):
     assert repeated_spans(empty(spark)).count() == 0 and repeated_spans(odd.select("doc_id", "text")).count() >= 0
 
 
+def test_suffix_dedup_compares_beyond_neighbours(spark):
+    """Texts that hold the right part of a passage alone sort between two that hold all of it."""
+    from tidemark.llm.suffix_dedup import LEAST, joined_spans, minimisers, repeated_spans
+
+    rnd = random.Random(5)
+    word = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = word(LEAST)
+    while not 15 <= minimisers(" ".join(passage))[1][0] <= 25:
+        passage = word(LEAST)
+    right = passage[minimisers(" ".join(passage))[1][0] :]
+    rows = [(1, " ".join(word(30) + passage + word(30))), (3, " ".join(word(30) + passage + word(30)))]
+    rows += [(i, " ".join(word(5) + right + word(60))) for i in range(10, 70)]
+    got = joined_spans(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert [tuple(r) for r in got] == [(3, 30, 80, 50, [1])]
+
+
 def test_decontamination_sees_new_parameters(spark, odd):
     from tidemark.llm.decontaminate import contaminated, drop_contaminated
 

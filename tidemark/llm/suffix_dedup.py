@@ -1,19 +1,20 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes start at minimisers: in every ``LEAST - GRAM + 1`` consecutive word
-ten-grams the one of least hash is retained, so any passage of ``LEAST`` words
-or more that two texts share starts a retained suffix in both, at the same
-place of the passage. Suffixes of ten-grams that occur once are left out; the
-rest are sorted, neighbours compared, and matches extended right and left by
-words. A match of ``LEAST`` words or more is a repeat; in a run of neighbours
-that share it the occurrence of the smallest key is kept.
-
-Suffixes carry up to ``LEAST`` words after their start and the words before it
-that a match can need, as 32-bit word hashes. Longer passages hold several
-suffixes (one in 41 ten-grams at least), whose spans are joined.
-
-A ten-gram of many occurrences is sorted in parts of about ``PART`` rows; the
-kept rows of the parts are then sorted against each other.
+ten-grams the first one of least hash is retained, so each stretch of ``LEAST``
+words has one suffix, its own minimiser, and equal stretches have it at the same
+place. Suffixes of ten-grams that occur once are left out; the rest are grouped
+by their ten-gram.
+
+Two suffixes share ``LEAST`` words or more if for some split they agree in the
+words before and the words after. A suffix carries a hash of each split that is
+its own (one for every stretch whose minimiser it is, 41 at most), and all rows
+with an equal hash meet, whatever sorts between them. Of each stretch the
+occurrence of the smallest key is kept, all others are repeats; stretches that
+follow each other make up longer passages.
+
+A ten-gram of many occurrences is compared in parts of about ``PART`` rows; the
+stretches that each part keeps are then compared with those of the others.
 """
 
 from __future__ import annotations
@@ -30,18 +31,18 @@ from tidemark.llm.words import grams, word_hashes, word_spans
 
 GRAM, LEAST, PART = 10, 50, 4000
 _SPAN = LEAST - GRAM + 1
-_LEFT = _SPAN - 1  # words that can lie before the first suffix of a passage
 
 
-def minimisers(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a text, places of its retained suffixes and their ten-grams' hashes."""
+def minimisers(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a text, the minimiser of each stretch of ``LEAST`` words, places of retained suffixes and their ten-grams' hashes."""
     words = word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
     if len(words) < LEAST:
-        return words, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return words, *[np.zeros(0, np.int64)] * 3
     h = grams(words, GRAM)
     view = np.lib.stride_tricks.sliding_window_view(h, _SPAN)
-    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    return words, at, h[at].astype(np.int64)
+    own = view.argmin(axis=1) + np.arange(len(view))  # never falls, so a suffix's stretches lie side by side
+    at = np.unique(own)
+    return words, own, at, h[at].astype(np.int64)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
             for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if node not in seen:
                     seen.add(node)
-                    _, at, anchor = minimisers(t)
+                    _, _, at, anchor = minimisers(t)
                     parts.append(np.stack([anchor, np.full(len(at), node, np.int64), at]))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts, axis=1)], names=["anchor", "node", "pos"])
@@ -63,99 +64,84 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(rows: DataFrame) -> DataFrame:
-    """(anchor, part, k, node, pos, after, before) from (node, k, text, places: array of (pos, part))."""
+    """(anchor, part, k, node, begin, hashes) from (node, k, text, places: array of (pos, part)): hashes of the suffix's stretches, from begin on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for node, k, t, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = word_hashes((t or "").encode("utf-8", "surrogatepass"))[0]
-                anchor = grams(words, GRAM).astype(np.int64)
-                short = (words >> np.uint64(32)).astype(">u4")
+                words, own, at, anchor = minimisers(t)
+                hashes = grams(words, LEAST).astype("<u8")
+                first, last = np.searchsorted(own, at), np.searchsorted(own, at, "right")
+                where = {int(x): i for i, x in enumerate(at)}
                 for p in places:
-                    i = p["pos"]
-                    out.append((int(anchor[i]), p["part"], k, node, i, short[i : i + LEAST].tobytes(), short[max(0, i - _LEFT) : i][::-1].tobytes()))
+                    i = where[p["pos"]]
+                    out.append((int(anchor[i]), p["part"], k, node, int(first[i]), hashes[first[i] : last[i]].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["anchor", "part", "k", "node", "pos", "after", "before"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "part", "k", "node", "begin", "hashes"])
 
-    return rows.select("node", "k", "text", "places").mapInArrow(run, "anchor long, part int, k long, node long, pos long, after binary, before binary")
+    return rows.select("node", "k", "text", "places").mapInArrow(run, "anchor long, part int, k long, node long, begin long, hashes binary")
 
 
-def _shared(rows: list[bytes], width: int) -> np.ndarray:
-    """Words that each row shares with the next, from the start on."""
-    n = len(rows)
-    flat = np.zeros((n, width), "<u4")
-    size = np.array([len(r) // 4 for r in rows])
-    flat[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(rows), "<u4")
-    same = (flat[1:] == flat[:-1]) & (np.arange(width) < np.minimum(size[1:], size[:-1])[:, None])
-    return np.where(same.all(axis=1), width, (~same).argmax(axis=1)) if n > 1 else np.zeros(0, np.int64)
+def resolve(keys: list[tuple], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each stretch of each row: its row, its place in the row, a row of the text that keeps it, and whether that is another text.
 
-
-def resolve(keys: list[tuple], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int, int] | None]:
-    """For each row of one sorted group: (row it repeats, words left, words right), or None if it is kept.
-
-    ``left`` and ``right`` are what neighbours share. What a row shares with the
-    kept one is the least of what lies between, as in any suffix array. ``keys``
-    hold (key is null, key, node, place); rows of the kept row's own text stay.
+    ``keys`` hold (key is null, key, node); the least of those that share a
+    stretch keeps it, also where it comes again inside the same text.
     """
-    n, out = len(keys), [None] * len(keys)
-    todo, match = [], left + right >= LEAST
-    at = 0
-    while at < n:
-        end = at + 1
-        while end < n and match[end - 1]:
-            end += 1
-        if end - at > 1:
-            todo.append((at, end))
-        at = end
-    while todo:
-        a, z = todo.pop()
-        m = min(range(a, z), key=lambda i: keys[i])
-        for step, stop in ((1, z), (-1, a - 1)):
-            low, high = LEAST, LEAST
-            i = m + step
-            while i != stop:
-                e = i - 1 if step > 0 else i
-                low, high = min(low, int(left[e])), min(high, int(right[e]))
-                if low + high < LEAST:
-                    break
-                if keys[i][2] != keys[m][2]:  # inside one text nothing is a repeat
-                    out[i] = (m, low, high)
-                i += step
-            if i != stop:
-                rest = (i, z) if step > 0 else (a, i + 1)
-                if rest[1] - rest[0] > 1:
-                    todo.append(rest)
-    return out
+    size = np.array([len(h) for h in hashes])
+    flat = np.concatenate(hashes)
+    row = np.repeat(np.arange(len(keys)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    texts = {x: i for i, x in enumerate(sorted(set(keys)))}
+    rank = np.array([texts[x] for x in keys])
+    order = np.lexsort((rank[row], flat))
+    sorted_ = flat[order]
+    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+    least = row[order][new]
+    kept = np.empty(len(flat), np.int64)
+    kept[order] = least[np.cumsum(new) - 1]
+    one = np.empty(len(texts), np.int64)
+    one[rank] = np.arange(len(rank))  # one row for each text
+    kept = one[rank[kept]]
+    return row, place, kept, rank[row] != rank[kept]
 
 
 def _compare(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """Sort suffixes within each group of ``by`` and compare neighbours.
+    """Compare the suffixes within each group of ``by``.
 
-    Rows come out once: a repeat with to_k, to_node, lo, hi; a kept row with
-    these null and its contexts, for a later comparison.
+    Rows are repeats, with to_k, to_node and the words from begin to end; and
+    the kept stretches, for a later comparison, with these null and their hash.
     """
-    schema = "anchor long, k long, node long, pos long, to_k long, to_node long, lo long, hi long, after binary, before binary"
-    arrow = pa.schema([*((c.split()[0], pa.int64()) for c in schema.split(", ")[:8]), ("after", pa.binary()), ("before", pa.binary())])
+    schema = "anchor long, k long, node long, begin long, end long, to_k long, to_node long, hash long"
+    arrow = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = suffixes.repartition(parts, *by).sortWithinPartitions(*by, "after", "k", "node", "pos")
-    n_by = len(by)
+    rows = suffixes.repartition(parts, *by).sortWithinPartitions(*by)
+    n_by, later = len(by), "hot" in suffixes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush(rows):
-            group = [r[:n_by] for r in rows]
-            after, before = [r[-2] for r in rows], [r[-1] for r in rows]
-            right, left = _shared(after, LEAST), _shared(before, _LEFT)
-            same = np.array([x == y for x, y in zip(group[1:], group[:-1], strict=True)], bool)
-            right, left = np.where(same, right, 0), np.where(same, left, 0)
-            got = resolve([(r[n_by] is None, r[n_by], r[n_by + 1], r[n_by + 2]) for r in rows], left, right)
-            out = []
-            for r, g in zip(rows, got, strict=True):
-                own = (r[0], r[n_by], r[n_by + 1], r[n_by + 2])
-                out.append((*own, None, None, None, None, r[-2], r[-1]) if g is None else (*own, rows[g[0]][n_by], rows[g[0]][n_by + 1], g[1], g[2], None, None))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+            k, node, begin = ([r[n_by + i] for r in rows] for i in range(3))
+            keys = [(x is None, -1 if x is None else x, y) for x, y in zip(k, node, strict=True)]
+            hashes = [np.frombuffer(r[n_by + 3], "<u8") for r in rows]
+            row, place, kept, repeat = resolve(keys, hashes)
+            texts = np.array(node)
+            null = np.array([x[0] for x in keys])
+            number = np.array([x[1] for x in keys])
+            start = np.array(begin)[row] + place
+            anchor = np.array([r[0] for r in rows])
+            where = lambda i: [pa.array(number[i], pa.int64(), mask=null[i]), pa.array(texts[i], pa.int64())]
+            put = lambda at, end, to, hashed: pa.RecordBatch.from_arrays([pa.array(anchor[row[at]], pa.int64()), *where(row[at]), pa.array(start[at], pa.int64()), pa.array(start[end] + LEAST, pa.int64()), *to, hashed], schema=arrow)
+            at = np.flatnonzero(repeat)
+            if len(at):  # stretches side by side with the same keeper are one span
+                edge = np.flatnonzero((np.diff(row[at]) != 0) | (np.diff(kept[at]) != 0) | (np.diff(start[at]) != 1))
+                first, last = at[np.concatenate(([0], edge + 1))], at[np.concatenate((edge, [len(at) - 1]))]
+                yield put(first, last, where(kept[first]), pa.nulls(len(first), pa.int64()))
+            at = np.flatnonzero(~repeat & np.array([r[-1] for r in rows], bool)[row]) if later else at[:0]
+            if len(at):
+                yield put(at, at, [pa.nulls(len(at), pa.int64())] * 2, pa.array(np.concatenate(hashes)[at].view("<i8"), pa.int64()))
 
         for b in batches:
             new = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -167,18 +153,18 @@ def _compare(suffixes: DataFrame, by: list[str]) -> DataFrame:
             while cut and held[cut - 1][:n_by] == last:
                 cut -= 1
             if cut:
-                yield flush(held[:cut])
+                yield from flush(held[:cut])
                 held = held[cut:]
         if held:
-            yield flush(held)
+            yield from flush(held)
 
-    return rows.select(*by, "k", "node", "pos", "after", "before").mapInArrow(run, schema)
+    return rows.select(*by, "k", "node", "begin", "hashes", *(["hot"] if later else [])).mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeats of passages of ``LEAST`` words or more: key, begin, end (word numbers), kept_id; one row for each suffix's span.
 
-    kept_id is the smallest key among the occurrences in the run; that occurrence
+    kept_id is the smallest key among all occurrences of a stretch of ``LEAST`` words; that occurrence
     gives no row, nor does a passage that comes again inside its own text. Equal texts of ``LEAST`` words or more repeat whole; rows that
     repeat key and text are one document. Null and short texts give no row.
     Words are as in ``words``: split at ASCII white space, A-Z in lower case.
@@ -188,18 +174,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     anchors = stage(_anchors(rows), "suffix-anchors")
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
     counts = stage(counts.withColumn("parts", (F.col("c") / PART + 1).cast("int")), "suffix-counts")
-    places = anchors.join(counts, "anchor").select("node", F.struct(F.col("pos"), F.pmod(F.xxhash64("node", "pos"), F.col("parts")).cast("int").alias("part")).alias("place"))
+    places = anchors.join(counts, "anchor").select("node", F.struct(F.col("pos"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "pos"), F.col("parts"))).otherwise(-1).cast("int").alias("part")).alias("place"))
     places = places.groupBy("node").agg(F.collect_set("place").alias("places"))  # bounded by one text's length
     first = rows.groupBy("node").agg(F.min("k").alias("fk"), F.count("*").alias("copies"))
     places = places.join(first, "node").select(F.col("node").alias("pn"), "fk", "places")
     own = rows.join(places, (rows.node == F.col("pn")) & rows.k.eqNullSafe(F.col("fk"))).drop("pn", "fk")
-    got = stage(_compare(_suffixes(own), ["anchor", "part"]), "suffix-repeats")
+    got = stage(_compare(_suffixes(own).withColumn("hot", F.col("part") >= 0).withColumn("part", F.abs("part")), ["anchor", "part"]), "suffix-repeats")
     drop_staged(anchors)
-    # kept rows of ten-grams that were sorted in parts, against each other
-    again = got.where("to_node is null").join(counts.where("parts > 1").select("anchor"), "anchor").select("anchor", "k", "node", "pos", "after", "before")
+    # what parts of one ten-gram keep, against each other
+    again = got.where("to_node is null").select("anchor", "k", "node", "begin", F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("hashes"))
     more = stage(_compare(again, ["anchor"]), "suffix-again")
     spans = got.unionByName(more).where("to_node is not null")
-    spans = spans.select(F.col("k").alias(key), (F.col("pos") - F.col("lo")).alias("begin"), (F.col("pos") + F.col("hi")).alias("end"), F.col("to_k").alias("kept_id"))
+    spans = spans.select(F.col("k").alias(key), "begin", "end", F.col("to_k").alias("kept_id"))
     copies = rows.join(first.where("copies > 1").select(F.col("node").alias("cn"), "fk"), rows.node == F.col("cn")).where(~rows.k.eqNullSafe(F.col("fk")))
     return spans.unionByName(copies.select("k", "text", F.col("fk").alias("kept_id")).transform(_whole, key))
 

@@ -327,6 +327,21 @@ def test_suffix_dedup_compares_beyond_neighbours(spark):
     assert [tuple(r) for r in got] == [(3, 30, 80, 50, [1])]
 
 
+def test_suffix_dedup_is_the_same_in_parts(spark, monkeypatch):
+    """A frequent line between contexts that others share on one side: parts give what one group gives."""
+    from tidemark.llm import suffix_dedup
+
+    rnd = random.Random(6)
+    word = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line, left, right = word(20), [word(35) for _ in range(7)], [word(35) for _ in range(7)]
+    rows = [(7 * i + j if i + j else None, " ".join(left[i] + line + right[j])) for i in range(7) for j in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(map(str, suffix_dedup.joined_spans(suffix_dedup.repeated_spans(df)).collect()))
+    whole = found()
+    monkeypatch.setattr(suffix_dedup, "PART", 3)
+    assert found() == whole and len(whole) >= 42
+
+
 def test_decontamination_sees_new_parameters(spark, odd):
     from tidemark.llm.decontaminate import contaminated, drop_contaminated
 

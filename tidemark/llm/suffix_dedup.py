@@ -13,8 +13,9 @@ with an equal hash meet, whatever sorts between them. Of each stretch the
 occurrence of the smallest key is kept, all others are repeats; stretches that
 follow each other make up longer passages.
 
-A ten-gram of many occurrences is compared in parts of about ``PART`` rows; the
-stretches that each part keeps are then compared with those of the others.
+Stretches of a ten-gram with more than about ``PART`` occurrences are grouped by
+their own hash instead, first in parts of about ``PART`` rows and then across
+parts. That gives the same repeats, and no group grows with the ten-gram.
 """
 
 from __future__ import annotations
@@ -107,25 +108,24 @@ def resolve(keys: list[tuple], hashes: list[np.ndarray]) -> tuple[np.ndarray, np
     return row, place, kept, rank[row] != rank[kept]
 
 
-def _compare(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """Compare the suffixes within each group of ``by``.
+def _compare(suffixes: DataFrame) -> DataFrame:
+    """Compare the suffixes of each ten-gram.
 
-    Rows are repeats, with to_k, to_node and the words from begin to end; and
-    the kept stretches, for a later comparison, with these null and their hash.
+    Rows are repeats, with to_k, to_node and the words from begin to end; where
+    ``hot`` they are all stretches, for a later comparison, with these null and their hash.
     """
-    schema = "anchor long, k long, node long, begin long, end long, to_k long, to_node long, hash long"
+    schema = "anchor long, k long, node long, begin long, end long, to_k long, to_node long, part long, hash long"
     arrow = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = suffixes.repartition(parts, *by).sortWithinPartitions(*by)
-    n_by, later = len(by), "hot" in suffixes.columns
+    rows = suffixes.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush(rows):
-            k, node, begin = ([r[n_by + i] for r in rows] for i in range(3))
+            k, node, begin = ([r[i] for r in rows] for i in (2, 3, 4))
             keys = [(x is None, -1 if x is None else x, y) for x, y in zip(k, node, strict=True)]
-            hashes = [np.frombuffer(r[n_by + 3], "<u8") for r in rows]
+            hashes = [np.frombuffer(r[5], "<u8") for r in rows]
             row, place, kept, repeat = resolve(keys, hashes)
             texts = np.array(node)
             null = np.array([x[0] for x in keys])
@@ -133,24 +133,25 @@ def _compare(suffixes: DataFrame, by: list[str]) -> DataFrame:
             start = np.array(begin)[row] + place
             anchor = np.array([r[0] for r in rows])
             where = lambda i: [pa.array(number[i], pa.int64(), mask=null[i]), pa.array(texts[i], pa.int64())]
-            put = lambda at, end, to, hashed: pa.RecordBatch.from_arrays([pa.array(anchor[row[at]], pa.int64()), *where(row[at]), pa.array(start[at], pa.int64()), pa.array(start[end] + LEAST, pa.int64()), *to, hashed], schema=arrow)
-            at = np.flatnonzero(repeat)
+            put = lambda at, end, to, more: pa.RecordBatch.from_arrays([pa.array(anchor[row[at]], pa.int64()), *where(row[at]), pa.array(start[at], pa.int64()), pa.array(start[end] + LEAST, pa.int64()), *to, *more], schema=arrow)
+            hot = np.array([r[6] for r in rows], bool)[row]
+            at = np.flatnonzero(repeat & ~hot)
             if len(at):  # stretches side by side with the same keeper are one span
                 edge = np.flatnonzero((np.diff(row[at]) != 0) | (np.diff(kept[at]) != 0) | (np.diff(start[at]) != 1))
                 first, last = at[np.concatenate(([0], edge + 1))], at[np.concatenate((edge, [len(at) - 1]))]
-                yield put(first, last, where(kept[first]), pa.nulls(len(first), pa.int64()))
-            at = np.flatnonzero(~repeat & np.array([r[-1] for r in rows], bool)[row]) if later else at[:0]
+                yield put(first, last, where(kept[first]), [pa.nulls(len(first), pa.int64())] * 2)
+            at = np.flatnonzero(hot)
             if len(at):
-                yield put(at, at, [pa.nulls(len(at), pa.int64())] * 2, pa.array(np.concatenate(hashes)[at].view("<i8"), pa.int64()))
+                yield put(at, at, [pa.nulls(len(at), pa.int64())] * 2, [pa.array(np.array([r[1] for r in rows])[row[at]], pa.int64()), pa.array(np.concatenate(hashes)[at].view("<i8"), pa.int64())])
 
         for b in batches:
             new = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
             if not new:
                 continue
             held += new
-            last = held[-1][:n_by]
+            last = held[-1][:2]
             cut = len(held)
-            while cut and held[cut - 1][:n_by] == last:
+            while cut and held[cut - 1][:2] == last:
                 cut -= 1
             if cut:
                 yield from flush(held[:cut])
@@ -158,7 +159,31 @@ def _compare(suffixes: DataFrame, by: list[str]) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return rows.select(*by, "k", "node", "begin", "hashes", *(["hot"] if later else [])).mapInArrow(run, schema)
+    return rows.select("anchor", "part", "k", "node", "begin", "hashes", "hot").mapInArrow(run, schema)
+
+
+def _kept_elsewhere(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """Spans of ``rows``, single stretches, that other texts keep by ``best``; both in parts of a ten-gram of bounded size."""
+    schema = "k long, node long, begin long, end long, to_k long, to_node long"
+    arrow = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        right = right.sort_by("hash")
+        node, begin, h, to, best = (t[c].to_numpy() for t, c in ((left, "node"), (left, "begin"), (left, "hash"), (right, "to_node"), (right, "hash")))
+        m = np.minimum(np.searchsorted(best, h), len(best) - 1)
+        at = np.flatnonzero((best[m] == h) & (to[m] != node))
+        at = at[np.lexsort((begin[at], node[at]))]
+        if not len(at):
+            return arrow.empty_table()
+        edge = np.flatnonzero((np.diff(node[at]) != 0) | (np.diff(to[m[at]]) != 0) | (np.diff(begin[at]) != 1))
+        first, last = at[np.concatenate(([0], edge + 1))], at[np.concatenate((edge, [len(at) - 1]))]
+        own, other = left.take(first), right.take(m[first])
+        return pa.table([own["k"], own["node"], own["begin"], pa.array(begin[last] + LEAST), other["to_k"], other["to_node"]], schema=arrow)
+
+    by = ["anchor", "part"]
+    return rows.select(*by, "k", "node", "begin", "hash").groupBy(*by).cogroup(best.groupBy(*by)).applyInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,12 +204,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = rows.groupBy("node").agg(F.min("k").alias("fk"), F.count("*").alias("copies"))
     places = places.join(first, "node").select(F.col("node").alias("pn"), "fk", "places")
     own = rows.join(places, (rows.node == F.col("pn")) & rows.k.eqNullSafe(F.col("fk"))).drop("pn", "fk")
-    got = stage(_compare(_suffixes(own).withColumn("hot", F.col("part") >= 0).withColumn("part", F.abs("part")), ["anchor", "part"]), "suffix-repeats")
+    got = stage(_compare(_suffixes(own).withColumn("hot", F.col("part") >= 0)), "suffix-repeats")
     drop_staged(anchors)
-    # what parts of one ten-gram keep, against each other
-    again = got.where("to_node is null").select("anchor", "k", "node", "begin", F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("hashes"))
-    more = stage(_compare(again, ["anchor"]), "suffix-again")
-    spans = got.unionByName(more).where("to_node is not null")
+    # stretches of ten-grams in parts: the least key of a part, then of all parts, then back to the part's rows, so that no join key has many more than PART rows
+    hot = got.where("to_node is null")
+    of_part = hot.groupBy("anchor", "part", "hash").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "node")).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    of_part = stage(of_part, "suffix-parts")
+    of_all = of_part.groupBy("anchor", "hash").agg(F.min("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = of_part.select("anchor", "part", "hash").join(of_all.where("lo < hi").select("anchor", "hash", "m"), ["anchor", "hash"])
+    best = best.select("anchor", "part", "hash", F.col("m.k").alias("to_k"), F.col("m.node").alias("to_node"))
+    more = stage(_kept_elsewhere(hot, best), "suffix-again")
+    spans = got.where("to_node is not null").select(more.columns).unionByName(more)
     spans = spans.select(F.col("k").alias(key), "begin", "end", F.col("to_k").alias("kept_id"))
     copies = rows.join(first.where("copies > 1").select(F.col("node").alias("cn"), "fk"), rows.node == F.col("cn")).where(~rows.k.eqNullSafe(F.col("fk")))
     return spans.unionByName(copies.select("k", "text", F.col("fk").alias("kept_id")).transform(_whole, key))

@@ -356,6 +356,19 @@ def test_decontamination_sees_new_parameters(spark, odd):
     assert drop_contaminated(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_sees_names_anywhere_and_short_items(spark):
+    """Names that open a sentence or line or follow a name; items that are short or almost all numbers."""
+    from tidemark.llm.decontaminate import contaminated
+
+    question = "{0} has 3 apples and gives them away today.\n{0} then buys 2 pears. {1} {2} eats one of them. How many are left to {0} now?"
+    items = [(1, question.format("Tom", "Anna", "Maria")), (2, "What is seven times nine?"), (3, "1 2 3 4 5 6 7 8 9 10 11 12 plus one"), (4, "Yes"), (5, " ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    new = question.format("Robert", "Clara", "Sofia").replace("3", "5")
+    docs = [(1, "Before it. " + new), (2, "so what is seven times nine? Who knows"), (3, "0 " + items[2][1] + " more"), (4, "yes"), (5, "He said yes to all of it"), (6, "what is seven times eight?"), (7, "2 2 3 4 5 6 7 8 9 10 11 12 plus one"), (8, new.lower().replace("robert", "Tom")), (9, None), (10, "")]
+    got = sorted((r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert [x for x in got if x[0] != 8] == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_pipeline_stages_on_awkward_and_real_rows(spark):
     import corpus_pipeline
 

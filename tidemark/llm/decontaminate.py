@@ -1,11 +1,16 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations alone.
 
 Numbers, names and units become typed placeholders, so a question with other
-numbers or names has the same template. Windows of ``WINDOW`` template words are
-hash-joined with those of the benchmark. Where a document holds ``COVER`` of an
+numbers or names has the same template. A capital after a lower-case word is a
+name; one that opens a text, sentence or line, or follows another capital, may be
+a name or a plain word, so every text has two templates, one for each reading.
+Windows of ``WINDOW`` template words are hash-joined with those of the benchmark. Where a document holds ``COVER`` of an
 item's windows, the slots decide: along one alignment each value of the item has
 to stand against one value in the document, as it does when a question was
 re-parameterised and doesn't when unlike sentences share a template.
+
+Items without a window that can be told from chance, as they are short or almost
+all placeholders, are searched word for word instead.
 """
 
 from __future__ import annotations
@@ -31,12 +36,13 @@ _STEPS = (
     (r"(\p{Nd})[.,](\p{Nd})", "$1$2"),  # 1,000 and 2.5 are one number each
     (r"(\p{Nd}+)", "§n$1"),
     (r"(§n\p{Nd}+) ?(" + "|".join(UNITS) + r")([^\p{L}\p{N}]|$)", "$1 §u$2$3"),
-    (r"([\p{Ll},;] )(\p{Lu}\p{L}+)", "$1§a$2"),  # capitals inside a sentence
+    (r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)", "§a$1"),  # capitals inside a sentence
+    (r"(?<![\p{L}\p{N}§])(\p{Lu}\p{L}+)", "§s$1"),  # other capitals: name or plain word
 )
 
 
 def tagged(text: Column) -> Column:
-    """Lower-case words with one blank between; slot words begin with § and a letter for their type."""
+    """Lower-case words with one blank between; slot words begin with § and a letter for their type, words that may be a name with §s."""
     for pattern, to in _STEPS:
         text = F.regexp_replace(text, pattern, to)
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}§%]+", " "))
@@ -53,10 +59,33 @@ def windows(rows: DataFrame, text: str) -> DataFrame:
     Texts of fewer than ``WINDOW`` words, null ones too, have none.
     """
     rows = rows.withColumn("tagged__", tagged(F.col(text).cast("string"))).drop(text)
+    readings = F.array(F.regexp_replace("tagged__", "§s", ""), F.regexp_replace("tagged__", "§s", "§a"))
+    rows = rows.select(*[c for c in rows.columns if c != "tagged__"], F.posexplode(readings).alias("kind__", "tagged__"))
     rows = rows.withColumn("words__", F.split(template(F.col("tagged__")), " "))
     n = F.size("words__")
     rows = rows.select("*", F.explode(F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1)))).alias("at__"))
-    return rows.withColumn("hash__", F.xxhash64(F.slice("words__", F.col("at__"), F.lit(WINDOW))))
+    return rows.withColumn("hash__", F.xxhash64("kind__", F.slice("words__", F.col("at__"), F.lit(WINDOW))))
+
+
+def _plain_words(text: str) -> Column:
+    return F.split(F.regexp_replace(tagged(F.col(text).cast("string")), "§[nuas]", ""), " ")
+
+
+def _word_for_word(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """(key__, item__, n_matched, n_windows, n_slots) of texts that hold all words of an item in a row.
+
+    An item of fewer than ``PLAIN`` words has to be the whole text.
+    """
+    items = items.select("item__", "item_words__", "n_slots", F.size("item_words__").alias("item_n__"), F.least(F.size("item_words__"), F.lit(WINDOW)).alias("probe__"))
+    items = items.withColumn("item_hash__", F.xxhash64(F.slice("item_words__", F.lit(1), F.col("probe__"))))
+    lengths = [r[0] for r in items.select("probe__").distinct().collect()]  # WINDOW at most
+    rows = docs.select("key__", _plain_words(text).alias("words__")).withColumn("n__", F.size("words__"))
+    rows = rows.withColumn("probe_n__", F.explode(F.array(*map(F.lit, lengths))))
+    rows = rows.select("*", F.explode(F.when(F.col("n__") >= F.col("probe_n__"), F.sequence(F.lit(1), F.when(F.col("probe_n__") < PLAIN, F.lit(1)).otherwise(F.col("n__") - F.col("probe_n__") + 1)))).alias("at__"))
+    rows = rows.withColumn("hash__", F.xxhash64(F.slice("words__", F.col("at__"), F.col("probe_n__"))))
+    met = rows.join(items, (F.col("hash__") == F.col("item_hash__")) & (F.col("probe_n__") == F.col("probe__")))
+    met = met.where((F.slice("words__", F.col("at__"), F.col("item_n__")) == F.col("item_words__")) & ((F.col("item_n__") >= PLAIN) | (F.col("item_n__") == F.col("n__"))))
+    return met.groupBy("key__", "item__").agg(F.lit(1).alias("n_matched"), F.max("n_slots").alias("n_slots"), F.lit(1).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -64,28 +93,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     n_matched counts the item's windows found along alignments whose slots are
     consistent; at least ``COVER`` of n_windows are. n_slots counts the item's
-    slot values met. Items of fewer than ``WINDOW`` words can't be told from
-    chance and match nothing, nor do null texts; rows that repeat a key with other texts
+    slot values met. An item without a window of ``PLAIN`` plain words matches
+    texts that hold all its words in a row and has n_windows 1; if it has fewer
+    than ``PLAIN`` words it has to be the whole text. Null and blank texts match nothing; rows that repeat a key with other texts
     are looked at apart and give one pair. Other columns are not read.
     """
     prepare(docs.sparkSession)
-    own = windows(benchmark.select(F.col(item).alias("item__"), F.col(text)), text)
+    items = benchmark.select(F.col(item).alias("item__"), F.xxhash64(text).alias("item_text__"), F.col(text))
+    own = windows(items, text)
     own = own.where(F.size(F.filter(F.slice("words__", F.col("at__"), F.lit(WINDOW)), lambda w: ~w.startswith("§"))) >= PLAIN)
-    own = own.select("item__", F.col("hash__").alias("item_hash__"), F.col("at__").alias("item_at__"), F.slice(F.split("tagged__", " "), F.col("at__"), F.lit(WINDOW)).alias("item_words__"))
+    own = own.select("item__", "item_text__", F.col("hash__").alias("item_hash__"), F.col("at__").alias("item_at__"), F.col("kind__").alias("item_kind__"), F.slice(F.split("tagged__", " "), F.col("at__"), F.lit(WINDOW)).alias("item_words__"))
+    rest = items.join(own.select("item_text__").distinct(), "item_text__", "left_anti").where(F.length(tagged(F.col(text).cast("string"))) > 0)
+    slots = F.size(F.array_distinct(F.filter(F.split(tagged(F.col(text).cast("string")), " "), lambda w: w.rlike("^§[nua]"))))
+    rest = rest.select("item__", _plain_words(text).alias("item_words__"), slots.alias("n_slots"))
     total = own.groupBy("item__").agg(F.countDistinct("item_at__").alias("n_windows"))
+    own = own.drop("item_text__")
     if own.count() <= BROADCAST_WINDOWS:
         own, total = F.broadcast(own), F.broadcast(total)
     rows = docs.select(F.col(key).alias("key__"), F.xxhash64(text).alias("text__"), F.col(text))
     met = windows(rows, text).join(own, F.col("hash__") == F.col("item_hash__"))
     there = F.slice(F.split("tagged__", " "), F.col("at__"), F.lit(WINDOW))
     pairs = F.filter(F.arrays_zip(F.col("item_words__").alias("a"), there.alias("b")), lambda x: x["a"].startswith("§"))
-    met = met.select("key__", "text__", "item__", (F.col("at__") - F.col("item_at__")).alias("shift__"), "item_at__", pairs.alias("pairs__"))
+    met = met.select("key__", "text__", "item__", "kind__", (F.col("at__") - F.col("item_at__")).alias("shift__"), "item_at__", pairs.alias("pairs__"))
     # the sets are bounded by an item's length: one alignment meets each of its places once
-    lines = met.groupBy("key__", "text__", "item__", "shift__").agg(F.collect_set("item_at__").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs__"))).alias("pairs"))
+    lines = met.groupBy("key__", "text__", "item__", "kind__", "shift__").agg(F.collect_set("item_at__").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs__"))).alias("pairs"))
     slots = F.array_distinct(F.transform("pairs", lambda x: x["a"]))
     lines = lines.where(F.size(slots) == F.size("pairs")).select("key__", "item__", "text__", "at", slots.alias("slots"))
     texts = lines.groupBy("key__", "text__", "item__").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("s"))
     both = texts.groupBy("key__", "item__").agg(F.max("n").alias("n_matched"), F.max("s").alias("n_slots")).join(total, "item__").where(F.col("n_matched") >= COVER * F.col("n_windows"))
+    if (n := rest.count()):
+        found = _word_for_word(rows, F.broadcast(rest) if n <= BROADCAST_WINDOWS else rest, text)
+        both = both.unionByName(found).groupBy("key__", "item__").agg(*[F.max_by(c, F.struct("n_windows", "n_matched")).alias(c) for c in ("n_matched", "n_windows", "n_slots")])
     return both.select(F.col("key__").alias(key), F.col("item__").alias(item), F.col("n_matched").cast("long"), F.col("n_windows").cast("long"), F.col("n_slots").cast("long"))
 
 

@@ -275,6 +275,27 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_resharding_writes_whole_rows_by_place(spark, odd, tmp_path):
+    """Null and repeated keys: each row once in the written shards; the smallest rows of a class move."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import stage
+    from tidemark.llm.resharding import reshard, reshard_and_rewrite, rewrite_shards
+
+    docs = odd.union(odd).union(spark.createDataFrame([(None, "x" * i, None, i) for i in range(20)], odd.schema))
+    back = rewrite_shards(stage(reshard(docs, F.lit(0), 3, whole=True), "test"), str(tmp_path / "shards"))
+    assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, docs.collect()))
+    places = collections.Counter((r.shard, r.slot) for r in back.collect())
+    assert len(places) == docs.count() and {s for s, _ in places} == {0, 1, 2}
+    cols = ["doc_id", "size", "text_crc32"]
+    assert sorted(map(str, reshard_and_rewrite(docs, F.lit(0), 3).select(cols).collect())) == sorted(map(str, reshard(docs, F.lit(0), 3).select(cols).collect()))
+    still = reshard_and_rewrite(docs.limit(3), F.lit(0), 1).collect()  # nothing moves, nothing is written
+    assert len(still) == 3 and {r.shard for r in still} == {0}
+    one = spark.createDataFrame([(i, "x" * (1024 + i)) for i in range(1000)], "doc_id long, text string")
+    moved = [r.size for r in reshard(one, F.lit(0), 2).collect() if r.shard]
+    assert len(moved) == 500 and max(moved) <= 1024 + 8 + 500 + 32
+
+
 def test_suffix_dedup_leaves_no_repeated_passage(spark, odd):
     from tidemark.llm.suffix_dedup import LEAST, cut_repeats, joined_spans, repeated_spans
 

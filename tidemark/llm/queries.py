@@ -51,11 +51,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents lie in shards by source, a hot one with a third of the rows; they go to 24 shards of equal rows."""
-    from tidemark.llm.resharding import reshard
+    """Documents lie in shards by source, a hot one with a third of the rows; they go to 24 shards of equal rows, written and read back."""
+    from tidemark.llm.resharding import reshard_and_rewrite
 
     old = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")), F.lit(24))
-    placed = reshard(table(spark, sf_dir, "documents"), old, 24)
+    placed = reshard_and_rewrite(table(spark, sf_dir, "documents"), old, 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -10,15 +10,18 @@ by one row at most, so the optimum keeps what it can and moves small rows.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_length, prepare, stage
+from tidemark.llm.common import byte_length, drop_staged, prepare, shared_folder, stage
 
 #: Rows of one numbering bucket on average.
 BUCKET_ROWS = 20_000
+#: Ranges of size inside a class.
+STEPS = 32
 
 
 class Network:
@@ -118,30 +121,35 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(size.cast("double"))).cast("int")
 
 
-def numbered(rows: DataFrame, block: list[str], order: list[str], n_buckets: int) -> DataFrame:
-    """Number rows from 0 inside each block without sorting a block in one task.
+def numbered(rows: DataFrame, block: list[str], order: list[str], n_buckets: int, size: str) -> DataFrame:
+    """Number rows from 0 inside each block, a size class, without sorting a block in one task.
 
-    Rows are dealt to buckets by a hash; counts of (block, bucket) give each
-    bucket's first number, and only buckets are sorted.
+    Rows are dealt to ``STEPS`` ranges of size and, inside these, to buckets by a
+    hash; counts of (block, range, bucket) give each bucket's first number, and
+    only buckets are sorted, by size. Sizes rise but for those of one range.
     """
+    low = F.pow(F.lit(2.0), size_class(F.col(size)))
+    rows = rows.withColumn("range", F.floor((F.col(size) / low - 1) * STEPS).cast("int"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
-    keys = [*block, "bucket"]
-    before = Window.partitionBy(*block).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*block, "range", "bucket"]
+    before = Window.partitionBy(*block).orderBy("range", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return rows.withColumn("inside", inside).join(first, keys).withColumn("rank", F.col("first") + F.col("inside")).drop("inside", "first", "bucket")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(size, *order)) - 1
+    return rows.withColumn("inside", inside).join(first, keys).withColumn("rank", F.col("first") + F.col("inside")).drop("inside", "first", "range", "bucket")
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Place every row in a shard under the ``rows`` law: shard row counts differ by one at most.
 
     Columns: key, size (UTF-8 bytes and 8; a null text has none), text_crc32,
     old_shard, shard, slot (from 0 without gaps in each shard). Equal rows are
     told apart by nothing but their number, which is enough; null keys and texts
-    are placed like others; an empty table gives no row.
+    are placed like others; an empty table gives no row. Rows of a block are
+    numbered by size, small ones first, as the first ones move. ``whole`` adds
+    the struct ``row`` of all columns of ``docs``, for ``rewrite_shards``.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(key), (byte_length(text) + 8).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"))
+    rows = docs.select(F.col(key), (byte_length(text) + 8).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []))
     rows = stage(rows.withColumn("kind", size_class(F.col("size"))), "reshard-rows")
     blocks = [tuple(r) for r in rows.groupBy("old_shard", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy("old_shard", "kind").collect()]  # shards x 64 classes at most
     transfers = plan_transfers(blocks, shards)
@@ -152,16 +160,33 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, key: str = "do
     spark = docs.sparkSession
     plan = spark.createDataFrame(moves, "old_shard int, kind int, shard int, lo long, hi long, base long")
     n_buckets = max(8, sum(b[2] for b in blocks) // BUCKET_ROWS)
-    ranked = numbered(rows, ["old_shard", "kind"], [key, "text_crc32", "size"], n_buckets)
+    ranked = numbered(rows, ["old_shard", "kind"], [key, "text_crc32", "size"], n_buckets, "size")
     # the plan has shards x classes + shards rows at most, whatever the input
     out = ranked.join(F.broadcast(plan), ["old_shard", "kind"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return out.select(key, "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
+    return out.select(key, "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), *(["row"] if whole else []))
 
 
-def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """Write the shards that gain or lose rows, with whole rows, as ``shard=N`` folders; needs unique keys. Returns what was written."""
+def rewrite_shards(placed: DataFrame, path: str) -> DataFrame:
+    """Write the shards that gain or lose rows, with whole rows, as ``shard=N`` folders; returns what was written.
+
+    ``placed`` comes from ``reshard(..., whole=True)``, stored once: rows travel
+    with their places, so keys may be null or repeat. Columns: row, old_shard, slot, shard.
+    """
     moved = placed.where("shard <> old_shard")
     touched = moved.select("shard").union(moved.select(F.col("old_shard"))).distinct()  # as many rows as shards at most
-    rows = placed.join(F.broadcast(touched), "shard").select(key, "shard", "slot").join(docs, key)
+    rows = placed.join(F.broadcast(touched), "shard").select("row", "old_shard", "slot", "shard")
     rows.repartition("shard", F.floor(F.col("slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return placed.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def reshard_and_rewrite(docs: DataFrame, old_shard: Column, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``reshard``, with the touched shards written and their rows read back from them; shards that keep all rows stay as they are."""
+    found = reshard(docs, old_shard, shards, key, text, whole=True)
+    placed = stage(found, "reshard-placed")
+    drop_staged(found)
+    written = rewrite_shards(placed, f"{shared_folder(docs.sparkSession).rstrip('/')}/tidemark/shards-{uuid.uuid4().hex}")
+    text_of, key_of = F.col("row")[text], F.col("row")[key]
+    size = F.coalesce(F.octet_length(text_of), F.lit(0)).cast("long") + 8
+    back = written.select(key_of.alias(key), size.alias("size"), F.crc32(F.coalesce(text_of, F.lit("")).cast("binary")).alias("text_crc32"), "old_shard", "shard", "slot")
+    still = placed.join(F.broadcast(written.select("shard").distinct()), "shard", "left_anti")
+    return back.unionByName(still.select(*back.columns))

@@ -208,3 +208,15 @@ def test_pareto_front(spark):
     rows = [(1, 5.0, 1), (2, 4.0, 2), (3, 3.0, 1), (4, 4.0, 2), (5, 1.0, 9)]
     df = spark.createDataFrame(rows, "id long, sharpe double, trades long")
     assert sorted(r.id for r in grid.pareto(df, "trades", "sharpe").collect()) == [1, 2, 4, 5]
+
+
+def test_issues_and_trades_of_all_symbols(spark, monkeypatch):
+    from tidemark.plans import q_bars, q_overfit
+
+    made = spark.range(600).select(F.format_string("s%04d", "id").alias("symbol"), F.lit(1.0).alias("high"), F.lit(2.0).alias("open"), F.lit(1.0).alias("close"), F.lit(0.0).alias("volume"))
+    monkeypatch.setattr(q_bars, "broken", lambda spark, sf: made)
+    got = q_bars.issues_sorted(spark, "").collect()
+    want = [(s, f"s{i:04d}") for s in ("error", "warning") for i in range(600)]
+    assert [(r.severity, r.symbol) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 1201))
+    trades = q_overfit.trade_bootstrap(spark, "/root/testdata/sf0.001").collect()
+    assert len({r.symbol for r in trades}) == len(trades) == 5

@@ -196,20 +196,21 @@ def permute_bars(bars: DataFrame, seed: int) -> DataFrame:
     return x.select("symbol", "ts", "open", F.greatest(F.col("h") * F.col("close"), "open", "close").alias("high"), F.least(F.col("l") * F.col("close"), "open", "close").alias("low"), "close", "volume")
 
 
-def _paths(rows: DataFrame) -> DataFrame:
-    """Per sim: terminal growth and largest drawdown of returns in order of i."""
-    w = Window.partitionBy("sim").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+def _paths(rows: DataFrame, *by: str) -> DataFrame:
+    """Per sim, and ``by``: terminal growth and largest drawdown of returns in order of i."""
+    w = Window.partitionBy(*by, "sim").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("e", F.exp(F.sum(F.log1p("ret")).over(w)))
     rows = rows.withColumn("dd", 1 - F.col("e") / F.greatest(F.lit(1.0), F.max("e").over(w)))
-    return rows.groupBy("sim").agg(F.max_by("e", "i").alias("terminal"), F.max("dd").alias("max_dd"), sharpe().alias("sharpe"))
+    return rows.groupBy(*by, "sim").agg(F.max_by("e", "i").alias("terminal"), F.max("dd").alias("max_dd"), sharpe().alias("sharpe"))
 
 
 def trade_bootstrap(trades: DataFrame, sims: int, seed: int = 1) -> DataFrame:
-    """Trades drawn with replacement: one row a simulation. ``trades`` has ret and entry order."""
-    numbered = trades.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("symbol", "entry_bar")) - 1).select("k", "ret").cache()  # one portfolio's trades
-    n = numbered.count()
-    grid = trades.sparkSession.range(sims * n).select(F.expr(f"id div {n}").alias("sim"), (F.col("id") % n).alias("i"))
-    return _paths(grid.withColumn("k", draw(n, seed, F.col("sim"), F.col("i"))).join(numbered, "k"))
+    """Each symbol's trades drawn with replacement: one row a symbol and simulation. ``trades`` has ret and entry order."""
+    numbered = trades.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("entry_bar")) - 1).select("symbol", "k", "ret")
+    n = trades.groupBy("symbol").agg(F.count("*").alias("n"))
+    grid = n.crossJoin(F.broadcast(trades.sparkSession.range(sims).withColumnRenamed("id", "sim")))  # a row a simulation
+    grid = grid.select("symbol", "n", "sim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    return _paths(grid.withColumn("k", draw(F.col("n"), seed, F.col("symbol"), F.col("sim"), F.col("i"))).join(numbered, ["symbol", "k"]), "symbol")
 
 
 def block_bootstrap(returns: DataFrame, sims: int, size: int, seed: int = 1) -> DataFrame:
@@ -223,5 +224,5 @@ def block_bootstrap(returns: DataFrame, sims: int, size: int, seed: int = 1) ->
     return _paths(rows.join(numbered, "k"))
 
 
-def summary(paths: DataFrame, ruin: float = 0.5) -> DataFrame:
-    return paths.agg(F.percentile("terminal", [0.05, 0.5, 0.95]).alias("t"), F.percentile("max_dd", [0.5, 0.95]).alias("d"), F.avg((F.col("max_dd") >= ruin).cast("double")).alias("ruin"), F.percentile("sharpe", [0.025, 0.975]).alias("s"), F.avg((F.col("sharpe") < 0).cast("double")).alias("p_negative"))
+def summary(paths: DataFrame, *by: str, ruin: float = 0.5) -> DataFrame:
+    return paths.groupBy(*by).agg(F.percentile("terminal", [0.05, 0.5, 0.95]).alias("t"), F.percentile("max_dd", [0.5, 0.95]).alias("d"), F.avg((F.col("max_dd") >= ruin).cast("double")).alias("ruin"), F.percentile("sharpe", [0.025, 0.975]).alias("s"), F.avg((F.col("sharpe") < 0).cast("double")).alias("p_negative"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, bars, quality
@@ -217,8 +218,11 @@ def issues_sorted(spark, sf):
     none = F.lit(None).cast("timestamp").alias("ts")
     x = b.where("high < greatest(open, close)").select("symbol", F.lit("error").alias("severity"), F.lit("ohlc").alias("issue_type"), none)
     y = b.where("volume = 0").select("symbol", F.lit("warning").alias("severity"), F.lit("zero").alias("issue_type"), none)
-    rows = quality.by_severity(x.union(y).distinct()).limit(1000)  # findings: a few for each symbol
-    return rows.selectExpr("symbol", "severity", "issue_type", "row_number() over (order by case severity when 'error' then 0 else 1 end, symbol, issue_type) as place").withColumn("place", F.col("place").cast("long"))
+    rows = x.union(y).distinct()
+    errors = rows.agg(F.count_if(F.col("severity") == "error").alias("errors"))  # one row; warnings are numbered after the errors
+    inside = F.row_number().over(Window.partitionBy("severity").orderBy("symbol", "issue_type"))
+    rows = rows.withColumn("inside", inside).crossJoin(F.broadcast(errors)).withColumn("place", (F.col("inside") + F.when(F.col("severity") == "error", 0).otherwise(F.col("errors"))).cast("long"))
+    return quality.by_severity(rows).select("symbol", "severity", "issue_type", "place")
 
 
 @query("write_contract", f"WITH {BARS_1H} SELECT 'volume' AS refused, count(*) AS n_rows FROM bars")

@@ -189,15 +189,15 @@ def permute_bars(spark, sf):
     return p.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.min_by("close", "ts"), R).alias("first_close"), F.round(F.max_by("close", "ts"), 4).alias("last_close"), F.round(F.sum("volume"), R).alias("volume"), whole.alias("whole"))
 
 
-def flat(paths):
-    s = overfit.summary(paths)
-    return s.select(*[F.round(F.col(c)[i], R).alias(f"{c}{i}") for c, n in (("t", 3), ("d", 2), ("s", 2)) for i in range(n)], F.round("ruin", R).alias("ruin"), F.round("p_negative", R).alias("p_negative"))
+def flat(paths, *by):
+    s = overfit.summary(paths, *by)
+    return s.select(*by, *[F.round(F.col(c)[i], R).alias(f"{c}{i}") for c, n in (("t", 3), ("d", 2), ("s", 2)) for i in range(n)], F.round("ruin", R).alias("ruin"), F.round("p_negative", R).alias("p_negative"))
 
 
 @query("trade_bootstrap")
 def trade_bootstrap(spark, sf):
-    t = perf.signal_episodes(bars_1h(spark, sf).withColumn("signal", F.col("close") > F.col("open"))).where("symbol = 'click'")
-    return flat(overfit.trade_bootstrap(t.withColumn("ret", F.col("pnl") / (F.col("entry_price") + 100)), 100))
+    t = perf.signal_episodes(bars_1h(spark, sf).withColumn("signal", F.col("close") > F.col("open")))
+    return flat(overfit.trade_bootstrap(t.withColumn("ret", F.col("pnl") / (F.col("entry_price") + 100)), 100), "symbol")
 
 
 @query("block_bootstrap")

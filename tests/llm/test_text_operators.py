@@ -262,16 +262,62 @@ def test_jaccard_join_is_exact(spark, odd):
 
     for rows in (near_copies(), [(r.doc_id, r.text) for r in odd.collect()]):
         df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
-        got = link_components(df).collect()
+        got = link_components(df).drop("row").collect()
         assert sorted(str(tuple(r)) for r in got) == brute_components(rows)
     assert link_components(empty(spark)).count() == 0
 
 
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    """4,200 edited copies of one text, many of them just under the similarity: the same components as all pairs give."""
+    from tidemark.llm.jaccard_join import link_components
+
+    rnd, n = random.Random(11), 4200
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = rnd.choices(words, k=60), []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3, 4])):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    number = {g: i for i, g in enumerate(sorted({g for s in sets for g in s}))}
+    shared = np.zeros((n, n), np.float32)
+    for lo in range(0, len(number), 8000):
+        x = np.zeros((n, 8000), np.float32)
+        for i, s in enumerate(sets):
+            for g in s:
+                if lo <= number[g] < lo + 8000:
+                    x[i, number[g] - lo] = 1
+        shared += x @ x.T
+    size = np.array([len(s) for s in sets])
+    linked = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
+    comp = np.arange(n)
+    while True:
+        new = np.where(linked, comp[None, :], n).min(axis=1)
+        if (new == comp).all():
+            break
+        comp = new
+    got = {r.doc_id: r.component_id for r in link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 1 < len(set(comp.tolist())) and got == dict(enumerate(comp.tolist()))
+
+
+def test_jaccard_nodes_of_one_64_bit_digest_come_apart(spark):
+    from tidemark.llm.jaccard_join import apart, set_nodes
+
+    sets = spark.createDataFrame([(i, i, i % 2, i // 4, 5, 1, 0, [i], [i]) for i in range(8)], "doc_id long, row long, node long, high long, n long, l int, central int, bits array<long>, prefix array<long>")
+    nodes = set_nodes(sets, "doc_id")
+    assert {r.node: (r.lo, r.hi) for r in nodes.collect()} == {0: (0, 1), 1: (0, 1)}
+    new = apart(sets, nodes)
+    assert new.columns == sets.columns and new.select("node").distinct().count() == 4
+    assert set_nodes(new, "doc_id").where("lo < hi").count() == 0
+
+
 def test_components_of_chains(spark):
+    from tidemark.llm.common import Staged
     from tidemark.llm.graph import components
 
     links = [(i, i + 1) for i in range(0, 40)] + [(101, 100), (100, 102)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long"), Staged("test")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 

@@ -31,28 +31,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stage(df: DataFrame, what: str) -> DataFrame:
+def staged_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tidemark/{what}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark/{what}-{uuid.uuid4().hex}"
+    path = path or staged_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged table that no later plan reads."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, folder)
+
+
+class Staged:
+    """Tables that one operator writes on its way (see ``stage``), to be deleted when nothing reads them any more."""
+
+    def __init__(self, what: str):
+        self.what, self.held = what, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = staged_path(df.sparkSession, f"{self.what}-{name}")
+        out = stage(df, f"{self.what}-{name}", path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables' files; those of all others too if none is given."""
+        for key in [id(x) for x in tables] or list(self.held):
+            df, path = self.held.pop(key)
+            delete_folder(df.sparkSession, path)
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df``, the result, and delete all tables before it."""
+        out = stage(df, f"{self.what}-{name}")
+        self.drop()
+        return out
 
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[list]]], key: str, text: str, out: str) -> DataFrame:

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Canonical key -> (chart name, exchange name, seconds; a month has none).
+#: Canonical key -> (chart name, exchange name, broker name, pandas offset, seconds; a month has none).
 TIMEFRAMES = {
-    "1m": ("1", "1m", 60),
-    "3m": ("3", "3m", 180),
-    "5m": ("5", "5m", 300),
-    "15m": ("15", "15m", 900),
-    "30m": ("30", "30m", 1800),
-    "45m": ("45", None, 2700),
-    "1h": ("60", "1h", 3600),
-    "4h": ("240", "4h", 14400),
-    "1d": ("D", "1d", 86400),
-    "1w": ("W", "1w", 604800),
-    "1M": ("M", "1M", None),
+    "1m": ("1", "1m", "1Min", "1min", 60),
+    "3m": ("3", "3m", None, "3min", 180),
+    "5m": ("5", "5m", "5Min", "5min", 300),
+    "15m": ("15", "15m", "15Min", "15min", 900),
+    "30m": ("30", "30m", "30Min", "30min", 1800),
+    "45m": ("45", None, None, "45min", 2700),
+    "1h": ("60", "1h", "1Hour", "1h", 3600),
+    "4h": ("240", "4h", "4Hour", "4h", 14400),
+    "1d": ("D", "1d", "1Day", "1D", 86400),
+    "1w": ("W", "1w", "1Week", "1W-MON", 604800),
+    "1M": ("M", "1M", "1Month", "1ME", None),
 }
 #: Other spellings -> key.
-ALIASES = {a: k for k, (chart, exchange, _) in TIMEFRAMES.items() for a in (k, chart, exchange) if a}
+ALIASES = {a: k for k, row in TIMEFRAMES.items() for a in (k, *row[:-1]) if a}
 
 
 def dimension(spark: SparkSession) -> DataFrame:
-    """11 rows: timeframe, chart, exchange, seconds."""
-    return spark.createDataFrame([(k, *v) for k, v in TIMEFRAMES.items()], "timeframe string, chart string, exchange string, seconds long")
+    """11 rows: timeframe, chart, exchange, broker, pandas, seconds."""
+    return spark.createDataFrame([(k, *v) for k, v in TIMEFRAMES.items()], "timeframe string, chart string, exchange string, broker string, pandas string, seconds long")
 
 
 def _map(pairs: dict) -> Column:
@@ -38,7 +38,7 @@ def normalize_timeframe(c: Column) -> Column:
 
 
 def tf_seconds(c: Column) -> Column:
-    return _map({k: v[2] for k, v in TIMEFRAMES.items() if v[2]})[c]
+    return _map({k: v[-1] for k, v in TIMEFRAMES.items() if v[-1]})[c]
 
 
 def tf_to_chart(c: Column) -> Column:
@@ -55,4 +55,4 @@ def partition_scheme(c: Column) -> Column:
 
 
 def seconds(tf: str) -> int | None:
-    return TIMEFRAMES[ALIASES[tf]][2]
+    return TIMEFRAMES[ALIASES[tf]][-1]

@@ -16,10 +16,29 @@ def S():
 def RUN():
     return S().rowsBetween(Window.unboundedPreceding, 0)
 
-#: Bars a year by timeframe, for markets that never close and for those of 252 days.
-BARS_A_YEAR = {"1h": (8760, 1638), "4h": (2190, 504), "1d": (365, 252), "1w": (52, 52), "1M": (12, 12)}
-#: Spread by symbol and impact by timeframe, in percent, with defaults.
-SPREAD, IMPACT = {"BTCUSDT": 0.02, "ETHUSDT": 0.03, "click": 0.01, "view": 0.04}, {"1h": 0.02, "4h": 0.015, "1d": 0.01}
+#: Bars a year by timeframe, for markets that never close (365 days) and for stocks (252 days of 390 minutes).
+BARS_A_YEAR_CRYPTO = {
+    "1m": 365 * 24 * 60, "5m": 365 * 24 * 12, "15m": 365 * 24 * 4, "30m": 365 * 24 * 2, "1h": 365 * 24, "2h": 365 * 12,
+    "4h": 365 * 6, "6h": 365 * 4, "8h": 365 * 3, "12h": 365 * 2, "1d": 365, "1w": 52,
+}
+BARS_A_YEAR_STOCK = {"1m": 252 * 390, "5m": 252 * 78, "15m": 252 * 26, "30m": 252 * 13, "1h": 252 * 7, "4h": 252 * 2, "1d": 252, "1w": 52}
+#: Bars a year of a timeframe that the tables lack.
+BARS_A_YEAR = 365 * 24
+#: Half spreads by symbol and impacts by timeframe, in percent, and what holds for others; crypto, then stocks.
+SPREAD_CRYPTO = {"BTCUSDT": 0.005, "ETHUSDT": 0.007, "SOLUSDT": 0.010, "BNBUSDT": 0.010, "AVAXUSDT": 0.015, "LINKUSDT": 0.015}
+IMPACT_CRYPTO = {"1m": 0.020, "5m": 0.015, "15m": 0.010, "30m": 0.008, "1h": 0.005, "2h": 0.004, "4h": 0.003, "1d": 0.002}
+USUAL_CRYPTO = (0.010, 0.005)
+SPREAD_STOCK = {
+    "SPY": 0.003, "QQQ": 0.003, "IWM": 0.005, "XLK": 0.005, "XLF": 0.005, "XLE": 0.008, "GLD": 0.005, "TLT": 0.005,
+    "AAPL": 0.003, "MSFT": 0.003, "NVDA": 0.005, "TSLA": 0.008, "AMZN": 0.005,
+}
+IMPACT_STOCK = {"1m": 0.010, "5m": 0.008, "15m": 0.005, "30m": 0.004, "1h": 0.003, "4h": 0.002, "1d": 0.001}
+USUAL_STOCK = (0.005, 0.003)
+
+
+def lookup(table: dict[str, float], key: Column, usual: float) -> Column:
+    """The table's value of ``key``; ``usual`` where it has none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v))])[key], F.lit(float(usual)))
 
 
 def simple_returns(curves: DataFrame) -> DataFrame:
@@ -33,12 +52,15 @@ def drawdowns(curves: DataFrame) -> DataFrame:
 
 
 def perf_metrics(curves: DataFrame, bars_a_year: float, *keys: str) -> DataFrame:
-    """Profit, return, Sharpe, Sortino (null with fewer than two losses), drawdown, Calmar, to 4 places."""
+    """Profit, return, Sharpe, Sortino (null with fewer than two losses), drawdown, Calmar, to 4 places.
+
+    A ratio is 0 where its divisor is, and Sharpe and Sortino for a single bar.
+    """
     rows = drawdowns(simple_returns(curves))
     root = F.sqrt(F.lit(float(bars_a_year)))
-    out = rows.groupBy("strategy_id", *keys).agg(F.min_by("equity", "t").alias("e0"), F.max_by("equity", "t").alias("e1"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("d"), F.max("dd").alias("dd"))
+    out = rows.groupBy("strategy_id", *keys).agg(F.min_by("equity", "t").alias("e0"), F.max_by("equity", "t").alias("e1"), F.count("*").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("d"), F.max("dd").alias("dd"))
     total = (F.col("e1") / F.col("e0") - 1) * 100
-    cols = {"net_profit": F.col("e1") - F.col("e0"), "return_pct": total, "sharpe": F.try_divide("m", "s") * root, "sortino": F.try_divide("m", "d") * root, "max_dd_pct": F.col("dd") * 100, "calmar": F.try_divide(total, F.col("dd") * 100)}
+    cols = {"net_profit": F.col("e1") - F.col("e0"), "return_pct": total, "sharpe": F.coalesce(F.try_divide("m", "s") * root, F.lit(0.0)), "sortino": F.when((F.col("n") < 2) | (F.col("d") == 0), 0.0).otherwise(F.col("m") / F.col("d") * root), "max_dd_pct": F.col("dd") * 100, "calmar": F.coalesce(F.try_divide(total, F.col("dd") * 100), F.lit(0.0))}
     return out.select("strategy_id", *keys, *[F.round(c, 4).alias(n) for n, c in cols.items()])
 
 
@@ -47,10 +69,9 @@ def compound(returns: DataFrame, capital: float) -> DataFrame:
     return returns.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(RUN())))
 
 
-def annualisation(rows: DataFrame, timeframe: Column, always_open: Column) -> DataFrame:
-    table = rows.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in BARS_A_YEAR.items()], "tf__ string, a__ double, b__ double")
-    joined = rows.join(F.broadcast(table), timeframe == F.col("tf__"), "left")
-    return joined.withColumn("factor", F.sqrt(F.when(always_open, F.col("a__")).otherwise(F.col("b__")))).drop("tf__", "a__", "b__")
+def annualisation(timeframe: Column, stock: Column) -> Column:
+    """Root of the bars a year of a timeframe; that of hours for one that isn't known."""
+    return F.sqrt(F.when(stock, lookup(BARS_A_YEAR_STOCK, timeframe, BARS_A_YEAR)).otherwise(lookup(BARS_A_YEAR_CRYPTO, timeframe, BARS_A_YEAR)))
 
 
 def signal_episodes(bars: DataFrame) -> DataFrame:
@@ -90,12 +111,23 @@ def trade_metrics(trades: DataFrame, *keys: str) -> DataFrame:
     return out.join(runs, list(keys), "left").withColumn("max_losses", F.coalesce("max_losses", F.lit(0)))
 
 
-def position_size(trades: DataFrame, equity: Column, risk: float, stop: Column, atr: Column, win: Column, payoff: Column, price: Column, leverage: float = 1.0) -> DataFrame:
-    """Units by fixed fraction, by ATR and by half Kelly, each within leverage and not below 0."""
-    most = equity * leverage / price
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(x, most))
-    kelly = (win - (1 - win) / payoff) / 2
-    return trades.withColumns({"fixed": clamp(equity * risk / F.abs(price - stop)), "by_atr": clamp(equity * risk / (2 * atr)), "kelly": clamp(equity * kelly / price)})
+def position_size(trades: DataFrame, equity: Column, risk_pct: float, stop: Column, atr: Column, win: Column, payoff: Column, price: Column, most_risk_pct: float = 5.0, atr_multiple: float = 2.0, kelly_share: float = 0.5, least: float = 0.0, most: float = float("inf"), leverage: float = 1.0) -> DataFrame:
+    """Units by fixed fraction of equity, by ATR and by a share of Kelly.
+
+    The risk is ``most_risk_pct`` of equity at most; sizes are cut to ``most`` and to the leverage, and are
+    0 below ``least``, without a stop (fixed), a range (ATR) or an edge (Kelly). Kelly risks its share up to the stop, or the price without one.
+    """
+    far = F.nullif(F.abs(price - stop), F.lit(0.0))
+    share = F.least(F.lit(risk_pct), F.lit(most_risk_pct)) / 100
+
+    def clamp(x: Column) -> Column:
+        cut = F.least(x, F.lit(most), equity * leverage / price)
+        return F.when((x > 0) & ~F.isnan(x) & (cut >= least), cut).otherwise(0.0)
+
+    edge = F.when((payoff > 0) & (win > 0) & (win < 1), win - (1 - win) / payoff)
+    kelly = F.least(edge * kelly_share, F.lit(most_risk_pct / 100))
+    sizes = {"fixed": F.try_divide(equity * share, far), "by_atr": F.when(atr > 0, equity * share / (atr * atr_multiple)), "kelly": F.when(edge > 0, equity * kelly / F.coalesce(far, price))}
+    return trades.withColumns({c: clamp(x) for c, x in sizes.items()})
 
 
 def optimal_f(trades: DataFrame, *keys: str) -> DataFrame:
@@ -109,13 +141,11 @@ def optimal_f(trades: DataFrame, *keys: str) -> DataFrame:
 
 
 def slippage(rows: DataFrame, symbol: str = "symbol", timeframe: str = "timeframe") -> DataFrame:
-    """``slippage_pct``: spread of the symbol plus impact of the timeframe, by defaults for the market where unknown."""
-    spark = rows.sparkSession
-    a = spark.createDataFrame(list(SPREAD.items()), "s__ string, spread__ double")
-    b = spark.createDataFrame(list(IMPACT.items()), "t__ string, impact__ double")
-    joined = rows.join(F.broadcast(a), F.col(symbol) == F.col("s__"), "left").join(F.broadcast(b), F.col(timeframe) == F.col("t__"), "left")
-    usual = F.when(F.col(symbol).endswith("USDT"), 0.05).otherwise(0.03)
-    return joined.withColumn("slippage_pct", F.round(F.coalesce("spread__", usual) + F.coalesce("impact__", F.lit(0.01)), 4)).drop("s__", "t__", "spread__", "impact__")
+    """``slippage_pct``: half spread of the symbol plus impact of the timeframe; symbols in USDT or USD are crypto, others stocks."""
+    s, t = F.col(symbol), F.col(timeframe)
+    crypto = lookup(SPREAD_CRYPTO, s, USUAL_CRYPTO[0]) + lookup(IMPACT_CRYPTO, t, USUAL_CRYPTO[1])
+    stock = lookup(SPREAD_STOCK, s, USUAL_STOCK[0]) + lookup(IMPACT_STOCK, t, USUAL_STOCK[1])
+    return rows.withColumn("slippage_pct", F.round(F.when(s.endswith("USDT") | s.endswith("USD"), crypto).otherwise(stock), 4))
 
 
 def slippage_stress(trades: DataFrame, *keys: str) -> DataFrame:
@@ -137,11 +167,20 @@ def crisis_replay(rows: DataFrame) -> DataFrame:
     return out
 
 
-def drawdown_gate(curves: DataFrame, reduce: float, halt: float) -> DataFrame:
-    """Drawdown, a kill flag that stays, and the action it calls for."""
+def drawdown_gate(curves: DataFrame, most_dd_pct: float = 20.0, kill_dd_pct: float = 25.0, most_heat_pct: float = 10.0, most_gross: float = 2.0) -> DataFrame:
+    """Whether a new risk is approved at each bar, and if not, by which limit: killed, drawdown, heat or gross.
+
+    ``killed`` stays from the first drawdown of ``kill_dd_pct`` on. Heat is open plus proposed risk in percent
+    of equity, gross open plus proposed notional by equity; columns open_risk, proposed_risk, gross and
+    proposed_notional count as 0 where absent.
+    """
     rows = drawdowns(curves)
-    killed = F.max(F.col("dd") >= halt).over(RUN())
-    return rows.withColumn("killed", killed).withColumn("action", F.when(F.col("killed"), "halt").when(F.col("dd") >= reduce, "reduce").otherwise("approve"))
+    amount = lambda c: F.col(c) if c in curves.columns else F.lit(0.0)
+    heat = (amount("open_risk") + amount("proposed_risk")) / F.col("equity") * 100
+    gross = amount("gross") + amount("proposed_notional") / F.col("equity")
+    rows = rows.withColumns({"killed": F.max(F.col("dd") * 100 >= kill_dd_pct).over(RUN()), "heat_pct": F.when(F.col("equity") > 0, heat), "new_gross": F.when(F.col("equity") > 0, gross)})
+    why = F.when(F.col("killed"), "killed").when(F.col("dd") * 100 >= most_dd_pct, "drawdown").when(F.col("heat_pct") > most_heat_pct, "heat").when((amount("proposed_notional") > 0) & (F.col("new_gross") > most_gross), "gross").otherwise("approved")
+    return rows.withColumn("reason", why).withColumn("approved", F.col("reason") == "approved")
 
 
 # --- positions

@@ -76,7 +76,7 @@ def ash(bars, length=9, smooth=3, mode="rsi", ma_type="ema", bullish=True, hold=
 @signal
 def ssl_channel(bars, n=12, up=True, level=False, hold=4):
     """Averages of high and low change places by the last break of the close."""
-    rows = win.ema(win.ema(bars, "eh__", "high", n), "el__", "low", n)
+    rows = win.linear_scans(bars, {"eh__": ("high", 2 / (n + 1), 1), "el__": ("low", 2 / (n + 1), 1)})
     state = win.last_state(F.when(F.col("close") > F.col("eh__"), 1).when(F.col("close") < F.col("el__"), -1))
     rows = rows.withColumn("s__", F.coalesce(state, F.lit(0)))
     rows = rows.withColumn("above__", F.when(F.col("s__") < 0, F.col("el__") > F.col("eh__")).otherwise(F.col("eh__") > F.col("el__")))
@@ -143,7 +143,7 @@ def ema_cross(bars, n=21, up=True, hold=1):
 
 def macd_lines(bars, fast=12, slow=26, smooth=9):
     """Histogram hist__ of the two averages' distance and its own average."""
-    rows = win.ema(win.ema(bars, "f__", "close", fast, sma_seed=True), "s__", "close", slow, sma_seed=True)
+    rows = win.linear_scans(bars, {"f__": ("close", 2 / (fast + 1), fast), "s__": ("close", 2 / (slow + 1), slow)})
     rows = rows.withColumn("m__", F.col("f__") - F.col("s__"))
     return win.ema(rows, "g__", "m__", smooth, sma_seed=True).withColumn("hist__", F.col("m__") - F.col("g__"))
 
@@ -188,8 +188,7 @@ def adx_lines(bars, n=14):
     """adx__ by Wilder's smoothing of range and directional moves."""
     u, d = F.col("high") - lag("high"), lag("low") - F.col("low")
     rows = bars.withColumns({"tr__": win.true_range(), "pd__": F.coalesce(F.when((u > d) & (u > 0), u), F.lit(0.0)), "md__": F.coalesce(F.when((d > u) & (d > 0), d), F.lit(0.0))})
-    for c in ("tr", "pd", "md"):
-        rows = win.wilder(rows, f"w{c}__", f"{c}__", n)
+    rows = win.linear_scans(rows, {f"w{c}__": (f"{c}__", 1 / n, n) for c in ("tr", "pd", "md")})
     p, m = (F.when(F.col("wtr__") > 0, 100 * F.col(x) / F.col("wtr__")).otherwise(0.0) for x in ("wpd__", "wmd__"))
     rows = rows.withColumns({"p__": p, "m__": m})
     dx = F.when(F.col("p__") + F.col("m__") > 0, 100 * F.abs(F.col("p__") - F.col("m__")) / (F.col("p__") + F.col("m__"))).otherwise(0.0)
@@ -205,7 +204,7 @@ def adx_filter(bars, n=14, threshold=25.0, strong=True, hold=1):
 
 @signal
 def ma_crossover(bars, fast=10, slow=50, up=True, hold=1):
-    rows = win.ema(win.ema(bars, "f__", "close", fast), "s__", "close", slow)
+    rows = win.linear_scans(bars, {"f__": ("close", 2 / (fast + 1), 1), "s__": ("close", 2 / (slow + 1), 1)})
     return _done(rows, _side(up, F.col("f__"), F.col("s__")), hold, slow)
 
 
@@ -246,7 +245,7 @@ def obv_trend(bars, n=20, up=True, hold=1):
 
 
 @signal
-def volatility_regime(bars, n=14, lookback=50, threshold=0.5, high=True, hold=1):
+def volatility_regime(bars, n=14, lookback=100, threshold=0.5, high=True, hold=1):
     rows = win.atr(bars, "a__", n)
     rows = rows.withColumn("p__", win.pct_rank("a__", lookback, strict=True))
     return _done(rows, _side(high, F.col("p__"), F.lit(threshold)), hold)

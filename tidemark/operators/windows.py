@@ -165,17 +165,65 @@ def linear_scan(rows: DataFrame, out: str, value: Column | str, alpha: float, se
     rows = rows.withColumns({"b__": F.floor(at / size), "k__": F.pmod(at, F.lit(size))})
     inner = Window.partitionBy(*keys, "b__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("l__", F.pow(F.lit(q), F.col("k__")) * F.sum(F.col("u__") * F.pow(F.lit(q), -F.col("k__"))).over(inner))
-    ends = rows.where("u__ is not null").groupBy(*keys, "b__").agg(F.max_by("l__", "k__").alias("e__"))
-    step = q**size
-    reach = 1 if step < 1e-300 else min(400, math.ceil(41 / -math.log(step)))
-    bw = Window.partitionBy(*keys).orderBy("b__")
-    carry = sum((F.coalesce(F.lag("e__", i + 1).over(bw), F.lit(0.0)) * step**i for i in range(reach)), F.lit(0.0))
-    ends = ends.withColumn("c__", carry).drop("e__")
-    rows = rows.join(ends, [*keys, "b__"], "left")
+    ends = rows.where("u__ is not null").groupBy(*keys, "b__").agg(F.max_by("l__", "k__").alias("c__"))
+    rows = rows.join(_carries(ends, {"c__": q**size}, keys, "b__"), [*keys, "b__"], "left")
     y = F.col("l__") + F.pow(F.lit(q), F.col("k__") + 1) * F.coalesce("c__", F.lit(0.0))
     return rows.withColumn(out, F.when(F.col("u__").isNotNull(), y)).drop("x__", "n__", "u__", "b__", "k__", "l__", "c__")
 
 
+#: Blocks before that a carry sums directly; what lies beyond their weights of e**-41 is below a double's precision.
+DIRECT = 64
+
+
+def _carries(ends: DataFrame, steps: dict[str, float], keys: tuple, block: str) -> DataFrame:
+    """Replace each block's end by what blocks before it carry into it: c = e_before + step e_before_that + ...
+
+    Where weights fade within ``DIRECT`` blocks the sum is direct; slower ones
+    are blocked again, blocks of blocks, however far back they reach.
+    """
+    w = Window.partitionBy(*keys).orderBy(block)
+    reach = {c: 1 if q < 1e-300 else math.ceil(41 / -math.log(q)) for c, q in steps.items()}
+    near, far = ({c: q for c, q in steps.items() if (reach[c] <= DIRECT) == short} for short in (True, False))
+    before = {c: sum((F.coalesce(F.lag(c, i + 1).over(w), F.lit(0.0)) * q**i for i in range(reach[c])), F.lit(0.0)) for c, q in near.items()}
+    if far:
+        size = min(256, *(int(600 / -math.log(q)) for q in far.values()))
+        up, place = f"{block}u", f"{block}k"
+        inner = Window.partitionBy(*keys, up).orderBy(block)
+        # blocks of a series are numbered without gaps from the first on
+        ends = ends.withColumn(place, F.row_number().over(w) - 1).withColumns({up: F.floor(F.col(place) / size), place: F.pmod(F.col(place), F.lit(size))})
+        run = inner.rowsBetween(Window.unboundedPreceding, 0)
+        ends = ends.withColumns({f"{c}i": F.pow(F.lit(q), F.col(place)) * F.sum(F.col(c) * F.pow(F.lit(q), -F.col(place))).over(run) for c, q in far.items()})
+        tops = ends.groupBy(*keys, up).agg(*[F.max_by(f"{c}i", place).alias(f"{c}t") for c in far])
+        tops = _carries(tops, {f"{c}t": q**size for c, q in far.items()}, keys, up)
+        ends = ends.join(tops, [*keys, up], "left")
+        # the carry into a block: what its own larger block had before it, and what came into that
+        before |= {c: F.coalesce(F.lag(f"{c}i").over(inner), F.lit(0.0)) + F.pow(F.lit(q), F.col(place)) * F.coalesce(f"{c}t", F.lit(0.0)) for c, q in far.items()}
+    return ends.withColumns(before).select(*keys, block, *steps)
+
+
+def linear_scans(rows: DataFrame, specs: dict[str, tuple], keys: tuple = ("symbol",), order: str = "ts") -> DataFrame:
+    """Several recurrences of ``linear_scan`` in one pass: out -> (value, alpha, seed), all alphas below 1.
+
+    Blocks are cut by row number, so they share the windows, one aggregation and
+    one join. A value must not be null after its first one.
+    """
+    q = {c: 1.0 - alpha for c, (_, alpha, _) in specs.items()}
+    size = max(1, min(256, *(int(600 / -math.log(x)) for x in q.values())))
+    w = Window.partitionBy(*keys).orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows.columns
+    rows = rows.withColumns({f"{c}x__": col(v) for c, (v, _, _) in specs.items()})
+    rows = rows.withColumns({"r__": F.row_number().over(w) - 1} | {f"{c}n__": F.count(f"{c}x__").over(run) for c in specs} | {f"{c}f__": F.avg(f"{c}x__").over(run) for c, (_, _, seed) in specs.items() if seed > 1})
+    rows = rows.withColumns({"b__": F.floor(F.col("r__") / size), "k__": F.pmod(F.col("r__"), F.lit(size))})
+    rows = rows.withColumns({f"{c}u__": F.when(F.col(f"{c}n__") == seed, F.col(f"{c}f__" if seed > 1 else f"{c}x__")).when(F.col(f"{c}n__") > seed, alpha * F.col(f"{c}x__")) for c, (_, alpha, seed) in specs.items()})
+    inner = Window.partitionBy(*keys, "b__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{c}l__": F.pow(F.lit(q[c]), F.col("k__")) * F.sum(F.coalesce(f"{c}u__", F.lit(0.0)) * F.pow(F.lit(q[c]), -F.col("k__"))).over(inner) for c in specs})
+    ends = rows.groupBy(*keys, "b__").agg(*[F.max_by(f"{c}l__", "k__").alias(f"{c}c__") for c in specs])
+    rows = rows.join(_carries(ends, {f"{c}c__": q[c] ** size for c in specs}, keys, "b__"), [*keys, "b__"], "left")
+    y = {c: F.when(F.col(f"{c}u__").isNotNull(), F.col(f"{c}l__") + F.pow(F.lit(q[c]), F.col("k__") + 1) * F.coalesce(f"{c}c__", F.lit(0.0))) for c in specs}
+    return rows.withColumns(y).select(*kept, *specs)
+
+
 def ema(rows: DataFrame, out: str, value: Column | str, n: int, sma_seed: bool = False) -> DataFrame:
     return linear_scan(rows, out, value, 2 / (n + 1), n if sma_seed else 1)
 
@@ -198,7 +246,7 @@ def hma(rows: DataFrame, out: str, value: str, n: int) -> DataFrame:
 def rsi(rows: DataFrame, out: str, value: str, n: int) -> DataFrame:
     d = F.col(value) - lag(value)
     rows = rows.withColumns({"g__": F.greatest(d, F.lit(0.0)), "f__": F.greatest(-d, F.lit(0.0))})
-    rows = wilder(wilder(rows.withColumn("g__", F.when(d.isNotNull(), F.col("g__"))), "gain__", "g__", n), "loss__", F.when(F.col("g__").isNotNull(), F.col("f__")), n)
+    rows = linear_scans(rows, {"gain__": (F.when(d.isNotNull(), F.col("g__")), 1 / n, n), "loss__": (F.when(d.isNotNull(), F.col("f__")), 1 / n, n)})
     r = F.when(F.col("loss__") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("gain__") / F.col("loss__")))
     return rows.withColumn(out, F.when(F.col("gain__").isNotNull(), r)).drop("g__", "f__", "gain__", "loss__")
 

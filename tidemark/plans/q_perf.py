@@ -25,8 +25,8 @@ def simple_returns(spark, sf):
     return rnd(perf.simple_returns(curves(spark, sf)).drop("equity"), "ret")
 
 
-PERF = "arg_min(equity, t) AS e0, arg_max(equity, t) AS e1, avg(ret) AS m, stddev_samp(ret) AS s, stddev_samp(ret) FILTER (ret < 0) AS d, max(dd) AS dd"
-OUT = "round(e1 - e0, 4) AS net_profit, round((e1 / e0 - 1) * 100, 4) AS return_pct, round(m / s * sqrt(8760), 4) AS sharpe, round(m / d * sqrt(8760), 4) AS sortino, round(dd * 100, 4) AS max_dd_pct, round((e1 / e0 - 1) / dd, 4) AS calmar"
+PERF = "count(*) AS n, arg_min(equity, t) AS e0, arg_max(equity, t) AS e1, avg(ret) AS m, stddev_samp(ret) AS s, stddev_samp(ret) FILTER (ret < 0) AS d, max(dd) AS dd"
+OUT = "round(e1 - e0, 4) AS net_profit, round((e1 / e0 - 1) * 100, 4) AS return_pct, round(coalesce(m / nullif(s, 0) * sqrt(8760), 0), 4) AS sharpe, round(CASE WHEN n < 2 OR d = 0 THEN 0 ELSE m / d * sqrt(8760) END, 4) AS sortino, round(dd * 100, 4) AS max_dd_pct, round(coalesce((e1 / e0 - 1) / nullif(dd, 0), 0), 4) AS calmar"
 
 
 @query("perf_metrics", f"WITH {CURVES}, a AS (SELECT strategy_id, {PERF} FROM rets GROUP BY 1) SELECT strategy_id, {OUT} FROM a")
@@ -56,10 +56,11 @@ def trade_metrics(spark, sf):
     return rnd(perf.trade_metrics(trades(spark, sf), "symbol"), "win_rate", "profit_factor", "mean_trade")
 
 
-@query("annualisation", "SELECT symbol, tf, round(sqrt(CASE WHEN symbol = 'click' THEN a ELSE b END), 6) AS factor FROM (SELECT DISTINCT event_type AS symbol FROM events), (VALUES ('1h', 8760, 1638), ('4h', 2190, 504), ('1d', 365, 252)) AS v(tf, a, b)")
+@query("annualisation", "SELECT symbol, tf, round(sqrt(CASE WHEN symbol = 'click' THEN b ELSE a END), 6) AS factor FROM (SELECT DISTINCT event_type AS symbol FROM events), (VALUES ('1m', 525600, 98280), ('5m', 105120, 19656), ('15m', 35040, 6552), ('30m', 17520, 3276), ('1h', 8760, 1764), ('2h', 4380, 8760), ('4h', 2190, 504), ('6h', 1460, 8760), ('8h', 1095, 8760), ('12h', 730, 8760), ('1d', 365, 252), ('1w', 52, 52), ('3m', 8760, 8760)) AS v(tf, a, b)")
 def annualisation(spark, sf):
-    s = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.explode(F.array(*map(F.lit, ("1h", "4h", "1d")))).alias("tf"))
-    return rnd(perf.annualisation(s, F.col("tf"), F.col("symbol") == "click"), "factor")
+    names = F.array(*map(F.lit, (*perf.BARS_A_YEAR_CRYPTO, "3m")))
+    s = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.explode(names).alias("tf"))
+    return s.withColumn("factor", F.round(perf.annualisation(F.col("tf"), F.col("symbol") == "click"), R))
 
 
 @query("compound_equity", f"WITH {CURVES} SELECT strategy_id, t, round(1000 * exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy_id ORDER BY t)), 4) AS equity FROM rets")
@@ -77,10 +78,10 @@ def episode_stop_levels(spark, sf):
     return out.withColumns({c: F.col(c).cast("long") for c in out.columns if c not in ("symbol", "fixed_stop")})
 
 
-@query("position_size", f"WITH {TRADES} SELECT symbol, entry_bar, round(greatest(0, least(10000 * 0.01 / abs(entry_price - entry_price * 0.98), 10000 / entry_price)), {R}) AS fixed, round(greatest(0, least(10000 * 0.01 / (2 * (abs(pnl) + 1)), 10000 / entry_price)), {R}) AS by_atr, round(greatest(0, least(10000 * ((0.55 - 0.45 / 1.5) / 2) / entry_price, 10000 / entry_price)), {R}) AS kelly FROM trades")
+@query("position_size", f"WITH {TRADES} SELECT symbol, entry_bar, round(greatest(0, least(10000 * 0.01 / abs(entry_price - entry_price * 0.98), 10000 / entry_price, 60)), {R}) AS fixed, round(least(10000 * 0.01 / (3 * (abs(pnl) + 1)), 10000 / entry_price, 60), {R}) AS by_atr, round(least(10000 * least((0.55 - 0.45 / 1.5) * 0.25, 0.05) / abs(entry_price - entry_price * 0.98), 10000 / entry_price, 60), {R}) AS kelly FROM trades")
 def position_size(spark, sf):
     t, p = trades(spark, sf), F.col("entry_price")
-    out = perf.position_size(t, F.lit(10000.0), 0.01, p * 0.98, F.abs("pnl") + 1, F.lit(0.55), F.lit(1.5), p)
+    out = perf.position_size(t, F.lit(10000.0), 1.0, p * 0.98, F.abs("pnl") + 1, F.lit(0.55), F.lit(1.5), p, atr_multiple=3.0, kelly_share=0.25, most=60.0)
     return rnd(out.select("symbol", F.col("entry_bar").cast("long").alias("entry_bar"), "fixed", "by_atr", "kelly"), "fixed", "by_atr", "kelly")
 
 
@@ -90,17 +91,27 @@ def optimal_f(spark, sf):
     return out.withColumn("log_twr", F.round("log_twr", 4))
 
 
-@query("slippage_lookup", "SELECT symbol, tf AS timeframe, round(CASE symbol WHEN 'click' THEN 0.01 WHEN 'view' THEN 0.04 ELSE 0.03 END + CASE tf WHEN '1h' THEN 0.02 ELSE 0.01 END, 4)::DOUBLE AS slippage_pct FROM (SELECT DISTINCT event_type AS symbol FROM events), (VALUES ('1h'), ('1w')) AS v(tf)")
+#: The fixture's symbols trade as these markets' symbols.
+TRADED = {"click": "BTCUSDT", "view": "AVAXUSDT", "purchase": "XRPUSDT", "signup": "TSLA", "error": "IBM"}
+TRADED_SQL = "(VALUES ('click', 'BTCUSDT', 0.005, 0.005, 0.005), ('view', 'AVAXUSDT', 0.015, 0.005, 0.005), ('purchase', 'XRPUSDT', 0.01, 0.005, 0.005), ('signup', 'TSLA', 0.008, 0.003, 0.003), ('error', 'IBM', 0.005, 0.003, 0.003)) AS m(symbol, traded, spread, i1h, other)"
+
+
+def traded(df):
+    return df.withColumn("traded", F.create_map(*[F.lit(x) for kv in TRADED.items() for x in kv])[F.col("symbol")])
+
+
+@query("slippage_lookup", f"SELECT symbol, traded, timeframe, round(spread + CASE WHEN timeframe = '1h' THEN i1h WHEN timeframe = '1w' THEN other WHEN traded LIKE '%USDT' THEN crypto ELSE stock END, 4)::DOUBLE AS slippage_pct FROM (SELECT DISTINCT event_type AS symbol FROM events) JOIN {TRADED_SQL} USING (symbol), (VALUES ('1m', 0.02, 0.01), ('15m', 0.01, 0.005), ('1h', 0, 0), ('2h', 0.004, 0.003), ('1d', 0.002, 0.001), ('1w', 0, 0)) AS v(timeframe, crypto, stock)")
 def slippage_lookup(spark, sf):
-    s = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.explode(F.array(F.lit("1h"), F.lit("1w"))).alias("timeframe"))
-    return perf.slippage(s)
+    names = F.array(*map(F.lit, ("1m", "15m", "1h", "2h", "1d", "1w")))
+    s = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.explode(names).alias("timeframe"))
+    return perf.slippage(traded(s), "traded")
 
 
-STRESS = f"{TRADES}, c AS (SELECT *, pnl - (entry_price + exit_price) * (CASE symbol WHEN 'click' THEN 0.01 WHEN 'view' THEN 0.04 ELSE 0.03 END + 0.02) / 100 AS net FROM trades), s AS (SELECT symbol, avg(pnl) / stddev_samp(pnl) AS b, avg(net) / stddev_samp(net) AS a FROM c GROUP BY 1)"
+STRESS = f"{TRADES}, c AS (SELECT *, pnl - (entry_price + exit_price) * (spread + i1h)::DOUBLE / 100 AS net FROM trades JOIN {TRADED_SQL} USING (symbol)), s AS (SELECT symbol, avg(pnl) / stddev_samp(pnl) AS b, avg(net) / stddev_samp(net) AS a FROM c GROUP BY 1)"
 
 
 def stressed(spark, sf):
-    return perf.slippage_stress(perf.slippage(trades(spark, sf).withColumn("timeframe", F.lit("1h"))), "symbol", "timeframe")
+    return perf.slippage_stress(perf.slippage(traded(trades(spark, sf)).withColumn("timeframe", F.lit("1h")), "traded"), "symbol", "timeframe")
 
 
 @query("slippage_stress", f"WITH {STRESS} SELECT symbol, '1h' AS timeframe, round(b, {R}) AS before, round(a, {R}) AS after, round((b - a) / abs(b) * 100, 4) AS decay_pct, a > 0 AS survived FROM s")
@@ -123,9 +134,11 @@ def crisis_replay(spark, sf):
     return out.withColumn("recovery", F.col("recovery").cast("long"))
 
 
-@query("drawdown_gate", f"WITH {CURVES} SELECT strategy_id, t, round(dd, {R}) AS dd, bool_or(dd >= 0.45) OVER w AS killed, CASE WHEN bool_or(dd >= 0.45) OVER w THEN 'halt' WHEN dd >= 0.3 THEN 'reduce' ELSE 'approve' END AS action FROM rets WINDOW w AS (PARTITION BY strategy_id ORDER BY t)")
+@query("drawdown_gate", f"WITH {CURVES}, g AS (SELECT strategy_id, t, dd, bool_or(dd >= 0.45) OVER (PARTITION BY strategy_id ORDER BY t) AS killed, (4 + t % 7) / equity * 100 AS heat_pct, 1 + 100 / equity AS new_gross FROM rets) SELECT strategy_id, t, round(dd, {R}) AS dd, killed, round(heat_pct, {R}) AS heat_pct, round(new_gross, {R}) AS new_gross, CASE WHEN killed THEN 'killed' WHEN dd >= 0.3 THEN 'drawdown' WHEN heat_pct > 8 THEN 'heat' WHEN new_gross > 1.9 THEN 'gross' ELSE 'approved' END AS reason FROM g")
 def drawdown_gate(spark, sf):
-    return rnd(perf.drawdown_gate(curves(spark, sf), 0.3, 0.45).drop("equity"), "dd")
+    c = curves(spark, sf).withColumns({"open_risk": F.lit(4.0), "proposed_risk": (F.col("t") % 7).cast("double"), "gross": F.lit(1.0), "proposed_notional": F.lit(100.0)})
+    out = perf.drawdown_gate(c, 30.0, 45.0, 8.0, 1.9)
+    return rnd(out.select("strategy_id", "t", "dd", "killed", "heat_pct", "new_gross", "reason"), "dd", "heat_pct", "new_gross")
 
 
 # --- reports and positions

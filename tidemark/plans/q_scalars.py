@@ -9,8 +9,8 @@ from tidemark.plans.fixtures import table
 from tidemark.plans.registry import query
 
 #: Spellings by line number, so that the functions meet known and unknown ones.
-SPELLINGS = ["60", "1h", "D", "45", "M", "W", "odd"]
-SPELL_SQL = "(VALUES (1, '60', '1h', 3600, '60', true, 'monthly'), (2, '1h', '1h', 3600, '60', true, 'monthly'), (3, 'D', '1d', 86400, 'D', false, 'yearly'), (4, '45', '45m', 2700, '45', true, 'monthly'), (5, 'M', '1M', NULL, 'M', false, 'yearly'), (6, 'W', '1w', 604800, 'W', false, 'yearly'), (7, 'odd', NULL, NULL, NULL, false, 'yearly')) AS s(n, raw, key, secs, chart, intra, scheme)"
+SPELLINGS = ["60", "1Hour", "1D", "45min", "1Month", "1W-MON", "odd"]
+SPELL_SQL = "(VALUES (1, '60', '1h', 3600, '60', true, 'monthly'), (2, '1Hour', '1h', 3600, '60', true, 'monthly'), (3, '1D', '1d', 86400, 'D', false, 'yearly'), (4, '45min', '45m', 2700, '45', true, 'monthly'), (5, '1Month', '1M', NULL, 'M', false, 'yearly'), (6, '1W-MON', '1w', 604800, 'W', false, 'yearly'), (7, 'odd', NULL, NULL, NULL, false, 'yearly')) AS s(n, raw, key, secs, chart, intra, scheme)"
 
 
 def spelled(spark, sf):

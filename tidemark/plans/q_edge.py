@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, edge
+from tidemark.operators import asof, combine, edge
 from tidemark.operators import windows as win
 from tidemark.plans.fixtures import BARS_1H, bars_1h
+from tidemark.plans import sqlstats
 from tidemark.plans.registry import query
 
 R = 6
@@ -62,25 +63,25 @@ def spearman_ic(spark, sf):
     return rnd(ics(spark, sf), "ic")
 
 
-@query("edge_stats", f"WITH {SCORED}, e AS (SELECT {K}, count(*) AS n, count(*) FILTER (signal = 1) AS n_signals, avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0 END) FILTER (signal = 1) AS hit_rate, avg(fwd) FILTER (signal = 1) AS mean_on, avg(fwd) FILTER (signal <> 1) AS mean_off, stddev_samp(fwd) AS sd FROM scored WHERE fwd IS NOT NULL GROUP BY ALL) SELECT {K}, n, n_signals, round(hit_rate, {R}) AS hit_rate, round(mean_on, {R}) AS mean_on, round(mean_off, {R}) AS mean_off, round(mean_on - mean_off, {R}) AS edge, round(n_signals / (n / 720.0), {R}) AS per_month, round((mean_on - mean_off) / sd, {R}) AS edge_ratio FROM e")
+@query("edge_stats", f"WITH {SCORED}, e AS (SELECT {K}, count(*) AS n, count(*) FILTER (signal = 1) AS n_signals, avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0 END) FILTER (signal = 1) AS hit_rate, avg(fwd) FILTER (signal = 1) AS mean_on, avg(fwd) FILTER (signal <> 1) AS mean_off, avg(fwd) FILTER (signal = 1 AND fwd > 0) AS gain, avg(fwd) FILTER (signal = 1 AND fwd <= 0) AS loss FROM scored WHERE fwd IS NOT NULL GROUP BY ALL) SELECT {K}, n, n_signals, round(hit_rate, {R}) AS hit_rate, round(mean_on, {R}) AS mean_on, round(mean_off, {R}) AS mean_off, round(mean_on - mean_off, {R}) AS edge, round(n_signals / greatest(n / 720.0, 1), {R}) AS per_month, round(hit_rate * gain / nullif((1 - hit_rate) * abs(loss), 0), {R}) AS edge_ratio FROM e")
 def edge_stats(spark, sf):
     return rnd(edge.edge_stats(scored(spark, sf), 720.0, KEYS), "hit_rate", "mean_on", "mean_off", "edge", "per_month", "edge_ratio")
 
 
-STAB = f"{SCORED}, b AS (SELECT *, (row_number() OVER (PARTITION BY {K} ORDER BY ts) - 1) // 120 AS block FROM scored WHERE fwd IS NOT NULL), bi AS (SELECT {K}, block, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM {_ranked('b', K + ', block')} GROUP BY ALL)"
+STAB = f"{SCORED}, b AS (SELECT *, (row_number() OVER (PARTITION BY {K} ORDER BY ts) - 1) // 120 AS block FROM scored WHERE fwd IS NOT NULL), bi AS (SELECT {K}, block, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM {_ranked('b', K + ', block')} GROUP BY ALL HAVING count(*) = 120 AND sum(signal) >= 5)"
 
 
-@query("ic_stability", f"WITH {STAB} SELECT {K}, count(*) AS n_windows, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), {R}) AS positive, round(avg(ic), {R}) AS mean_ic, round(stddev_samp(ic), {R}) AS sd_ic, round(quantile_cont(ic, 0.025), {R}) AS lo, round(quantile_cont(ic, 0.975), {R}) AS hi FROM bi WHERE ic IS NOT NULL GROUP BY ALL")
+@query("ic_stability", f"WITH {STAB} SELECT {K}, count(*) AS n_windows, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), {R}) AS positive, round(avg(ic), {R}) AS mean_ic, round(stddev_pop(ic), {R}) AS sd_ic, round(quantile_cont(ic, 0.025), {R}) AS lo, round(quantile_cont(ic, 0.975), {R}) AS hi FROM bi WHERE ic IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
 def ic_stability(spark, sf):
-    return rnd(edge.ic_stability(scored(spark, sf), 120, KEYS), "positive", "mean_ic", "sd_ic", "lo", "hi")
+    return rnd(edge.ic_stability(scored(spark, sf), 120, keys=KEYS), "positive", "mean_ic", "sd_ic", "lo", "hi")
 
 
-AVG = "avg(ic) AS mean_ic, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS positive, arg_max(config, (ic, config)) AS best, stddev_samp(ic) AS sd_ic, count(*) AS n_configs"
+AVG = "avg(ic) AS mean_ic, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS positive, arg_max(config, (ic, config)) AS best, max(ic) AS best_ic, count(*) FILTER (ic > 0) = 1 AND count(*) > 1 AS best_only, stddev_samp(ic) AS sd_ic, count(*) AS n_configs"
 
 
-@query("ic_config_average", f"WITH {IC} SELECT symbol, horizon, part, round(mean_ic, {R}) AS mean_ic, round(positive, {R}) AS positive, best, round(sd_ic, {R}) AS sd_ic, n_configs, round(mean_ic / (sd_ic / sqrt(n_configs)), 4) AS t FROM (SELECT symbol, horizon, part, {AVG} FROM ic GROUP BY ALL)")
+@query("ic_config_average", f"WITH {IC} SELECT symbol, horizon, part, round(mean_ic, {R}) AS mean_ic, round(positive, {R}) AS positive, best, round(best_ic, {R}) AS best_ic, best_only, round(sd_ic, {R}) AS sd_ic, n_configs, round(t, 4) AS t, round({sqlstats.t_two_sided('t', '(n_configs - 1)')}, 4) AS p FROM (SELECT *, mean_ic / (sd_ic / sqrt(n_configs)) AS t FROM (SELECT symbol, horizon, part, {AVG} FROM ic GROUP BY ALL))")
 def ic_config_average(spark, sf):
-    return rnd(edge.config_average(ics(spark, sf), ("symbol", "horizon", "part")), "mean_ic", "positive", "sd_ic").withColumn("t", F.round("t", 4))
+    return rnd(edge.config_average(ics(spark, sf), ("symbol", "horizon", "part")), "mean_ic", "positive", "best_ic", "sd_ic").withColumns({"t": F.round("t", 4), "p": F.round("p", 4)})
 
 
 @query("best_config", f"WITH {IC} SELECT symbol, arg_max(config, (ic, config, horizon)) AS config, arg_max(horizon, (ic, config, horizon)) AS horizon, round(max(ic), {R}) AS ic FROM ic WHERE part = 'validation' GROUP BY symbol")
@@ -111,38 +112,40 @@ def ensemble_ic(spark, sf):
     return rnd(edge.spearman(rows, "signal", "fwd", "which", "symbol"), "ic")
 
 
-PERS = f"{BARS_1H}, d AS (SELECT symbol, date_trunc('day', ts) AS ts FROM bars GROUP BY 1, 2 HAVING arg_max(close, ts) > arg_min(open, ts)), n AS ({' UNION ALL '.join(f'SELECT symbol, ts, {h} AS horizon, close, lead(close, {h}) OVER {W} AS later FROM bars' for h in (2, 6, 12))}), e AS (SELECT horizon, n.later / n.close - 1 AS r FROM (SELECT d.symbol, d.ts, h FROM d, (VALUES (2), (6), (12)) AS v(h)) d ASOF JOIN n ON d.symbol = n.symbol AND d.h = n.horizon AND d.ts <= n.ts)"
+FOR = "(2), (6), (12)"
+PERS = f"{BARS_1H}, d AS (SELECT symbol, date_trunc('day', ts) AS ts FROM bars GROUP BY 1, 2 HAVING arg_max(close, ts) > arg_min(open, ts)), n AS ({' UNION ALL '.join(f'SELECT symbol, ts, {h} AS horizon, close, lead(close, {h}) OVER {W} AS later, row_number() OVER {W} - 1 AS i FROM bars' for h in (2, 6, 12))}), e AS (SELECT horizon, n.later / n.close - 1 AS r FROM (SELECT d.symbol, d.ts, h FROM d, (VALUES {FOR}) AS v(h)) d ASOF JOIN n ON d.symbol = n.symbol AND d.h = n.horizon AND d.ts <= n.ts), base AS (SELECT horizon, avg(later / close - 1) AS baseline FROM n WHERE i % greatest(horizon, 10) = 0 AND later IS NOT NULL GROUP BY 1), a AS (SELECT horizon, count(*) AS n, avg(r) AS mean, median(r) AS median, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS hit_rate, stddev_samp(r) AS sd, avg(r) / (stddev_samp(r) / sqrt(count(*))) AS t FROM e WHERE r IS NOT NULL GROUP BY horizon HAVING count(*) >= 5)"
 
 
 def persisted(spark, sf):
     b = bars_1h(spark, sf)
     d = b.groupBy("symbol", F.date_trunc("day", "ts").alias("ts")).agg((F.max_by("close", "ts") > F.min_by("open", "ts")).alias("up")).where("up").select("symbol", "ts")
     rows = [asof.forward_asof(d, b, h).withColumn("horizon", F.lit(h)) for h in (2, 6, 12)]
-    return edge.persistence(rows[0].union(rows[1]).union(rows[2]))
+    return edge.persistence(rows[0].union(rows[1]).union(rows[2]), edge.baseline(b, [2, 6, 12]))
 
 
-@query("persistence", f"WITH {PERS} SELECT horizon, count(*) AS n, round(avg(r), {R}) AS mean, round(median(r), {R}) AS median, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), {R}) AS hit_rate, round(stddev_samp(r), {R}) AS sd, round(avg(r) / (stddev_samp(r) / sqrt(count(*))), 4) AS t FROM e WHERE r IS NOT NULL GROUP BY horizon")
+@query("persistence", f"WITH {PERS} SELECT horizon, n, round(mean, {R}) AS mean, round(median, {R}) AS median, round(hit_rate, {R}) AS hit_rate, round(sd, {R}) AS sd, round(t, 4) AS t, round({sqlstats.t_two_sided('t', '(n - 1)')}, 6) AS p, round(baseline, {R}) AS baseline, round(mean - baseline, {R}) AS excess FROM a JOIN base USING (horizon)")
 def persistence(spark, sf):
-    return rnd(persisted(spark, sf), "mean", "median", "hit_rate", "sd").withColumn("t", F.round("t", 4))
+    return rnd(persisted(spark, sf), "mean", "median", "hit_rate", "sd", "p", "baseline", "excess").withColumn("t", F.round("t", 4))
 
 
-@query("half_life", f"WITH {SCORED}, e AS (SELECT symbol, config, horizon, avg(fwd) FILTER (signal = 1) - avg(fwd) FILTER (signal <> 1) AS excess FROM scored GROUP BY ALL), p AS (SELECT *, max(excess) OVER (PARTITION BY symbol, config) AS peak FROM e), q AS (SELECT *, min(horizon) FILTER (excess = peak) OVER (PARTITION BY symbol, config) AS top_h FROM p) SELECT symbol, config, round(any_value(peak), {R}) AS peak, min(horizon) FILTER (horizon > top_h AND excess < peak / 2) AS half_life FROM q GROUP BY 1, 2")
+@query("half_life", f"WITH {SCORED}, e AS (SELECT symbol, config, horizon, avg(fwd) FILTER (signal = 1) - avg(fwd) FILTER (signal <> 1) AS excess FROM scored GROUP BY ALL), p AS (SELECT *, max(excess) OVER (PARTITION BY symbol, config) AS peak FROM e) SELECT symbol, config, round(any_value(peak), {R}) AS peak, min(horizon) FILTER (excess < peak / 2) AS half_life FROM p WHERE peak > 0 GROUP BY 1, 2")
 def half_life(spark, sf):
     e = edge.edge_stats(scored(spark, sf), 720.0, KEYS).select(*KEYS, F.col("edge").alias("excess"))
     return rnd(edge.half_life(e, "symbol", "config"), "peak")
 
 
-TESTS = f"{SCORED}, tests AS (SELECT {K}, 1 / (1 + abs(avg(fwd) FILTER (signal = 1) - avg(fwd)) * 200) AS p FROM scored WHERE fwd IS NOT NULL GROUP BY ALL)"
+#: p-values of the validation coefficients.
+TESTS = f"{IC}, tests AS MATERIALIZED (SELECT {K}, ic, n, {sqlstats.t_two_sided('(ic * sqrt((n - 2) / (1 - ic * ic)))', '(n - 2)')} AS p FROM ic WHERE part = 'validation')"
 
 
-def tests(spark, sf):
-    s = scored(spark, sf).where("fwd is not null").groupBy(*KEYS).agg((F.avg(F.when(F.col("signal") == 1, F.col("fwd"))) - F.avg("fwd")).alias("d"))
-    return s.select(*KEYS, (1 / (1 + F.abs("d") * 200)).alias("p"))
+def validated(spark, sf):
+    return ics(spark, sf).where("part = 'validation'")
 
 
-@query("fdr_bh", f"WITH {TESTS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM tests) SELECT {K}, round(p, {R}) AS p, coalesce(k <= max(CASE WHEN p <= k * 1.0 / n * 0.2 THEN k END) OVER (PARTITION BY symbol), false) AS significant FROM k")
+@query("fdr_bh", f"WITH {TESTS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p) AS k, count(*) OVER (PARTITION BY symbol) AS n_tests FROM tests) SELECT {K}, round(p, {R}) AS p, coalesce(k <= max(CASE WHEN p <= k * 1.0 / n_tests * 0.02 THEN k END) OVER (PARTITION BY symbol), false) AS significant FROM k")
 def fdr_bh(spark, sf):
-    return rnd(edge.fdr_bh(tests(spark, sf), "p", 0.2, "symbol"), "p")
+    t = validated(spark, sf).select(*KEYS, edge.ic_p_value().alias("p"))
+    return rnd(edge.fdr_bh(t, "p", 0.02, "symbol"), "p")
 
 
 @query("ic_ranking", f"WITH {IC} SELECT horizon, config, part, round(avg(ic), {R}) AS mean_ic, round(max(ic), {R}) AS best_ic, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), {R}) AS positive, count(DISTINCT symbol) AS n_assets, count(*) FILTER (ic > 0) AS n_positive, CASE WHEN avg(ic) > 0.02 AND avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) > 0.5 THEN 'pass' ELSE 'fail' END AS status FROM ic GROUP BY ALL")
@@ -152,12 +155,15 @@ def ic_ranking(spark, sf):
     return rnd(r.withColumn("status", F.when((F.col("mean_ic") > 0.02) & (F.col("positive") > 0.5), "pass").otherwise("fail")), "mean_ic", "best_ic", "positive")
 
 
-@query("ic_finalists", f"WITH {IC}, g AS (SELECT config FROM ic WHERE part = 'validation' GROUP BY config HAVING avg(ic) > -1 AND avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) >= 0) SELECT config, symbol, " + ", ".join(f"round(avg(ic) FILTER (horizon = {h}), {R}) AS h{h}" for h in HORIZONS) + " FROM ic WHERE part = 'validation' AND config IN (SELECT config FROM g) GROUP BY 1, 2")
+#: The fixture's prices revert, so pulses are scored as short ones; a gate that some configurations pass and some fail.
+GATE = {"horizon": 4, "least_ic": 0.12, "least_positive": 0.5, "alpha": 0.1}
+
+
+@query("ic_finalists", f"WITH {TESTS.replace('SELECT symbol, config, horizon, ic,', 'SELECT symbol, config, horizon, -ic AS ic,')}, k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n_tests FROM tests WHERE horizon = {GATE['horizon']}), f AS (SELECT *, coalesce(k <= max(CASE WHEN p <= k * 1.0 / n_tests * {GATE['alpha']} THEN k END) OVER (), false) AS significant FROM k), g AS (SELECT config, avg(ic) AS mean_ic, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) AS positive, count(*) FILTER (significant) AS n_significant, count(DISTINCT symbol) AS n_assets FROM f GROUP BY 1 HAVING avg(ic) > {GATE['least_ic']} AND avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END) > {GATE['least_positive']} AND count(*) FILTER (significant) > 0) SELECT config, symbol, round(any_value(mean_ic), {R}) AS mean_ic, round(any_value(positive), {R}) AS positive, any_value(n_significant) AS n_significant, any_value(n_assets) AS n_assets, " + ", ".join(f"round(avg(ic) FILTER (horizon = {h}), {R}) AS h{h}" for h in HORIZONS) + " FROM tests JOIN g USING (config) GROUP BY 1, 2")
 def ic_finalists(spark, sf):
-    v = ics(spark, sf).where("part = 'validation'")
-    good = v.groupBy("config").agg(F.avg("ic").alias("m"), F.avg((F.col("ic") > 0).cast("double")).alias("p")).where("m > -1 and p >= 0").select("config")
-    p = v.join(good, "config").groupBy("config", "symbol").pivot("horizon", HORIZONS).agg(F.avg("ic"))
-    return p.select("config", "symbol", *[F.round(F.col(f"`{h}`"), R).alias(f"h{h}") for h in HORIZONS])
+    v = validated(spark, sf).withColumn("ic", -F.col("ic"))
+    p = v.join(edge.finalists(v, **GATE), "config").groupBy("config", "symbol", "mean_ic", "positive", "n_significant", "n_assets").pivot("horizon", HORIZONS).agg(F.avg("ic"))
+    return rnd(p.select("config", "symbol", "mean_ic", "positive", "n_significant", "n_assets", *[F.round(F.col(f"`{h}`"), R).alias(f"h{h}") for h in HORIZONS]), "mean_ic", "positive")
 
 
 EXPO = f"{BARS_1H}, r AS (SELECT symbol, ts, close, open, ln(close / lag(close) OVER {W}) AS log_ret, coalesce(lag(CASE WHEN close > open THEN 1.0 ELSE 0 END) OVER {W}, 0)::DOUBLE AS position FROM bars), x AS (SELECT *, position * log_ret AS ret FROM r WHERE log_ret IS NOT NULL)"
@@ -188,7 +194,12 @@ def combo_signals(spark, sf):
     return rnd(out, *M)
 
 
-@query("regime_edge", f"WITH {EXPO}, y AS (SELECT *, CASE WHEN hour(ts) < 8 THEN 'night' WHEN hour(ts) < 16 THEN 'day' ELSE 'evening' END AS regime FROM x) SELECT regime, {METRICS} FROM y GROUP BY regime")
+PHASES = f"{EXPO}, dd AS (SELECT symbol, date_trunc('day', ts) AS day, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2), ph AS (SELECT symbol, day, CASE WHEN f > 0.5 THEN 'bull' WHEN f < -0.3 THEN 'bear' ELSE 'sideways' END AS phase FROM (SELECT *, lead(close, 5) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS f FROM dd)), y AS (SELECT x.*, phase FROM x ASOF LEFT JOIN ph ON x.symbol = ph.symbol AND x.ts >= ph.day), z AS (SELECT *, phase AS regime FROM y UNION ALL SELECT *, 'all' FROM y)"
+
+
+@query("regime_edge", f"WITH {PHASES} SELECT regime, {METRICS}, count(*) AS n_bars, round(sum(log_ret), {R}) AS hold_total, round(avg(log_ret) / stddev_samp(log_ret), {R}) AS hold_sharpe, sum(ret) > sum(log_ret) AS better FROM z GROUP BY regime HAVING count(*) >= 20")
 def regime_edge(spark, sf):
-    h = F.hour("ts")
-    return rnd(edge.exposure_metrics(exposed(spark, sf).withColumn("regime", F.when(h < 8, "night").when(h < 16, "day").otherwise("evening")), "regime"), *M)
+    b = bars_1h(spark, sf)
+    days = b.groupBy("symbol", F.date_trunc("day", "ts").alias("ts")).agg(F.max_by("close", "ts").alias("close"))
+    rows = asof.asof(exposed(spark, sf), combine.market_phase(days, 5).select("symbol", "ts", "phase"), ["phase"])
+    return rnd(edge.regime_metrics(rows), *M, "hold_total", "hold_sharpe")

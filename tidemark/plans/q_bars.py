@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, bars, quality
+from tidemark.operators import asof, bars, overfit, quality
 from tidemark.plans.fixtures import BARS_1D, BARS_1H, SLOW, bars_1d, bars_1h, slow_series, table, ticks
 from tidemark.plans.registry import query
 from tidemark.sources import bars as store
@@ -370,10 +370,10 @@ def period_range_join(spark, sf):
     return asof.period_range_join(bars_1h(spark, sf), periods(spark)).groupBy("symbol", "name").agg(F.count("*").alias("n"), F.max("close").alias("top"))
 
 
-@query("fold_range_join", f"WITH {BARS_1H}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS t FROM bars), f AS (SELECT i AS fold, i * 100 AS a, i * 100 + 200 AS b, i * 100 + 210 AS c, i * 100 + 300 AS d FROM range(4) AS r(i)) SELECT symbol, fold, CASE WHEN t >= c THEN 'oos' ELSE 'is' END AS part, count(*) AS n, round(avg(close), {R}) AS mean FROM t JOIN f ON (t >= a AND t < b) OR (t >= c AND t < d) GROUP BY 1, 2, 3")
+@query("fold_range_join", f"WITH {BARS_1H}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS t FROM bars), f AS (SELECT i AS fold, i * s AS a, i * s + 200 AS b, i * s + 210 AS c, i * s + 300 AS d FROM (SELECT (max(t) + 1 - 300) // 3 AS s FROM t), range(4) AS r(i)) SELECT symbol, CAST(fold AS INT) AS fold, CASE WHEN t >= c THEN 'oos' ELSE 'is' END AS part, count(*) AS n, round(avg(close), {R}) AS mean FROM t JOIN f ON (t >= a AND t < b) OR (t >= c AND t < d) GROUP BY 1, 2, 3")
 def fold_range_join(spark, sf):
-    b = bars_1h(spark, sf).withColumn("t", F.row_number().over(quality.W()))
-    folds = spark.range(4).select(F.col("id").alias("fold"), (F.col("id") * 100).alias("is_start"), (F.col("id") * 100 + 200).alias("is_end"), (F.col("id") * 100 + 210).alias("oos_start"), (F.col("id") * 100 + 300).alias("oos_end"))
+    b = bars_1h(spark, sf).withColumn("t", F.row_number().over(quality.W()) - 1)
+    folds = overfit.splits(b, 4, 200, 10, 90)
     return asof.fold_range_join(b, folds).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.round(F.avg("close"), R).alias("mean"))
 
 

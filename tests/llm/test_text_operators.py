@@ -406,9 +406,24 @@ def test_suffix_dedup_is_the_same_in_parts(spark, monkeypatch):
     found = lambda: sorted(map(str, suffix_dedup.joined_spans(suffix_dedup.repeated_spans(df)).collect()))
     whole = found()
     monkeypatch.setattr(suffix_dedup, "PART", 3)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3)
     assert found() == whole and len(whole) >= 42
 
 
+def test_cut_repeats_keeps_other_columns_and_rows_of_a_key(spark):
+    """A user's columns of any name, null keys and texts, and a key that repeats with another text."""
+    from tidemark.llm.suffix_dedup import cut_repeats, repeated_spans
+
+    rnd = random.Random(8)
+    word = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    passage = word(60)
+    rows = [(1, passage + " " + word(5), "a"), (2, "x " + passage, "b"), (2, word(80), "c"), (None, word(3) + " " + passage, "d"), (3, None, "e"), (4, passage, "f")]
+    df = spark.createDataFrame([(*r, r[2], r[2], r[2], r[2]) for r in rows], "doc_id long, text string, sk string, spans string, key string, hash string, own string")
+    got = {r.sk: r for r in cut_repeats(df, repeated_spans(df)).collect()}
+    assert set(got) == set("abcde") and all(r.spans == r.key == r.hash == r.own == k for k, r in got.items())
+    assert got["a"].text == rows[0][1] and got["b"].text.split() == ["x"] and got["c"].text == rows[2][1] and len(got["d"].text.split()) == 3 and got["e"].text is None
+
+
 def test_decontamination_sees_new_parameters(spark, odd):
     from tidemark.llm.decontaminate import contaminated, drop_contaminated
 

@@ -110,6 +110,13 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[list
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A helper column's name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def byte_length(text: str):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")

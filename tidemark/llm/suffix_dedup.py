@@ -14,8 +14,9 @@ occurrence of the smallest key is kept, all others are repeats; stretches that
 follow each other make up longer passages.
 
 Stretches of a ten-gram with more than about ``PART`` occurrences are grouped by
-their own hash instead, first in parts of about ``PART`` rows and then across
-parts. That gives the same repeats, and no group grows with the ten-gram.
+their own hash instead, first in parts of about ``SLICE`` rows and then across
+parts. That gives the same repeats, no group grows with the ten-gram, and small
+parts spread a very frequent passage evenly over tasks.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_staged, prepare, stage
+from tidemark.llm.common import Staged, free_name, prepare
 from tidemark.llm.words import grams, word_hashes, word_spans
 
-GRAM, LEAST, PART = 10, 50, 4000
+GRAM, LEAST, PART, SLICE = 10, 50, 4000, 128
 _SPAN = LEAST - GRAM + 1
 
 
@@ -187,37 +188,40 @@ def _kept_elsewhere(rows: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Repeats of passages of ``LEAST`` words or more: key, begin, end (word numbers), kept_id; one row for each suffix's span.
+    """Repeats of passages of ``LEAST`` words or more: key, begin, end (word numbers), kept_id, text_hash; one row for each suffix's span.
 
     kept_id is the smallest key among all occurrences of a stretch of ``LEAST`` words; that occurrence
     gives no row, nor does a passage that comes again inside its own text. Equal texts of ``LEAST`` words or more repeat whole; rows that
-    repeat key and text are one document. Null and short texts give no row.
+    repeat key and text are one document. Null and short texts give no row. Keys are whole numbers or null; text_hash
+    (64 bits of the text) tells rows apart that repeat a key with other texts. Other columns are not read.
     Words are as in ``words``: split at ASCII white space, A-Z in lower case.
     """
     prepare(docs.sparkSession)
+    stage = Staged("suffix")
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).where("text is not null").withColumn("node", F.xxhash64("text"))
-    anchors = stage(_anchors(rows), "suffix-anchors")
+    anchors = stage(_anchors(rows), "anchors")
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    counts = stage(counts.withColumn("parts", (F.col("c") / PART + 1).cast("int")), "suffix-counts")
+    counts = stage(counts.withColumn("parts", F.when(F.col("c") > PART, (F.col("c") / SLICE + 1).cast("int")).otherwise(1)), "counts")
     places = anchors.join(counts, "anchor").select("node", F.struct(F.col("pos"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "pos"), F.col("parts"))).otherwise(-1).cast("int").alias("part")).alias("place"))
     places = places.groupBy("node").agg(F.collect_set("place").alias("places"))  # bounded by one text's length
     first = rows.groupBy("node").agg(F.min("k").alias("fk"), F.count("*").alias("copies"))
     places = places.join(first, "node").select(F.col("node").alias("pn"), "fk", "places")
     own = rows.join(places, (rows.node == F.col("pn")) & rows.k.eqNullSafe(F.col("fk"))).drop("pn", "fk")
-    got = stage(_compare(_suffixes(own).withColumn("hot", F.col("part") >= 0)), "suffix-repeats")
-    drop_staged(anchors)
-    # stretches of ten-grams in parts: the least key of a part, then of all parts, then back to the part's rows, so that no join key has many more than PART rows
+    got = stage(_compare(_suffixes(own).withColumn("hot", F.col("part") >= 0)), "repeats")
+    stage.drop(anchors, counts)
+    # stretches of ten-grams in parts: the least key of a part, then of all parts, then back to the part's rows, so that no join key has many more than SLICE rows
     hot = got.where("to_node is null")
     of_part = hot.groupBy("anchor", "part", "hash").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "node")).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    of_part = stage(of_part, "suffix-parts")
+    of_part = stage(of_part, "parts")
     of_all = of_part.groupBy("anchor", "hash").agg(F.min("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     best = of_part.select("anchor", "part", "hash").join(of_all.where("lo < hi").select("anchor", "hash", "m"), ["anchor", "hash"])
     best = best.select("anchor", "part", "hash", F.col("m.k").alias("to_k"), F.col("m.node").alias("to_node"))
-    more = stage(_kept_elsewhere(hot, best), "suffix-again")
+    more = stage(_kept_elsewhere(hot, best), "again")
     spans = got.where("to_node is not null").select(more.columns).unionByName(more)
-    spans = spans.select(F.col("k").alias(key), "begin", "end", F.col("to_k").alias("kept_id"))
+    spans = spans.select(F.col("k").alias(key), "begin", "end", F.col("to_k").alias("kept_id"), F.col("node").alias("text_hash"))
     copies = rows.join(first.where("copies > 1").select(F.col("node").alias("cn"), "fk"), rows.node == F.col("cn")).where(~rows.k.eqNullSafe(F.col("fk")))
-    return spans.unionByName(copies.select("k", "text", F.col("fk").alias("kept_id")).transform(_whole, key))
+    copies = copies.select("k", "text", F.col("fk").alias("kept_id"), "node").transform(_whole, key)
+    return stage.last(spans.unionByName(copies), "spans")
 
 
 def _whole(copies: DataFrame, key: str) -> DataFrame:
@@ -226,43 +230,43 @@ def _whole(copies: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = np.array([len(word_spans(t.encode("utf-8", "surrogatepass"))[0]) for t in b.column(1).to_pylist()], np.int64)
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(n), np.int64)), pa.array(n), b.column(2)], names=[key, "begin", "end", "kept_id"])
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(n), np.int64)), pa.array(n), b.column(2), b.column(3)], names=[key, "begin", "end", "kept_id", "text_hash"])
             yield out.filter(pa.array(n >= LEAST))
 
-    return copies.mapInArrow(run, f"`{key}` long, begin long, end long, kept_id long")
+    return copies.mapInArrow(run, f"`{key}` long, begin long, end long, kept_id long, text_hash long")
 
 
 def joined_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Maximal repeated stretches: key, begin, end, n_words, kept_ids (sorted); overlapping spans of a document are one."""
-    rows = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("begin", "end", "kept_id"))).alias("s"))
-    fold = F.aggregate(
-        "s",
-        F.array().cast("array<struct<begin:bigint,end:bigint,kept:array<bigint>>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["begin"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["begin"].alias("begin"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"), F.array_union(F.element_at(acc, -1)["kept"], F.array(x["kept_id"])).alias("kept")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.array(x["kept_id"]).alias("kept"))))),
-    )
-    out = rows.select(key, F.explode(fold).alias("x"))
-    return out.select(key, F.col("x.begin").alias("begin"), F.col("x.end").alias("end"), (F.col("x.end") - F.col("x.begin")).alias("n_words"), F.array_sort("x.kept").alias("kept_ids"))
+    """Maximal repeated stretches: key, begin, end, n_words, kept_ids (sorted); overlapping and touching spans of a text are one."""
+    text = Window.partitionBy(key, "text_hash")
+    before = F.max("end").over(text.orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("new__", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int"))
+    rows = rows.withColumn("part__", F.sum("new__").over(text.orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy(key, "text_hash", "part__").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_sort(F.collect_set("kept_id")).alias("kept_ids"))
+    return out.select(key, "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "kept_ids")
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the words in ``spans``; texts left without a word after a cut go. Keys are taken as unique."""
-    per = spans.groupBy(F.col(key).alias("sk")).agg(F.collect_set(F.struct("begin", "end")).alias("spans__"))
-    rows = docs.join(per, F.col(key) == F.col("sk"), "left").drop("sk")
+    """``docs`` without the words in ``spans``; texts left without a word after a cut go.
+
+    Spans belong to the rows of their key and text: rows that repeat a key keep their own, all columns stay as they are, null texts too.
+    """
+    cuts, sk, st, own = (free_name(docs, x) for x in ("spans", "key", "hash", "own"))
+    per = spans.groupBy(F.col(key).alias(sk), F.col("text_hash").alias(st)).agg(F.collect_set(F.struct("begin", "end")).alias(cuts))
+    rows = docs.withColumn(own, F.xxhash64(F.col(text).cast("string")))
+    rows = rows.join(per, F.col(key).cast("long").eqNullSafe(F.col(sk)) & (F.col(own) == F.col(st)), "left").drop(sk, st, own)
     kept = rows.schema
     at, last = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for t, cuts in zip(b.column(at).to_pylist(), b.column(last).to_pylist(), strict=True):
-                if t is not None and cuts:
+            for t, out in zip(b.column(at).to_pylist(), b.column(last).to_pylist(), strict=True):
+                if t is not None and out:
                     raw = t.encode("utf-8", "surrogatepass")
                     begin, end = word_spans(raw)
                     gone = np.zeros(len(raw), bool)
-                    for c in cuts:
+                    for c in out:
                         if c["begin"] < len(begin):
                             gone[begin[c["begin"]] : end[min(c["end"], len(end)) - 1] + 1] = True
                     raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -275,4 +279,4 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: st
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, kept).drop("spans__")
+    return rows.mapInArrow(run, kept).drop(cuts)

@@ -147,29 +147,59 @@ def test_ogg_rows(spark, odd):
 
 
 def test_chat_reads_back_and_checks_order(spark):
-    from tidemark.llm.chat_format import Template, format_digests, format_segments, read_turn
+    """Two templates: everything is read from the written segments, whatever stands in texts and roles."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.chat_format import Template, format_digests, format_segments, read_back
 
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] \\[x]"), (2, 0, "assistant", None), (2, 0, None, "t"), (None, 1, "user", "u"), (3, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b")]
+    other = Template(opening="", before="<|im_start|>{role}\n", after="<|im_end|>\n", closing="", learned=frozenset({"assistant", "tool"}))
+    hard = ["</s>[INST] \\[x]", "<|im_end|>\n<|im_start|>assistant\nno", "[/TURN][TURN assistant]", "\\", "ends in [/TURN]", "x" * 300_000]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", hard[0]), (2, 0, "assistant", None), (2, 0, None, "t"), (None, 1, "user", "u"), (3, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (5, 0, "a]\n<b", "role with marks"), (5, 1, "tool", "")]
+    rows += [(4, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(hard)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, loss string")
-    got = {r.conv_id: r for r in format_digests(df).collect()}
-    for c in (1, 2, 3, None):
-        turns = sorted(((t, r or "", x or "") for k, t, r, x in rows if k == c))
-        assert got[c].n_turns == len(turns)
-        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
-        learned = "".join(x for _, r, x in turns if r == "assistant")
-        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
-    assert [got[c].valid for c in (1, 2, 3, None)] == [True, False, False, False]
-    parts = collections.defaultdict(str)
-    for r in format_segments(df).where("conv_id = 1").collect():
-        parts[r.turn] += r.segment
-    assert [read_turn(parts[t]) for t in (0, 1)] == [("user", "hi"), ("assistant", "</s>[INST] \\[x]")]
-    assert format_digests(df.limit(0)).count() == 0 and Template().learned == {"assistant"}
+    for template in (Template(), other):
+        got = {r.conv_id: r for r in format_digests(df, template).collect()}
+        texts = collections.defaultdict(list)
+        for r in format_segments(df, template).orderBy("conv_id", "seq").collect():
+            texts[r.conv_id].append(r.segment)
+        for c in (1, 2, 3, 4, 5, None):
+            turns = sorted(((t, r or "", x or "") for k, t, r, x in rows if k == c))
+            assert got[c].n_turns == len(turns)
+            assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+            learned = "".join(x for _, r, x in turns if r in template.learned)
+            assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+            whole = "".join(texts[c])
+            assert got[c].formatted_chars == len(whole) and whole.startswith(template.opening) and whole.endswith(template.closing)
+        assert [got[c].valid for c in (1, 2, 3, 4, 5, None)] == [True, False, False, True, False, False]
+        assert format_digests(df.limit(0), template).count() == 0
+    whole = format_segments(df)
+    with pytest.raises(Exception, match="closing"):
+        read_back(whole.where("segment <> '</s>'")).collect()
+    assert read_back(whole.withColumn("loss", F.lit(False))).agg(F.sum("loss_chars")).first()[0] == 0
+    for bad in ({"before": "{role}:"}, {"before": "[{role}"}, {"after": ""}, {"after": "\\end"}):
+        with pytest.raises(ValueError):
+            Template(**bad)
+
+
+def fewest_bytes(rows, shards):
+    """Least bytes that must leave their shard, over every choice of the shards that hold one row more."""
+    import itertools
+
+    own = collections.defaultdict(list)
+    for size, old in rows:
+        own[old].append(size)
+    room, more = divmod(len(rows), shards)
+    best = None
+    for extra in itertools.combinations(range(shards), more):
+        cost = sum(sum(sorted(v)[: max(0, len(v) - (room + (s in extra) if s < shards else 0))]) for s, v in own.items())
+        best = cost if best is None else min(best, cost)
+    return best
 
 
 def test_resharding_is_even_and_moves_the_fewest_bytes(spark, odd):
     from pyspark.sql import functions as F
 
-    from tidemark.llm.resharding import plan_transfers, reshard
+    from tidemark.llm.resharding import reshard
 
     for docs, shards in ((odd, 5), (spark.read.parquet(f"{SF}/documents.parquet"), 24)):
         rows = reshard(docs, F.lit(0) if docs is odd else F.pmod("doc_id", F.lit(7)), shards).collect()
@@ -180,9 +210,13 @@ def test_resharding_is_even_and_moves_the_fewest_bytes(spark, odd):
         sizes = [len(by[s]) for s in range(shards)]
         assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert reshard(empty(spark), F.lit(0), 4).count() == 0
-    # two shards of four and two rows: one row moves, the smallest
-    moved = [(o, k, s, b - a) for o, k, s, a, b in plan_transfers([(0, 3, 3, 30), (0, 1, 1, 2), (1, 3, 2, 20)], 2) if o != s]
-    assert moved == [(0, 1, 1, 1)]
+    rnd = random.Random(7)
+    for shards, olds, n in ((2, 2, 7), (3, 3, 20), (4, 6, 31), (5, 2, 23)):
+        texts = ["x" * rnd.choice([0, 1, 2, 7, 8, 15, 16, 60, rnd.randint(0, 200)]) for _ in range(n)]
+        df = spark.createDataFrame([(i, t, min(rnd.randrange(olds), rnd.randrange(olds))) for i, t in enumerate(texts)], "doc_id long, text string, old int")
+        got = reshard(df, F.col("old"), shards).collect()
+        moved = sum(r.size for r in got if r.shard != r.old_shard)
+        assert moved == fewest_bytes([(r.size, r.old_shard) for r in got], shards)
 
 
 def test_language_profiles(spark, odd):
@@ -322,24 +356,22 @@ def test_components_of_chains(spark):
 
 
 def test_resharding_writes_whole_rows_by_place(spark, odd, tmp_path):
-    """Null and repeated keys: each row once in the written shards; the smallest rows of a class move."""
+    """Null and repeated keys and columns named shard and slot: each row once in the written shards."""
     from pyspark.sql import functions as F
 
-    from tidemark.llm.common import stage
     from tidemark.llm.resharding import reshard, reshard_and_rewrite, rewrite_shards
 
     docs = odd.union(odd).union(spark.createDataFrame([(None, "x" * i, None, i) for i in range(20)], odd.schema))
-    back = rewrite_shards(stage(reshard(docs, F.lit(0), 3, whole=True), "test"), str(tmp_path / "shards"))
-    assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, docs.collect()))
-    places = collections.Counter((r.shard, r.slot) for r in back.collect())
+    docs = docs.select("*", F.lit("a").alias("shard"), F.lit("b").alias("slot"), F.lit("c").alias("row"), F.lit("d").alias("order"))
+    back, touched = rewrite_shards(reshard(docs, F.lit(0), 3), str(tmp_path / "shards"))
+    assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, docs.collect())) and touched == {0, 1, 2}
+    places = collections.Counter((r.shard, r.slot) for r in back.select(back.shard, back.slot).collect())
     assert len(places) == docs.count() and {s for s, _ in places} == {0, 1, 2}
     cols = ["doc_id", "size", "text_crc32"]
-    assert sorted(map(str, reshard_and_rewrite(docs, F.lit(0), 3).select(cols).collect())) == sorted(map(str, reshard(docs, F.lit(0), 3).select(cols).collect()))
-    still = reshard_and_rewrite(docs.limit(3), F.lit(0), 1).collect()  # nothing moves, nothing is written
-    assert len(still) == 3 and {r.shard for r in still} == {0}
-    one = spark.createDataFrame([(i, "x" * (1024 + i)) for i in range(1000)], "doc_id long, text string")
-    moved = [r.size for r in reshard(one, F.lit(0), 2).collect() if r.shard]
-    assert len(moved) == 500 and max(moved) <= 1024 + 8 + 500 + 32
+    want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert collections.Counter(map(tuple, reshard_and_rewrite(docs, F.lit(0), 3).select(cols).collect())) == want
+    still = reshard_and_rewrite(odd, F.lit(0), 1).collect()  # nothing moves, nothing is written
+    assert len(still) == odd.count() and {r.shard for r in still} == {0}
 
 
 def test_suffix_dedup_leaves_no_repeated_passage(spark, odd):

@@ -1,8 +1,9 @@
 """Chat formatting: a finite-state machine over roles checks turn order and a declarative template emits text segments with loss flags.
 
-A template names the text around each role's turn. Control characters inside
-texts are escaped with a backslash, so no text can open or close a turn and the
-output can be read back exactly.
+A template names the text around a conversation and around each role's turn; what
+is escaped and how the output is read back both follow from it. Control
+characters inside texts are escaped with a backslash, so no text can open or
+close a turn and the output can be read back exactly.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import prepare, stage
 
 
 @dataclass(frozen=True)
 class Template:
-    """What stands before and after a turn. Marks begin with ``[`` or ``<``, which texts hold escaped."""
+    """What stands around a conversation and around a turn; ``before`` names the role once, with a mark behind it.
+
+    Characters that begin a mark or end one stand escaped in roles and texts, so the marks are found by reading on to the next that is not.
+    """
 
     opening: str = "<s>"
     before: str = "[TURN {role}]"
@@ -31,14 +35,36 @@ class Template:
     #: role before -> roles that may follow ("" is the beginning; "end" the end)
     order: dict = field(default_factory=lambda: {"": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user", "end"}})
 
+    def __post_init__(self):
+        head, tail = self.role_marks
+        if not (head and tail and self.after) or "\\" in self.opening + self.before + self.after + self.closing:
+            raise ValueError("a turn needs marks before and behind its role and behind its text, without backslashes")
+        if self.closing and self.closing[0] == head[0] and (self.closing.startswith(head) or head.startswith(self.closing)):
+            raise ValueError("the closing and the mark before a role must differ")
 
-_SPECIAL = re.compile(r"[\\\[\]<>]")
-_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"\[TURN ((?:[^\\\[\]<>]|\\.)*)\]((?:[^\\\[\]<>]|\\.)*)\[/TURN\]", re.DOTALL)
+    @property
+    def role_marks(self) -> tuple[str, str]:
+        head, _, tail = self.before.partition("{role}")
+        return head, tail
+
+    @property
+    def special(self) -> str:
+        """Characters that roles and texts hold escaped."""
+        head, tail = self.role_marks
+        marks = [m for m in (self.opening, head, tail, self.after, self.closing) if m]
+        return "".join(sorted({"\\"} | {m[0] for m in marks} | {m[-1] for m in (self.opening, self.after, self.closing) if m}))
 
+    def escape(self, text: str) -> str:
+        return re.sub(f"[{re.escape(self.special)}]", r"\\\g<0>", text)
 
-def escape(text: str) -> str:
-    return _SPECIAL.sub(r"\\\g<0>", text)
+    def turn_pattern(self) -> re.Pattern:
+        """One formatted turn, with role and text as groups."""
+        plain = rf"((?:[^{re.escape(self.special)}]|\\.)*)"
+        head, tail = map(re.escape, self.role_marks)
+        return re.compile(head + plain + tail + plain + re.escape(self.after), re.DOTALL)
+
+
+_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def unescape(text: str) -> str:
@@ -47,15 +73,8 @@ def unescape(text: str) -> str:
 
 def segments(template: Template, role: str, text: str) -> list[tuple[str, bool]]:
     """Output of one turn as (text, loss) segments; the text of a learned role alone carries loss."""
-    return [(template.before.format(role=escape(role)), False), (escape(text), role in template.learned), (template.after, False)]
-
-
-def read_turn(formatted: str) -> tuple[str, str]:
-    """Role and text of one formatted turn."""
-    m = _TURN.fullmatch(formatted)
-    if not m:
-        raise ValueError("not a formatted turn")
-    return unescape(m[1]), unescape(m[2])
+    head, tail = template.role_marks
+    return [(head + template.escape(role) + tail, False), (template.escape(text), role in template.learned), (template.after, False)]
 
 
 class Machine:
@@ -71,81 +90,113 @@ class Machine:
 
 
 def format_segments(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """Segments of all conversations: conv_id, turn, part, segment, loss, valid (up to this turn).
+    """All conversations as text: conv_id, seq (from 0 in each conversation), segment, loss; joined by seq they are the formatted text.
 
     Rows are partitioned by conversation and sorted by turn, role, text; a task
     streams over them and holds one turn, so a conversation of any length takes
     bounded memory. A null text or role counts as empty (an empty role is never
-    in order); null conversation ids form one conversation; repeated rows are
+    in order); null conversation ids form one conversation (ids are whole numbers); repeated rows are
     turns of their own; other columns are not read. An empty table gives none.
     """
     template = template or Template()
-    arrow = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("segment", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
+    arrow = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, machine = object(), Machine(template.order)
+        conv, seq = _NONE, 0
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
         for b in batches:
             out = []
-            for c, turn, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if c != conv:
-                    conv, machine = c, Machine(template.order)
-                ok = machine.step(role)
-                out += [(c, turn, i, s, loss, ok) for i, (s, loss) in enumerate(segments(template, role, text))]
+            for c, _, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if conv is _NONE or c != conv:
+                    if conv is not _NONE:
+                        out.append((conv, seq, template.closing, False))
+                    conv, seq = c, 1
+                    out.append((c, 0, template.opening, False))
+                for s, loss in segments(template, role, text):
+                    out.append((c, seq, s, loss))
+                    seq += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    return _sorted(conversations).mapInArrow(run, "conv_id long, turn long, part int, segment string, loss boolean, valid boolean")
+                yield batch(out)
+        if conv is not _NONE:
+            yield batch([(conv, seq, template.closing, False)])
 
-
-def _sorted(conversations: DataFrame) -> DataFrame:
     prepare(conversations.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), empty("role"), empty("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, seq long, segment string, loss boolean")
 
 
-def format_digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """Format as ``format_segments`` does, read the output back and digest each conversation.
+_NONE = object()
 
-    Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars, valid. Digests are updated turn by turn.
+
+class Reader:
+    """Reads one formatted conversation, segment by segment: turns by the template's pattern, learned text by the loss flags."""
+
+    def __init__(self, template: Template):
+        self.template, self.pattern, self.machine = template, template.turn_pattern(), Machine(template.order)
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.held, self.begun, self.n_turns, self.loss_chars, self.chars = "", False, 0, 0, 0
+
+    def feed(self, segment: str, loss: bool) -> None:
+        self.held += segment
+        self.chars += len(segment)
+        if loss:
+            text = unescape(segment)
+            self.loss_chars += len(text)
+            self.loss.update(text.encode("utf-8", "surrogatepass"))
+        if not self.begun:
+            if not self.held.startswith(self.template.opening):
+                raise ValueError("a conversation begins without its opening")
+            self.held, self.begun = self.held[len(self.template.opening) :], True
+        if segment.endswith(self.template.after) and (m := self.pattern.match(self.held)):
+            role, text = unescape(m[1]), unescape(m[2])
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            self.machine.step(role)
+            self.held = self.held[m.end() :]
+
+    def close(self) -> tuple:
+        if self.held != self.template.closing:
+            raise ValueError("a conversation ends without its closing")
+        self.machine.step("end")
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.machine.valid
+
+
+def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
+    """Read the output of ``format_segments``: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid (turns in the template's order).
+
+    Everything comes from the segments and their flags. Digests grow turn by turn; a task holds one turn. Output that the template can't have made raises.
     """
     template = template or Template()
     names = ("conv_id long", "n_turns long", "turns_sha256 string", "loss_chars long", "loss_sha256 string", "formatted_chars long", "valid boolean")
     arrow = pa.schema([(n.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[n.split()[1]]) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, out = object(), None, []
-
-        def close():
-            n, turns, chars, loss, total, machine = state
-            machine.step("end")
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total + len(template.closing), machine.valid
+        conv, reader = _NONE, None
 
-        def batch():
+        def batch(out):
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
         for b in batches:
-            for c, _, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if state is None or c != conv:
-                    if state is not None:
-                        out.append(close())
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), len(template.opening), Machine(template.order)]
-                parts = segments(template, role, text)
-                got_role, got_text = read_turn("".join(s for s, _ in parts))
-                learned = [unescape(s) for s, loss in parts if loss]
-                state[0] += 1
-                state[1].update(f"{got_role}\n{got_text}\n".encode("utf-8", "surrogatepass"))
-                state[2] += sum(map(len, learned))
-                state[3].update("".join(learned).encode("utf-8", "surrogatepass"))
-                state[4] += sum(len(s) for s, _ in parts)
-                state[5].step(role)
-            if len(out) > 1000:
-                yield batch()
-                out = []
-        if state is not None:
-            out.append(close())
-        if out:
-            yield batch()
-
-    return _sorted(conversations).mapInArrow(run, ", ".join(names))
+            out = []
+            for c, _, segment, loss in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if conv is _NONE or c != conv:
+                    if reader:
+                        out.append((conv, *reader.close()))
+                    conv, reader = c, Reader(template)
+                reader.feed(segment, loss)
+            if out:
+                yield batch(out)
+        if reader:
+            yield batch([(conv, *reader.close())])
+
+    rows = formatted.select("conv_id", "seq", "segment", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return rows.mapInArrow(run, ", ".join(names))
+
+
+def format_digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
+    """Format all conversations, write the output, and read it back."""
+    return read_back(stage(format_segments(conversations, template), "chat-formatted"), template)

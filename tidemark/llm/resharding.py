@@ -1,10 +1,14 @@
 """Minimum-cost-flow resharding: from old shard sizes and new capacities, solve the transfers that move the fewest bytes, then rewrite the shards they touch.
 
-Rows of an old shard fall into blocks by size class (powers of two). The flow
-network has one source arc a block, a free arc to the block's own shard, an arc
-at its mean size to any other shard, and shard capacities; its size depends on
-shards and classes alone, not on rows. Under the ``rows`` law capacities differ
-by one row at most, so the optimum keeps what it can and moves small rows.
+Under the ``rows`` law shards hold total // shards rows or one more. An old shard
+that is too full sends its smallest rows, so its rows fall into three blocks:
+those below the size at the cut, those of that size, and those above it. In the
+flow network every block has a free arc to its own shard and an arc at its rows'
+size to each other one; each shard has room for its rows and, through one node
+that holds the remainder, for one more. The flow decides where the extra rows
+stay and which pairs of shards exchange rows, and its cost is the fewest bytes:
+blocks that it may split hold rows of one size. The network depends on the
+number of shards alone, not on rows.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_length, drop_staged, prepare, shared_folder, stage
+from tidemark.llm.common import byte_length, prepare, shared_folder
 
 #: Rows of one numbering bucket on average.
 BUCKET_ROWS = 20_000
-#: Ranges of size inside a class.
-STEPS = 32
+#: Blocks of an old shard: rows below the size at the cut, of that size, above it.
+BELOW, AT, ABOVE = 0, 1, 2
 
 
 class Network:
@@ -76,117 +80,109 @@ class Network:
 
 
 def plan_transfers(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows of each block that go to each shard: (old, class, new, from rank, to rank).
+    """Rows of each block that go to each shard: (old, kind, new, from rank, to rank).
 
-    ``blocks`` has (old shard, size class, rows, bytes). Old shards beyond the new
-    count only send. Capacities: rows // shards, one more for the first shards
-    that are fullest now, which leaves most rows where they are.
+    ``blocks`` has (old shard, kind, rows, bytes). Old shards beyond the new count only send.
     """
-    rows = defaultdict(int)
-    for old, _, n, _ in blocks:
-        rows[old] += n
-    total = sum(rows.values())
-    extra = set(sorted(range(shards), key=lambda s: (-rows[s], s))[: total % shards])
-    net, stay, move = Network(), {}, {}
+    total = sum(n for _, _, n, _ in blocks)
+    net, arcs = Network(), {}
     for s in range(shards):
-        net.arc(("shard", s), "sink", total // shards + (s in extra), 0)
+        net.arc(("shard", s), "sink", total // shards, 0)
+        net.arc(("shard", s), "extra", 1, 0)
+    net.arc("extra", "sink", total % shards, 0)
     for old, kind, n, size in blocks:
         here = ("block", old, kind)
         net.arc("source", here, n, 0)
-        if old < shards:
-            stay[old, kind] = net.arc(here, ("shard", old), n, 0)
-        move[old, kind] = net.arc(here, "moved", n, size / n)
-    into = {s: net.arc("moved", ("shard", s), total, 0) for s in range(shards)}
+        for s in range(shards):
+            arcs[old, kind, s] = net.arc(here, ("shard", s), n, 0 if s == old else size / n)
     if net.solve("source", "sink") != total:
         raise ValueError("capacities don't hold all rows")
-    need = [[s, net.flow(e)] for s, e in into.items() if net.flow(e)]
     out = []
-    for old, kind, n, _ in blocks:
+    for old, kind, _, _ in blocks:
         rank = 0
-        left = net.flow(move[old, kind])
-        while left:
-            s, room = need[-1]
-            got = min(room, left)
-            out.append((old, kind, s, rank, rank + got))
-            rank, left = rank + got, left - got
-            need[-1][1] -= got
-            if not need[-1][1]:
-                need.pop()
-        if rank < n:
-            out.append((old, kind, old, rank, n))
+        for s in range(shards):
+            if got := net.flow(arcs[old, kind, s]):
+                out.append((old, kind, s, rank, rank + got))
+                rank += got
     return out
 
 
-def size_class(size: Column) -> Column:
-    return F.floor(F.log2(size.cast("double"))).cast("int")
+def cuts(rows: DataFrame, shards: int) -> DataFrame:
+    """(old_shard, cut): the size of the last row that a shard too full must send, its smallest ones first; null for shards that needn't. One row an old shard."""
+    sizes = rows.groupBy("old_shard", "size").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("old_shard")
+    sizes = sizes.withColumns({"upto": F.sum("n").over(by.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)), "rows": F.sum("n").over(by)})
+    whole = sizes.agg(F.floor(F.sum("n") / shards).alias("room"))  # one row
+    must = F.when(F.col("old_shard") < shards, F.col("rows") - F.col("room")).otherwise(F.col("rows"))
+    return sizes.crossJoin(F.broadcast(whole)).withColumn("must", must).groupBy("old_shard").agg(F.min(F.when((F.col("must") > 0) & (F.col("upto") >= F.col("must")), F.col("size"))).alias("cut"))
 
 
-def numbered(rows: DataFrame, block: list[str], order: list[str], n_buckets: int, size: str) -> DataFrame:
-    """Number rows from 0 inside each block, a size class, without sorting a block in one task.
+def numbered(rows: DataFrame, block: list[str], order: list[str], n_buckets: int) -> DataFrame:
+    """Number rows from 0 inside each block without sorting a block in one task.
 
-    Rows are dealt to ``STEPS`` ranges of size and, inside these, to buckets by a
-    hash; counts of (block, range, bucket) give each bucket's first number, and
-    only buckets are sorted, by size. Sizes rise but for those of one range.
+    Rows are dealt to buckets by a hash; counts of (block, bucket) give each
+    bucket's first number, and only buckets are sorted.
     """
-    low = F.pow(F.lit(2.0), size_class(F.col(size)))
-    rows = rows.withColumn("range", F.floor((F.col(size) / low - 1) * STEPS).cast("int"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
-    keys = [*block, "range", "bucket"]
-    before = Window.partitionBy(*block).orderBy("range", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*block, "bucket"]
+    before = Window.partitionBy(*block).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(size, *order)) - 1
-    return rows.withColumn("inside", inside).join(first, keys).withColumn("rank", F.col("first") + F.col("inside")).drop("inside", "first", "range", "bucket")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return rows.withColumn("inside", inside).join(first, keys).withColumn("rank", F.col("first") + F.col("inside")).drop("inside", "first", "bucket")
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """Place every row in a shard under the ``rows`` law: shard row counts differ by one at most.
+def reshard(docs: DataFrame, old_shard: Column, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Place every row in a shard under the ``rows`` law, moving the fewest bytes: shard row counts differ by one at most.
 
-    Columns: key, size (UTF-8 bytes and 8; a null text has none), text_crc32,
-    old_shard, shard, slot (from 0 without gaps in each shard). Equal rows are
-    told apart by nothing but their number, which is enough; null keys and texts
-    are placed like others; an empty table gives no row. Rows of a block are
-    numbered by size, small ones first, as the first ones move. ``whole`` adds
-    the struct ``row`` of all columns of ``docs``, for ``rewrite_shards``.
+    Columns: row (a struct of all columns of ``docs``), size (UTF-8 bytes and 8; a null text has none), text_crc32,
+    old_shard (null counts as 0), shard, slot (from 0 without gaps in each shard). Null and repeated keys are placed like
+    others, of equal rows any; an empty table gives no row. ``docs`` is read again in each pass, so it must be
+    a table or a plan that gives the same rows each time.
     """
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(key), (byte_length(text) + 8).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []))
-    rows = stage(rows.withColumn("kind", size_class(F.col("size"))), "reshard-rows")
-    blocks = [tuple(r) for r in rows.groupBy("old_shard", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy("old_shard", "kind").collect()]  # shards x 64 classes at most
-    transfers = plan_transfers(blocks, shards)
+    spark = prepare(docs.sparkSession)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (byte_length(text) + 8).alias("size"), F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), F.xxhash64(*hashed).alias("order"),
+    )
+    found = [tuple(r) for r in cuts(rows, shards).collect()]  # one row an old shard
+    limit = spark.createDataFrame(found, "old_shard int, cut long")
+    kind = F.when(F.col("size") < F.col("cut"), BELOW).when(F.col("size") == F.col("cut"), AT).otherwise(ABOVE)
+    rows = rows.join(F.broadcast(limit), "old_shard").withColumn("kind", kind).drop("cut")
+    blocks = [tuple(r) for r in rows.groupBy("old_shard", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy("old_shard", "kind").collect()]  # three rows an old shard
     filled, moves = defaultdict(int), []
-    for old, kind, new, a, b in transfers:
-        moves.append((old, kind, new, a, b, filled[new]))
+    for old, which, new, a, b in plan_transfers(blocks, shards):
+        moves.append((old, which, new, a, b, filled[new]))
         filled[new] += b - a
-    spark = docs.sparkSession
     plan = spark.createDataFrame(moves, "old_shard int, kind int, shard int, lo long, hi long, base long")
     n_buckets = max(8, sum(b[2] for b in blocks) // BUCKET_ROWS)
-    ranked = numbered(rows, ["old_shard", "kind"], [key, "text_crc32", "size"], n_buckets, "size")
-    # the plan has shards x classes + shards rows at most, whatever the input
+    ranked = numbered(rows, ["old_shard", "kind"], ["order", "text_crc32", "size"], n_buckets)
+    # the plan has three rows a pair of shards at most, whatever the input
     out = ranked.join(F.broadcast(plan), ["old_shard", "kind"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return out.select(key, "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), *(["row"] if whole else []))
+    return out.select("row", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
-def rewrite_shards(placed: DataFrame, path: str) -> DataFrame:
-    """Write the shards that gain or lose rows, with whole rows, as ``shard=N`` folders; returns what was written.
+def rewrite_shards(placed: DataFrame, path: str) -> tuple[DataFrame, set[int]]:
+    """Write the shards that gain or lose rows, with whole rows, as ``shard=N`` folders; returns what was written (row, old_shard, slot, shard) and those shards' numbers.
 
-    ``placed`` comes from ``reshard(..., whole=True)``, stored once: rows travel
-    with their places, so keys may be null or repeat. Columns: row, old_shard, slot, shard.
+    Rows travel with their places, so keys may be null or repeat, and ``docs`` may have columns of any name.
     """
-    moved = placed.where("shard <> old_shard")
-    touched = moved.select("shard").union(moved.select(F.col("old_shard"))).distinct()  # as many rows as shards at most
-    rows = placed.join(F.broadcast(touched), "shard").select("row", "old_shard", "slot", "shard")
+    moves = placed.where("shard <> old_shard").select("old_shard", "shard").distinct().collect()  # pairs of shards at most
+    touched = {s for r in moves for s in r}
+    rows = placed.where(F.col("shard").isin(sorted(touched))).select("row", "old_shard", "slot", "shard")
     rows.repartition("shard", F.floor(F.col("slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return placed.sparkSession.read.schema(rows.schema).parquet(path)
+    return placed.sparkSession.read.schema(rows.schema).parquet(path), touched
 
 
 def reshard_and_rewrite(docs: DataFrame, old_shard: Column, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``reshard``, with the touched shards written and their rows read back from them; shards that keep all rows stay as they are."""
-    found = reshard(docs, old_shard, shards, key, text, whole=True)
-    placed = stage(found, "reshard-placed")
-    drop_staged(found)
-    written = rewrite_shards(placed, f"{shared_folder(docs.sparkSession).rstrip('/')}/tidemark/shards-{uuid.uuid4().hex}")
-    text_of, key_of = F.col("row")[text], F.col("row")[key]
+    """``reshard``, with the touched shards written and their rows read back from them; shards that keep all rows stay as they are.
+
+    Columns: key, size, text_crc32, old_shard, shard, slot.
+    """
+    placed = reshard(docs, old_shard, shards, key, text)
+    written, touched = rewrite_shards(placed, f"{shared_folder(docs.sparkSession).rstrip('/')}/tidemark/shards-{uuid.uuid4().hex}")
+    text_of = F.col("row")[text].cast("string")
     size = F.coalesce(F.octet_length(text_of), F.lit(0)).cast("long") + 8
-    back = written.select(key_of.alias(key), size.alias("size"), F.crc32(F.coalesce(text_of, F.lit("")).cast("binary")).alias("text_crc32"), "old_shard", "shard", "slot")
-    still = placed.join(F.broadcast(written.select("shard").distinct()), "shard", "left_anti")
-    return back.unionByName(still.select(*back.columns))
+    back = written.select(F.col("row")[key].alias(key), size.alias("size"), F.crc32(F.coalesce(text_of, F.lit("")).cast("binary")).alias("text_crc32"), "old_shard", "shard", "slot")
+    still = placed.where(~F.col("shard").isin(sorted(touched))).withColumn(key, F.col("row")[key])
+    return back.unionByName(still.select(*back.columns)) if len(touched) < shards else back

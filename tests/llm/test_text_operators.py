@@ -60,7 +60,9 @@ def test_unigram_path_is_the_best_of_all_paths():
     pieces = ["a", "b", "c", "ab", "bc", "abc", "ca"]
     m.pieces = [(p, -rnd.random() * 5, 1) for p in pieces]
     m.ids, m.score = {p: i for i, p in enumerate(pieces)}, [s for _, s, _ in m.pieces]
-    m.unigram, m.floor, m.pairs, m.heads = True, -20.0, {}, {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+    m.unigram, m.floor, m.pairs, m.prefix, m.squeeze = True, -20.0, {}, True, True
+    m.compile()
+    assert m.normal("  a  b ") == "▁a▁b" and m.normal("   ") == ""
 
     def best(word):
         if not word:
@@ -69,7 +71,7 @@ def test_unigram_path_is_the_best_of_all_paths():
 
     for _ in range(50):
         w = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 8)))
-        assert sum(-m.score[k] for k in m.path(w)) == pytest.approx(best(w))
+        assert sum(-m.score[k] for k in m.shortest(w)) == pytest.approx(best(w))
 
 
 def test_token_counts_and_words_are_the_library_s():

@@ -1,11 +1,17 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted finite-state transducer.
 
-Three machines are compiled from a ``.model`` file: the normaliser (dummy prefix,
-blanks to U+2581), the pieces (every normal piece is an arc from its characters
-to its id) and byte fallback (a character that no piece has becomes its UTF-8
-bytes). Composed with one input they give a lattice; its states are places in
-the text and the context that later weights depend on. Encoding is the path of
-least weight in the tropical semiring (min, +).
+Three machines are compiled from a ``.model`` file into tables:
+
+* the normaliser reads runs of blanks and of other characters; (state, kind of run)
+  gives the next state and what it writes (the dummy prefix, blanks as U+2581);
+* the pieces are a trie: (state, character) gives the next state, and states where a
+  piece ends have its id and weight;
+* byte fallback has an arc for each character that is no piece: its UTF-8 bytes' ids,
+  or the unknown id where the model has no bytes.
+
+The first one's output is the input of the other two, which are composed with it
+place by place (``arcs``), and encoding is the path of least weight in the tropical
+semiring (min, +) over states (place, context) (``shortest``), for both kinds of model:
 
 * unigram models: an arc weighs minus the piece's score; there is no context;
 * BPE models: the context is the last piece, and an arc weighs 0 where merging
@@ -33,6 +39,9 @@ from tidemark.llm.common import prepare
 CACHE = 200_000
 BLANK = "▁"
 INF = float("inf")
+#: States of the normaliser: nothing written yet, in text, behind blanks that may be the last.
+BEGIN, TEXT, BEHIND = range(3)
+_RUNS = re.compile(r" +|[^ ]+").findall
 
 
 def wire(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -91,7 +100,6 @@ class PieceTransducer:
         self.score = [s for _, s, _ in self.pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == 6}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == 2), 0)
-        self.heads = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         self.floor = min(self.score, default=0.0) - 10
         self.out = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else b" \xe2\x81\x87 " if kind == 2 else p.replace(BLANK, " ").encode() for p, _, kind in self.pieces]
         inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
@@ -106,15 +114,43 @@ class PieceTransducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.compile()
 
-    # --- normaliser
+    # --- machines
 
-    def normal(self, text: str) -> str:
+    def compile(self) -> None:
+        """Tables of the normaliser, the trie of pieces and byte fallback."""
+        # (state, blanks?) -> next state, what goes before the run, whether the run is written
+        first = BLANK if self.prefix else ""
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (BLANK if self.prefix else "") + text.replace(" ", BLANK)
+            self.steps = {(BEGIN, True): (BEGIN, "", False), (BEGIN, False): (TEXT, first, True), (TEXT, True): (BEHIND, "", False), (BEHIND, False): (TEXT, BLANK, True)}
+        else:
+            self.steps = {(BEGIN, True): (TEXT, first, True), (BEGIN, False): (TEXT, first, True), (TEXT, True): (TEXT, "", True), (TEXT, False): (TEXT, "", True)}
+        self.go: list[dict[str, int]] = [{}]
+        self.piece_at: list[int] = [-1]
+        for p, k in self.ids.items():
+            at = 0
+            for c in p:
+                at = self.go[at].setdefault(c, len(self.go))
+                if at == len(self.go):
+                    self.go.append({})
+                    self.piece_at.append(-1)
+            # a BPE piece that merging never makes has no arc
+            self.piece_at[at] = k if self.unigram or len(p) == 1 or self.split(k) else -1
+        self.cost = [-s if self.unigram else 0.0 for s in self.score]
+        self.fallback = -self.floor if self.unigram else 0.0
+
+    def normal(self, text: str) -> str:
+        if text and "  " not in text and text[0] != " " and text[-1] != " ":
+            # blanks one at a time between other runs: the machine goes around TEXT and BEHIND alone
+            return (self.steps[BEGIN, False][1] + text).replace(" ", BLANK)
+        state, out = BEGIN, []
+        for run in _RUNS(text):
+            state, before, kept = self.steps[state, run[0] == " "]
+            out.append(before)
+            if kept:
+                out.append(run)
+        return "".join(out).replace(" ", BLANK)
 
     # --- weights between neighbours (BPE)
 
@@ -174,55 +210,50 @@ class PieceTransducer:
 
     # --- composition and shortest path
 
-    def path(self, word: str) -> list[int]:
-        """Ids on the best path of one normalised word."""
-        n, ids, heads = len(word), self.ids, self.heads
-        # the best state of each place: weight, context, place before; BPE contexts leave one state of weight 0
-        weight, last, back = [INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    def arcs(self, word: str, begin: int) -> list[tuple[int, int, float]]:
+        """The composed machine's arcs from a place: (end, id, weight). A negative id is a character's byte fallback."""
+        go, piece_at, cost, out, at = self.go, self.piece_at, self.cost, [], 0
+        for end in range(begin, len(word)):
+            at = go[at].get(word[end], -1)
+            if at < 0:
+                break
+            if (k := piece_at[at]) >= 0:
+                out.append((end + 1, k, cost[k]))
+        if not out or out[0][0] > begin + 1:
+            out.append((begin + 1, -2 - ord(word[begin]), self.fallback))
+        return out
+
+    def shortest(self, word: str) -> list[int]:
+        """Ids on the path of least weight through one normalised word.
+
+        States are (place, context). A place has one context of finite weight: unigram models have none to tell
+        apart, and merging a beginning of the word has one result, which is all that BPE weights let through.
+        """
+        n, unigram, pairs, arcs = len(word), self.unigram, self.pairs, self.arcs
+        weight, context, back = [INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         weight[0] = 0.0
-        pairs, unigram = self.pairs, self.unigram
         for begin in range(n):
-            w, a = weight[begin], last[begin]
-            if w == INF:
+            if (w := weight[begin]) == INF:
                 continue
-            for end in range(begin + 1, n + 1):
-                x = word[begin:end]
-                if x not in heads:  # no piece goes on this way
-                    if end == begin + 1:
-                        k = -2 - ord(x)
-                        arc = -self.floor if unigram else 0.0
-                        if w + arc < weight[end]:
-                            weight[end], last[end], back[end] = w + arc, k, begin
-                    break
-                k = ids.get(x)
-                if k is None:
-                    if end > begin + 1:
-                        continue
-                    k = -2 - ord(x)
-                if unigram:
-                    arc = -self.floor if k < 0 else -self.score[k]
-                elif weight[end] == 0.0:
-                    continue  # the one path of weight 0 is known
-                elif begin and a >= 0 and k >= 0:
+            a = context[begin]
+            for end, k, x in arcs(word, begin):
+                x += w
+                if x >= weight[end]:
+                    continue
+                if not unigram and begin and a >= 0 and k >= 0:
                     ok = pairs.get((a, k))
-                    arc = self.weight(a, k) if ok is None else 0.0 if ok else INF
-                    if arc == 0.0 and end > begin + 1 and self.split(k) is None:
+                    if ok is False or ok is None and self.weight(a, k):
                         continue
-                else:
-                    if k >= 0 and end > begin + 1 and self.split(k) is None:
-                        continue  # merging never makes this piece
-                    arc = 0.0
-                if w + arc < weight[end]:
-                    weight[end], last[end], back[end] = w + arc, k, begin
+                weight[end], context[end], back[end] = x, k, begin
         out, at = [], n
         while at:
-            out.append(last[at])
+            out.append(context[at])
             at = back[at]
         return out[::-1]
 
     def word_ids(self, word: str) -> bytes:
         got: list[int] = []
-        for k in self.path(word):
+        for k in self.shortest(word):
             if k >= 0:
                 got.append(k)
             elif self.bytes:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Staged, free_name, prepare
 from tidemark.llm.words import grams, word_hashes, word_spans
 
-GRAM, LEAST, PART, SLICE = 10, 50, 4000, 128
+GRAM, LEAST, PART, SLICE = 10, 50, 4000, 32
 _SPAN = LEAST - GRAM + 1
 
 
@@ -164,27 +164,42 @@ def _compare(suffixes: DataFrame) -> DataFrame:
 
 
 def _kept_elsewhere(rows: DataFrame, best: DataFrame) -> DataFrame:
-    """Spans of ``rows``, single stretches, that other texts keep by ``best``; both in parts of a ten-gram of bounded size."""
+    """Spans of ``rows``, single stretches, that other texts keep by ``best``; both in parts of a ten-gram of bounded size.
+
+    A task streams over parts, each part's ``best`` first, and holds those of one part and one batch.
+    """
     schema = "k long, node long, begin long, end long, to_k long, to_node long"
     arrow = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
+    by = ("anchor", "part")
+    null = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+    both = best.select(*by, F.lit(0).alias("side"), "hash", *null("k", "node", "begin"), "to_k", "to_node").union(rows.select(*by, F.lit(1).alias("side"), "hash", "k", "node", "begin", *null("to_k", "to_node")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, *by).sortWithinPartitions(*by, "side", "node", "begin")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return arrow.empty_table()
-        right = right.sort_by("hash")
-        node, begin, h, to, best = (t[c].to_numpy() for t, c in ((left, "node"), (left, "begin"), (left, "hash"), (right, "to_node"), (right, "hash")))
-        m = np.minimum(np.searchsorted(best, h), len(best) - 1)
-        at = np.flatnonzero((best[m] == h) & (to[m] != node))
-        at = at[np.lexsort((begin[at], node[at]))]
-        if not len(at):
-            return arrow.empty_table()
-        edge = np.flatnonzero((np.diff(node[at]) != 0) | (np.diff(to[m[at]]) != 0) | (np.diff(begin[at]) != 1))
-        first, last = at[np.concatenate(([0], edge + 1))], at[np.concatenate((edge, [len(at) - 1]))]
-        own, other = left.take(first), right.take(m[first])
-        return pa.table([own["k"], own["node"], own["begin"], pa.array(begin[last] + LEAST), other["to_k"], other["to_node"]], schema=arrow)
-
-    by = ["anchor", "part"]
-    return rows.select(*by, "k", "node", "begin", "hash").groupBy(*by).cogroup(best.groupBy(*by)).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = pa.Table.from_batches([b])
+            top = both["side"].to_numpy() == 0
+            known, own = both.filter(pa.array(top)), both.filter(pa.array(~top))
+            if held is not None:
+                known = pa.concat_tables([held, known])
+            if known.num_rows and own.num_rows:
+                known = known.take(pa.array(np.argsort(known["hash"].to_numpy(), kind="stable")))
+                node, begin, h, to, keys = (t[c].to_numpy() for t, c in ((own, "node"), (own, "begin"), (own, "hash"), (known, "to_node"), (known, "hash")))
+                m = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                at = np.flatnonzero((keys[m] == h) & (to[m] != node))
+                if len(at):  # stretches of a text lie side by side
+                    edge = np.flatnonzero((np.diff(node[at]) != 0) | (np.diff(to[m[at]]) != 0) | (np.diff(begin[at]) != 1))
+                    first, last = at[np.concatenate(([0], edge + 1))], at[np.concatenate((edge, [len(at) - 1]))]
+                    mine, other = own.take(pa.array(first)), known.take(pa.array(m[first]))
+                    yield from pa.table([mine["k"], mine["node"], mine["begin"], pa.array(begin[last] + LEAST), other["to_k"], other["to_node"]], schema=arrow).to_batches()
+            end = both.slice(both.num_rows - 1).select(by).to_pylist()[0]
+            held = known.filter(pa.array((known["anchor"].to_numpy() == end["anchor"]) & (known["part"].to_numpy() == end["part"])))
+
+    return both.mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

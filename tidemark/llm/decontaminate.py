@@ -71,7 +71,7 @@ def _plain_words(text: str) -> Column:
     return F.split(F.regexp_replace(tagged(F.col(text).cast("string")), "§[nuas]", ""), " ")
 
 
-def _word_for_word(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+def _word_for_word(docs: DataFrame, items: DataFrame, text: str, small: bool) -> DataFrame:
     """(key__, item__, n_matched, n_windows, n_slots) of texts that hold all words of an item in a row.
 
     An item of fewer than ``PLAIN`` words has to be the whole text.
@@ -79,11 +79,15 @@ def _word_for_word(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
     items = items.select("item__", "item_words__", "n_slots", F.size("item_words__").alias("item_n__"), F.least(F.size("item_words__"), F.lit(WINDOW)).alias("probe__"))
     items = items.withColumn("item_hash__", F.xxhash64(F.slice("item_words__", F.lit(1), F.col("probe__"))))
     lengths = [r[0] for r in items.select("probe__").distinct().collect()]  # WINDOW at most
-    rows = docs.select("key__", _plain_words(text).alias("words__")).withColumn("n__", F.size("words__"))
-    rows = rows.withColumn("probe_n__", F.explode(F.array(*map(F.lit, lengths))))
+    whole = docs.select("key__", "text__", _plain_words(text).alias("words__")).withColumn("n__", F.size("words__"))
+    rows = whole.withColumn("probe_n__", F.explode(F.array(*map(F.lit, lengths))))
     rows = rows.select("*", F.explode(F.when(F.col("n__") >= F.col("probe_n__"), F.sequence(F.lit(1), F.when(F.col("probe_n__") < PLAIN, F.lit(1)).otherwise(F.col("n__") - F.col("probe_n__") + 1)))).alias("at__"))
     rows = rows.withColumn("hash__", F.xxhash64(F.slice("words__", F.col("at__"), F.col("probe_n__"))))
-    met = rows.join(items, (F.col("hash__") == F.col("item_hash__")) & (F.col("probe_n__") == F.col("probe__")))
+    same = (F.col("hash__") == F.col("item_hash__")) & (F.col("probe_n__") == F.col("probe__"))
+    if small:
+        met = rows.join(F.broadcast(items), same)
+    else:  # places alone are shuffled, and the texts of those that met
+        met = rows.select("text__", "at__", "probe_n__", "hash__").distinct().join(items, same).join(whole, "text__")
     met = met.where((F.slice("words__", F.col("at__"), F.col("item_n__")) == F.col("item_words__")) & ((F.col("item_n__") >= PLAIN) | (F.col("item_n__") == F.col("n__"))))
     return met.groupBy("key__", "item__").agg(F.lit(1).alias("n_matched"), F.max("n_slots").alias("n_slots"), F.lit(1).alias("n_windows"))
 
@@ -108,11 +112,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     rest = rest.select("item__", _plain_words(text).alias("item_words__"), slots.alias("n_slots"))
     total = own.groupBy("item__").agg(F.countDistinct("item_at__").alias("n_windows"))
     own = own.drop("item_text__")
+    rows = docs.select(F.col(key).alias("key__"), F.xxhash64(text).alias("text__"), F.col(text))
+    own_rows, there = windows(rows, text), F.slice(F.split("tagged__", " "), F.col("at__"), F.lit(WINDOW))
     if own.count() <= BROADCAST_WINDOWS:
         own, total = F.broadcast(own), F.broadcast(total)
-    rows = docs.select(F.col(key).alias("key__"), F.xxhash64(text).alias("text__"), F.col(text))
-    met = windows(rows, text).join(own, F.col("hash__") == F.col("item_hash__"))
-    there = F.slice(F.split("tagged__", " "), F.col("at__"), F.lit(WINDOW))
+    else:  # what is shuffled is a window's own words, not the text that it comes from
+        own_rows, there = own_rows.select("key__", "text__", "kind__", "at__", "hash__", there.alias("there__")), F.col("there__")
+    met = own_rows.join(own, F.col("hash__") == F.col("item_hash__"))
     pairs = F.filter(F.arrays_zip(F.col("item_words__").alias("a"), there.alias("b")), lambda x: x["a"].startswith("§"))
     met = met.select("key__", "text__", "item__", "kind__", (F.col("at__") - F.col("item_at__")).alias("shift__"), "item_at__", pairs.alias("pairs__"))
     # the sets are bounded by an item's length: one alignment meets each of its places once
@@ -122,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     texts = lines.groupBy("key__", "text__", "item__").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("s"))
     both = texts.groupBy("key__", "item__").agg(F.max("n").alias("n_matched"), F.max("s").alias("n_slots")).join(total, "item__").where(F.col("n_matched") >= COVER * F.col("n_windows"))
     if (n := rest.count()):
-        found = _word_for_word(rows, F.broadcast(rest) if n <= BROADCAST_WINDOWS else rest, text)
+        found = _word_for_word(rows, rest, text, n <= BROADCAST_WINDOWS)
         both = both.unionByName(found).groupBy("key__", "item__").agg(*[F.max_by(c, F.struct("n_windows", "n_matched")).alias(c) for c in ("n_matched", "n_windows", "n_slots")])
     return both.select(F.col("key__").alias(key), F.col("item__").alias(item), F.col("n_matched").cast("long"), F.col("n_windows").cast("long"), F.col("n_slots").cast("long"))
 

@@ -116,14 +116,18 @@ class Profiles:
     @classmethod
     def from_counts(cls, counts: dict[str, np.ndarray]) -> Profiles:
         """``counts``: language -> weight of every n-gram."""
-        languages = sorted(counts)
-        proto = np.zeros((len(languages), DIMENSIONS), np.float64)
+        sums = {}
+        for name, weights in counts.items():
+            at = np.flatnonzero(weights)
+            sums[name] = sum((weights[part].astype(np.float64) @ gram_vectors(part) for part in np.array_split(at, max(1, len(at) // 8192))), np.zeros(DIMENSIONS))
+        return cls.from_sums(sums)
+
+    @classmethod
+    def from_sums(cls, sums: dict[str, np.ndarray]) -> Profiles:
+        """``sums``: language -> bundled vector."""
+        languages = sorted(sums)
+        proto = np.array([sums[name] / (np.linalg.norm(sums[name]) or 1.0) for name in languages]).reshape(len(languages), DIMENSIONS)
         dots = np.zeros((GRAMS, len(languages)), np.float32)
-        for i, name in enumerate(languages):
-            at = np.flatnonzero(counts[name])
-            for part in np.array_split(at, max(1, len(at) // 8192)):
-                proto[i] += counts[name][part].astype(np.float64) @ gram_vectors(part)
-            proto[i] /= np.linalg.norm(proto[i]) or 1.0
         for begin in range(0, GRAMS, 8192):
             part = np.arange(begin, begin + 8192)
             dots[part] = gram_vectors(part) @ proto.T.astype(np.float32)
@@ -152,33 +156,33 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Profiles from labelled documents that aren't held out.
 
     About ``bound`` of them are read, picked by a hash of the key; fewer if there
-    are fewer. Weights are added in tasks, then by language and n-gram in Spark.
+    are fewer. Tasks bundle their documents' vectors by language, Spark adds those of
+    tasks up, and ``DIMENSIONS`` numbers a language come to the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & ~held_out(key)).select(F.xxhash64(F.col(key), F.lit("train")).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     n = rows.count()
     if n > bound:
         rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * bound / n) + 1)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 grams, count = grams_of(t)
                 if len(grams):
-                    weight = np.sqrt(count)  # whole numbers: sums don't depend on their order
-                    total.setdefault(name, np.zeros(GRAMS, np.int64))[grams] += np.rint(weight * (1e6 / np.linalg.norm(weight))).astype(np.int64)
-        for name, count in total.items():
-            at = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(count[at])], names=["lang", "gram", "n"])
-
-    sums = rows.select("lang", "text").mapInArrow(add, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # languages x GRAMS rows at most
-    counts: dict[str, np.ndarray] = {}
-    names, grams, n = np.array(got["lang"].to_pylist(), object), got["gram"].to_numpy(), got["n"].to_numpy()
-    for name in set(names.tolist()):
-        counts[name] = np.zeros(GRAMS, np.int64)
-        counts[name][grams[names == name]] = n[names == name]
-    return Profiles.from_counts(counts)
+                    weight = np.sqrt(count)
+                    whole = np.rint(weight * (1e6 / np.linalg.norm(weight)))  # whole numbers: sums don't depend on their order
+                    for at in range(0, len(grams), 4096):
+                        total[name] = total.get(name, 0.0) + whole[at : at + 4096] @ vectors_of(grams[at : at + 4096]).astype(np.float64)
+        n = DIMENSIONS
+        for name, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(v.astype(np.int64))], names=["lang", "dimension", "n"])
+
+    sums = rows.select("lang", "text").mapInArrow(bundle, "lang string, dimension int, n long").groupBy("lang", "dimension").agg(F.sum("n").alias("n"))
+    out: dict[str, np.ndarray] = {}
+    for name, at, x in sums.collect():  # languages x DIMENSIONS rows
+        out.setdefault(name, np.zeros(DIMENSIONS))[at] = x
+    return Profiles.from_sums(out)
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts, prepare
+from tidemark.llm.words import word_pipeline
 
 #: Entries in a worker's table of counted words.
 CACHE = 400_000
@@ -37,17 +38,20 @@ def byte_symbols() -> list[str]:
 
 
 class PairCounter:
-    """Counts of one ``tokenizers`` BPE file with word ends (lower case, white space dropped)."""
+    """Counts of one ``tokenizers`` BPE file of the kind that ``word_pipeline`` knows; other files are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        pattern = word_pipeline(spec)
+        if pattern is None:
+            raise ValueError(f"{path}: this file's normaliser, pre-tokeniser or model isn't supported")
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.symbols = byte_symbols()
-        self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+").findall
+        self.split = regex.compile(pattern.replace(r"\s", _SPACE)).findall
         self.found = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces: dict[str, int] = {}
         self.words: dict[str, int] = {}

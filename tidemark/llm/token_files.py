@@ -13,6 +13,7 @@ no task sees all blocks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import prepare, stage
+from tidemark.llm.words import word_pipeline
 
 MAGIC = b"EFID"
 #: Every so many boundaries the place of a one bit is kept.
@@ -121,9 +123,9 @@ def open_block(raw: bytes) -> tuple[EliasFano, memoryview]:
 
 
 class WordEncoder:
-    """Ids from the ``tokenizers`` library; words that come again are encoded once.
+    """Ids from the ``tokenizers`` library; words that come again are encoded once where the file allows it.
 
-    The vocabulary drops white space and letter case before it merges, so the ids
+    A file of the kind that ``word_pipeline`` knows drops white space and letter case before it merges, so the ids
     of a text are those of its blank-separated words in order, and a full stop or
     comma after a Latin letter (but for the one that becomes letter and mark in
     lower case) begins a new pre-token. Words are kept in two
@@ -135,6 +137,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # with other pipelines words aren't independent, and with other special strings or patterns not cut as here: whole texts then
+        known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.by_word = word_pipeline(spec) == known and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         last = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(last)])
         self.known: dict[str, bytes] = {}
@@ -160,6 +167,8 @@ class WordEncoder:
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() + end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         # A-Z alone, and not where a special string could come of it
         words = [split_words(t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) for t in (x or "" for x in texts)]
         if len(self.known) > CACHE:

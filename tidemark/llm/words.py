@@ -71,3 +71,25 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     if len(words) < n:
         return mix(grams(words, len(words)) + np.uint64(len(words)))
     return np.unique(grams(words, n))
+
+
+def word_pipeline(spec: dict) -> str | None:
+    """The pre-tokeniser's pattern of a ``tokenizers`` file whose white space and letter case go before it merges; None for other files.
+
+    The normaliser has to be NFC, white space as one blank, lower case; the
+    pre-tokeniser the matches of a pattern, then bytes; the model BPE with a word
+    end and nothing that makes a result depend on anything else.
+    """
+    norm = (spec.get("normalizer") or {}).get("normalizers") or []
+    kinds = [n.get("type") for n in norm]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = spec["model"]
+    ok = kinds == ["NFC", "Replace", "Lowercase"] and norm[1].get("pattern") == {"Regex": r"\s+"} and norm[1].get("content") == " "
+    ok = ok and [p.get("type") for p in pre] == ["Split", "ByteLevel"] and pre[0].get("behavior") == "Removed" and bool(pre[0].get("invert")) and "Regex" in pre[0]["pattern"]
+    ok = ok and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex", True)
+    ok = ok and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix"))
+    ok = ok and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    ok = ok and not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    pattern = pre[0]["pattern"]["Regex"] if ok else None
+    # a class of what is no blank, letter or number is the one place where blanks may stand
+    return pattern if ok and pattern.replace(r"[^\s", "[^").count(r"\s") == 0 else None

@@ -25,14 +25,25 @@ def htf_align(base: DataFrame, htf: DataFrame, value: str, seconds: int, key: st
     return asof(base, htf.select("symbol", ts.alias("ts"), F.col(value).alias(f"htf_{value}")), [f"htf_{value}"])
 
 
-def macro_align(base: DataFrame, slow: DataFrame, keys: list[str]) -> DataFrame:
-    """One column for each key of a long (key, ts, value) table, as of each bar; a key without rows gives nulls."""
+def macro_align(base: DataFrame, slow: DataFrame, keys: list[str], seconds: int = 30 * 86400) -> DataFrame:
+    """One column for each key of a long (key, ts, value) table, as of each bar; a key without rows gives nulls.
+
+    There is no key to partition by, so time is cut into stretches of ``seconds``: each is one window, and what
+    stretches before it left over is carried in through a table of one row a stretch.
+    """
     wide = slow.where(F.col("key").isin(keys)).groupBy("ts").pivot("key", keys).agg(F.first("value"))
-    return asof(base.withColumn("one__", F.lit(1)), wide.withColumn("one__", F.lit(1)), keys, by=("one__",)).drop("one__")
+    a = base.select("*", *[F.lit(None).cast(wide.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("side__"))
+    rows = a.unionByName(wide.withColumn("side__", F.lit(0)), allowMissingColumns=True).withColumn("stretch__", F.floor(F.unix_seconds("ts") / seconds))
+    carry = Window.orderBy("stretch__").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch of time
+    ends = rows.groupBy("stretch__").agg(*[F.max_by(F.col(f"`{k}`"), F.when(F.col(f"`{k}`").isNotNull(), F.col("ts"))).alias(k) for k in keys])
+    ends = ends.select("stretch__", *[F.last(F.col(f"`{k}`"), ignorenulls=True).over(carry).alias(f"{k}__before") for k in keys])
+    w = Window.partitionBy("stretch__").orderBy("ts", "side__")
+    rows = rows.withColumns({k: F.last(F.col(f"`{k}`"), ignorenulls=True).over(w) for k in keys}).where("side__ = 1").join(ends, "stretch__", "left")
+    return rows.withColumns({k: F.coalesce(F.col(f"`{k}`"), F.col(f"`{k}__before`")) for k in keys}).drop("side__", "stretch__", *[f"{k}__before" for k in keys])
 
 
 def macro_align_by_symbol(base: DataFrame, slow: DataFrame, keys: list[str]) -> DataFrame:
-    """As ``macro_align`` for many symbols: times are aligned once, then joined to bars, so no task holds all bars."""
+    """As ``macro_align`` for many symbols: distinct times are aligned once, then joined to bars, so no stretch holds all bars."""
     times = base.select("ts").distinct()
     return base.join(macro_align(times, slow, keys), "ts", "left")
 
@@ -53,7 +64,7 @@ def futures_enrich(bars: DataFrame, extra: DataFrame, values: list[str], mode: s
 
 def reference_join(bars: DataFrame, pairs: DataFrame, max_null: float = 0.5) -> DataFrame:
     """Close of each symbol's reference as of each bar; pairs with too few values go."""
-    want = bars.join(F.broadcast(pairs), "symbol")  # one row a pair: a small table by contract
+    want = bars.join(pairs, "symbol")
     ref = pairs.join(bars.select(F.col("symbol").alias("reference"), "ts", F.col("close").alias("ref_close")), "reference").select("symbol", "reference", "ts", "ref_close")
     rows = asof(want, ref, ["ref_close"], by=("symbol", "reference"))
     share = F.avg(F.col("ref_close").isNull().cast("double")).over(Window.partitionBy("symbol", "reference"))
@@ -69,13 +80,24 @@ def forward_asof(signals: DataFrame, bars: DataFrame, ahead: int) -> DataFrame:
     return rows.withColumn("bar", F.first("bar", ignorenulls=True).over(f)).where("side__ = 0").select("symbol", "ts", "bar.bar_ts", "bar.entry", "bar.exit")
 
 
+#: Rows of a range table that goes to all tasks.
+MOST_RANGES = 100_000
+
+
+def few(ranges: DataFrame) -> DataFrame:
+    """Broadcast a range table after a look at its size; a larger one is refused."""
+    if ranges.limit(MOST_RANGES + 1).count() > MOST_RANGES:
+        raise ValueError(f"more than {MOST_RANGES} ranges")
+    return F.broadcast(ranges)
+
+
 def period_range_join(rows: DataFrame, periods: DataFrame, at: str = "ts") -> DataFrame:
-    """Rows inside named periods [start, end); the period table is small by contract."""
-    return rows.join(F.broadcast(periods), (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end")))
+    """Rows inside named periods [start, end), ``MOST_RANGES`` at most."""
+    return rows.join(few(periods), (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end")))
 
 
 def fold_range_join(rows: DataFrame, folds: DataFrame, at: str = "t") -> DataFrame:
-    """Rows in each fold's in-sample or out-of-sample range, with ``part``; folds are a small table by contract."""
+    """Rows in each fold's in-sample or out-of-sample range, with ``part``; ``MOST_RANGES`` folds at most."""
     t = F.col(at)
     inside = ((t >= F.col("is_start")) & (t < F.col("is_end"))) | ((t >= F.col("oos_start")) & (t < F.col("oos_end")))
-    return rows.join(F.broadcast(folds), inside).withColumn("part", F.when(t >= F.col("oos_start"), "oos").otherwise("is"))
+    return rows.join(few(folds), inside).withColumn("part", F.when(t >= F.col("oos_start"), "oos").otherwise("is"))

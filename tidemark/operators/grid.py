@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import run_id
+from tidemark.operators.overfit import draw
+from tidemark.sources.scratch import folder
 
 
 def expand(spark: SparkSession, space: dict[str, list]) -> DataFrame:
@@ -26,12 +28,19 @@ def size(space: dict[str, list]) -> int:
 
 
 def chunks(rows: DataFrame, order: str, per: int) -> DataFrame:
-    """Chunk numbers of ``per`` rows in order; a range-partitioned row number, no global sort in one task."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("p__", F.spark_partition_id())
-    n = parts.groupBy("p__").agg(F.count("*").alias("n__"))  # one row a partition
+    """Chunk numbers of ``per`` rows in order, without a sort of all rows in one task.
+
+    Rows are dealt to ranges of ``order`` and written with their range's number once, so
+    counting and numbering see the same ranges whatever is read again.
+    """
+    spark = rows.sparkSession
+    path = folder(spark, "chunks")
+    rows.repartitionByRange(order).withColumn("p__", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    n = parts.groupBy("p__").agg(F.count("*").alias("n__"))  # one row a range
     before = n.select(F.col("p__").alias("q__"), F.coalesce(F.sum("n__").over(Window.orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b__"))
     k = F.row_number().over(Window.partitionBy("p__").orderBy(order)) - 1
-    return parts.withColumn("k__", k).join(F.broadcast(before), F.col("p__") == F.col("q__")).withColumn("chunk", F.floor((F.col("b__") + F.col("k__")) / per)).drop("p__", "q__", "k__", "b__")
+    return parts.withColumn("k__", k).join(before, F.col("p__") == F.col("q__")).withColumn("chunk", F.floor((F.col("b__") + F.col("k__")) / per)).drop("p__", "q__", "k__", "b__")
 
 
 def space_from_schema(schema: DataFrame) -> DataFrame:
@@ -42,7 +51,7 @@ def space_from_schema(schema: DataFrame) -> DataFrame:
 
 def random_configs(spark: SparkSession, n: int, space: dict[str, list], seed: int = 1) -> DataFrame:
     """n configurations whose values are picked by a hash of (seed, row, name)."""
-    pick = lambda name, values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(name)), F.lit(len(values))) + 1).cast("int"))
+    pick = lambda name, values: F.element_at(F.array(*map(F.lit, values)), (draw(len(values), seed, F.col("id"), name) + 1).cast("int"))
     return spark.range(n).select(F.col("id").alias("trial"), *[pick(k, v).alias(k) for k, v in space.items()])
 
 
@@ -53,6 +62,27 @@ def subsets(spark: SparkSession, names: list[str], least: int = 1) -> DataFrame:
     return spark.range(1 << len(names)).select(F.col("id").alias("mask"), on.alias("members")).where(F.size("members") >= least)
 
 
+def combinations(spark: SparkSession, indicators: dict[str, bool], counts: list[int], multipliers: list[float], closes: list[float], frames: tuple = ("T1", "T2", "T3")) -> DataFrame:
+    """All combinations of indicator states by optional counts, profit multipliers and closing percentages: id, indicators, optional_count, multiplier, close_pct.
+
+    An indicator is off, on, or, where its value says that it has timeframes, on with each set of them (``name:T1+T3``).
+    Ids count in mixed radix, so a row follows from its id alone.
+    """
+    marks = ["+".join(f for i, f in enumerate(frames) if m >> i & 1) for m in range(1, 1 << len(frames))]
+    base, picked = 1, []
+    for name, timed in sorted(indicators.items()):
+        states = [None, name] + [f"{name}:{m}" for m in marks] * timed
+        digit = F.pmod(F.call_function("div", F.col("id"), F.lit(base)), F.lit(len(states)))
+        picked.append(F.element_at(F.array(*[F.lit(x).cast("string") for x in states]), (digit + 1).cast("int")))
+        base *= len(states)
+    columns = {"indicators": F.array_compact(F.array(*picked))}
+    for column, values in (("optional_count", counts), ("multiplier", multipliers), ("close_pct", closes)):
+        digit = F.pmod(F.call_function("div", F.col("id"), F.lit(base)), F.lit(len(values)))
+        columns[column] = F.element_at(F.array(*map(F.lit, values)), (digit + 1).cast("int"))
+        base *= len(values)
+    return spark.range(base).select("id", *[c.alias(n) for n, c in columns.items()])
+
+
 def pareto(trials: DataFrame, x: str, y: str) -> DataFrame:
     """Trials that none beats in both: more of x, and of y among at least as much x.
 
@@ -62,7 +92,7 @@ def pareto(trials: DataFrame, x: str, y: str) -> DataFrame:
     best = trials.groupBy(x).agg(F.max(y).alias("y__"))
     w = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
     front = best.withColumn("above__", F.max("y__").over(w)).where("above__ is null or y__ > above__").select(F.col(x).alias("x__"), "y__")
-    return trials.join(F.broadcast(front), (F.col(x) == F.col("x__")) & (F.col(y) == F.col("y__"))).drop("x__", "y__")
+    return trials.join(front, (F.col(x) == F.col("x__")) & (F.col(y) == F.col("y__"))).drop("x__", "y__")
 
 
 def penalised(value: Column, trades: Column, least: int = 300) -> Column:
@@ -70,8 +100,8 @@ def penalised(value: Column, trades: Column, least: int = 300) -> Column:
     return F.when(trades < least, -10.0).otherwise(clean)
 
 
-def feature_importance(trials: DataFrame, categorical: list[str], numeric: list[str], target: str, rounds: int = 10) -> DataFrame:
-    """(feature, importance) of boosted trees that predict the target."""
+def feature_importance(trials: DataFrame, categorical: list[str], numeric: list[str], target: str, rounds: int = 10, threshold: float | None = None) -> DataFrame:
+    """(feature, importance) of boosted trees that predict the target; those above ``threshold`` alone if given."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -80,7 +110,8 @@ def feature_importance(trials: DataFrame, categorical: list[str], numeric: list[
     inputs = [f"{c}__i" for c in categorical] + numeric
     model = Pipeline(stages=[*index, VectorAssembler(inputCols=inputs, outputCol="f__"), GBTRegressor(featuresCol="f__", labelCol=target, maxIter=rounds, maxDepth=3, seed=1, maxBins=64)]).fit(trials)
     scores = model.stages[-1].featureImportances.toArray().tolist()
-    return trials.sparkSession.createDataFrame(list(zip(categorical + numeric, scores, strict=True)), "feature string, importance double")
+    kept = [x for x in zip(categorical + numeric, scores, strict=True) if threshold is None or x[1] > threshold]
+    return trials.sparkSession.createDataFrame(kept, "feature string, importance double")
 
 
 def mutual_information(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -141,7 +141,7 @@ def superiority(rows: DataFrame, benchmark: DataFrame, reps: int = 1000, seed: i
 
     Circular blocks of sqrt(n) excess returns are drawn with replacement, ``reps`` times. The variance is that of the
     bootstrap means; each drawn mean is centred on the excess, or not at all where the excess is so far below 0
-    that it can't matter (-sqrt(2 log log n) deviations), as the consistent form of the test has it. Prefix sums make a
+    that it can't matter (-sqrt(2 log log n) deviations), as the consistent form of the test has it; what is below 0 counts as 0, so p is 1 without an excess. Prefix sums make a
     block one difference, so a draw is a row, not sqrt(n) rows.
     """
     w = Window.partitionBy("candidate").orderBy("t")
@@ -159,7 +159,7 @@ def superiority(rows: DataFrame, benchmark: DataFrame, reps: int = 1000, seed: i
     sd = means.groupBy("candidate").agg(F.stddev_pop("m").alias("sd"))
     z = means.join(m.join(sd, "candidate"), "candidate")
     far = F.col("excess") >= -F.col("sd") * F.sqrt(2 * F.ln(F.ln(F.greatest(F.col("n"), F.lit(3)))))
-    over = F.col("m") - F.when(far, F.col("excess")).otherwise(0.0) >= F.greatest("excess", F.lit(0.0))
+    over = F.greatest(F.col("m") - F.when(far, F.col("excess")).otherwise(0.0), F.lit(0.0)) >= F.greatest("excess", F.lit(0.0))
     return z.groupBy("candidate").agg(F.first("excess").alias("excess"), F.first("n").alias("n"), F.first(F.greatest(F.try_divide("excess", "sd"), F.lit(0.0))).alias("statistic"), F.avg(over.cast("double")).alias("p"))
 
 
@@ -189,8 +189,8 @@ def _trend(y: str, x: str, name: str = "") -> list[Column]:
 
 def _slope_p(slope: str = "slope", r2: str = "r2", n: str = "n_points") -> Column:
     """Two-sided p of a regression's slope."""
-    df = (F.col(n) - 2).cast("double")
-    t = F.sqrt(F.col(r2) * df / (1 - F.col(r2)))
+    df = F.when(F.col(n) > 2, F.col(n) - 2).cast("double")
+    t = F.sqrt(F.try_divide(F.col(r2) * df, 1 - F.col(r2)))
     return F.when(F.col(n) > 2, F.when(F.col(r2) >= 1, 0.0).otherwise(2 * udf.t_sf(t, df)))
 
 

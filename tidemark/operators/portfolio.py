@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.edge import average_rank
+from tidemark.operators.overfit import draw
 
 
 def S():
@@ -45,21 +46,27 @@ def drawdown_correlations(curves: DataFrame) -> DataFrame:
     return correlations(curves.withColumn("dd", (peak - F.col("equity")) / peak), "dd")
 
 
-def clusters(pairs: DataFrame, names: DataFrame, least: float = 0.7, rounds: int = 50) -> DataFrame:
+def clusters(pairs: DataFrame, names: DataFrame, least: float = 0.7) -> DataFrame:
     """(strategy_id, cluster): connected components at abs(rho) >= least, cluster named by its first member.
 
-    Labels spread by joins until none changes; the tables have one row a strategy or link.
+    Each round hooks every cluster to its first neighbour and follows the hooks twice, so rounds
+    grow with the logarithm of the longest chain; they end when no link leads out of a cluster.
+    The tables have one row a strategy or link.
     """
-    links = pairs.where(F.abs("rho") >= least).select("a", "b")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
+    edges = pairs.where((F.abs("rho") >= least) & (F.col("a") != F.col("b"))).select("a", "b").distinct().checkpoint()
     label = names.select("strategy_id", F.col("strategy_id").alias("cluster"))
-    for _ in range(rounds):
-        near = both.join(label, both.b == label.strategy_id).groupBy("a").agg(F.min("cluster").alias("m"))
-        new = label.join(near, label.strategy_id == near.a, "left").select("strategy_id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"), (F.coalesce("m", "cluster") < F.col("cluster")).alias("moved")).checkpoint()
-        label = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            break
-    return label
+
+    def renamed(rows, hook, column):
+        new = hook.select(F.col("c").alias(column), F.col("p").alias("new__"))
+        return rows.join(new, column, "left").withColumn(column, F.coalesce("new__", column)).drop("new__")
+
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("p"))
+        hook = renamed(renamed(hook, hook, "p"), hook, "p").select("c", "p").checkpoint()
+        label = renamed(label, hook, "cluster").checkpoint()
+        edges = renamed(renamed(edges, hook, "a"), hook, "b").where("a <> b").select("a", "b").distinct().checkpoint()
+    return label.select("strategy_id", "cluster")
 
 
 def effective_n(pairs: DataFrame, n: int) -> DataFrame:
@@ -77,7 +84,7 @@ def covariances(rows: DataFrame) -> DataFrame:
 
 def portfolio_returns(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """(t, ret): weights times returns; weights are one row a strategy."""
-    return rows.join(F.broadcast(weights), "strategy_id").groupBy("t").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
+    return rows.join(weights, "strategy_id").groupBy("t").agg(F.sum(F.col("ret") * F.col("weight")).alias("ret"))
 
 
 def equal_weights(names: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def regime_weights(names: DataFrame, long_bias: float) -> DataFrame:
 
 def diversification(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted volatilities by the portfolio's volatility."""
-    own = rows.groupBy("strategy_id").agg(F.stddev_samp("ret").alias("s")).join(F.broadcast(weights), "strategy_id").agg(F.sum(F.col("s") * F.col("weight")).alias("sum_vol"))
+    own = rows.groupBy("strategy_id").agg(F.stddev_samp("ret").alias("s")).join(weights, "strategy_id").agg(F.sum(F.col("s") * F.col("weight")).alias("sum_vol"))
     port = portfolio_returns(rows, weights).agg(F.stddev_samp("ret").alias("vol"))
     return own.crossJoin(port).withColumn("ratio", F.try_divide("sum_vol", "vol"))  # one row by one row
 
@@ -101,30 +108,37 @@ def portfolio_stats(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return portfolio_returns(rows, weights).agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("vol"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("sharpe"))
 
 
-def select_greedy(stats: DataFrame, cov: DataFrame, rho: DataFrame, n: int, per_group: int, max_rho: float) -> DataFrame:
+def select_greedy(stats: DataFrame, cov: DataFrame, rho: DataFrame, n: int, per_group: int, per_market: int, max_rho: float) -> DataFrame:
     """Seed by Sharpe, then add the strategy of best diversification ratio (equal weights) under caps.
 
-    ``stats`` has strategy_id, sharpe, vol, archetype. The pair tables are kept;
+    ``stats`` has strategy_id, sharpe, vol, archetype, market (asset and timeframe). At most ``per_group`` of an archetype and
+    ``per_market`` of a market are taken, and the mean abs(rho) over all pairs taken stays within ``max_rho``. The pair tables are kept;
     each of at most ``n`` steps is one small aggregation over them.
     """
     spark = stats.sparkSession
     first = stats.orderBy(F.desc("sharpe"), "strategy_id").limit(1).collect()
     chosen = [(r["strategy_id"], 0, None) for r in first]
     cov, both = cov.cache(), rho.unionByName(rho.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho")).cache()
+    inner = 0.0  # abs(rho) over the pairs taken
     while chosen and len(chosen) < n:
         have = spark.createDataFrame([(c[0],) for c in chosen], "chosen string")
         k = len(chosen) + 1
+        taken = stats.join(have, stats.strategy_id == have.chosen)
         inside = cov.join(have, cov.a == have.chosen).drop("chosen").join(have, F.col("b") == F.col("chosen")).agg(F.sum("cov").alias("v")).first()["v"]
-        vols = stats.join(have, stats.strategy_id == have.chosen).agg(F.sum("vol").alias("s")).first()["s"]
-        full = stats.join(have, stats.strategy_id == have.chosen).groupBy("archetype").count().where(F.col("count") >= per_group).select("archetype")
+        vols = taken.agg(F.sum("vol").alias("s")).first()["s"]
+        rest = stats.join(have, stats.strategy_id == have.chosen, "left_anti")
+        for column, cap in (("archetype", per_group), ("market", per_market)):
+            rest = rest.join(taken.groupBy(column).count().where(F.col("count") >= cap).select(column), column, "left_anti")
         add = cov.join(have, cov.b == have.chosen).groupBy("a").agg(F.sum("cov").alias("c"))
-        near = both.join(have, both.b == have.chosen).groupBy("a").agg(F.avg(F.abs("rho")).alias("near"))
-        rest = stats.join(have, stats.strategy_id == have.chosen, "left_anti").join(full, "archetype", "left_anti").join(add, F.col("strategy_id") == add.a).drop("a").join(near, F.col("strategy_id") == near.a)
+        near = both.join(have, both.b == have.chosen).groupBy("a").agg(F.sum(F.abs("rho")).alias("near"))
+        rest = rest.join(add, F.col("strategy_id") == add.a).drop("a").join(near, F.col("strategy_id") == near.a)
         ratio = (F.lit(vols) + F.col("vol")) / k / F.sqrt((F.lit(inside) + 2 * F.col("c") + F.col("vol") * F.col("vol")) / (k * k))
-        best = rest.where(F.col("near") <= max_rho).select("strategy_id", ratio.alias("r")).orderBy(F.desc("r"), "strategy_id").limit(1).collect()
+        mean = (F.lit(inner) + F.col("near")) / (k * (k - 1) / 2)
+        best = rest.where(mean <= max_rho).select("strategy_id", ratio.alias("r"), "near").orderBy(F.desc("r"), "strategy_id").limit(1).collect()
         if not best:
             break
         chosen.append((best[0]["strategy_id"], k - 1, best[0]["r"]))
+        inner += best[0]["near"]
     return spark.createDataFrame(chosen, "strategy_id string, step int, ratio double")
 
 
@@ -174,16 +188,39 @@ def ensemble_static(rows: DataFrame, weights: DataFrame, capital: float) -> Data
     return p.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(run)))
 
 
-def ensemble_rebalanced(rows: DataFrame, weights: DataFrame, capital: float, every: int) -> DataFrame:
-    """Weights drift inside a period of ``every`` bars and are set back at its end: (t, equity). Returns must share times."""
-    n = F.dense_rank().over(Window.partitionBy("strategy_id").orderBy("t")) - 1
-    rows = rows.withColumn("period", F.floor(n / every))
+def ensemble_contributions(rows: DataFrame, weights: DataFrame, capital: float) -> DataFrame:
+    """(strategy_id, t, contribution): each strategy's share of the capital, grown by its own returns."""
+    run = S().rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(weights, "strategy_id").select("strategy_id", "t", (capital * F.col("weight") * F.exp(F.sum(F.log1p("ret")).over(run))).alias("contribution"))
+
+
+def rebalance_bars(every: int | str, bars_per_day: int = 24) -> int:
+    """Bars of an interval: a number of them, or daily, weekly (7 days), monthly (30 days)."""
+    return every if isinstance(every, int) else bars_per_day * {"daily": 1, "weekly": 7, "monthly": 30}[every]
+
+
+def ensemble_weights(rows: DataFrame, weights: DataFrame, capital: float, every: int | str, bars_per_day: int = 24) -> DataFrame:
+    """Weights drift inside a period of ``every`` bars and are set back at its end: (strategy_id, t, equity of all, weight). Returns must share times.
+
+    The weight at a period's last bar is the one it is set back to.
+    """
+    size = rebalance_bars(every, bars_per_day)
+    n = F.row_number().over(S()) - 1
+    rows = rows.withColumns({"n": n, "period": F.floor(n / size)})
     g = F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy("strategy_id", "period").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    grown = rows.withColumn("g", g).join(F.broadcast(weights), "strategy_id").groupBy("period", "t").agg(F.sum(F.col("g") * F.col("weight")).alias("g"))
-    ends = grown.groupBy("period").agg(F.max_by("g", "t").alias("e"))
-    before = Window.partitionBy(F.lit(1)).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("base", F.exp(F.coalesce(F.sum(F.ln("e")).over(before), F.lit(0.0))))
-    return grown.join(ends, "period").select("t", (capital * F.col("base") * F.col("g")).alias("equity"))
+    each = rows.withColumn("g", g).join(weights, "strategy_id").withColumn("g", F.col("g") * F.col("weight"))
+    grown = each.groupBy("period", "t").agg(F.sum("g").alias("all"))
+    ends = grown.groupBy("period").agg(F.max_by("all", "t").alias("e"))
+    before = Window.partitionBy(F.lit(1)).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)  # one row a period
+    ends = ends.select("period", F.exp(F.coalesce(F.sum(F.ln("e")).over(before), F.lit(0.0))).alias("base"))
+    out = each.select("strategy_id", "period", "t", "n", "g", "weight").join(grown.join(ends, "period"), ["period", "t"])
+    last = F.pmod(F.col("n") + 1, F.lit(size)) == 0
+    return out.select("strategy_id", "t", (capital * F.col("base") * F.col("all")).alias("equity"), F.when(last, F.col("weight")).otherwise(F.col("g") / F.col("all")).alias("weight"))
+
+
+def ensemble_rebalanced(rows: DataFrame, weights: DataFrame, capital: float, every: int | str, bars_per_day: int = 24) -> DataFrame:
+    """(t, equity) of ``ensemble_weights``."""
+    return ensemble_weights(rows, weights, capital, every, bars_per_day).groupBy("t").agg(F.first("equity").alias("equity"))
 
 
 def weight_perturbation(rows: DataFrame, weights: DataFrame, trials: int, size: float = 0.1, seed: int = 1) -> DataFrame:
@@ -191,8 +228,8 @@ def weight_perturbation(rows: DataFrame, weights: DataFrame, trials: int, size:
 
     Noise is a hash of (seed, trial, strategy). Each trial's Sharpe comes from the mean vector and the covariance table.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), F.col("strategy_id")), F.lit(1_000_003)) / 1_000_003.0
-    t = rows.sparkSession.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(weights))
+    u = draw(1_000_003, seed, F.col("trial"), F.col("strategy_id")) / 1_000_003.0
+    t = rows.sparkSession.range(trials).withColumnRenamed("id", "trial").crossJoin(weights)  # trials by strategies: the size of the answer's noise
     t = t.withColumn("w", F.col("weight") * (1 + size * (2 * u - 1)))
     t = t.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("trial"))).select("trial", "strategy_id", "w")
     mean = rows.groupBy("strategy_id").agg(F.avg("ret").alias("m"))

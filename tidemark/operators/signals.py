@@ -1,8 +1,8 @@
 """Entry and exit signals: each function takes bars and adds a BOOLEAN column ``signal``.
 
 All but two are window expressions; recurrences are blocked scans. ``firestorm``
-(bands that ratchet) and ``hurst`` (a regression in each window) run one symbol
-at a time in a grouped map. A column that bars lack gives False everywhere.
+(bands that ratchet) runs one symbol at a time in a grouped map, ``hurst`` (a
+regression in each window) blocks of a symbol. A column that bars lack gives False everywhere.
 """
 
 from __future__ import annotations
@@ -462,7 +462,11 @@ def firestorm_tm(bars, n=10, mult=1.8, long=True):
 
 @signal
 def hurst(bars, n=100, above=0.55, below=0.45, mode="trending", hold=1):
-    """Rescaled-range exponent of the last n log returns against thresholds."""
+    """Rescaled-range exponent of the last n log returns against thresholds.
+
+    Series are cut into blocks, each with the n rows before it, so that no task holds a whole symbol.
+    """
+    size = max(1024, 4 * n)
 
     def run(pdf):
         import numpy as np
@@ -470,13 +474,20 @@ def hurst(bars, n=100, above=0.55, below=0.45, mode="trending", hold=1):
         from tidemark.functions.stats import hurst_exponent
 
         pdf = pdf.sort_values("ts")
-        r = np.diff(np.log(pdf["close"].to_numpy()), prepend=np.nan)
+        r, own = pdf["r__"].to_numpy(), pdf["own__"].to_numpy()
         h = np.full(len(r), np.nan)
-        for i in range(n, len(r)):
-            h[i] = hurst_exponent(r[i - n + 1 : i + 1])
-        return pdf[["symbol", "ts"]].assign(h=h)
-
-    h = bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, h double")
+        for i in np.flatnonzero(own):
+            last = r[max(0, i - n + 1) : i + 1]
+            if len(last) == n and not np.isnan(last).any():
+                h[i] = hurst_exponent(last)
+        return pdf[["symbol", "ts"]].assign(h=h)[own]
+
+    rows = bars.select("symbol", "ts", F.ln(F.col("close") / lag("close")).alias("r__"), (F.row_number().over(W()) - 1).alias("k__"))
+    block = F.floor(F.col("k__") / size)
+    # the last rows of a block are also the start of the next one's first windows
+    both = F.when(F.pmod("k__", F.lit(size)) >= size - n, F.array(block, block + 1)).otherwise(F.array(block))
+    rows = rows.select("symbol", "ts", "r__", block.alias("home__"), F.explode(both).alias("block__")).withColumn("own__", F.col("home__") == F.col("block__"))
+    h = rows.groupBy("symbol", "block__").applyInPandas(run, "symbol string, ts timestamp, h double")
     rows = bars.join(h.select("symbol", "ts", F.nanvl("h", F.lit(None).cast("double")).alias("h__")), ["symbol", "ts"])
     x = F.col("h__")
     return _done(rows, x > above if mode == "trending" else x < below if mode == "mean_reverting" else (x > above) | (x < below), hold, n)

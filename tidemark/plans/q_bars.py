@@ -36,9 +36,11 @@ def bars_write(spark, sf):
     return spark.read.schema(store.SCHEMA).parquet(stored(spark, sf)).select("exchange", "symbol", "timeframe", "period", "ts", *OHLCV)
 
 
-@query("bars_inventory", f"WITH {BARS_1H} SELECT 'ex' AS exchange, symbol, '1h' AS timeframe, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, count(DISTINCT date_trunc('month', ts)) AS n_files FROM bars GROUP BY symbol")
+@query("bars_inventory", f"WITH {BARS_1H} SELECT 'ex' AS exchange, symbol, '1h' AS timeframe, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, count(DISTINCT date_trunc('month', ts)) AS n_files, true AS has_mb, concat('exchange=ex/symbol=', symbol, '/timeframe=1h') AS source FROM bars GROUP BY symbol")
 def bars_inventory(spark, sf):
-    return store.inventory(spark, stored(spark, sf))
+    """Sizes depend on the writer, so they are only compared with a bar's 48 bytes."""
+    out = store.inventory(spark, stored(spark, sf))
+    return out.withColumns({"has_mb": (F.col("mb") > 0) & (F.col("mb") < F.col("n_rows") * 48 / 1e6 + 0.1), "source": F.regexp_extract("source", r"exchange=.*", 0)}).drop("mb")
 
 
 @query("kline_csv_scan", f"WITH {BARS_1H} SELECT ts, open, high, low, close, volume FROM bars")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import grid
 from tidemark.operators.bars import dedup_keep_last
+from tidemark.plans import sqlstats
 from tidemark.plans.fixtures import table
 from tidemark.plans.registry import query
 from tidemark.sources.scratch import folder
@@ -59,17 +60,23 @@ def space_from_schema(spark, sf):
     return grid.space_from_schema(p.unionByName(mode))
 
 
-@query("random_configs")
+SYMBOLS = "(SELECT list(s ORDER BY s) AS l FROM (SELECT DISTINCT event_type AS s FROM events))"
+
+
+@query("random_configs", f"SELECT l[1 + {sqlstats.draw('5', '1', 'i', chr(39) + 'symbol' + chr(39))}] AS symbol, [7, 14, 21][1 + {sqlstats.draw('3', '1', 'i', chr(39) + 'n' + chr(39))}] AS n, ['long', 'short'][1 + {sqlstats.draw('2', '1', 'i', chr(39) + 'mode' + chr(39))}] AS mode, count(*) AS c FROM {SYMBOLS}, LATERAL (SELECT unnest(range((SELECT count(*) FROM orders))) AS i) GROUP BY ALL")
 def random_configs(spark, sf):
     """As many configurations as orders; counts of each value."""
     n = table(spark, sf, "orders").count()
     return grid.random_configs(spark, n, space(spark, sf)).groupBy("symbol", "n", "mode").agg(F.count("*").alias("c"))
 
 
-@query("v1_combinations", "WITH n AS (SELECT DISTINCT event_type AS t FROM events), k AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM n) SELECT m AS mask, string_agg(t, ',' ORDER BY t) AS members, mult FROM range(32) AS r(m), k, (VALUES (1), (2)) AS v(mult) WHERE (m >> i) & 1 = 1 GROUP BY m, mult HAVING count(*) >= 2")
+FRAMES = "(VALUES ('T1'), ('T2'), ('T1+T2'), ('T3'), ('T1+T3'), ('T2+T3'), ('T1+T2+T3')) AS f(f)"
+
+
+@query("v1_combinations", f"WITH n AS (SELECT s, s < 'f' AS timed FROM (SELECT DISTINCT event_type AS s FROM events)), st AS (SELECT s, NULL AS v FROM n UNION ALL SELECT s, s FROM n UNION ALL SELECT s, s || ':' || f FROM n, {FRAMES} WHERE timed) SELECT concat_ws(',', a.v, b.v, c.v, d.v, e.v) AS indicators, o AS optional_count, m AS multiplier, p AS close_pct FROM (SELECT v FROM st WHERE s = 'click') a, (SELECT v FROM st WHERE s = 'error') b, (SELECT v FROM st WHERE s = 'purchase') c, (SELECT v FROM st WHERE s = 'signup') d, (SELECT v FROM st WHERE s = 'view') e, (VALUES (1), (2)) AS o(o), (VALUES (1.5::DOUBLE), (2.0)) AS m(m), (VALUES (50::DOUBLE), (100)) AS p(p)")
 def v1_combinations(spark, sf):
-    s = grid.subsets(spark, space(spark, sf)["symbol"], 2).select("mask", F.array_join("members", ",").alias("members"))
-    return s.crossJoin(F.broadcast(spark.createDataFrame([(1,), (2,)], "mult int")))
+    c = grid.combinations(spark, {x: x < "f" for x in space(spark, sf)["symbol"]}, [1, 2], [1.5, 2.0], [50.0, 100.0])
+    return c.select(F.array_join("indicators", ",").alias("indicators"), "optional_count", "multiplier", "close_pct")
 
 
 @query("v1_batches", "SELECT o_orderkey, k // 200 AS batch, k % 200 + 1 AS place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)")
@@ -124,7 +131,7 @@ def penalised_value(spark, sf):
 
 def importances(spark, sf):
     p = table(spark, sf, "part").withColumn("y", F.col("p_retailprice") + F.col("p_size") * 10)
-    return grid.feature_importance(p, ["p_type"], ["p_size", "p_retailprice"], "y", rounds=5)
+    return grid.feature_importance(p, ["p_type"], ["p_size", "p_retailprice"], "y", rounds=5, threshold=0.0)
 
 
 @query("feature_importance")

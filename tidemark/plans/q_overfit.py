@@ -114,7 +114,7 @@ def dsr_portfolio(spark, sf):
 
 
 #: Blocks are summed row by row here, without prefix sums.
-SPA = f"x AS (SELECT a.candidate, a.ret - b.ret AS x, row_number() OVER (PARTITION BY a.candidate ORDER BY a.t) - 1 AS k FROM cand a JOIN cand b ON a.t = b.t AND b.candidate = 'click' AND a.candidate <> 'click'), xm AS (SELECT candidate, count(*) AS n, avg(x) AS excess, CAST(ceil(sqrt(count(*))) AS BIGINT) AS size, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS per FROM x GROUP BY 1), dr AS (SELECT candidate, rep, ({sqlstats.draw('n', '1', 'rep', 'b')} + j) % n AS k FROM (SELECT candidate, n, size, rep, b FROM xm, range(1, 201) AS r(rep), LATERAL (SELECT unnest(range(1, per + 1)) AS b)), LATERAL (SELECT unnest(range(size)) AS j)), ms AS MATERIALIZED (SELECT candidate, rep, avg(x) AS m FROM dr JOIN x USING (candidate, k) GROUP BY 1, 2), sds AS (SELECT candidate, stddev_pop(m) AS sd FROM ms GROUP BY 1), spa AS MATERIALIZED (SELECT candidate, any_value(excess) AS excess, any_value(n) AS n, any_value(greatest(excess / sd, 0)) AS statistic, avg(CASE WHEN m - CASE WHEN excess >= -sd * sqrt(2 * ln(ln(n))) THEN excess ELSE 0 END >= greatest(excess, 0) THEN 1.0 ELSE 0 END) AS p FROM ms JOIN xm USING (candidate) JOIN sds USING (candidate) GROUP BY 1)"
+SPA = f"x AS (SELECT a.candidate, a.ret - b.ret AS x, row_number() OVER (PARTITION BY a.candidate ORDER BY a.t) - 1 AS k FROM cand a JOIN cand b ON a.t = b.t AND b.candidate = 'click' AND a.candidate <> 'click'), xm AS (SELECT candidate, count(*) AS n, avg(x) AS excess, CAST(ceil(sqrt(count(*))) AS BIGINT) AS size, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS per FROM x GROUP BY 1), dr AS (SELECT candidate, rep, ({sqlstats.draw('n', '1', 'rep', 'b')} + j) % n AS k FROM (SELECT candidate, n, size, rep, b FROM xm, range(1, 201) AS r(rep), LATERAL (SELECT unnest(range(1, per + 1)) AS b)), LATERAL (SELECT unnest(range(size)) AS j)), ms AS MATERIALIZED (SELECT candidate, rep, avg(x) AS m FROM dr JOIN x USING (candidate, k) GROUP BY 1, 2), sds AS (SELECT candidate, stddev_pop(m) AS sd FROM ms GROUP BY 1), spa AS MATERIALIZED (SELECT candidate, any_value(excess) AS excess, any_value(n) AS n, any_value(greatest(excess / sd, 0)) AS statistic, avg(CASE WHEN greatest(m - CASE WHEN excess >= -sd * sqrt(2 * ln(ln(n))) THEN excess ELSE 0 END, 0) >= greatest(excess, 0) THEN 1.0 ELSE 0 END) AS p FROM ms JOIN xm USING (candidate) JOIN sds USING (candidate) GROUP BY 1)"
 
 
 def versus(spark, sf):

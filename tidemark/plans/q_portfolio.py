@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import portfolio as pf
+from tidemark.plans import sqlstats
 from tidemark.plans.fixtures import BARS_1H, bars_1h, table
 from tidemark.plans.registry import query
 from tidemark.sources.scratch import folder
@@ -126,13 +127,13 @@ def covariance_table(spark, sf):
 
 def stats(spark, sf):
     s = rets(spark, sf).groupBy("strategy_id").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"), F.stddev_samp("ret").alias("vol"))
-    return s.withColumn("archetype", F.substring("strategy_id", 1, 1))
+    return s.withColumns({"archetype": F.substring("strategy_id", 1, 1), "market": F.when(F.col("strategy_id") < "p", "x_1h").otherwise("y_1h")})
 
 
 @query("select_greedy")
 def select_greedy(spark, sf):
     r = rets(spark, sf)
-    return rnd(pf.select_greedy(stats(spark, sf), pf.covariances(r), pf.correlations(r), 3, 2, 0.9), "ratio")
+    return rnd(pf.select_greedy(stats(spark, sf), pf.covariances(r), pf.correlations(r), 3, 2, 2, 0.9), "ratio")
 
 
 STATS = "st AS MATERIALIZED (SELECT strategy_id, avg(ret) / stddev_samp(ret) AS sharpe FROM rets GROUP BY 1)"
@@ -157,25 +158,34 @@ def shrinkage_intensity(spark, sf):
     return rnd(pf.shrinkage_intensity(rets(spark, sf)), "alpha")
 
 
-@query("ensemble_static", f"WITH {PORT} SELECT t, round(ret, {R}) AS ret, round(ln(1000) + sum(ln(1 + ret)) OVER (ORDER BY t), 6) AS log_equity FROM port")
+@query("ensemble_static", f"WITH {PORT}, e AS (SELECT t, ret AS all_, ln(1000) + sum(ln(1 + ret)) OVER (ORDER BY t) AS log_equity FROM port) SELECT strategy_id, t, round(all_, {R}) AS ret, round(log_equity, {R}) AS log_equity, round(ln(200) + sum(ln(1 + ret)) OVER {W}, {R}) AS log_contribution FROM rets JOIN e USING (t)")
 def ensemble_static(spark, sf):
-    return rnd(pf.ensemble_static(rets(spark, sf), weights(spark, sf), 1000.0), "ret").select("t", "ret", F.round(F.ln("equity"), R).alias("log_equity"))
+    r, w = rets(spark, sf), weights(spark, sf)
+    out = pf.ensemble_contributions(r, w, 1000.0).join(pf.ensemble_static(r, w, 1000.0), "t")
+    return rnd(out, "ret").select("strategy_id", "t", "ret", F.round(F.ln("equity"), R).alias("log_equity"), F.round(F.ln("contribution"), R).alias("log_contribution"))
 
 
 REB = f"{RETS}, n AS (SELECT *, (row_number() OVER {W} - 1) // 24 AS period FROM rets), g AS (SELECT strategy_id, period, t, exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy_id, period ORDER BY t)) AS g FROM n), s AS (SELECT period, t, sum(g * 0.2) AS g FROM g GROUP BY 1, 2), e AS (SELECT period, exp(coalesce(sum(ln(e)) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS base FROM (SELECT period, arg_max(g, t) AS e FROM s GROUP BY 1))"
 
 
-@query("ensemble_rebalanced", f"WITH {REB} SELECT t, round(ln(1000) + ln(base) + ln(g), 6) AS log_equity FROM s JOIN e USING (period)")
+@query("ensemble_rebalanced", f"WITH {REB}, w AS (SELECT strategy_id, n.t, row_number() OVER (PARTITION BY strategy_id ORDER BY n.t) % 24 = 0 AS last_, g.g * 0.2 AS own FROM n JOIN g USING (strategy_id, period, t)) SELECT strategy_id, s.t, round(ln(1000) + ln(base) + ln(g), {R}) AS log_equity, round(CASE WHEN last_ THEN 0.2 ELSE own / g END, {R}) AS weight FROM s JOIN e USING (period) JOIN w ON w.t = s.t")
 def ensemble_rebalanced(spark, sf):
-    return pf.ensemble_rebalanced(rets(spark, sf), weights(spark, sf), 1000.0, 24).select("t", F.round(F.ln("equity"), R).alias("log_equity"))
+    out = pf.ensemble_weights(rets(spark, sf), weights(spark, sf), 1000.0, "daily")
+    return out.select("strategy_id", "t", F.round(F.ln("equity"), R).alias("log_equity"), F.round("weight", R).alias("weight"))
 
 
-@query("weight_perturbation")
+NOISE = f"tr AS (SELECT trial, strategy_id, 0.2 * (1 + 0.1 * (2 * ({sqlstats.draw('1000003', '1', 'trial', 'strategy_id')} / 1000003.0::DOUBLE) - 1)) AS w FROM range(200) AS r(trial), (SELECT DISTINCT strategy_id FROM rets)), nw AS (SELECT trial, strategy_id, w / sum(w) OVER (PARTITION BY trial) AS w FROM tr), tp AS (SELECT trial, sum(w * m) AS m FROM nw JOIN (SELECT strategy_id, avg(ret) AS m FROM rets GROUP BY 1) USING (strategy_id) GROUP BY 1), vr AS (SELECT x.trial, sum(x.w * y.w * cov) AS v FROM nw x JOIN nw y USING (trial) JOIN cov ON a = x.strategy_id AND b = y.strategy_id GROUP BY 1), wp AS MATERIALIZED (SELECT avg(s) AS mean, stddev_samp(s) AS sd, min(s) AS least, max(s) AS most, stddev_samp(s) / abs(avg(s)) AS cv FROM (SELECT m / sqrt(v) AS s FROM tp JOIN vr USING (trial)))"
+
+
+@query("weight_perturbation", f"WITH {COV}, {NOISE} SELECT " + ", ".join(f"round({c}, {R}) AS {c}" for c in ("mean", "sd", "least", "most", "cv")) + " FROM wp")
 def weight_perturbation(spark, sf):
     return rnd(pf.weight_perturbation(rets(spark, sf), weights(spark, sf), 200), "mean", "sd", "least", "most", "cv")
 
 
-@query("stress_verdict")
+FALLS = f"port AS MATERIALIZED (SELECT t, sum(ret * 0.2) AS ret FROM rets GROUP BY t), num AS (SELECT row_number() OVER (ORDER BY t) - 1 AS k, ret FROM port), grid AS (SELECT sim, b, n, {sqlstats.draw('n - 23', '1', 'sim', 'b')} AS start FROM (SELECT count(*) AS n FROM num), range(50) AS r(sim), LATERAL (SELECT unnest(range(CAST(ceil(n / 24.0) AS BIGINT))) AS b)), ph AS (SELECT sim, b * 24 + j AS i, exp(sum(ln(1 + ret)) OVER (PARTITION BY sim ORDER BY b * 24 + j)) AS e FROM grid, range(24) AS q(j) JOIN num ON num.k = start + j WHERE b * 24 + j < n), dd AS (SELECT quantile_cont(d, 0.95) AS p95 FROM (SELECT sim, max(1 - e / greatest(1, m)) AS d FROM (SELECT *, max(e) OVER (PARTITION BY sim ORDER BY i) AS m FROM ph) GROUP BY 1))"
+
+
+@query("stress_verdict", f"WITH {COV}, {NOISE}, {FALLS} SELECT round(cv, {R}) AS cv, round(p95, {R}) AS p95, p95 < 0.5 AND round(cv, {R}) < 0.3 AS passed FROM wp, dd")
 def stress_verdict(spark, sf):
     from tidemark.operators.overfit import block_bootstrap
 

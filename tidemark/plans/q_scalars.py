@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats_udf, text, timeframes
+from tidemark.plans import sqlstats
 from tidemark.plans.fixtures import table
 from tidemark.plans.registry import query
 
@@ -98,16 +99,19 @@ def balances(spark, sf):
     return table(spark, sf, "customer").groupBy("c_nationkey").agg((F.avg("c_acctbal") / 5000 - 0.9).alias("x"), F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 4500).alias("k"))
 
 
-@query("normal_cdf")
+BALANCES = "b AS (SELECT c_nationkey, avg(c_acctbal) / 5000 - 0.9 AS x, count(*) AS n, count(*) FILTER (c_acctbal > 4500) AS k FROM customer GROUP BY 1)"
+
+
+@query("normal_cdf", f"WITH {BALANCES} SELECT c_nationkey, round({sqlstats.normal_cdf('x')}, 6) AS p, 0.0::DOUBLE AS inverse_error FROM b")
 def normal_cdf(spark, sf):
     return balances(spark, sf).select("c_nationkey", F.round(stats_udf.normal_cdf("x"), 6).alias("p"), F.round(stats_udf.normal_ppf(stats_udf.normal_cdf("x")) - F.col("x"), 6).alias("inverse_error"))
 
 
-@query("t_sf")
+@query("t_sf", f"WITH {BALANCES} SELECT c_nationkey, round({sqlstats.t_sf('x', '(n - 1)')}, 6) AS p FROM b")
 def t_sf(spark, sf):
     return balances(spark, sf).select("c_nationkey", F.round(stats_udf.t_sf("x", (F.col("n") - 1).cast("double")), 6).alias("p"))
 
 
-@query("binom_sf")
+@query("binom_sf", f"WITH {BALANCES} SELECT c_nationkey, round({sqlstats.binom_sf('k', 'n', '0.5::DOUBLE')}, 6) AS p FROM b")
 def binom_sf(spark, sf):
     return balances(spark, sf).select("c_nationkey", F.round(stats_udf.binom_sf(F.col("k").cast("double"), F.col("n").cast("double"), F.lit(0.5)), 6).alias("p"))

@@ -13,10 +13,10 @@ from tidemark.streaming import bars as st
 R = 6
 
 
-def as_stream(spark, rows, what: str, n_files: int = 1):
-    """Write rows and read them as a stream."""
+def as_stream(spark, rows, what: str):
+    """Write rows and read them as a stream: all files that are there make one batch."""
     path = folder(spark, what)
-    rows.coalesce(n_files).write.parquet(path)
+    rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
@@ -42,12 +42,12 @@ def states(spark, sf):
     return result(spark, st.indicator_state(as_stream(spark, bars_1h(spark, sf), "bars"), 12, 14, 3, 3600.0), "stream-state")
 
 
-_S = Steps().true_range().ema("ema", "close", 12).wilder("atr", "tr", 14).add(d=f"close - {lag('close')}").add(obv="sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts)", cr=f"coalesce({lag('close')} <= {lag('ema')} AND close > ema, false)")
+_S = Steps().true_range().ema("ema", "close", 12).wilder("atr", "tr", 14).add(d=f"close - {lag('close')}").add(obv="sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts)", cr=f"coalesce({lag('close')} <= {lag('ema')} AND close > ema, false)").ema("up", "high", 12).ema("down", "low", 12).add(ssl="coalesce(last_value(CASE WHEN close > up THEN 1 WHEN close < down THEN -1 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)")
 
 
-@query("stream_indicator_state", _S.select(f"symbol, ts, round(ema, {R}) AS ema, round(atr, {R}) AS atr, round(obv, {R}) AS obv", "rn >= 14"))
+@query("stream_indicator_state", _S.select(f"symbol, ts, round(ema, {R}) AS ema, round(atr, {R}) AS atr, round(obv, {R}) AS obv, ssl", "rn >= 14"))
 def stream_indicator_state(spark, sf):
-    rows = states(spark, sf).select("symbol", "ts", *[F.round(c, R).alias(c) for c in ("ema", "atr", "obv")])
+    rows = states(spark, sf).select("symbol", "ts", *[F.round(c, R).alias(c) for c in ("ema", "atr", "obv")], "ssl")
     first = bars_1h(spark, sf).groupBy("symbol").agg(F.sort_array(F.collect_list("ts"))[13].alias("from"))  # one array a symbol of the fixture
     return rows.join(first, "symbol").where(F.col("ts") >= F.col("from")).drop("from")
 
@@ -62,9 +62,10 @@ def stream_gap_alert(spark, sf):
     return states(spark, sf).where("gap_s is not null").select("symbol", "ts", "gap_s")
 
 
-@query("stream_positions", "SELECT event_type AS symbol, round(sum(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END), 4) AS net, round(sum(value), 4) AS gross, count(*) AS n_fills FROM events GROUP BY 1")
+@query("stream_positions", "WITH p AS (SELECT event_type AS symbol, ts, event_id, value, CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS q, 1000 + sum(CASE WHEN event_id % 3 = 0 THEN -value ELSE value / 3 END) OVER w AS equity FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), k AS (SELECT *, greatest(1000, max(equity) OVER (PARTITION BY symbol ORDER BY ts, event_id)) AS peak FROM p) SELECT symbol, round(sum(q), 4) AS net, round(sum(value), 4) AS gross, count(*) AS n_fills, round(arg_max(equity, (ts, event_id)), 4) AS equity, round(1 - arg_max(equity, (ts, event_id)) / arg_max(peak, (ts, event_id)), 4) AS drawdown, bool_or(1 - equity / peak >= 0.5) AS killed FROM k GROUP BY 1")
 def stream_positions(spark, sf):
-    fills = ticks(spark, sf).select("symbol", F.when(F.col("seq") % 2 == 0, F.col("price")).otherwise(-F.col("price")).alias("quantity"))
+    t = ticks(spark, sf)
+    fills = t.select("symbol", "ts", "seq", F.when(F.col("seq") % 2 == 0, F.col("price")).otherwise(-F.col("price")).alias("quantity"), F.when(F.col("seq") % 3 == 0, -F.col("price")).otherwise(F.col("price") / 3).alias("pnl"))
     path = folder(spark, "stream-positions")
-    st.run_batches(st.position_totals(as_stream(spark, fills, "fills")), path, "complete")
-    return spark.read.parquet(path).select("symbol", F.round("net", 4).alias("net"), F.round("gross", 4).alias("gross"), "n_fills")
+    st.run_batches(st.position_risk(as_stream(spark, fills, "fills"), 1000.0, 0.5), path, "update")
+    return spark.read.parquet(path).select("symbol", "n_fills", "killed", *[F.round(c, 4).alias(c) for c in ("net", "gross", "equity", "drawdown")])

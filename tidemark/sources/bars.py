@@ -41,7 +41,11 @@ def write_bars(bars: DataFrame, path: str, arrival: str | None = None) -> None:
 
 
 def read_bars(spark: SparkSession, path: str, exchange: str, symbol: str | None, timeframe: str, start: str | None = None, end: str | None = None, columns: tuple = OHLCV) -> DataFrame:
-    """One dataset (or all symbols), optional columns and inclusive dates; the filters prune folders and row groups."""
+    """One dataset (or all symbols), optional columns and inclusive dates; the filters prune folders and row groups.
+
+    Of bars with equal time the one written last stays (the newest file's, then its last row). No bar in the range is an error.
+    """
+    meta = {"when__": "file_modification_time", "file__": "file_path", "row__": "row_index"}
     rows = spark.read.schema(SCHEMA).parquet(path).where((F.col("exchange") == exchange) & (F.col("timeframe") == timeframe))
     if symbol:
         rows = rows.where(F.col("symbol") == symbol)
@@ -49,13 +53,19 @@ def read_bars(spark: SparkSession, path: str, exchange: str, symbol: str | None,
         rows = rows.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("period") >= start[:4]))
     if end:
         rows = rows.where(F.col("ts") <= F.lit(end).cast("timestamp"))
-    return rows.select("symbol", "ts", *columns)
+    rows = rows.select("symbol", "ts", *columns, *[F.col(f"_metadata.{x}").alias(n) for n, x in meta.items()])
+    if rows.isEmpty():
+        raise ValueError(f"no bars of {exchange} {symbol or ''} {timeframe} from {start} to {end}")
+    return dedup_keep_last(rows.withColumn("arrival__", F.struct(*meta)), "arrival__", "symbol", "ts").select("symbol", "ts", *columns)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Per dataset: first and last bar, rows, files."""
-    rows = spark.read.schema(SCHEMA).parquet(path).select(*KEYS, "ts", F.col("_metadata.file_path").alias("f"))
-    return rows.groupBy(*KEYS).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_rows"), F.countDistinct("f").alias("n_files"))
+    """Per dataset: first and last bar, rows, files, megabytes, and the folder it lies in."""
+    file = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    rows = spark.read.schema(SCHEMA).parquet(path).select(*KEYS, "ts", file.alias("f"))
+    per = rows.groupBy(*KEYS, "f").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_rows"))
+    source = F.regexp_replace(F.min("f.path"), r"/period=[^/]*/[^/]*$", "")
+    return per.groupBy(*KEYS).agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_files"), (F.sum("f.size") / 1e6).alias("mb"), source.alias("source"))
 
 
 def epoch_normalise(raw: Column) -> Column:

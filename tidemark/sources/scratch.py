@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new path in the session's checkpoint folder; in a temporary one only where none is set."""
+    """A new path in the session's checkpoint folder; in a temporary one only in local mode where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidemark/{what}-{uuid.uuid4().hex}"

@@ -26,34 +26,43 @@ def dedup(bars: DataFrame, late: str) -> DataFrame:
     return bars.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
-STATE = "n long, ema double, atr double, obv double, close double, hold long, last double"
-OUT = "symbol string, ts timestamp, ema double, atr double, obv double, signal boolean, gap_s double"
+STATE = "n long, ema double, atr double, obv double, close double, hold long, last double, high double, low double, ssl int"
+OUT = "symbol string, ts timestamp, ema double, atr double, obv double, ssl int, signal boolean, gap_s double"
+#: A symbol without rows for so long loses its state.
+IDLE_MS = 30 * 86_400_000
 
 
-def indicator_state(bars: DataFrame, n_ema: int, n_atr: int, hold: int, expected: float) -> DataFrame:
-    """EMA, Wilder ATR, OBV, a held cross signal and gaps over 1.5 expected steps, from seven numbers of state a symbol.
+def indicator_state(bars: DataFrame, n_ema: int, n_atr: int, hold: int, expected: float, n_ssl: int = 12, idle_ms: int = IDLE_MS) -> DataFrame:
+    """EMA, Wilder ATR, OBV, the SSL channel's side, a held cross signal and gaps over 1.5 expected steps, from ten numbers of state a symbol.
 
     Rows of a symbol are taken in time order within a batch; ATR is seeded with
-    the mean of its first ranges, so it grows as a running mean until then.
+    the mean of its first ranges, so it grows as a running mean until then. ssl is 1 or -1 by the last close beyond
+    the averages of high or low (0 before). State of a symbol that is silent for ``idle_ms`` goes.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(state.get) if state.exists else [0, 0.0, 0.0, 0.0, 0.0, 0, 0.0]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = list(state.get) if state.exists else [0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0]
         rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
+        out, step = [], 2 / (n_ssl + 1)
         for ts, high, low, close, volume in zip(rows["ts"], rows["high"], rows["low"], rows["close"], rows["volume"], strict=True):
-            n, ema, atr, obv, before, left, last = s
+            n, ema, atr, obv, before, left, last, up, down, side = s
             tr = high - low if not n else max(high - low, abs(high - before), abs(low - before))
             new = close if not n else ema + 2 / (n_ema + 1) * (close - ema)
+            up, down = (up + step * (high - up), down + step * (low - down)) if n else (high, low)
+            side = 1 if close > up else -1 if close < down else side
             cross = bool(n) and before <= ema and close > new
             left = hold if cross else max(0, left - 1)
             at = ts.timestamp()
-            s = [n + 1, new, (atr * n + tr) / (n + 1) if n < n_atr else (atr * (n_atr - 1) + tr) / n_atr, obv + (volume if n and close > before else -volume if n and close < before else 0.0), close, left, at]
-            out.append((key[0], ts, s[1], s[2], s[3], left > 0, at - last if n and at - last > 1.5 * expected else None))
+            s = [n + 1, new, (atr * n + tr) / (n + 1) if n < n_atr else (atr * (n_atr - 1) + tr) / n_atr, obv + (volume if n and close > before else -volume if n and close < before else 0.0), close, left, at, up, down, side]
+            out.append((key[0], ts, s[1], s[2], s[3], side, left > 0, at - last if n and at - last > 1.5 * expected else None))
         state.update(tuple(s))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "ema", "atr", "obv", "signal", "gap_s"])
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["symbol", "ts", "ema", "atr", "obv", "ssl", "signal", "gap_s"])
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def position_totals(fills: DataFrame) -> DataFrame:
@@ -61,6 +70,30 @@ def position_totals(fills: DataFrame) -> DataFrame:
     return fills.groupBy("symbol").agg(F.sum("quantity").alias("net"), F.sum(F.abs("quantity")).alias("gross"), F.count("*").alias("n_fills"))
 
 
+KILL_STATE = "net double, gross double, n_fills long, equity double, peak double, killed boolean"
+KILL_OUT = "symbol string, net double, gross double, n_fills long, equity double, drawdown double, killed boolean"
+
+
+def position_risk(fills: DataFrame, capital: float, kill: float) -> DataFrame:
+    """As ``position_totals``, with equity (capital and ``pnl`` so far), its drawdown from the peak, and ``killed``, which stays from the first drawdown of ``kill`` on.
+
+    Fills need symbol, ts, seq, quantity, pnl and are taken by (ts, seq) within a batch; one row a symbol and batch (update mode).
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        net, gross, n, equity, peak, killed = state.get if state.exists else (0.0, 0.0, 0, capital, capital, False)
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        curve = equity + rows["pnl"].cumsum()
+        tops = curve.cummax().clip(lower=peak)
+        killed = bool(killed or ((1 - curve / tops) >= kill).any())
+        net, gross, n = net + float(rows["quantity"].sum()), gross + float(rows["quantity"].abs().sum()), n + len(rows)
+        equity, peak = float(curve.iloc[-1]), float(tops.iloc[-1])
+        state.update((net, gross, n, equity, peak, killed))
+        yield pd.DataFrame([(key[0], net, gross, n, equity, 1 - equity / peak, killed)], columns=[c.split()[0] for c in KILL_OUT.split(", ")])
+
+    return fills.groupBy("symbol").applyInPandasWithState(run, KILL_OUT, KILL_STATE, "update", GroupStateTimeout.NoTimeout)  # open positions don't time out
+
+
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Process all that is there, then stop; results go to Parquet with exactly-once commits."""
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
@@ -68,6 +101,6 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def run_batches(stream: DataFrame, path: str, mode: str) -> None:
-    """As ``run_to_end`` for update and complete mode: each batch overwrites the totals."""
+    """As ``run_to_end`` for complete mode, or update mode where one batch holds all: each batch overwrites the totals."""
     q = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()

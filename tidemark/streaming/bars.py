@@ -28,16 +28,15 @@ def dedup(bars: DataFrame, late: str) -> DataFrame:
 
 STATE = "n long, ema double, atr double, obv double, close double, hold long, last double, high double, low double, ssl int"
 OUT = "symbol string, ts timestamp, ema double, atr double, obv double, ssl int, signal boolean, gap_s double"
-#: A symbol without rows for so long loses its state.
-IDLE_MS = 30 * 86_400_000
 
 
-def indicator_state(bars: DataFrame, n_ema: int, n_atr: int, hold: int, expected: float, n_ssl: int = 12, idle_ms: int = IDLE_MS) -> DataFrame:
+def indicator_state(bars: DataFrame, n_ema: int, n_atr: int, hold: int, expected: float, n_ssl: int = 12, idle_ms: int | None = None) -> DataFrame:
     """EMA, Wilder ATR, OBV, the SSL channel's side, a held cross signal and gaps over 1.5 expected steps, from ten numbers of state a symbol.
 
     Rows of a symbol are taken in time order within a batch; ATR is seeded with
     the mean of its first ranges, so it grows as a running mean until then. ssl is 1 or -1 by the last close beyond
-    the averages of high or low (0 before). State of a symbol that is silent for ``idle_ms`` goes.
+    the averages of high or low (0 before). With ``idle_ms`` the state of a symbol that is
+    silent for so long goes; such a stream runs on until it is stopped, as timeouts need batches without rows.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,10 +58,11 @@ def indicator_state(bars: DataFrame, n_ema: int, n_atr: int, hold: int, expected
             s = [n + 1, new, (atr * n + tr) / (n + 1) if n < n_atr else (atr * (n_atr - 1) + tr) / n_atr, obv + (volume if n and close > before else -volume if n and close < before else 0.0), close, left, at, up, down, side]
             out.append((key[0], ts, s[1], s[2], s[3], side, left > 0, at - last if n and at - last > 1.5 * expected else None))
         state.update(tuple(s))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["symbol", "ts", "ema", "atr", "obv", "ssl", "signal", "gap_s"])
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def position_totals(fills: DataFrame) -> DataFrame:

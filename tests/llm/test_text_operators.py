@@ -101,6 +101,61 @@ def test_elias_fano_selects_every_boundary():
         open_block(b"XXXX" + raw[4:])
 
 
+def test_pieces_and_counts_of_awkward_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows, an empty table and columns of the output's names."""
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.sentence_pieces import BLANK, decode_pieces, encode_pieces
+    from tidemark.llm.token_counts import count_tokens
+
+    long = spark.createDataFrame([(500, "Some words of a text. " * 50_000, "en", 1)], odd.schema)
+    docs = odd.union(odd).union(long)
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in ("ids", "n_pieces", "n_bytes", "n_tokens", "over_limit", "round_trip")])
+    rows = docs.select("doc_id", "text").collect()
+    got = encode_pieces(docs, vocab("piece_bpe_32k.model"))
+    back = collections.Counter((r.doc_id, r.text) for r in decode_pieces(got, vocab("piece_bpe_32k.model")).collect())
+    same = {(r.doc_id, r.round_trip) for r in got.collect()}
+    assert sum(back.values()) == len(rows) and {(0, True), (500, True)} <= same
+    assert all(back[k, (t or "").replace(BLANK, " ")] for k, t in rows if (k, True) in same and (k, False) not in same)
+    assert {r.n_pieces for r in got.where("doc_id = 0").collect()} == {0} and encode_pieces(empty(spark), vocab("piece_bpe_32k.model")).count() == 0
+    lib = Tokenizer.from_file(vocab("word_bpe_49k.json"))
+    want = collections.Counter((k, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 5) for k, t in rows)
+    assert collections.Counter(map(tuple, count_tokens(docs, vocab("word_bpe_49k.json"), limit=5).collect())) == want
+    assert count_tokens(empty(spark), vocab("word_bpe_49k.json")).count() == 0
+
+
+def test_other_tokenizer_files_are_refused_or_encoded_whole():
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.token_counts import PairCounter
+    from tidemark.llm.token_files import WordEncoder
+
+    with pytest.raises(ValueError, match="supported"):
+        PairCounter(vocab("byte_bpe_50k.json"))
+    own, lib = WordEncoder(vocab("byte_bpe_50k.json")), Tokenizer.from_file(vocab("byte_bpe_50k.json"))
+    some = texts(40)
+    assert not own.by_word and [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+
+
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op8_chat_format"])
+def test_queries_give_what_their_sql_gives(spark, name):
+    import duckdb
+
+    from tidemark.llm.queries import oracle_sql, queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries()[name](spark, sf)
+    cols = sorted(df.columns)
+    cur = con.execute(oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    want = collections.Counter(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
+    assert sorted(names) == cols and want and collections.Counter(tuple(r[c] for c in cols) for r in df.collect()) == want
+
+
 def test_token_files_read_back(spark, odd):
     from tokenizers import Tokenizer
 

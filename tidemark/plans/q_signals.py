@@ -156,13 +156,6 @@ def firestorm_tm(spark, sf):
 # --- regimes and combination
 
 
-def _adx_steps() -> Steps:
-    n = 14
-    s = Steps().true_range().add(u=f"high - {lag('high')}", d=f"{lag('low')} - low").add(pd="coalesce(CASE WHEN u > d AND u > 0 THEN u END, 0)", md="coalesce(CASE WHEN d > u AND d > 0 THEN d END, 0)")
-    s.wilder("wt", "tr", n).wilder("wp", "pd", n).wilder("wm", "md", n).add(p="CASE WHEN wt > 0 THEN 100 * wp / wt ELSE 0 END", m="CASE WHEN wt > 0 THEN 100 * wm / wt ELSE 0 END")
-    return s.wilder("adx", f"CASE WHEN rn > {n} THEN CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) ELSE 0 END END", n)
-
-
 def _regime_steps() -> Steps:
     n = 14
     s = Steps().true_range().add(u=f"high - {lag('high')}", d=f"{lag('low')} - low").add(pd="CASE WHEN u > d AND u > 0 THEN u WHEN rn > 1 THEN 0 END", md="CASE WHEN d > u AND d > 0 THEN d WHEN rn > 1 THEN 0 END")

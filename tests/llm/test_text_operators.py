@@ -138,7 +138,7 @@ def test_other_tokenizer_files_are_refused_or_encoded_whole():
     assert not own.by_word and [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [lib.encode(t, add_special_tokens=False).ids for t in some]
 
 
-@pytest.mark.parametrize("name", ["op4_decontaminate", "op8_chat_format"])
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op8_chat_format", "op11_source_divergence", "op12_merkle_manifest", "op13_line_dedup"])
 def test_queries_give_what_their_sql_gives(spark, name):
     import duckdb
 

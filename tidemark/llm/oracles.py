@@ -80,4 +80,81 @@ SELECT doc_id, item_id, 1, 1, CAST(max(n_slots) AS BIGINT) FROM texts x JOIN res
 GROUP BY doc_id, item_id
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op8_chat_format": OP8}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents
+), occurring AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS n_lang FROM occurring GROUP BY ALL HAVING count(DISTINCT rid) >= 10
+), langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM kept GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM d
+), seen AS (SELECT lang, source, term, count(*) AS n FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (SELECT lang, source, sum(n) AS total FROM seen GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(s.n, 0) + 2) // (CAST(coalesce(t.total, 0) AS HUGEINT) + 2 * l.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (k.n_lang + 2) // (CAST(l.total AS HUGEINT) + 2 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL
+  ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 10
+"""
+
+_PART = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_HEAD = " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+OP12 = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS rid FROM (
+    SELECT doc_id, lang, sha256({_HEAD} || {_PART.format("text")}) AS leaf,
+      CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({_HEAD} || {_PART.format(_LOWER.format("text"))}) END AS claimed FROM documents)
+), nodes AS (
+  SELECT lang, 0 AS l, pos, leaf AS h FROM d
+  UNION ALL
+  SELECT lang, l + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM nodes) WHERE c > 1 GROUP BY lang, l, pos // 8
+), subroots AS MATERIALIZED (SELECT lang, max(l) AS steps, arg_max(h, l) AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM nodes GROUP BY lang
+), tops AS (
+  SELECT 0 AS l, place AS pos, subroot AS h FROM subroots
+  UNION ALL
+  SELECT l + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM tops) WHERE c > 1 GROUP BY l, pos // 8
+), top AS (SELECT max(l) AS steps, arg_max(h, l) AS root FROM tops
+), sides AS MATERIALIZED (
+  SELECT rid, n.l AS step, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < d.pos // CAST(8 ** n.l AS BIGINT)), '') AS before, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > d.pos // CAST(8 ** n.l AS BIGINT)), '') AS after
+  FROM d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang JOIN nodes n ON n.lang IS NOT DISTINCT FROM d.lang AND n.l < s.steps AND n.pos // 8 = d.pos // CAST(8 ** (n.l + 1) AS BIGINT)
+  GROUP BY rid, n.l
+  UNION ALL
+  SELECT rid, s.steps + t.l, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < s.place // CAST(8 ** t.l AS BIGINT)), ''), coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > s.place // CAST(8 ** t.l AS BIGINT)), '')
+  FROM d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang JOIN top ON true JOIN tops t ON t.l < top.steps AND t.pos // 8 = s.place // CAST(8 ** (t.l + 1) AS BIGINT)
+  GROUP BY rid, s.steps, t.l
+), folded AS (
+  SELECT rid, 0 AS step, coalesce(claimed, leaf) AS h FROM d
+  UNION ALL
+  SELECT rid, f.step + 1, sha256(before || h || after) FROM folded f JOIN sides USING (rid, step)
+), proofs AS (SELECT rid, string_agg(before || after, '' ORDER BY step) AS proof FROM sides GROUP BY rid
+), ends AS (SELECT rid, arg_max(h, step) AS folded_root FROM folded GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN subroots s ON d.lang IS NOT DISTINCT FROM s.lang JOIN top ON true JOIN ends USING (rid) LEFT JOIN proofs USING (rid)
+"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM (SELECT rid, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d)
+), frequent AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN frequent f ON l.key = f.key GROUP BY rid
+"""
+
+ORACLES = {"op4_decontaminate": OP4, "op8_chat_format": OP8, "op11_source_divergence": OP11, "op12_merkle_manifest": OP12, "op13_line_dedup": OP13}

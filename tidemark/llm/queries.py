@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +87,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_blocks(write_token_blocks(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.source_divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by language, and each one's proof; in a third of the texts capitals are changed before theirs is checked."""
+    from tidemark.llm.merkle_manifest import build_manifest, extract_proofs, leaf_digest
+
+    docs = table(spark, sf_dir, "documents")
+    changed = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    digest = lambda text: leaf_digest("doc_id", "source", "lang", "n_chars", text)
+    leaves = docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("key"), digest(F.col("text")).alias("digest"), F.when(tampered, digest(changed)).alias("claimed"))
+    return extract_proofs(build_manifest(leaves)).withColumnRenamed("key", "doc_id")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter an empty index, then lose the lines that ten of them or more have."""
+    from tidemark.llm.line_dedup import LineIndex, drop_lines
+
+    docs = table(spark, sf_dir, "documents")
+    left = drop_lines(docs, LineIndex.create(spark).insert(docs))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

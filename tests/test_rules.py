@@ -290,7 +290,7 @@ def test_hurst_over_blocks_is_the_loop(spark):
     rng = np.random.default_rng(14)
     c = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 1500)))
     df = closes(spark, c)
-    got = [r.signal for r in sig.hurst(df, n=32, above=0.6).orderBy("ts").collect()]
+    got = [r.signal for r in sig.hurst(df, window=32, threshold_high=0.6).orderBy("ts").collect()]
     r = np.r_[np.nan, np.diff(np.log(c))]
     assert got == [bool(i >= 32 and stats.hurst_exponent(r[i - 31 : i + 1]) > 0.6) for i in range(1500)]
 
@@ -333,3 +333,149 @@ def test_rebalanced_weights_drift_and_return(spark):
     assert pf.rebalance_bars("weekly", 24) == 168
     c = {(x.strategy_id, x.t): x.contribution for x in pf.ensemble_contributions(rows, w, 100.0).collect()}
     assert c["a", 4] == pytest.approx(50 * 1.21) and c["b", 0] == pytest.approx(50)
+
+
+# --- signals by their rules
+
+
+def fired(df, name, **params):
+    return [r.signal for r in sig.compute(name, df, **params).orderBy("ts").collect()]
+
+
+def held(raw, n):
+    return [any(raw[max(0, i - n + 1) : i + 1]) for i in range(len(raw))]
+
+
+def test_bollinger_fires_where_the_close_reaches_a_band(spark):
+    # averages of 3 and population deviations of 3, worked out: 10 10 10 | 13 7 | 10 16 4
+    values = [10, 10, 10, 13, 7, 10, 16, 4]
+    bands = [(np.mean(values[i - 2 : i + 1]), np.std(values[i - 2 : i + 1])) if i >= 2 else (math.nan, math.nan) for i in range(8)]
+    lower = [False] * 3 + [values[i] <= bands[i][0] - bands[i][1] and values[i - 1] > bands[i - 1][0] - bands[i - 1][1] for i in range(3, 8)]
+    upper = [False] * 3 + [values[i] >= bands[i][0] + bands[i][1] and values[i - 1] < bands[i - 1][0] + bands[i - 1][1] for i in range(3, 8)]
+    # bar 4 (7: mean 10, deviation 2.449) and bar 7 (4: mean 10, deviation 4.899) reach the lower band from above it
+    assert lower == [False, False, False, False, True, False, False, True] and upper[6]
+    df = closes(spark, values)
+    assert fired(df, "bollinger", period=3, nbdev=1.0, hold_bars=1) == lower and fired(df, "bollinger", period=3, nbdev=1.0, hold_bars=2) == held(lower, 2)
+    assert fired(df, "bollinger", period=3, nbdev=1.0, mode="upper", hold_bars=1) == upper
+
+
+def test_slow_columns_are_filled_before_their_rule(spark):
+    """Values at every third bar; z-scores, changes and averages see the last known one."""
+    known = [1.0, None, None, 1.2, None, None, 0.9, None, None, 5.0, None, None, 1.0, None, None]
+    filled = pd.Series(known).ffill().to_numpy()
+    base = closes(spark, [100, 101, 99, 98, 97, 99, 96, 95, 94, 93, 92, 91, 95, 96, 97])
+    rows = spark.createDataFrame([(T0 + i * HOUR, v) for i, v in enumerate(known)], "ts timestamp, v double")
+    df = base.join(rows, "ts").drop("v_").withColumnRenamed("v", "x")
+    price = np.array([100, 101, 99, 98, 97, 99, 96, 95, 94, 93, 92, 91, 95, 96, 97.0])
+    z = [None if i < 4 else (filled[i] - filled[i - 4 : i].mean()) / filled[i - 4 : i].std(ddof=1) if filled[i - 4 : i].std(ddof=1) > 1e-12 else None for i in range(15)]
+    for name in ("funding_rate", "basis", "long_short_ratio"):
+        got = fired(df.withColumnRenamed("x", name), name, lookback=4, extreme_z=1.4, mode="contrarian_short" if name == "long_short_ratio" else "reversal_short", hold_bars=1)
+        assert got == [v is not None and v > 1.4 for v in z] and sum(got) >= 1
+    up = [i >= 3 and price[i] < price[i - 3] and filled[i] > filled[i - 3] for i in range(15)]
+    assert fired(df.withColumnRenamed("x", "open_interest"), "oi_divergence", period=3, hold_bars=1) == up and any(up)
+    mean = [filled[i - 3 : i + 1].mean() if i >= 4 else None for i in range(15)]  # the first four bars are held back, not three
+    assert fired(df.withColumnRenamed("x", "taker_buy_ratio"), "taker_volume", lookback=4, threshold=1.0) == [m is not None and m > 1.0 for m in mean]
+    assert fired(df.withColumnRenamed("x", "yield_spread"), "yield_curve", lookback=4, mode="steepening") == [m is not None and f > m for f, m in zip(filled, mean)]
+    assert fired(df.withColumnRenamed("x", "yield_spread"), "yield_curve", threshold=1.1) == (filled > 1.1).tolist()
+    for column, calm in (("credit_spread", lambda f, m: f > m), ("hy_spread", lambda f, m: f < m)):
+        on = [m is not None and bool(calm(f, m)) for f, m in zip(filled, mean)]
+        assert fired(df.withColumnRenamed("x", column), "credit_spread", lookback=4) == on
+        assert fired(df.withColumnRenamed("x", column), "credit_spread", lookback=4, mode="momentum") == [v and not w for v, w in zip(on, [False, *on])]
+    logs = np.r_[np.nan, np.diff(np.log(price))]
+    real = [np.var(logs[i - 3 : i + 1], ddof=1) * 252 if i >= 4 else math.nan for i in range(15)]
+    assert fired(df.withColumnRenamed("x", "vix"), "vrp", realized_window=4, mode="risk_off") == [bool((f / 100) ** 2 - r < 0) for f, r in zip(filled, real)]
+    assert fired(df.withColumnRenamed("x", "cs_momentum_rank"), "cs_momentum", rank_threshold=1.0) == (filled >= 1.0).tolist()
+
+
+def test_scaled_momentum_looks_at_its_reference(spark):
+    rng = np.random.default_rng(3)
+    ref = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 140)))
+    roc = pd.Series(ref) / pd.Series(ref).shift(12) - 1
+    z = (roc / roc.rolling(60).std()).to_numpy()
+    raw = [bool(i >= 60 and z[i] > 0.5) for i in range(140)]  # nan is not above
+    rows = spark.createDataFrame([(T0 + i * HOUR, float(v)) for i, v in enumerate(ref)], "ts timestamp, ref_close double")
+    df = closes(spark, np.linspace(100, 50, 140)).join(rows, "ts")
+    assert fired(df, "vol_scaled_momentum") == held(raw, 3) and any(raw) and not any(fired(df.drop("ref_close"), "vol_scaled_momentum"))
+
+
+def test_first_bars_are_held_back(spark):
+    df = closes(spark, range(100, 140)).withColumns({"high": F.col("close"), "ref_value": -F.col("close")})
+    assert fired(df, "donchian", period=5) == [False] * 5 + [True] * 35
+    assert fired(df, "macro_regime_signal", z_window=10, hold_bars=1) == [False] * 10 + [True] * 30
+    flat = closes(spark, [100] * 120).withColumns({"high": 100 + F.unix_seconds("ts") % 1000, "low": F.lit(90.0)})
+    got = fired(flat, "volatility_regime", atr_period=14, lookback=20, threshold=0.0, mode="trending")
+    assert not any(got[:33])  # the first value that counts is at bar 33
+
+
+def test_schemas_and_unknown_values(spark):
+    from inspect import signature
+
+    from tidemark.operators import signal_params
+
+    for name, schema in signal_params.SCHEMAS.items():
+        f = sig.REGISTRY.get(name, getattr(sig, name, None))
+        assert set(schema) <= set(signature(f).parameters) and len(schema) > 0
+        for spec in schema.values():
+            assert spec[2] in spec[1] if spec[0] == "str" else spec[1] <= spec[3] <= spec[2]
+    assert len(signal_params.SCHEMAS) == 38 and signal_params.default(signal_params.SCHEMAS["rsi"]["threshold"]) == 30.0
+    df = closes(spark, range(50))
+    for bad in ({"mode": "sideways"}, {"period": 2.5}, {"threshold": "low"}):
+        with pytest.raises(ValueError, match="rsi"):
+            sig.compute("rsi", df, **bad)
+    with pytest.raises(KeyError):
+        sig.compute("no such", df)
+    sig.register("mine", lambda bars, level=1.0: bars.withColumn("signal", F.col("close") > level), {"level": ("float", 0.0, 2.0, 1.0, 0.5)})
+    assert sum(fired(df, "mine", level=40.0)) == 9
+    rows = signal_params.schema_rows(spark, "rsi", "squeeze", "mine")
+    space = {(r.signal, r.name): r.preset for r in rows.collect()}
+    assert space["rsi", "period"] == "14" and space["squeeze", "mode"] == "bullish"
+    values = [r.value for r in grid.space_from_schema(rows.where("signal = 'mine'")).collect()]
+    assert values == ["0.0", "0.5", "1.0", "1.5", "2.0"]
+    assert [r.value for r in grid.space_from_schema(rows.where("signal = 'squeeze' and name = 'bb_period'")).collect()] == [str(k) for k in range(14, 27)]
+    del sig.REGISTRY["mine"], signal_params.SCHEMAS["mine"]
+
+
+def ratchet_loop(level_up, level_dn, close):
+    up, dn, trend, out = level_up[0], level_dn[0], 1, []
+    for i, c in enumerate(close):
+        pu, pd_, before = up, dn, trend
+        if i:
+            up = max(level_up[i], pu) if close[i - 1] > pu else level_up[i]
+            dn = min(level_dn[i], pd_) if close[i - 1] < pd_ else level_dn[i]
+            trend = 1 if before == -1 and c > pd_ else -1 if before == 1 and c < pu else before
+        out.append((up, dn, trend, trend if trend != before else 0))
+    return out
+
+
+@pytest.mark.parametrize("n,size", [(700, 7), (700, 64), (300_000, 4096)])
+def test_bands_over_blocks_are_the_loop(spark, n, size):
+    from tidemark.operators import bands
+
+    rng = np.random.default_rng(n + size)
+    close = 100 + np.cumsum(rng.normal(0, 1, n))
+    close[n // 3 : n // 2] = np.round(close[n // 3 : n // 2])  # ties
+    up, dn = np.round(close + rng.normal(-3, 1.5, n), 1), np.round(close + rng.normal(3, 1.5, n), 1)  # at times on the wrong side
+    want = ratchet_loop(up, dn, close)
+    pdf = pd.DataFrame({"symbol": "a", "ts": np.arange(n), "close": close, "before": np.r_[np.nan, close[:-1]], "up": up, "dn": -dn, "k": np.arange(1, n + 1)})
+    df = spark.createDataFrame(pdf).withColumn("before", F.nanvl("before", F.lit(None).cast("double"))).repartition(5)
+    got = bands.ratchet(df, size).toPandas().sort_values("ts")
+    assert len(got) == n and list(zip(got["up_band"], got["dn_band"], got["trend"], got["flip"], strict=True)) == want and (got["flip"] != 0).sum() > 5
+
+
+@pytest.mark.parametrize("n,strict", [(5, False), (5, True), (5000, False)])
+def test_sliding_ranks_are_the_loop(spark, n, strict, monkeypatch):
+    monkeypatch.setattr(win, "RANK_ROWS", 20)
+    m = 45_000 if n > 100 else 300
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 50 if n < 100 else 10**6, m).astype(float)
+    if n < 100:
+        x[[40, 41, 150]] = np.nan
+    pdf = pd.DataFrame({"symbol": "a", "ts": np.arange(m), "v": x, "other": "o"})
+    df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double"))).repartition(3)
+    got = win.pct_rank(df, "p", "v", n, strict).orderBy("ts").toPandas()
+    assert got.columns.tolist() == ["symbol", "ts", "v", "other", "p"] and len(got) == m
+    at = range(m) if n < 100 else rng.integers(0, m, 300)
+    for i in at:
+        w = x[i - n + 1 : i + 1] if i >= n - 1 else np.array([np.nan])
+        want = math.nan if np.isnan(w).any() else ((w < x[i]) if strict else (w <= x[i])).mean()
+        assert got["p"][i] == want or math.isnan(want) and math.isnan(got["p"][i])

@@ -36,9 +36,9 @@ def bar_regime(bars: DataFrame, crash: float = 10.0, high_vol: float = 90.0, tre
     dx = F.when(F.col("p__") + F.col("m__") > 0, 100 * F.abs(F.col("p__") - F.col("m__")) / (F.col("p__") + F.col("m__"))).otherwise(0.0)
     rows = win.linear_scan(rows.withColumn("dx__", F.when(F.col("at__") > n_adx, dx)), "adx__", "dx__", 1 / n_adx, n_adx + 1)
     rows = rows.withColumns({"vol__": F.coalesce(win.rolling_std("ret__", n_vol, ddof=0), F.lit(0.0)), "fall__": F.when(F.col("at__") > n_fall, 1 - F.col("close") / F.max("close").over(last_n(n_fall + 1)))})
-    rows = rows.withColumn("rank__", win.pct_rank("vol__", n_vol) * 100)
+    rows = win.pct_rank(rows, "rank__", "vol__", n_vol)
     strong, c, e = F.col("adx__") > trend, F.col("close"), F.col("e__")
-    regime = F.when(F.col("fall__") >= crash / 100, "crash").when(F.col("rank__") >= high_vol, "high_vol").when(strong & (c > e), "trend_up").when(strong & (c < e), "trend_down").otherwise("range")
+    regime = F.when(F.col("fall__") >= crash / 100, "crash").when(F.col("rank__") * 100 >= high_vol, "high_vol").when(strong & (c > e), "trend_up").when(strong & (c < e), "trend_down").otherwise("range")
     return rows.withColumn("regime", regime).drop(*[x for x in rows.columns if x.endswith("__")])
 
 

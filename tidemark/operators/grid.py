@@ -44,8 +44,12 @@ def chunks(rows: DataFrame, order: str, per: int) -> DataFrame:
 
 
 def space_from_schema(schema: DataFrame) -> DataFrame:
-    """(name, value) from rows of name, lo, hi, step or a list of choices."""
-    steps = F.transform(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / F.col("step") + 1e-9).cast("int")), lambda i: (F.col("lo") + i * F.col("step")).cast("string"))
+    """(name, value) from rows of name, lo, hi, step or a list of choices; where a column ``kind`` says int or float, values are written as such."""
+    at = lambda i: F.col("lo") + i * F.col("step")
+    text = lambda i: at(i).cast("string")
+    if "kind" in schema.columns:
+        text = lambda i: F.when(F.col("kind") == "int", at(i).cast("long").cast("string")).otherwise(F.round(at(i), 10).cast("string"))
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / F.col("step") + 1e-9).cast("int")), text)
     return schema.select("name", F.explode(F.coalesce("choices", steps)).alias("value"))
 
 

@@ -1,8 +1,10 @@
 """Entry and exit signals: each function takes bars and adds a BOOLEAN column ``signal``.
 
 All but two are window expressions; recurrences are blocked scans. ``firestorm``
-(bands that ratchet) runs one symbol at a time in a grouped map, ``hurst`` (a
-regression in each window) blocks of a symbol. A column that bars lack gives False everywhere.
+(bands that ratchet) and ``hurst`` (a regression in each window) run blocks of a
+symbol in grouped maps. A slow column (funding, open interest, ratios, macro
+series) is filled forward before its rule looks at it; one that bars lack gives
+False everywhere. Parameters, their ranges and choices are in ``signal_params``.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import signal_params
 from tidemark.operators import windows as win
 from tidemark.operators.windows import ALL, W, lag, last_n
 
@@ -23,12 +26,18 @@ def signal(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
-def register(name: str, f: Callable[..., DataFrame]) -> None:
-    """Add a signal of one's own."""
+def register(name: str, f: Callable[..., DataFrame], schema: dict[str, tuple] | None = None) -> None:
+    """Add a signal of one's own, with its parameters' schema (see ``signal_params.SCHEMAS``)."""
     REGISTRY[name] = f
+    if schema is not None:
+        signal_params.SCHEMAS[name] = schema
 
 
 def compute(name: str, bars: DataFrame, **params) -> DataFrame:
+    """A signal by name; an unknown name is a KeyError, an unknown choice a ValueError."""
+    if name not in REGISTRY:
+        raise KeyError(f"unknown signal {name!r}; there are {', '.join(sorted(REGISTRY))}")
+    signal_params.check(name, params)
     return REGISTRY[name](bars, **params)
 
 
@@ -39,6 +48,11 @@ def _done(rows: DataFrame, raw: Column, hold: int = 1, warmup: int = 0) -> DataF
     return rows.drop(*[c for c in rows.columns if c.endswith("__")])
 
 
+def _filled(bars: DataFrame, name: str) -> DataFrame:
+    """``x__``: a slow column with its nulls filled from the bars before."""
+    return bars.withColumn("x__", F.last(F.col(name).cast("double"), ignorenulls=True).over(ALL()))
+
+
 def _absent(bars: DataFrame, *names: str) -> DataFrame | None:
     return None if set(names) <= set(bars.columns) else bars.withColumn("signal", F.lit(False))
 
@@ -51,7 +65,7 @@ def _side(up: bool, a: Column, b: Column) -> Column:
 
 
 @signal
-def ash(bars, length=9, smooth=3, mode="rsi", ma_type="ema", bullish=True, hold=None):
+def ash(bars, length=9, smooth=3, mode="rsi", ma_type="ema", signal_mode="bullish"):
     """Bulls and bears smoothed twice; bullish while their distance lies between them and bulls don't fall."""
     d = F.col("close") - lag("close")
     if mode == "rsi":
@@ -70,25 +84,26 @@ def ash(bars, length=9, smooth=3, mode="rsi", ma_type="ema", bullish=True, hold=
             rows = rows.drop(c).withColumnRenamed(c + "x__", c)
     u, e = F.col("bu__"), F.col("be__")
     diff = F.abs(u - e)
-    return _done(rows, (diff > e) & ~(diff > u) & (u >= lag("bu__")) if bullish else diff > u)
+    return _done(rows, (diff > e) & ~(diff > u) & (u >= lag("bu__")) if signal_mode == "bullish" else diff > u)
 
 
 @signal
-def ssl_channel(bars, n=12, up=True, level=False, hold=4):
+def ssl_channel(bars, length=12, hold_bars=4, direction="long", level=False):
     """Averages of high and low change places by the last break of the close."""
-    rows = win.linear_scans(bars, {"eh__": ("high", 2 / (n + 1), 1), "el__": ("low", 2 / (n + 1), 1)})
+    rows = win.linear_scans(bars, {"eh__": ("high", 2 / (length + 1), 1), "el__": ("low", 2 / (length + 1), 1)})
     state = win.last_state(F.when(F.col("close") > F.col("eh__"), 1).when(F.col("close") < F.col("el__"), -1))
     rows = rows.withColumn("s__", F.coalesce(state, F.lit(0)))
     rows = rows.withColumn("above__", F.when(F.col("s__") < 0, F.col("el__") > F.col("eh__")).otherwise(F.col("eh__") > F.col("el__")))
-    above = F.col("above__") if up else ~F.col("above__")
+    above = F.col("above__") if direction == "long" else ~F.col("above__")
     if level:
-        return _done(rows, above, hold)
-    return _done(rows, above & ~F.coalesce(lag(above), F.lit(False)), hold)
+        return _done(rows, above, hold_bars)
+    return _done(rows, above & ~F.coalesce(lag(above), F.lit(False)), hold_bars)
 
 
 @signal
-def ssl_channel_low(bars, n=12, hold=1):
-    return ssl_channel(bars, n, up=False, hold=hold)
+def ssl_channel_low(bars, length=12, direction="long"):
+    """The crossing that ends a position of that direction."""
+    return ssl_channel(bars, length, 1, "short" if direction == "long" else "long")
 
 
 def wavetrend_lines(bars, channel=9, average=12, ma=3):
@@ -102,18 +117,18 @@ def wavetrend_lines(bars, channel=9, average=12, ma=3):
 
 
 @signal
-def wavetrend_reversal(bars, overbought=60.0, oversold=-60.0, bullish=True, hold=3):
-    rows = wavetrend_lines(bars)
+def wavetrend_reversal(bars, channel_len=9, average_len=12, ma_len=3, ob_level=60.0, os_level=-60.0, hold_bars=3, direction="long"):
+    rows = wavetrend_lines(bars, channel_len, average_len, ma_len)
     a, b = F.col("wt1__"), F.col("wt2__")
     pa, pb = F.coalesce(lag("wt1__"), F.lit(0.0)), F.coalesce(lag("wt2__"), F.lit(0.0))
-    return _done(rows, (a > b) & (pa <= pb) & (b <= oversold) if bullish else (a < b) & (pa >= pb) & (b >= overbought), hold)
+    return _done(rows, (a > b) & (pa <= pb) & (b <= os_level) if direction == "long" else (a < b) & (pa >= pb) & (b >= ob_level), hold_bars)
 
 
 @signal
-def wavetrend_divergence(bars, overbought=60.0, oversold=-60.0, left=20, right=1, length=20, bullish=True, hold=3, compat=False):
-    """Price and oscillator pivots diverge, or wt1 leaves its extreme. A pivot is known ``right`` bars later; ``compat`` writes it at the pivot."""
-    rows = wavetrend_lines(bars)
-    pivot = win.pivot_low("wt2__", left, right) & (F.col("wt2__") <= oversold) if bullish else win.pivot_high("wt2__", left, right) & (F.col("wt2__") >= overbought)
+def wavetrend_divergence(bars, channel_len=9, average_len=12, ma_len=3, ob_level=60.0, os_level=-60.0, lookback_left=20, lookback_right=1, divergence_length=20, hold_bars=3, direction="long", compat=False):
+    """Price and oscillator pivots diverge, or wt1 leaves its extreme. A pivot is known ``lookback_right`` bars later; ``compat`` writes it at the pivot."""
+    rows, bullish, length = wavetrend_lines(bars, channel_len, average_len, ma_len), direction == "long", divergence_length
+    pivot = win.pivot_low("wt2__", lookback_left, lookback_right) & (F.col("wt2__") <= os_level) if bullish else win.pivot_high("wt2__", lookback_left, lookback_right) & (F.col("wt2__") >= ob_level)
     price = "low" if bullish else "high"
     rows = rows.withColumn("v__", pivot)
     before = W().rowsBetween(Window.unboundedPreceding, -1)
@@ -121,24 +136,25 @@ def wavetrend_divergence(bars, overbought=60.0, oversold=-60.0, left=20, right=1
     pr = F.last(F.when(F.col("v__"), F.col(price)), ignorenulls=True).over(before)
     div = (F.col("v__") & (F.col(price) < pr) & (F.col("wt2__") > wt)) if bullish else (F.col("v__") & (F.col(price) > pr) & (F.col("wt2__") < wt))
     rows = rows.withColumn("div__", F.coalesce(div, F.lit(False)))
-    known = F.col("div__") if compat else F.coalesce(lag("div__", right), F.lit(False))
+    known = F.col("div__") if compat else F.coalesce(lag("div__", lookback_right), F.lit(False))
     w = W().rowsBetween(-length, -1)
     edge = F.min("wt1__").over(w) if bullish else F.max("wt1__").over(w)
     out = (F.col("wt1__") > edge) & (lag("wt1__") <= edge) if bullish else (F.col("wt1__") < edge) & (lag("wt1__") >= edge)
-    return _done(rows, known | F.coalesce(out & (F.row_number().over(W()) > length), F.lit(False)), hold)
+    return _done(rows, known | F.coalesce(out & (F.row_number().over(W()) > length), F.lit(False)), hold_bars)
 
 
 @signal
-def rsi(bars, n=14, threshold=30.0, up=True, hold=1):
-    rows = win.rsi(bars, "r__", "close", n)
+def rsi(bars, period=14, threshold=30.0, mode="oversold", hold_bars=3):
+    """The index falls below the threshold (oversold) or rises above it."""
+    rows = win.rsi(bars, "r__", "close", period)
     t = F.lit(threshold)
-    return _done(rows, win.crossover(F.col("r__"), t) if up else win.crossunder(F.col("r__"), t), hold)
+    return _done(rows, win.crossunder(F.col("r__"), t) if mode == "oversold" else win.crossover(F.col("r__"), t), hold_bars)
 
 
 @signal
-def ema_cross(bars, n=21, up=True, hold=1):
-    rows = win.ema(bars, "e__", "close", n, sma_seed=True)
-    return _done(rows, win.crossover(F.col("close"), F.col("e__")) if up else win.crossunder(F.col("close"), F.col("e__")), hold)
+def ema_cross(bars, period=21, mode="above", hold_bars=3):
+    rows = win.ema(bars, "e__", "close", period, sma_seed=True)
+    return _done(rows, win.crossover(F.col("close"), F.col("e__")) if mode == "above" else win.crossunder(F.col("close"), F.col("e__")), hold_bars)
 
 
 def macd_lines(bars, fast=12, slow=26, smooth=9):
@@ -149,39 +165,41 @@ def macd_lines(bars, fast=12, slow=26, smooth=9):
 
 
 @signal
-def macd(bars, up=True, hold=1, **lengths):
-    rows, zero = macd_lines(bars, **lengths), F.lit(0.0)
-    return _done(rows, win.crossover(F.col("hist__"), zero) if up else win.crossunder(F.col("hist__"), zero), hold)
+def macd(bars, fast=12, slow=26, signal=9, mode="bullish", hold_bars=3):
+    rows, zero = macd_lines(bars, fast, slow, signal), F.lit(0.0)
+    return _done(rows, win.crossover(F.col("hist__"), zero) if mode == "bullish" else win.crossunder(F.col("hist__"), zero), hold_bars)
 
 
 @signal
-def atr_breakout(bars, n=14, mult=1.5, ma=20):
-    rows = win.atr(bars, "a__", n)
-    return _done(rows, F.col("a__") > mult * win.sma("a__", ma))
+def atr_breakout(bars, period=14, ma_period=50, multiplier=1.5):
+    rows = win.atr(bars, "a__", period)
+    return _done(rows, F.col("a__") > multiplier * win.sma("a__", ma_period))
 
 
 @signal
-def vwap_cross(bars, up=True, hold=1):
+def vwap_cross(bars, mode="above", hold_bars=3):
     rows = bars.withColumn("v__", win.cumulative_vwap())
-    return _done(rows, win.crossover(F.col("close"), F.col("v__")) if up else win.crossunder(F.col("close"), F.col("v__")), hold)
+    return _done(rows, win.crossover(F.col("close"), F.col("v__")) if mode == "above" else win.crossunder(F.col("close"), F.col("v__")), hold_bars)
 
 
 @signal
-def bollinger(bars, n=20, width=2.0, up=True, hold=1):
-    """Close comes back over the lower band, or under the upper one."""
-    sd = win.rolling_std("close", n, ddof=0)
-    rows = bars.withColumn("b__", win.sma("close", n) + (-width if up else width) * sd)
-    return _done(rows, win.crossover(F.col("close"), F.col("b__")) if up else win.crossunder(F.col("close"), F.col("b__")), hold)
+def bollinger(bars, period=20, nbdev=2.0, mode="lower", hold_bars=3):
+    """Close reaches the lower band from above it, or the upper one from below."""
+    sd = win.rolling_std("close", period, ddof=0)
+    rows = bars.withColumn("b__", win.sma("close", period) + (-nbdev if mode == "lower" else nbdev) * sd)
+    c, b, pc, pb = F.col("close"), F.col("b__"), lag("close"), lag("b__")
+    return _done(rows, (c <= b) & (pc > pb) if mode == "lower" else (c >= b) & (pc < pb), hold_bars)
 
 
 @signal
-def roc(bars, n=12, up=True, hold=1):
-    return _done(bars, _side(up, F.col("close") / lag("close", n) - 1, F.lit(0.0)), hold, n)
+def roc(bars, period=5, mode="bullish", hold_bars=1):
+    return _done(bars, _side(mode == "bullish", F.col("close") / lag("close", period) - 1, F.lit(0.0)), hold_bars, period)
 
 
 @signal
-def donchian(bars, n=20, up=True, hold=1):
-    return _done(bars, F.col("close") >= win.rolling_max("high", n) if up else F.col("close") <= win.rolling_min("low", n), hold)
+def donchian(bars, period=20, mode="upper", hold_bars=1):
+    """Close at the highest high (lowest low) of the last bars, its own among them; the first ``period`` bars never fire."""
+    return _done(bars, F.col("close") >= win.rolling_max("high", period) if mode == "upper" else F.col("close") <= win.rolling_min("low", period), hold_bars, period)
 
 
 def adx_lines(bars, n=14):
@@ -197,193 +215,208 @@ def adx_lines(bars, n=14):
 
 
 @signal
-def adx_filter(bars, n=14, threshold=25.0, strong=True, hold=1):
+def adx_filter(bars, period=14, threshold=20.0, mode="strong", hold_bars=1):
     x = F.coalesce("adx__", F.lit(0.0))
-    return _done(adx_lines(bars, n), x > threshold if strong else x <= threshold, hold, 2 * n)
+    return _done(adx_lines(bars, period), x > threshold if mode == "strong" else x <= threshold, hold_bars, 2 * period)
 
 
 @signal
-def ma_crossover(bars, fast=10, slow=50, up=True, hold=1):
-    rows = win.linear_scans(bars, {"f__": ("close", 2 / (fast + 1), 1), "s__": ("close", 2 / (slow + 1), 1)})
-    return _done(rows, _side(up, F.col("f__"), F.col("s__")), hold, slow)
+def ma_crossover(bars, fast_period=10, slow_period=100, mode="bullish", hold_bars=1):
+    rows = win.linear_scans(bars, {"f__": ("close", 2 / (fast_period + 1), 1), "s__": ("close", 2 / (slow_period + 1), 1)})
+    return _done(rows, _side(mode == "bullish", F.col("f__"), F.col("s__")), hold_bars, max(fast_period, slow_period))
 
 
 @signal
-def squeeze(bars, n=20, bb=2.0, kc=1.5, bullish=True, hold=1):
-    """First bar after Bollinger bands leave the Keltner channel, with the sign of smoothed momentum."""
-    rows = bars.withColumns({"r__": F.col("high") - F.col("low"), "mid__": win.sma("close", n), "sd__": win.rolling_std("close", n, ddof=0), "mo__": F.col("close") - (win.rolling_max("high", n) + win.rolling_min("low", n)) / 2})
-    rows = win.ema(win.ema(win.ema(rows, "km__", "close", n), "kr__", "r__", n), "mom__", "mo__", n)
-    inside = (F.col("mid__") - bb * F.col("sd__") > F.col("km__") - kc * F.col("kr__")) & (F.col("mid__") + bb * F.col("sd__") < F.col("km__") + kc * F.col("kr__"))
+def squeeze(bars, bb_period=20, bb_mult=2.0, kc_period=20, kc_mult=1.5, mode="bullish", hold_bars=1):
+    """First bar after Bollinger bands leave the Keltner channel, with the sign of momentum smoothed over the longer of their lengths."""
+    n = max(bb_period, kc_period)
+    rows = bars.withColumns({"r__": F.col("high") - F.col("low"), "mid__": win.sma("close", bb_period), "sd__": win.rolling_std("close", bb_period, ddof=0), "mo__": F.col("close") - (win.rolling_max("high", n) + win.rolling_min("low", n)) / 2})
+    rows = win.ema(win.linear_scans(rows, {"km__": ("close", 2 / (kc_period + 1), 1), "kr__": ("r__", 2 / (kc_period + 1), 1)}), "mom__", "mo__", n)
+    inside = (F.col("mid__") - bb_mult * F.col("sd__") > F.col("km__") - kc_mult * F.col("kr__")) & (F.col("mid__") + bb_mult * F.col("sd__") < F.col("km__") + kc_mult * F.col("kr__"))
     rows = rows.withColumn("on__", F.coalesce(inside, F.lit(False)))
-    return _done(rows, ~F.col("on__") & lag("on__") & _side(bullish, F.col("mom__"), F.lit(0.0)), hold, n)
+    return _done(rows, ~F.col("on__") & lag("on__") & _side(mode == "bullish", F.col("mom__"), F.lit(0.0)), hold_bars, n)
 
 
 @signal
-def stoch_rsi(bars, n=14, stoch=14, k=3, d=3, oversold=20.0, overbought=80.0, bullish=True, hold=1):
-    rows = win.rsi(bars, "r__", "close", n)
-    lo, hi = win.rolling_min("r__", stoch), win.rolling_max("r__", stoch)
-    rows = rows.withColumn("s__", F.when(hi > lo, (F.col("r__") - lo) / (hi - lo) * 100).otherwise(50.0)).withColumn("k__", win.sma("s__", k)).withColumn("dd__", win.sma("k__", d))
+def stoch_rsi(bars, rsi_period=14, stoch_period=14, k_smooth=3, d_smooth=3, oversold=20.0, overbought=80.0, mode="oversold", hold_bars=1):
+    rows = win.rsi(bars, "r__", "close", rsi_period)
+    lo, hi = win.rolling_min("r__", stoch_period), win.rolling_max("r__", stoch_period)
+    rows = rows.withColumn("s__", F.when(hi > lo, (F.col("r__") - lo) / (hi - lo) * 100).otherwise(50.0)).withColumn("k__", win.sma("s__", k_smooth)).withColumn("dd__", win.sma("k__", d_smooth))
     a, b = F.col("k__"), F.col("dd__")
-    raw = (lag("k__") <= lag("dd__")) & (a > b) & (a < oversold) if bullish else (lag("k__") >= lag("dd__")) & (a < b) & (a > overbought)
-    return _done(rows, raw, hold, n + stoch + max(k, d))
+    raw = (lag("k__") <= lag("dd__")) & (a > b) & (a < oversold) if mode == "oversold" else (lag("k__") >= lag("dd__")) & (a < b) & (a > overbought)
+    return _done(rows, raw, hold_bars, rsi_period + stoch_period + max(k_smooth, d_smooth))
 
 
 @signal
-def ichimoku(bars, tenkan=9, kijun=26, senkou=52, bullish=True, hold=1):
+def ichimoku(bars, tenkan_period=9, kijun_period=26, senkou_period=52, mode="bullish", hold_bars=1):
     mid = lambda n: (win.rolling_max("high", n) + win.rolling_min("low", n)) / 2
-    rows = bars.withColumns({"t__": mid(tenkan), "k__": mid(kijun), "sb__": mid(senkou)})
+    rows = bars.withColumns({"t__": mid(tenkan_period), "k__": mid(kijun_period), "sb__": mid(senkou_period)})
     t, k = F.col("t__"), F.col("k__")
     sa = (t + k) / 2
-    raw = (lag("t__") <= lag("k__")) & (t > k) & (F.col("close") > F.greatest(sa, F.col("sb__"))) if bullish else (lag("t__") >= lag("k__")) & (t < k) & (F.col("close") < F.least(sa, F.col("sb__")))
-    return _done(rows, raw, hold, senkou)
+    raw = (lag("t__") <= lag("k__")) & (t > k) & (F.col("close") > F.greatest(sa, F.col("sb__"))) if mode == "bullish" else (lag("t__") >= lag("k__")) & (t < k) & (F.col("close") < F.least(sa, F.col("sb__")))
+    return _done(rows, raw, hold_bars, senkou_period)
 
 
 @signal
-def obv_trend(bars, n=20, up=True, hold=1):
+def obv_trend(bars, ma_period=20, mode="bullish", hold_bars=1):
     rows = bars.withColumn("st__", win.obv_step()).withColumn("o__", F.sum("st__").over(ALL()))
-    return _done(win.ema(rows, "e__", "o__", n), _side(up, F.col("o__"), F.col("e__")), hold, n)
+    return _done(win.ema(rows, "e__", "o__", ma_period), _side(mode == "bullish", F.col("o__"), F.col("e__")), hold_bars, ma_period)
 
 
 @signal
-def volatility_regime(bars, n=14, lookback=100, threshold=0.5, high=True, hold=1):
-    rows = win.atr(bars, "a__", n)
-    rows = rows.withColumn("p__", win.pct_rank("a__", lookback, strict=True))
-    return _done(rows, _side(high, F.col("p__"), F.lit(threshold)), hold)
+def volatility_regime(bars, atr_period=14, lookback=100, threshold=50.0, mode="trending", hold_bars=1):
+    """Percentage of the last ``lookback`` average ranges below the present one, against the threshold; from bar ``atr_period + lookback - 1`` (the first is 0) on."""
+    rows = win.pct_rank(win.atr(bars, "a__", atr_period), "p__", "a__", lookback, strict=True)
+    return _done(rows, _side(mode == "trending", F.col("p__") * 100, F.lit(threshold)), hold_bars, atr_period + lookback - 1)
 
 
 @signal
-def volume_spike(bars, n=20, k=2.0, bullish=True, hold=1):
-    return _done(bars, (F.col("volume") > k * win.sma("volume", n)) & _side(bullish, F.col("close"), F.col("open")), hold, n)
+def volume_spike(bars, lookback=20, threshold=2.0, mode="bullish", hold_bars=1):
+    return _done(bars, (F.col("volume") > threshold * win.sma("volume", lookback)) & _side(mode == "bullish", F.col("close"), F.col("open")), hold_bars, lookback)
 
 
 @signal
-def momentum_divergence(bars, n=14, lookback=20, bullish=True, hold=1):
+def momentum_divergence(bars, roc_period=14, lookback=20, mode="bullish", hold_bars=3):
     """Extremes of price and rate of change, this window against the one before."""
-    rows = bars.withColumn("r__", F.coalesce(F.col("close") / lag("close", n) - 1, F.lit(0.0)))
+    bullish = mode == "bullish"
+    rows = bars.withColumn("r__", F.coalesce(F.col("close") / lag("close", roc_period) - 1, F.lit(0.0)))
     now, then = last_n(lookback), W().rowsBetween(-(2 * lookback - 1), -lookback)
     f = F.min if bullish else F.max
     price, osc = (f("close").over(now), f("close").over(then)), (f("r__").over(now), f("r__").over(then))
-    return _done(rows, _side(not bullish, *price) & _side(bullish, *osc), hold, n + 2 * lookback)
+    return _done(rows, _side(not bullish, *price) & _side(bullish, *osc), hold_bars, roc_period + 2 * lookback)
 
 
 # --- derivatives, macro, cross-asset
 
 
-def _z(name, column):
-    def f(bars, n=50, z=1.5, high=False, hold=1):
-        if (x := _absent(bars, column)) is not None:
+def _extreme(name: str, low: str) -> Callable[..., DataFrame]:
+    def f(bars, lookback=30, extreme_z=2.0, mode=low, hold_bars=3):
+        if (x := _absent(bars, name)) is not None:
             return x
-        return _done(bars, win.zscore_prior(column, n) > z if high else win.zscore_prior(column, n) < -z, hold)
+        z = win.zscore_prior("x__", lookback)
+        return _done(_filled(bars, name), z < -extreme_z if mode == low else z > extreme_z, hold_bars)
 
     f.__name__ = name
-    f.__doc__ = f"{column} beyond z deviations of the n values before."
+    f.__doc__ = f"{name} beyond ``extreme_z`` deviations of the values before, below for {low}."
     return signal(f)
 
 
-funding_rate = _z("funding_rate", "funding_rate")
-long_short_ratio = _z("long_short_ratio", "long_short_ratio")
-basis = _z("basis", "basis")
+funding_rate = _extreme("funding_rate", "reversal_long")
+long_short_ratio = _extreme("long_short_ratio", "contrarian_long")
+basis = _extreme("basis", "reversal_long")
 
 
 @signal
-def oi_divergence(bars, n=14, price_up=True, hold=1):
-    """Price and open interest move apart."""
+def oi_divergence(bars, period=14, mode="bullish", hold_bars=3):
+    """Price and open interest move apart: price down and interest up (bullish), or the reverse."""
     if (x := _absent(bars, "open_interest")) is not None:
         return x
-    p, i = F.col("close") / lag("close", n) - 1, F.col("open_interest") / lag("open_interest", n) - 1
-    return _done(bars, (p > 0) & (i < 0) if price_up else (p < 0) & (i > 0), hold)
+    change = lambda c: F.when(lag(c, period) >= 1e-12, F.col(c) / lag(c, period) - 1)
+    p, i = change("close"), change("x__")
+    return _done(_filled(bars, "open_interest"), (p < 0) & (i > 0) if mode == "bullish" else (p > 0) & (i < 0), hold_bars)
 
 
 @signal
-def taker_volume(bars, n=14, threshold=0.55, buyers=True, hold=1):
+def taker_volume(bars, lookback=20, threshold=0.55, mode="buy_pressure", hold_bars=1):
     if (x := _absent(bars, "taker_buy_ratio")) is not None:
         return x
-    s = win.sma("taker_buy_ratio", n)
-    return _done(bars, s > threshold if buyers else s < 1 - threshold, hold)
+    s = win.sma("x__", lookback)
+    return _done(_filled(bars, "taker_buy_ratio"), s > threshold if mode == "buy_pressure" else s < 1 - threshold, hold_bars, lookback)
 
 
 @signal
-def vrp(bars, n=21, positive=True, hold=1):
-    """Implied variance above realised variance of log returns."""
+def vrp(bars, realized_window=20, mode="risk_on", hold_bars=1):
+    """Implied variance above (risk_on) or below realised variance of log returns."""
     if (x := _absent(bars, "vix")) is not None:
         return x
-    rows = bars.withColumn("lr__", F.ln(F.col("close") / lag("close")))
-    return _done(rows, _side(positive, F.pow(F.col("vix") / 100, 2) - win.rolling_var("lr__", n) * 252, F.lit(0.0)), hold)
+    rows = _filled(bars, "vix").withColumn("lr__", F.ln(F.col("close") / lag("close")))
+    return _done(rows, _side(mode == "risk_on", F.pow(F.col("x__") / 100, 2) - win.rolling_var("lr__", realized_window) * 252, F.lit(0.0)), hold_bars, realized_window)
 
 
 @signal
-def yield_curve(bars, mode="above", threshold=0.0, n=50, hold=1):
+def yield_curve(bars, threshold=0.0, mode="normal", lookback=20, hold_bars=1):
+    """Spread above the threshold (normal), below minus its size (inverted) or above its own average (steepening)."""
     if (x := _absent(bars, "yield_spread")) is not None:
         return x
-    y = F.col("yield_spread")
-    return _done(bars, y > threshold if mode == "above" else y < -abs(threshold) if mode == "inverted" else y > win.sma("yield_spread", n), hold)
+    y = F.col("x__")
+    raw = y > threshold if mode == "normal" else y < -abs(threshold) if mode == "inverted" else y > win.sma("x__", lookback)
+    return _done(_filled(bars, "yield_spread"), raw, hold_bars, lookback if mode == "steepening" else 0)
 
 
 @signal
-def credit_spread(bars, n=50, mode="above", inverted=False, hold=1):
-    if (x := _absent(bars, "credit_spread")) is not None:
+def credit_spread(bars, lookback=20, mode="risk_on", hold_bars=1):
+    """The ratio ``credit_spread`` above its average, or, where bars lack it, the spread ``hy_spread`` below its own (risk_on); ``momentum``: the first such bar."""
+    column = "credit_spread" if "credit_spread" in bars.columns else "hy_spread"
+    if (x := _absent(bars, column)) is not None:
         return x
-    rows = bars.withColumn("m__", win.sma("credit_spread", n))
-    c, m = F.col("credit_spread"), F.col("m__")
-    return _done(rows, win.crossover(c, m) if mode == "momentum" else _side(not inverted, c, m), hold)
+    rows = _filled(bars, column).withColumn("m__", F.when(F.row_number().over(W()) > lookback, win.sma("x__", lookback)))
+    calm = _side((mode != "risk_off") == (column == "credit_spread"), F.col("x__"), F.col("m__"))
+    rows = rows.withColumn("calm__", F.coalesce(calm, F.lit(False)))
+    raw = F.col("calm__") & ~F.coalesce(lag("calm__"), F.lit(False)) if mode == "momentum" else F.col("calm__")
+    return _done(rows, raw, hold_bars, lookback)
 
 
 @signal
-def cs_momentum(bars, threshold=0.8, winners=True, hold=1):
+def cs_momentum(bars, rank_threshold=0.5, mode="winners", hold_bars=1):
     if (x := _absent(bars, "cs_momentum_rank")) is not None:
         return x
-    r = F.col("cs_momentum_rank")
-    return _done(bars, r >= threshold if winners else r <= 1 - threshold, hold)
+    r = F.col("x__")
+    return _done(_filled(bars, "cs_momentum_rank"), r >= rank_threshold if mode == "winners" else r <= 1 - rank_threshold, hold_bars)
 
 
 @signal
-def cross_asset_momentum(bars, n=20, up=True, hold=1):
-    if (x := _absent(bars, "ref_close")) is not None:
+def cross_asset_momentum(bars, reference_col="ref_close", lookback=24, hold_bars=3, mode="bullish"):
+    if (x := _absent(bars, reference_col)) is not None:
         return x
-    return _done(bars, _side(up, F.col("ref_close") / lag("ref_close", n) - 1, F.lit(0.0)), hold)
+    return _done(bars, _side(mode == "bullish", F.col(reference_col) / lag(reference_col, lookback) - 1, F.lit(0.0)), hold_bars, lookback)
 
 
 @signal
-def cross_asset_momentum_inv(bars, n=20, up=True, hold=1):
-    return cross_asset_momentum(bars, n, not up, hold)
+def cross_asset_momentum_inv(bars, reference_col="ref_close", lookback=24, hold_bars=3, mode="bullish"):
+    """The reference falls (bullish) or rises."""
+    return cross_asset_momentum(bars, reference_col, lookback, hold_bars, "bearish" if mode == "bullish" else "bullish")
 
 
 @signal
-def vol_scaled_momentum(bars, n=20, z=1.0, up=True, hold=1):
-    rows = bars.withColumn("r__", F.col("close") / lag("close", n) - 1)
-    sd = win.rolling_std("r__", n)
-    x = F.when(sd > 1e-12, F.col("r__") / sd)
-    return _done(rows, x > z if up else x < -z, hold)
+def vol_scaled_momentum(bars, reference_col="ref_close", lookback=12, vol_window=60, z_threshold=0.5, hold_bars=3, mode="bullish"):
+    """The reference's change over ``lookback`` bars, in deviations of such changes over ``vol_window`` bars."""
+    if (x := _absent(bars, reference_col)) is not None:
+        return x
+    rows = bars.withColumn("r__", F.col(reference_col).cast("double") / lag(reference_col, lookback) - 1)
+    sd = win.rolling_std("r__", vol_window)
+    z = F.when(sd != 0, F.col("r__") / sd)
+    return _done(rows, z > z_threshold if mode == "bullish" else z < -z_threshold, hold_bars, max(lookback, vol_window))
 
 
 @signal
-def macro_regime_signal(bars, column="vix", n=50, z=1.0, high=True, hold=1):
-    if (x := _absent(bars, column)) is not None:
+def macro_regime_signal(bars, reference_col="ref_value", z_window=60, z_threshold=1.0, hold_bars=5, mode="risk_on"):
+    """A macro value far below its average (risk_on) or far above it."""
+    if (x := _absent(bars, reference_col)) is not None:
         return x
-    s = win.zscore(column, n)
-    return _done(bars, s > z if high else s < -z, hold)
+    z = win.zscore(reference_col, z_window)
+    return _done(bars, z < -z_threshold if mode == "risk_on" else z > z_threshold, hold_bars, z_window)
 
 
 # --- chart-script extras
 
 
 @signal
-def rsi_bb(bars, n=14, ma=20, width=2.0, up=True, hold=1):
+def rsi_bb(bars, n=14, ma=20, width=2.0, up=True, hold_bars=1):
     """RSI crosses its average plus or minus a spread."""
     rows = win.ema(win.rsi(bars, "r__", "close", n), "m__", "r__", ma)
     rows = rows.withColumn("b__", F.col("m__") + (width if up else -width) * win.rolling_std("r__", ma, ddof=0))
-    return _done(rows, win.crossover(F.col("r__"), F.col("b__")) if up else win.crossunder(F.col("r__"), F.col("b__")), hold)
+    return _done(rows, win.crossover(F.col("r__"), F.col("b__")) if up else win.crossunder(F.col("r__"), F.col("b__")), hold_bars)
 
 
 @signal
-def mtf_ma_stack(bars, lengths=(4, 8, 24), every=True, hold=1):
+def mtf_ma_stack(bars, lengths=(4, 8, 24), every=True, hold_bars=1):
     """Close above all (or any) of several averages."""
     over = F.array(*[F.coalesce(F.col("close") > win.sma("close", n), F.lit(False)) for n in lengths])
-    return _done(bars, F.forall(over, lambda x: x) if every else F.exists(over, lambda x: x), hold)
+    return _done(bars, F.forall(over, lambda x: x) if every else F.exists(over, lambda x: x), hold_bars)
 
 
 @signal
-def macd_mtf(bars, scales=(1, 2), hold=1):
+def macd_mtf(bars, scales=(1, 2), hold_bars=1):
     """MACD above its average on all time scales."""
     rows = bars
     for s in scales:
@@ -391,19 +424,19 @@ def macd_mtf(bars, scales=(1, 2), hold=1):
     raw = F.lit(True)
     for s in scales:
         raw = raw & F.col(f"on{s}__")
-    return _done(rows, raw, hold)
+    return _done(rows, raw, hold_bars)
 
 
 @signal
-def squeeze_linreg(bars, n=20, up=True, hold=1):
+def squeeze_linreg(bars, n=20, up=True, hold_bars=1):
     """End of the regression line of momentum over the last n bars, its sign."""
     rows = bars.withColumns({"mo__": F.col("close") - ((win.rolling_max("high", n) + win.rolling_min("low", n)) / 2 + win.sma("close", n)) / 2, "x__": F.row_number().over(W()).cast("double")})
     slope, intercept = F.regr_slope("mo__", "x__").over(last_n(n)), F.regr_intercept("mo__", "x__").over(last_n(n))
-    return _done(rows, win.full(_side(up, intercept + slope * F.col("x__"), F.lit(0.0)), "mo__", n), hold)
+    return _done(rows, win.full(_side(up, intercept + slope * F.col("x__"), F.lit(0.0)), "mo__", n), hold_bars)
 
 
 @signal
-def fibo_ma_cross(bars, lengths=(5, 8, 13, 21), hold=1):
+def fibo_ma_cross(bars, lengths=(5, 8, 13, 21), hold_bars=1):
     """Averages in rising order for the first bar."""
     rows = bars
     for n in lengths:
@@ -412,60 +445,50 @@ def fibo_ma_cross(bars, lengths=(5, 8, 13, 21), hold=1):
     for a, b in zip(lengths, lengths[1:], strict=False):
         stack = stack & (F.col(f"e{a}__") > F.col(f"e{b}__"))
     rows = rows.withColumn("st__", stack)
-    return _done(rows, F.col("st__") & ~F.coalesce(lag("st__"), F.lit(False)), hold)
+    return _done(rows, F.col("st__") & ~F.coalesce(lag("st__"), F.lit(False)), hold_bars)
+
 
+# --- blocks of a symbol in grouped maps
 
-# --- grouped maps
+#: Rows of a block of a ratcheting band.
+BAND_ROWS = 4096
 
 
-def firestorm_bands(bars, n=10, mult=1.8):
+def firestorm_bands(bars, period=10, multiplier=1.8):
     """up_band, dn_band, trend (1 or -1) and flip (trend changed) of the ratcheting bands.
 
-    A band holds its best value while the close before stays on its side, which
-    is no linear recurrence; each symbol runs alone in a grouped map.
+    A band keeps the better of its new and its last value while the close before stays on its side, else it starts anew; that is no
+    linear recurrence, but blocks of it compose: see ``bands``. A symbol's blocks run apart, in three rounds: what each
+    does to a band that comes in, the bands of all rows with the trend from either start, the trend that comes in.
     """
-    rows = bars.withColumn("mid__", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4).withColumn("tr__", win.true_range())
-    rows = win.ema(rows, "a__", "tr__", n).select("symbol", "ts", "close", "mid__", "a__")
-    schema = "symbol string, ts timestamp, up_band double, dn_band double, trend int, flip int"
+    from tidemark.operators import bands
 
-    def run(pdf):
-        pdf = pdf.sort_values("ts")
-        up, dn, trend, flip = [], [], [], []
-        before = None
-        for price, mid, a in zip(pdf["close"], pdf["mid__"], pdf["a__"], strict=True):
-            u, d, t = mid - mult * a, mid + mult * a, 1
-            if before:
-                last, pu, pd_, t = before
-                u = max(u, pu) if last > pu else u
-                d = min(d, pd_) if last < pd_ else d
-                t = 1 if t < 0 and price > pd_ else -1 if t > 0 and price < pu else t
-            flip.append(t if before and t != before[3] else 0)
-            up.append(u)
-            dn.append(d)
-            trend.append(t)
-            before = (price, u, d, t)
-        return pdf[["symbol", "ts"]].assign(up_band=up, dn_band=dn, trend=trend, flip=flip)
-
-    return rows.groupBy("symbol").applyInPandas(run, schema)
+    rows = bars.withColumn("mid__", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4).withColumn("tr__", win.true_range())
+    rows = win.ema(rows, "a__", "tr__", period)
+    m = F.col("a__") * multiplier
+    # the lower band is the upper one of the negated prices
+    rows = rows.select("symbol", "ts", "close", lag("close").alias("before"), (F.col("mid__") - m).alias("up"), (-(F.col("mid__") + m)).alias("dn"), F.row_number().over(W()).alias("k"))
+    return bands.ratchet(rows, BAND_ROWS)
 
 
 @signal
-def firestorm(bars, n=10, mult=1.8, up=True, hold=1):
-    rows = bars.join(firestorm_bands(bars, n, mult), ["symbol", "ts"])
-    return _done(rows, F.col("flip") == (1 if up else -1), hold).drop("up_band", "dn_band", "trend", "flip")
+def firestorm(bars, period=10, multiplier=1.8, hold_bars=1, direction="long"):
+    rows = bars.join(firestorm_bands(bars, period, multiplier), ["symbol", "ts"])
+    return _done(rows, F.col("flip") == (1 if direction == "long" else -1), hold_bars).drop("up_band", "dn_band", "trend", "flip")
 
 
-def firestorm_tm(bars, n=10, mult=1.8, long=True):
+def firestorm_tm(bars, period=9, multiplier=0.9, direction="long"):
     """The band as a stop level."""
-    return firestorm_bands(bars, n, mult).select("symbol", "ts", F.col("up_band" if long else "dn_band").alias("stop"))
+    return firestorm_bands(bars, period, multiplier).select("symbol", "ts", F.col("up_band" if direction == "long" else "dn_band").alias("stop"))
 
 
 @signal
-def hurst(bars, n=100, above=0.55, below=0.45, mode="trending", hold=1):
-    """Rescaled-range exponent of the last n log returns against thresholds.
+def hurst(bars, window=100, mode="trending", threshold_high=0.55, threshold_low=0.45, hold_bars=1):
+    """Rescaled-range exponent of the last ``window`` log returns against thresholds.
 
-    Series are cut into blocks, each with the n rows before it, so that no task holds a whole symbol.
+    Series are cut into blocks, each with the rows before it that its windows need, so that no task holds a whole symbol.
     """
+    n = window
     size = max(1024, 4 * n)
 
     def run(pdf):
@@ -490,4 +513,4 @@ def hurst(bars, n=100, above=0.55, below=0.45, mode="trending", hold=1):
     h = rows.groupBy("symbol", "block__").applyInPandas(run, "symbol string, ts timestamp, h double")
     rows = bars.join(h.select("symbol", "ts", F.nanvl("h", F.lit(None).cast("double")).alias("h__")), ["symbol", "ts"])
     x = F.col("h__")
-    return _done(rows, x > above if mode == "trending" else x < below if mode == "mean_reverting" else (x > above) | (x < below), hold, n)
+    return _done(rows, x > threshold_high if mode == "trending" else x < threshold_low if mode == "mean_reverting" else (x > threshold_high) | (x < threshold_low), hold_bars, n)

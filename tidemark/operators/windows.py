@@ -7,7 +7,9 @@ projection share one sort. ``rolling`` values are null until the window is full.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,12 +124,46 @@ def zscore(c: str, n: int) -> Column:
     return full(F.when(sd > 1e-12, (F.col(c) - F.avg(c).over(last_n(n))) / sd), c, n)
 
 
-def pct_rank(c: Column | str, n: int, strict: bool = False) -> Column:
-    """Share of the last n values at or below (``strict``: below) the current one; n up to 200."""
-    x = F.collect_list(c).over(last_n(n))
-    now = col(c)
-    under = F.filter(x, lambda v: v < now) if strict else F.filter(x, lambda v: v <= now)
-    return F.when(F.count(c).over(last_n(n)) == n, F.size(under) / n)
+#: Rows of a block of a sliding rank at least; a block also gets the rows before it that its windows need.
+RANK_ROWS = 4096
+
+
+def pct_rank(rows: DataFrame, out: str, value: str, n: int, strict: bool = False) -> DataFrame:
+    """Add ``out``: the share of the last n values at or below (``strict``: below) the current one; null while they are fewer.
+
+    Each block of a symbol runs apart: its window is a sorted list that a value enters and another leaves, found by
+    bisection, so a row costs the logarithm of n and a move of at most n numbers. Rows need symbol and ts.
+    """
+    size = max(RANK_ROWS, 4 * n)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("k__")
+        x, own = t[value].to_pylist(), t["own__"].to_numpy()
+        window: list[float] = []
+        missing, got = 0, []
+        for i, v in enumerate(x):
+            if i >= n:
+                old = x[i - n]
+                if old is None:
+                    missing -= 1
+                else:
+                    del window[bisect_left(window, old)]
+            if v is None:
+                missing += 1
+            else:
+                insort(window, v)
+            under = None if v is None or missing or i < n - 1 else (bisect_left if strict else bisect_right)(window, v)
+            got.append(None if under is None else under / n)
+        return t.select(names).append_column(out, pa.array(got, pa.float64())).filter(pa.array(own))
+
+    names = rows.columns
+    block = F.floor(F.col("k__") / size)
+    rows = rows.withColumn("k__", F.row_number().over(W()) - 1)
+    # the last rows of a block are also the start of the next one's first windows
+    both = F.when(F.pmod("k__", F.lit(size)) > size - n, F.array(block, block + 1)).otherwise(F.array(block))
+    rows = rows.withColumns({"home__": block, "block__": F.explode(both)}).withColumn("own__", F.col("home__") == F.col("block__"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.groupBy("symbol", "block__").applyInArrow(run, f"{schema}, `{out}` double")
 
 
 def drawdown(c: Column | str) -> Column:

@@ -11,17 +11,18 @@ from tidemark.plans.fixtures import BARS_1D, BARS_1H, bars_1d, bars_1h, table
 from tidemark.plans.registry import query
 from tidemark.plans.sqlsteps import ORDER, RUN, Steps, cross, full, lag, last, sma
 
-#: Columns that some signals need beside bars, derived from the bars themselves.
+#: Columns that some signals need beside bars, derived from the bars themselves; slow ones are null between their hours.
 EXTRA = {
-    "funding_rate": "(close - open) / open",
-    "open_interest": "volume * 100 + close",
-    "long_short_ratio": "high / low",
-    "taker_buy_ratio": "(close - low) / (high - low + 1)",
-    "basis": "close - (high + low) / 2",
-    "vix": "10 + volume",
-    "yield_spread": "(close - open) / 10",
-    "credit_spread": "high / (open + 1)",
+    "funding_rate": "CASE WHEN hour(ts) % 8 = 0 THEN (close - open) / open END",
+    "open_interest": "CASE WHEN hour(ts) % 4 = 1 THEN volume * 100 + close END",
+    "long_short_ratio": "CASE WHEN hour(ts) % 3 <> 0 THEN high / low END",
+    "taker_buy_ratio": "CASE WHEN hour(ts) % 2 = 0 THEN (close - low) / (high - low + 1) END",
+    "basis": "CASE WHEN hour(ts) % 5 <> 2 THEN close - (high + low) / 2 END",
+    "vix": "CASE WHEN hour(ts) = 12 THEN 10 + volume END",
+    "yield_spread": "CASE WHEN hour(ts) % 6 = 0 THEN (close - open) / 10 END",
+    "credit_spread": "CASE WHEN hour(ts) % 12 = 3 THEN high / (open + 1) END",
     "ref_close": "open",
+    "ref_value": "volume + high / 100",
 }
 MORE = f"{BARS_1H}, more AS MATERIALIZED (SELECT *, {', '.join(f'{x} AS {c}' for c, x in EXTRA.items())} FROM bars)"
 
@@ -34,8 +35,14 @@ def S() -> Steps:
     return Steps(MORE, "more")
 
 
-def put(name: str, sql: str | None, base: str | None = None, **params) -> None:
-    query(name, sql)(lambda spark, sf: sig.compute(base or name, more(spark, sf), **params).select("symbol", "ts", "signal"))
+def put(name: str, sql: str | None, **params) -> None:
+    """Register a signal; parameters that aren't given are its own defaults."""
+    query(name, sql)(lambda spark, sf: sig.compute(name, more(spark, sf), **params).select("symbol", "ts", "signal"))
+
+
+def filled(column: str) -> Steps:
+    """``x``: the column with nulls filled from the bars before."""
+    return S().add(x=f"last_value({column} IGNORE NULLS) OVER {RUN}")
 
 
 def _ash() -> str:
@@ -57,21 +64,21 @@ def _wt() -> Steps:
 put("ash", _ash())
 put("ssl_channel", _ssl(True, 4))
 put("ssl_channel_low", _ssl(False, 1))
-put("wavetrend_reversal", _wt().signal(f"wt1 > wt2 AND coalesce({lag('wt1')}, 0) <= coalesce({lag('wt2')}, 0) AND wt2 <= -20", 3), oversold=-20.0)
+put("wavetrend_reversal", _wt().signal(f"wt1 > wt2 AND coalesce({lag('wt1')}, 0) <= coalesce({lag('wt2')}, 0) AND wt2 <= -20", 3), os_level=-20.0)
 B4, AF = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)"
 BEFORE, TEN = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
 DIV = _wt().add(v=f"coalesce(count(wt2) OVER {B4} = 5 AND count(wt2) OVER {AF} = 1 AND wt2 < min(wt2) OVER {B4} AND wt2 < min(wt2) OVER {AF}, false) AND wt2 <= 0")
 DIV.add(div=f"coalesce(v AND low < last_value(CASE WHEN v THEN low END IGNORE NULLS) OVER {BEFORE} AND wt2 > last_value(CASE WHEN v THEN wt2 END IGNORE NULLS) OVER {BEFORE}, false)", edge=f"min(wt1) OVER {TEN}", p1=lag("wt1"))
-put("wavetrend_divergence", DIV.signal(f"coalesce({lag('div')}, false) OR coalesce(wt1 > edge AND p1 <= edge AND rn > 10, false)", 2), oversold=0.0, left=5, length=10, hold=2)
-put("rsi", S().rsi("r", 14).add(t="45.0").signal(cross("r", "t")), threshold=45.0)
-put("ema_cross", S().ema("e", "close", 21, True).signal(cross("close", "e")))
+put("wavetrend_divergence", DIV.signal(f"coalesce({lag('div')}, false) OR coalesce(wt1 > edge AND p1 <= edge AND rn > 10, false)", 2), os_level=0.0, lookback_left=5, divergence_length=10, hold_bars=2)
+put("rsi", S().rsi("r", 14).add(t="45.0").signal(cross("r", "t", False), 3), threshold=45.0)
+put("ema_cross", S().ema("e", "close", 21, True).signal(cross("close", "e"), 3))
 MACD = lambda k=1: S().ema("f", "close", 12 * k, True).ema("s", "close", 26 * k, True).ema("g", "f - s", 9 * k, True).add(hist="f - s - g", zero="0.0")
-put("macd", MACD().signal(cross("hist", "zero")))
-put("atr_breakout", S().true_range().wilder("a", "tr", 14).signal(f"a > 1.05 * ({sma('a', 20)})"), mult=1.05)
-put("vwap_cross", S().add(v=f"sum((high + low + close) / 3 * volume) OVER {RUN} / sum(volume) OVER {RUN}").signal(cross("close", "v")))
-put("bollinger", S().add(b=f"({sma('close', 20)}) - 1.5 * ({full('stddev_pop', 'close', 20)})").signal(cross("close", "b")), width=1.5)
-put("roc", S().signal(f"close / {lag('close', 12)} - 1 > 0", 1, 12))
-put("donchian", S().signal(f"close >= ({full('max', 'high', 5)})"), n=5)
+put("macd", MACD().signal(cross("hist", "zero"), 3))
+put("atr_breakout", S().true_range().wilder("a", "tr", 14).signal(f"a > 1.05 * ({sma('a', 50)})"), multiplier=1.05)
+put("vwap_cross", S().add(v=f"sum((high + low + close) / 3 * volume) OVER {RUN} / sum(volume) OVER {RUN}").signal(cross("close", "v"), 3))
+put("bollinger", S().add(b=f"({sma('close', 20)}) - 1.5 * ({full('stddev_pop', 'close', 20)})").signal(f"close <= b AND {lag('close')} > {lag('b')}", 3), nbdev=1.5)
+put("roc", S().signal(f"close / {lag('close', 5)} - 1 > 0", 1, 5))
+put("donchian", S().signal(f"close >= ({full('max', 'high', 5)})", 1, 5), period=5)
 
 
 def _adx() -> str:
@@ -83,16 +90,16 @@ def _adx() -> str:
 
 
 put("adx_filter", _adx(), threshold=8.0)
-put("ma_crossover", S().ema("f", "close", 10).ema("s", "close", 50).signal("f > s", 1, 50))
+put("ma_crossover", S().ema("f", "close", 10).ema("s", "close", 100).signal("f > s", 1, 100))
 
 
 def _squeeze() -> str:
-    s = S().add(mid=sma("close", 20), sd=full("stddev_pop", "close", 20), mo=f"close - (({full('max', 'high', 20)}) + ({full('min', 'low', 20)})) / 2").ema("km", "close", 20).ema("kr", "high - low", 20).ema("mom", "mo", 20)
+    s = S().add(mid=sma("close", 14), sd=full("stddev_pop", "close", 14), mo=f"close - (({full('max', 'high', 22)}) + ({full('min', 'low', 22)})) / 2").ema("km", "close", 22).ema("kr", "high - low", 22).ema("mom", "mo", 22)
     s.add(onn="coalesce(mid - 2 * sd > km - 1.5 * kr AND mid + 2 * sd < km + 1.5 * kr, false)")
-    return s.signal(f"NOT onn AND {lag('onn')} AND mom > 0", 1, 20)
+    return s.signal(f"NOT onn AND {lag('onn')} AND mom > 0", 1, 22)
 
 
-put("squeeze", _squeeze())
+put("squeeze", _squeeze(), bb_period=14, kc_period=22)
 
 
 def _stoch() -> str:
@@ -104,51 +111,53 @@ put("stoch_rsi", _stoch(), oversold=50.0)
 MID = lambda n: f"(({full('max', 'high', n)}) + ({full('min', 'low', n)})) / 2"
 put("ichimoku", S().add(t=MID(9), k=MID(26), sb=MID(52)).signal(f"{lag('t')} <= {lag('k')} AND t > k AND close > greatest((t + k) / 2, sb)", 1, 52))
 put("obv_trend", S().add(d=f"close - {lag('close')}").add(o=f"sum(CASE WHEN d > 0 THEN volume WHEN d < 0 THEN -volume ELSE 0 END) OVER {RUN}").ema("e", "o", 20).signal("o > e", 1, 20))
-put("volatility_regime", S().true_range().wilder("a", "tr", 14).add(p=f"CASE WHEN count(a) OVER {last(50)} = 50 THEN len(list_filter(list(a) OVER {last(50)}, lambda x: x < a)) / 50.0 END").signal("p > 0.5"))
-put("volume_spike", S().signal(f"volume > 1.3 * ({sma('volume', 20)}) AND close > open", 1, 20), k=1.3)
+put("volatility_regime", S().true_range().wilder("a", "tr", 14).add(p=f"CASE WHEN count(a) OVER {last(100)} = 100 THEN len(list_filter(list(a) OVER {last(100)}, lambda x: x < a)) / 100.0 END").signal("p * 100 > 50", 1, 113))
+put("volume_spike", S().signal(f"volume > 1.3 * ({sma('volume', 20)}) AND close > open", 1, 20), threshold=1.3)
 THEN = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING)"
-put("momentum_divergence", S().add(r=f"coalesce(close / {lag('close', 14)} - 1, 0)").signal(f"min(close) OVER {last(20)} < min(close) OVER {THEN} AND min(r) OVER {last(20)} > min(r) OVER {THEN}", 1, 54))
-Z50 = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)"
-for _name in ("funding_rate", "long_short_ratio", "basis"):
-    put(_name, S().signal(f"CASE WHEN count({_name}) OVER {Z50} = 50 AND stddev_samp({_name}) OVER {Z50} > 1e-12 THEN ({_name} - avg({_name}) OVER {Z50}) / stddev_samp({_name}) OVER {Z50} END > 1.5"), high=True)
-put("oi_divergence", S().signal(f"close / {lag('close', 14)} - 1 > 0 AND open_interest / {lag('open_interest', 14)} - 1 < 0"))
-put("taker_volume", S().signal(f"({sma('taker_buy_ratio', 14)}) > 0.5"), threshold=0.5)
-put("vrp", S().add(lr=f"ln(close / {lag('close')})").signal(f"pow(vix / 100, 2) - ({full('var_samp', 'lr', 21)}) * 252 < 0"), positive=False)
-put("yield_curve", S().signal(f"yield_spread > ({sma('yield_spread', 50)})"), mode="steepening")
-put("credit_spread", S().add(m=sma("credit_spread", 50)).signal(cross("credit_spread", "m")), mode="momentum")
-put("cross_asset_momentum", S().signal(f"ref_close / {lag('ref_close', 20)} - 1 > 0"))
-put("cross_asset_momentum_inv", S().signal(f"ref_close / {lag('ref_close', 20)} - 1 < 0"))
-put("vol_scaled_momentum", S().add(r=f"close / {lag('close', 20)} - 1").signal(f"r / nullif({full('stddev_samp', 'r', 20)}, 0) > 1"))
-put("macro_regime_signal", S().signal(f"(vix - ({sma('vix', 50)})) / ({full('stddev_samp', 'vix', 50)}) > 1"))
+put("momentum_divergence", S().add(r=f"coalesce(close / {lag('close', 14)} - 1, 0)").signal(f"min(close) OVER {last(20)} < min(close) OVER {THEN} AND min(r) OVER {last(20)} > min(r) OVER {THEN}", 3, 54))
+Z30 = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"
+for _name, _mode, _z in (("funding_rate", "reversal_short", "> 1.5"), ("long_short_ratio", "contrarian_short", "> 1.5"), ("basis", "reversal_long", "< -1.5")):
+    put(_name, filled(_name).signal(f"CASE WHEN count(x) OVER {Z30} = 30 AND stddev_samp(x) OVER {Z30} > 1e-12 THEN (x - avg(x) OVER {Z30}) / stddev_samp(x) OVER {Z30} END {_z}", 3), mode=_mode, extreme_z=1.5)
+put("oi_divergence", filled("open_interest").signal(f"close / {lag('close', 14)} - 1 < 0 AND x / {lag('x', 14)} - 1 > 0", 3))
+put("taker_volume", filled("taker_buy_ratio").signal(f"({sma('x', 20)}) > 0.5", 1, 20), threshold=0.5)
+put("vrp", filled("vix").add(lr=f"ln(close / {lag('close')})").signal(f"pow(x / 100, 2) - ({full('var_samp', 'lr', 20)}) * 252 < 0", 1, 20), mode="risk_off")
+put("yield_curve", filled("yield_spread").signal(f"x > ({sma('x', 20)})", 1, 20), mode="steepening")
+put("credit_spread", filled("credit_spread").add(calm=f"coalesce(x > ({sma('x', 20)}), false) AND rn > 20").signal(f"calm AND NOT coalesce({lag('calm')}, false)", 1, 20), mode="momentum")
+put("cross_asset_momentum", S().signal(f"ref_close / {lag('ref_close', 24)} - 1 > 0", 3, 24))
+put("cross_asset_momentum_inv", S().signal(f"ref_close / {lag('ref_close', 24)} - 1 < 0", 3, 24))
+put("vol_scaled_momentum", S().add(r=f"ref_close / {lag('ref_close', 12)} - 1").signal(f"r / nullif({full('stddev_samp', 'r', 60)}, 0) > 0.5", 3, 60))
+put("macro_regime_signal", S().signal(f"(ref_value - ({sma('ref_value', 60)})) / ({full('stddev_samp', 'ref_value', 60)}) < -1", 5, 60))
 put("rsi_bb", S().rsi("r", 14).ema("m", "r", 20).add(b=f"m + 1.0 * ({full('stddev_pop', 'r', 20)})").signal(cross("r", "b")), width=1.0)
 put("mtf_ma_stack", S().signal(" AND ".join(f"coalesce(close > ({sma('close', n)}), false)" for n in (4, 8, 24))))
 put("macd_mtf", S().ema("f1", "close", 12, True).ema("s1", "close", 26, True).ema("g1", "f1 - s1", 9, True).ema("f2", "close", 24, True).ema("s2", "close", 52, True).ema("g2", "f2 - s2", 18, True).signal("f1 - s1 - g1 > 0 AND f2 - s2 - g2 > 0"))
 put("squeeze_linreg", S().add(mo=f"close - ((({full('max', 'high', 20)}) + ({full('min', 'low', 20)})) / 2 + ({sma('close', 20)})) / 2", x="CAST(rn AS DOUBLE)").signal(f"CASE WHEN count(mo) OVER {last(20)} = 20 THEN regr_intercept(mo, x) OVER {last(20)} + regr_slope(mo, x) OVER {last(20)} * x > 0 END"))
 put("fibo_ma_cross", S().ema("a", "close", 5).ema("b", "close", 8).ema("c", "close", 13).ema("d", "close", 21).add(st="a > b AND b > c AND c > d").signal(f"st AND NOT coalesce({lag('st')}, false)"))
-put("hurst", None, n=64, above=0.6)
+put("hurst", None, window=64, threshold_high=0.6)
 
 
-@query("cs_momentum", f"WITH {BARS_1D}, m AS (SELECT symbol, ts, lag(close, 5) OVER {ORDER} / lag(close, 40) OVER {ORDER} - 1 AS mom FROM days), r AS (SELECT *, percent_rank() OVER (PARTITION BY ts ORDER BY mom) AS k FROM m WHERE mom IS NOT NULL) SELECT symbol, ts, k >= 0.8 AS signal FROM r")
+@query("cs_momentum", f"WITH {BARS_1D}, m AS (SELECT symbol, ts, lag(close, 5) OVER {ORDER} / lag(close, 40) OVER {ORDER} - 1 AS mom FROM days), r AS (SELECT *, percent_rank() OVER (PARTITION BY ts ORDER BY mom) AS k FROM m WHERE mom IS NOT NULL) SELECT symbol, ts, k >= 0.5 AS signal FROM r")
 def cs_momentum(spark, sf):
     return sig.cs_momentum(win.cs_momentum_rank(bars_1d(spark, sf), 40, 5)).select("symbol", "ts", "signal")
 
 
-_F = Steps().true_range().ema("a", "tr", 10).add(mid="(open + high + low + close) / 4")
-_F.ctes.append(
-    f"""r AS (SELECT symbol, rn, ts, close, mid - 1.8 * a AS up, mid + 1.8 * a AS dn, 1 AS trend, 0 AS flip FROM {_F.at} WHERE rn = 1 UNION ALL
-    SELECT symbol, rn, ts, close, up, dn, trend, CASE WHEN trend <> pt THEN trend ELSE 0 END FROM (SELECT s.symbol, s.rn, s.ts, s.close, CASE WHEN r.close > r.up THEN greatest(mid - 1.8 * a, r.up) ELSE mid - 1.8 * a END AS up,
-      CASE WHEN r.close < r.dn THEN least(mid + 1.8 * a, r.dn) ELSE mid + 1.8 * a END AS dn, CASE WHEN r.trend < 0 AND s.close > r.dn THEN 1 WHEN r.trend > 0 AND s.close < r.up THEN -1 ELSE r.trend END AS trend, r.trend AS pt
-      FROM r JOIN {_F.at} s ON s.symbol = r.symbol AND s.rn = r.rn + 1))"""
-)
-_F.at = "r"
+def _bands(n: int, m: float) -> Steps:
+    f = Steps().true_range().ema("a", "tr", n).add(mid="(open + high + low + close) / 4")
+    f.ctes.append(
+        f"""r AS (SELECT symbol, rn, ts, close, mid - {m} * a AS up, mid + {m} * a AS dn, 1 AS trend, 0 AS flip FROM {f.at} WHERE rn = 1 UNION ALL
+    SELECT symbol, rn, ts, close, up, dn, trend, CASE WHEN trend <> pt THEN trend ELSE 0 END FROM (SELECT s.symbol, s.rn, s.ts, s.close, CASE WHEN r.close > r.up THEN greatest(mid - {m} * a, r.up) ELSE mid - {m} * a END AS up,
+      CASE WHEN r.close < r.dn THEN least(mid + {m} * a, r.dn) ELSE mid + {m} * a END AS dn, CASE WHEN r.trend < 0 AND s.close > r.dn THEN 1 WHEN r.trend > 0 AND s.close < r.up THEN -1 ELSE r.trend END AS trend, r.trend AS pt
+      FROM r JOIN {f.at} s ON s.symbol = r.symbol AND s.rn = r.rn + 1))"""
+    )
+    f.at = "r"
+    return f
 
 
-@query("firestorm", _F.select("symbol, ts, flip = 1 AS signal").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("firestorm", _bands(10, 1.8).select("symbol, ts, flip = 1 AS signal").replace("WITH ", "WITH RECURSIVE ", 1))
 def firestorm(spark, sf):
     return sig.firestorm(bars_1h(spark, sf)).select("symbol", "ts", "signal")
 
 
-@query("firestorm_tm", _F.select("symbol, ts, round(up, 6) AS stop").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("firestorm_tm", _bands(9, 0.9).select("symbol, ts, round(up, 6) AS stop").replace("WITH ", "WITH RECURSIVE ", 1))
 def firestorm_tm(spark, sf):
     return sig.firestorm_tm(bars_1h(spark, sf)).withColumn("stop", F.round("stop", 6))
 

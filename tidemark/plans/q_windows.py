@@ -59,7 +59,7 @@ put("pivot_low", Steps().select(f"symbol, ts, {PIVOT.replace('high', 'low').repl
 col("last_state", f"last_value(CASE WHEN volume > 7 THEN 1 WHEN volume < 2 THEN -1 END IGNORE NULLS) OVER {RUN}", lambda: win.last_state(F.when(F.col("volume") > 7, 1).when(F.col("volume") < 2, -1)), False)
 PRIOR = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 col("rolling_zscore_prior", f"CASE WHEN count(close) OVER {PRIOR} = 20 AND stddev_samp(close) OVER {PRIOR} > 1e-12 THEN (close - avg(close) OVER {PRIOR}) / stddev_samp(close) OVER {PRIOR} END", lambda: win.zscore_prior("close", 20))
-col("rolling_pct_rank", f"CASE WHEN rn >= 30 THEN len(list_filter(list(close) OVER {last(30)}, lambda x: x <= close)) / 30.0 END", lambda: win.pct_rank("close", 30))
+put("rolling_pct_rank", Steps().add(v=f"CASE WHEN rn >= 30 THEN len(list_filter(list(close) OVER {last(30)}, lambda x: x <= close)) / 30.0 END").select(f"symbol, ts, round(v, {R}) AS v"), lambda b: win.pct_rank(b, "v", "close", 30))
 col("drawdown", f"(max(close) OVER {RUN} - close) / max(close) OVER {RUN}", lambda: win.drawdown("close"))
 col("warmup_false", "rn > 50 AND volume > 5", lambda: win.warm(F.col("volume") > 5, 50), False)
 

@@ -277,7 +277,7 @@ def test_resharding_is_even_and_moves_the_fewest_bytes(spark, odd):
 
 
 def test_language_profiles(spark, odd):
-    from tidemark.llm.language_id import DIMENSIONS, Profiles, grams_of, gram_vectors, held_out, predict, train
+    from tidemark.llm.language_id import DIMENSIONS, Profiles, held_out, letter_vectors, predict, train
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = train(docs)
@@ -286,21 +286,59 @@ def test_language_profiles(spark, odd):
     rows = {r.doc_id: r for r in predict(odd, model).collect()}
     assert rows[0].lang_pred == rows[1].lang_pred == rows[3].lang_pred == "und" and rows[0].score == 0
     assert predict(empty(spark), model).count() == 0 and train(empty(spark)).languages == []
-    # the linear form is the cosine of bundled vectors
-    counts = {"a": np.zeros(64**3, np.int64), "b": np.zeros(64**3, np.int64)}
-    for name, text in (("a", "the cat and the dog"), ("b", "le chat et le chien")):
-        g, c = grams_of(text)
-        counts[name][g] += c
-    p = Profiles.from_counts(counts)
-    g, c = grams_of("the dog and a chat")
-    v = np.sqrt(c) @ gram_vectors(g).astype(float)
-    cos = []
-    for name in "ab":
-        at = np.flatnonzero(counts[name])
-        proto = counts[name][at].astype(float) @ gram_vectors(at)
-        cos.append(v @ proto / np.linalg.norm(v) / np.linalg.norm(proto))
-    lang, score = p.predict("the dog and a chat")
-    assert lang == "ab"[int(np.argmax(cos))] and score == pytest.approx(max(cos), abs=1e-4) and len(v) == DIMENSIONS
+    # the bundled vectors' cosine, worked out letter by letter
+    def profile(text):
+        v = np.zeros(DIMENSIONS)
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        s = [0, *[ord(c) for c in " ".join(words).replace(" ", "\0")], 0]
+        for (a, b, c), n in collections.Counter(zip(s, s[1:], s[2:])).items():
+            x, y, z = letter_vectors(np.array([a, b, c])).astype(int)
+            v += n**0.5 * np.roll(x, 2) * np.roll(y, 1) * z
+        return v
+
+    texts_ = {"a": "the cat and the dog", "b": "le chat et le chien", "c": "кошка и собака, Ёж", "d": "σκύλος 犬と猫"}
+    p = Profiles.from_sums({k: profile(t) for k, t in texts_.items()})
+    for text in ("the dog and a chat", "собака и Кошка 12", "犬 σκύλος", "x" * 3, "é" * 30_000, "aé" * 30_000):
+        v = profile(text)
+        cos = [v @ profile(t) / np.linalg.norm(v) / np.linalg.norm(profile(t)) for t in texts_.values()]
+        lang, score = p.predict(text)
+        assert lang == "abcd"[int(np.argmax(cos))] and score == pytest.approx(max(0, *cos), abs=1e-4)
+    tie = Profiles(["m", "n"], np.stack([p.prototypes[0]] * 2))
+    assert tie.predict("the dog")[0] == "m"  # the first by name
+
+
+def test_letters_beyond_latin_have_vectors_of_their_own():
+    from tidemark.llm.language_id import grams_of, letter_vectors, vectors_of
+
+    codes = np.array([0, *range(97, 123), *range(0x410, 0x480), *range(0x3B1, 0x3CA), 0x4E2D, 0x6587, 0x1F600])
+    v = letter_vectors(codes).astype(int)
+    cos = v @ v.T / v.shape[1]
+    assert np.abs(cos - np.eye(len(codes))).max() < 0.3
+    g, n = grams_of("Жук жук, ΣΣ 中文!")
+    assert n.sum() == 13 and {tuple(x >> s & 0x1FFFFF for s in (42, 21, 0)) for x in g.tolist()} >= {(0, 0x436, 0x443), (0, 0x4E2D, 0x6587), (0x4E2D, 0x6587, 0)}
+    assert (vectors_of(g) == vectors_of(g[::-1])[::-1]).all()
+
+
+def test_texts_in_no_language_go(spark, odd):
+    from tidemark.llm.language_id import in_some_language, train, with_floors
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = with_floors(train(docs), docs)
+    assert len(model.floors) >= 2 and max(model.floors.values()) > 0.3
+    rnd = random.Random(1)
+    noise = [" ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(300)) for _ in range(20)]
+    noise += [" ".join("".join(rnd.choice("абвгдежзиклмноп") for _ in range(6)) for _ in range(300))]
+    assert not any(map(model.accepts, noise)) and not model.accepts("12 !?") and not model.accepts(None)
+    mine = docs.select("*", *[F_lit.alias(c) for c, F_lit in zip(("score", "lang_pred", "size"), _texts_of("mine", 3))])
+    kept = in_some_language(mine, model)
+    assert kept.count() >= 0.998 * docs.where("text rlike '[a-z]'").count() and {(r.score, r.lang_pred, r.size) for r in kept.collect()} == {("mine",) * 3}
+    assert in_some_language(empty(spark), model).count() == 0 and in_some_language(odd, train(empty(spark))).count() == 0
+
+
+def _texts_of(value, n):
+    from pyspark.sql import functions as F
+
+    return [F.lit(value)] * n
 
 
 def brute_components(rows):
@@ -559,3 +597,27 @@ def test_pipeline_stages_on_awkward_and_real_rows(spark):
             assert set(map(str, kept)) == want
     assert at.where("not round_trip").count() == 0
     assert corpus_pipeline.drop_benchmark(spark, docs.limit(0), SF).count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_contaminated_rows_go_by_key_and_text(spark):
+    """A contaminated row goes with a null key too, a clean text stays whatever else has its key, rows that repeat go or stay together."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    clean = "Quite another text of some words that nobody asked about at all, in the garden."
+    rows = [(1, f"Before it. {item} After it.", "bad"), (None, f"Look: {item}", "bad"), (2, item, "bad"), (2, item, "bad"), (2, clean, "good"), (None, clean, "good"), (3, None, "good"), (None, None, "good"), (4, "", "good"), (5, clean, "good"), (5, clean, "good")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, what, "k") for k, t, what in rows], "doc_id long, text string, lang string, source string, n_chars long, bad__ string, key string")
+    got = corpus_pipeline.drop_benchmark(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter((k, t) for k, t, what in rows if what == "good")
+
+
+def test_language_stage_leaves_columns_of_any_name(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit("mine"), "lang_pred": F.lit(7)})
+    got = corpus_pipeline.keep_languages(spark, docs, SF)
+    assert got.schema == docs.schema and {(r.score, r.lang_pred) for r in got.collect()} == {("mine", 7)}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import free_name, prepare
 
 WINDOW, COVER = 8, 0.5
 #: Plain words that a benchmark window must have: placeholders alone prove nothing.
@@ -89,7 +89,7 @@ def _word_for_word(docs: DataFrame, items: DataFrame, text: str, small: bool) ->
     else:  # places alone are shuffled, and the texts of those that met
         met = rows.select("text__", "at__", "probe_n__", "hash__").distinct().join(items, same).join(whole, "text__")
     met = met.where((F.slice("words__", F.col("at__"), F.col("item_n__")) == F.col("item_words__")) & ((F.col("item_n__") >= PLAIN) | (F.col("item_n__") == F.col("n__"))))
-    return met.groupBy("key__", "item__").agg(F.lit(1).alias("n_matched"), F.max("n_slots").alias("n_slots"), F.lit(1).alias("n_windows"))
+    return met.groupBy("key__", "text__", "item__").agg(F.lit(1).alias("n_matched"), F.max("n_slots").alias("n_slots"), F.lit(1).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -102,6 +102,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     than ``PLAIN`` words it has to be the whole text. Null and blank texts match nothing; rows that repeat a key with other texts
     are looked at apart and give one pair. Other columns are not read.
     """
+    texts, short = _texts(docs, benchmark, key, text, item)
+    both = texts.groupBy("key__", "item__", "n_windows").agg(F.max("n_matched").alias("n_matched"), F.max("n_slots").alias("n_slots")).where(F.col("n_matched") >= COVER * F.col("n_windows"))
+    if short:
+        both = both.groupBy("key__", "item__").agg(*[F.max_by(c, F.struct("n_windows", "n_matched")).alias(c) for c in ("n_matched", "n_windows", "n_slots")])
+    return both.select(F.col("key__").alias(key), F.col("item__").alias(item), F.col("n_matched").cast("long"), F.col("n_windows").cast("long"), F.col("n_slots").cast("long"))
+
+
+def _texts(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str) -> tuple[DataFrame, int]:
+    """(key__, text__, item__, n_matched, n_slots, n_windows) of each text that meets an item's windows, however few, or holds a short item; and the number of short items."""
     prepare(docs.sparkSession)
     items = benchmark.select(F.col(item).alias("item__"), F.xxhash64(text).alias("item_text__"), F.col(text))
     own = windows(items, text)
@@ -126,14 +135,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     slots = F.array_distinct(F.transform("pairs", lambda x: x["a"]))
     lines = lines.where(F.size(slots) == F.size("pairs")).select("key__", "item__", "text__", "at", slots.alias("slots"))
     texts = lines.groupBy("key__", "text__", "item__").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("s"))
-    both = texts.groupBy("key__", "item__").agg(F.max("n").alias("n_matched"), F.max("s").alias("n_slots")).join(total, "item__").where(F.col("n_matched") >= COVER * F.col("n_windows"))
+    texts = texts.select("key__", "text__", "item__", F.col("n").alias("n_matched"), F.col("s").alias("n_slots")).join(total, "item__")
     if (n := rest.count()):
-        found = _word_for_word(rows, rest, text, n <= BROADCAST_WINDOWS)
-        both = both.unionByName(found).groupBy("key__", "item__").agg(*[F.max_by(c, F.struct("n_windows", "n_matched")).alias(c) for c in ("n_matched", "n_windows", "n_slots")])
-    return both.select(F.col("key__").alias(key), F.col("item__").alias(item), F.col("n_matched").cast("long"), F.col("n_windows").cast("long"), F.col("n_slots").cast("long"))
+        texts = texts.unionByName(_word_for_word(rows, rest, text, n <= BROADCAST_WINDOWS))
+    return texts, n
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """``docs`` without documents that hold a benchmark item; null keys stay."""
-    bad = contaminated(docs, benchmark, key, text, item).select(F.col(key).alias("bad__")).distinct()
-    return docs.join(bad, F.col(key) == F.col("bad__"), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item.
+
+    Rows are told apart by key, null or not, and text: of rows that repeat a key those with clean texts stay.
+    Null and blank texts stay, rows that repeat go or stay together, other columns pass; an empty table stays empty.
+    """
+    texts, _ = _texts(docs, benchmark, key, text, item)
+    bad_key, bad_text = free_name(docs, "key"), free_name(docs, "row")
+    bad = texts.where(F.col("n_matched") >= COVER * F.col("n_windows")).select(F.col("key__").alias(bad_key), F.col("text__").alias(bad_text)).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col(bad_key)) & (F.xxhash64(text) == F.col(bad_text)), "left_anti")

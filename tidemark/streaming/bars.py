@@ -1,4 +1,4 @@
-"""Structured Streaming: bars, duplicates, gaps, positions and per-symbol indicator state.
+"""Structured Streaming: bars, duplicates and positions (indicators and gaps are in ``state``, the sink of totals in ``upsert``).
 
 Event times are TIMESTAMP in a UTC session; watermarks bound the state of every
 operator, and keyed state holds a few numbers a symbol instead of its history.
@@ -26,45 +26,6 @@ def dedup(bars: DataFrame, late: str) -> DataFrame:
     return bars.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
-STATE = "n long, ema double, atr double, obv double, close double, hold long, last double, high double, low double, ssl int"
-OUT = "symbol string, ts timestamp, ema double, atr double, obv double, ssl int, signal boolean, gap_s double"
-
-
-def indicator_state(bars: DataFrame, n_ema: int, n_atr: int, hold: int, expected: float, n_ssl: int = 12, idle_ms: int | None = None) -> DataFrame:
-    """EMA, Wilder ATR, OBV, the SSL channel's side, a held cross signal and gaps over 1.5 expected steps, from ten numbers of state a symbol.
-
-    Rows of a symbol are taken in time order within a batch; ATR is seeded with
-    the mean of its first ranges, so it grows as a running mean until then. ssl is 1 or -1 by the last close beyond
-    the averages of high or low (0 before). With ``idle_ms`` the state of a symbol that is
-    silent for so long goes; such a stream runs on until it is stopped, as timeouts need batches without rows.
-    """
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = list(state.get) if state.exists else [0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0]
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out, step = [], 2 / (n_ssl + 1)
-        for ts, high, low, close, volume in zip(rows["ts"], rows["high"], rows["low"], rows["close"], rows["volume"], strict=True):
-            n, ema, atr, obv, before, left, last, up, down, side = s
-            tr = high - low if not n else max(high - low, abs(high - before), abs(low - before))
-            new = close if not n else ema + 2 / (n_ema + 1) * (close - ema)
-            up, down = (up + step * (high - up), down + step * (low - down)) if n else (high, low)
-            side = 1 if close > up else -1 if close < down else side
-            cross = bool(n) and before <= ema and close > new
-            left = hold if cross else max(0, left - 1)
-            at = ts.timestamp()
-            s = [n + 1, new, (atr * n + tr) / (n + 1) if n < n_atr else (atr * (n_atr - 1) + tr) / n_atr, obv + (volume if n and close > before else -volume if n and close < before else 0.0), close, left, at, up, down, side]
-            out.append((key[0], ts, s[1], s[2], s[3], side, left > 0, at - last if n and at - last > 1.5 * expected else None))
-        state.update(tuple(s))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["symbol", "ts", "ema", "atr", "obv", "ssl", "signal", "gap_s"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def position_totals(fills: DataFrame) -> DataFrame:
     """Running net and gross quantity and fills of each symbol (update or complete mode)."""
     return fills.groupBy("symbol").agg(F.sum("quantity").alias("net"), F.sum(F.abs("quantity")).alias("gross"), F.count("*").alias("n_fills"))
@@ -94,13 +55,6 @@ def position_risk(fills: DataFrame, capital: float, kill: float) -> DataFrame:
     return fills.groupBy("symbol").applyInPandasWithState(run, KILL_OUT, KILL_STATE, "update", GroupStateTimeout.NoTimeout)  # open positions don't time out
 
 
-def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Process all that is there, then stop; results go to Parquet with exactly-once commits."""
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def run_batches(stream: DataFrame, path: str, mode: str) -> None:
-    """As ``run_to_end`` for complete mode, or update mode where one batch holds all: each batch overwrites the totals."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
+def to_parquet(stream: DataFrame, path: str, mode: str = "append"):
+    """A writer of a stream's results to Parquet with exactly-once commits, its state beside them."""
+    return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")

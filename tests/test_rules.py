@@ -244,12 +244,29 @@ def test_superiority_sees_a_better_and_a_like_series(spark):
     bench = rng.normal(0, 0.01, 300)
     rows = returns(spark, {"better": bench + 0.002 + rng.normal(0, 0.004, 300), "same": bench, "worse": bench - 0.002 + rng.normal(0, 0.004, 300), "noise": rng.normal(0, 0.01, 300)})
     b = spark.createDataFrame([(t, float(x)) for t, x in enumerate(bench)], "t long, ret double")
-    p = {r.candidate: r.p for r in overfit.superiority(rows, b, 300).collect()}
-    assert p["better"] < 0.01 and p["same"] == 1.0 and p["worse"] > 0.5
+    got = {r.candidate: r for r in overfit.superiority(rows, b, 300).collect()}
+    p = {k: r.p for k, r in got.items()}
+    assert p["better"] < 0.01 and p["same"] == 1.0 and p["worse"] > 0.9
+    for r in got.values():
+        assert r.lower <= r.consistent <= r.upper == r.p and (r.excess <= 0 or r.lower == r.upper)
+    assert got["worse"].lower < 0.7 < got["worse"].upper  # centred on 0 the drawn means lie around the excess
+    assert overfit.superiority(rows.where("t < 9"), b, 50).count() == 0 and overfit.superiority(rows.where("t < 10"), b, 50).count() == 4
     f = {r.candidate: (r.passed_pbo, r.passed_dsr, r.passed_spa) for r in overfit.funnel(rows, b, 2, 8, pbo_limit=1.0, dsr_limit=0.5, reps=300).collect()}
     assert f["better"] == (True, True, True) and f["worse"] == (True, False, False)
 
 
+@pytest.mark.parametrize("n", [10, 400])
+def test_stationary_blocks(spark, n):
+    """Every repetition takes n rows; lengths are geometric with the mean of the definition, starts uniform."""
+    got = overfit.stationary_blocks(spark.createDataFrame([("a", n)], "candidate string, n long"), 400, 3).toPandas()
+    assert (got.groupby("rep")["take"].sum() == n).all() and got["start"].between(0, n - 1).all() and got["rep"].nunique() == 400
+    size = int(n**0.5)
+    whole = got[got.groupby("rep").cumcount(ascending=False) > 0] if n > 100 else got
+    if n > 100:
+        assert whole["take"].mean() == pytest.approx(size, rel=0.1) and (whole["take"] == 1).mean() == pytest.approx(1 / size, abs=0.02)
+        assert got["start"].mean() == pytest.approx((n - 1) / 2, rel=0.05)
+
+
 def test_sizes_and_gates(spark):
     t = spark.createDataFrame([(100.0, 98.0, 1.0, 0.6, 1.5), (100.0, 100.0, 0.0, 0.3, 1.0), (100.0, 99.99, 0.001, 1.0, 2.0)], "price double, stop double, atr double, win double, payoff double")
     got = perf.position_size(t, F.lit(10_000.0), 1.0, F.col("stop"), F.col("atr"), F.col("win"), F.col("payoff"), F.col("price"), most_risk_pct=2.0, atr_multiple=4.0, least=0.5, most=80.0).collect()

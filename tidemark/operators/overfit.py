@@ -136,35 +136,61 @@ def paired_t(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("p", udf.t_sf("t", (F.col("n") - 1).cast("double")))
 
 
+#: Fewer paired returns than this give no verdict.
+LEAST_PAIRS = 10
+#: Steps of a uniform draw.
+UNIT = 1 << 40
+
+
+def stationary_blocks(m: DataFrame, reps: int, seed: int) -> DataFrame:
+    """candidate, rep, start, take: blocks of a stationary bootstrap of each candidate's n rows (columns candidate, n).
+
+    Block lengths are geometric with a mean of sqrt(n), starts are uniform, rows are taken in a circle until there are n.
+    A repetition draws more blocks than it can need but for a chance beyond eight deviations, and its last one takes the rest.
+    """
+    stop = 1 / F.floor(F.sqrt("n"))
+    m = m.select("candidate", "n", stop.alias("stop"), F.ceil(F.col("n") * stop + 8 * F.sqrt(F.col("n") * stop) + 20).alias("most"))
+    rows = m.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+    u = (draw(UNIT, seed, F.lit("length"), F.col("rep"), F.col("b")) + 0.5) / UNIT
+    rows = rows.withColumn("length", 1 + F.floor(F.ln(u) / F.ln(1 - F.col("stop"))))
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("candidate", "rep").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before).where("before < n")
+    left = F.col("n") - F.col("before")
+    take = F.when(F.col("b") == F.col("most"), left).otherwise(F.least("length", left))
+    return rows.select("candidate", "rep", draw(F.col("n"), seed, F.col("rep"), F.col("b")).alias("start"), take.alias("take"), "n")
+
+
 def superiority(rows: DataFrame, benchmark: DataFrame, reps: int = 1000, seed: int = 1) -> DataFrame:
-    """By candidate: excess over a benchmark (t, ret), its studentised statistic, and the bootstrap p that it isn't superior.
+    """candidate, excess over a benchmark (t, ret), n, statistic, lower, consistent, upper, p: bootstrap tests that the excess isn't above 0.
 
-    Circular blocks of sqrt(n) excess returns are drawn with replacement, ``reps`` times. The variance is that of the
-    bootstrap means; each drawn mean is centred on the excess, or not at all where the excess is so far below 0
-    that it can't matter (-sqrt(2 log log n) deviations), as the consistent form of the test has it; what is below 0 counts as 0, so p is 1 without an excess. Prefix sums make a
-    block one difference, so a draw is a row, not sqrt(n) rows.
+    Excess returns are drawn in stationary blocks, ``reps`` times; the statistic is the excess by the deviation of the drawn
+    means. Each drawn mean is centred, and a p is the share of those that reach the excess. ``lower`` centres on the excess or 0, whichever
+    is larger, ``upper`` on the excess, ``consistent`` on the excess too unless it is so far below 0 that it can't matter
+    (-sqrt(2 log log n) deviations), then on 0. The largest of the three decides: ``p``. Candidates with fewer than
+    ``LEAST_PAIRS`` paired returns have no row. Prefix sums make a block one difference, so a draw is a row, not a block's rows.
     """
     w = Window.partitionBy("candidate").orderBy("t")
     x = rows.join(benchmark.withColumnRenamed("ret", "b__"), "t").withColumn("x", F.col("ret") - F.col("b__"))
-    x = x.select("candidate", "x", (F.row_number().over(w) - 1).alias("k"), F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
-    m = x.groupBy("candidate").agg(F.count("*").alias("n"), F.avg("x").alias("excess"), F.sum("x").alias("all")).withColumn("size", F.ceil(F.sqrt("n"))).withColumn("per", F.ceil(F.col("n") / F.col("size")))
-    # sums of circular blocks by their first row
-    last = F.pmod(F.col("k") + F.col("size") - 1, F.col("n"))
-    ends = x.select("candidate", F.col("k").alias("last"), F.col("c").alias("c1"))
-    starts = x.join(m, "candidate").withColumn("last", last).join(ends, ["candidate", "last"])
-    starts = starts.select("candidate", "k", (F.col("c1") - F.col("c") + F.col("x") + F.when(F.col("last") < F.col("k"), F.col("all")).otherwise(0.0)).alias("s"))
-    grid = m.select("candidate", "n", "excess", "size", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), "per")
-    grid = grid.withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("per")))).withColumn("k", draw(F.col("n"), seed, F.col("rep"), F.col("b")))
-    means = grid.join(starts, ["candidate", "k"]).groupBy("candidate", "rep").agg((F.sum("s") / F.min(F.col("size") * F.col("per"))).alias("m"))
+    x = x.select("candidate", "x", (F.row_number().over(w) - 1).cast("long").alias("k"), F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+    m = x.groupBy("candidate").agg(F.count("*").alias("n"), F.avg("x").alias("excess"), F.sum("x").alias("all")).where(F.col("n") >= LEAST_PAIRS)
+    blocks_ = stationary_blocks(m.select("candidate", "n"), reps, seed)
+    # a block's sum: the prefix at its end less the one before its start, and the whole series where it goes round
+    end, turns = F.pmod(F.col("start") + F.col("take") - 1, F.col("n")), F.floor((F.col("start") + F.col("take") - 1) / F.col("n"))
+    sides = F.array(F.struct(end.alias("k"), F.lit(1).alias("sign"), turns.alias("turns")), F.struct((F.col("start") - 1).alias("k"), F.lit(-1).alias("sign"), F.lit(0).cast("long").alias("turns")))
+    ends = blocks_.select("candidate", "rep", F.explode(sides).alias("e")).select("candidate", "rep", "e.*")
+    met = ends.join(x.select("candidate", "k", "c"), ["candidate", "k"], "left")  # nothing comes before row 0
+    sums = met.groupBy("candidate", "rep").agg(F.sum(F.col("sign") * F.coalesce("c", F.lit(0.0))).alias("s"), F.sum("turns").alias("turns"))
+    means = sums.join(m, "candidate").select("candidate", "n", "excess", ((F.col("s") + F.col("turns") * F.col("all")) / F.col("n")).alias("m"))
     sd = means.groupBy("candidate").agg(F.stddev_pop("m").alias("sd"))
-    z = means.join(m.join(sd, "candidate"), "candidate")
-    far = F.col("excess") >= -F.col("sd") * F.sqrt(2 * F.ln(F.ln(F.greatest(F.col("n"), F.lit(3)))))
-    over = F.greatest(F.col("m") - F.when(far, F.col("excess")).otherwise(0.0), F.lit(0.0)) >= F.greatest("excess", F.lit(0.0))
-    return z.groupBy("candidate").agg(F.first("excess").alias("excess"), F.first("n").alias("n"), F.first(F.greatest(F.try_divide("excess", "sd"), F.lit(0.0))).alias("statistic"), F.avg(over.cast("double")).alias("p"))
+    z = means.join(sd, "candidate")
+    near = F.col("excess") >= -F.col("sd") * F.sqrt(2 * F.ln(F.ln("n")))
+    centres = {"lower": F.greatest("excess", F.lit(0.0)), "consistent": F.when(near, F.col("excess")).otherwise(0.0), "upper": F.col("excess")}
+    out = z.groupBy("candidate").agg(F.first("excess").alias("excess"), F.first("n").alias("n"), F.first(F.coalesce(F.try_divide("excess", "sd"), F.lit(0.0))).alias("statistic"), *[F.avg((F.col("m") - c >= F.col("excess")).cast("double")).alias(k) for k, c in centres.items()])
+    return out.withColumn("p", F.greatest(*centres))
 
 
 def funnel(rows: DataFrame, benchmark: DataFrame, n_trials: int, n: int = 16, pbo_limit: float = 0.5, dsr_limit: float = 0.95, alpha: float = 0.05, reps: int = 1000) -> DataFrame:
-    """Candidates that pass in turn: overfitting of all (PBO at most ``pbo_limit``; a single one passes), deflated Sharpe of 30 returns or more, superiority to the benchmark.
+    """Candidates that pass in turn: overfitting of all (PBO at most ``pbo_limit``; a single one passes), deflated Sharpe of 30 returns or more, superiority to the benchmark by its deciding p (none with too few returns).
 
     One row a candidate with passed_pbo, passed_dsr, passed_spa; each needs the one before.
     """

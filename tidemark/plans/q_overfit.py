@@ -113,8 +113,17 @@ def dsr_portfolio(spark, sf):
     return rnd(overfit.deflated_sharpe_portfolio(portfolio(spark, sf), 100), "sr", "skew", "kurt", "sd", "expected_max", "dsr")
 
 
-#: Blocks are summed row by row here, without prefix sums.
-SPA = f"x AS (SELECT a.candidate, a.ret - b.ret AS x, row_number() OVER (PARTITION BY a.candidate ORDER BY a.t) - 1 AS k FROM cand a JOIN cand b ON a.t = b.t AND b.candidate = 'click' AND a.candidate <> 'click'), xm AS (SELECT candidate, count(*) AS n, avg(x) AS excess, CAST(ceil(sqrt(count(*))) AS BIGINT) AS size, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS per FROM x GROUP BY 1), dr AS (SELECT candidate, rep, ({sqlstats.draw('n', '1', 'rep', 'b')} + j) % n AS k FROM (SELECT candidate, n, size, rep, b FROM xm, range(1, 201) AS r(rep), LATERAL (SELECT unnest(range(1, per + 1)) AS b)), LATERAL (SELECT unnest(range(size)) AS j)), ms AS MATERIALIZED (SELECT candidate, rep, avg(x) AS m FROM dr JOIN x USING (candidate, k) GROUP BY 1, 2), sds AS (SELECT candidate, stddev_pop(m) AS sd FROM ms GROUP BY 1), spa AS MATERIALIZED (SELECT candidate, any_value(excess) AS excess, any_value(n) AS n, any_value(greatest(excess / sd, 0)) AS statistic, avg(CASE WHEN greatest(m - CASE WHEN excess >= -sd * sqrt(2 * ln(ln(n))) THEN excess ELSE 0 END, 0) >= greatest(excess, 0) THEN 1.0 ELSE 0 END) AS p FROM ms JOIN xm USING (candidate) JOIN sds USING (candidate) GROUP BY 1)"
+#: Rows are drawn one by one here, without prefix sums.
+SPA = (
+    "x AS MATERIALIZED (SELECT a.candidate, a.ret - b.ret AS x, row_number() OVER (PARTITION BY a.candidate ORDER BY a.t) - 1 AS k FROM cand a JOIN cand b ON a.t = b.t AND b.candidate = 'click' AND a.candidate <> 'click'), "
+    "xm AS (SELECT candidate, count(*) AS n, avg(x) AS excess, 1 / floor(sqrt(count(*))) AS stop, CAST(ceil(count(*) / floor(sqrt(count(*))) + 8 * sqrt(count(*) / floor(sqrt(count(*)))) + 20) AS BIGINT) AS most FROM x GROUP BY 1 HAVING count(*) >= 10), "
+    f"bl AS (SELECT candidate, n, most, rep, b, CAST(1 + floor(ln(({sqlstats.draw('1099511627776', '1', chr(39) + 'length' + chr(39), 'rep', 'b')} + 0.5) / 1099511627776) / ln(1 - stop)) AS BIGINT) AS length, {sqlstats.draw('n', '1', 'rep', 'b')} AS start FROM xm, range(1, 201) AS r(rep), LATERAL (SELECT unnest(range(1, most + 1)) AS b)), "
+    "cut AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY candidate, rep ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl), "
+    "dr AS (SELECT candidate, rep, (start + j) % n AS k FROM cut, LATERAL (SELECT unnest(range(CAST(CASE WHEN b = most THEN n - before ELSE least(length, n - before) END AS BIGINT))) AS j) WHERE before < n), "
+    "ms AS MATERIALIZED (SELECT candidate, rep, avg(x) AS m FROM dr JOIN x USING (candidate, k) GROUP BY 1, 2), sds AS (SELECT candidate, stddev_pop(m) AS sd FROM ms GROUP BY 1), "
+    "ps AS (SELECT candidate, any_value(excess) AS excess, any_value(n) AS n, any_value(excess / sd) AS statistic, avg(CASE WHEN m - greatest(excess, 0) >= excess THEN 1.0 ELSE 0 END) AS lower, avg(CASE WHEN m - CASE WHEN excess >= -sd * sqrt(2 * ln(ln(n))) THEN excess ELSE 0 END >= excess THEN 1.0 ELSE 0 END) AS consistent, avg(CASE WHEN m - excess >= excess THEN 1.0 ELSE 0 END) AS upper FROM ms JOIN xm USING (candidate) JOIN sds USING (candidate) GROUP BY 1), "
+    "spa AS MATERIALIZED (SELECT *, greatest(lower, consistent, upper) AS p FROM ps)"
+)
 
 
 def versus(spark, sf):
@@ -123,9 +132,9 @@ def versus(spark, sf):
     return c.where("candidate <> 'click'"), c.where("candidate = 'click'").select("t", "ret")
 
 
-@query("spa_test", f"WITH {CAND}, {SPA} SELECT candidate, round(excess, {R}) AS excess, n, round(statistic, {R}) AS statistic, round(p, {R}) AS p FROM spa")
+@query("spa_test", f"WITH {CAND}, {SPA} SELECT candidate, round(excess, {R}) AS excess, n, round(statistic, {R}) AS statistic, round(lower, {R}) AS lower, round(consistent, {R}) AS consistent, round(upper, {R}) AS upper, round(p, {R}) AS p FROM spa")
 def spa_test(spark, sf):
-    return rnd(overfit.superiority(*versus(spark, sf), reps=200), "excess", "statistic", "p")
+    return rnd(overfit.superiority(*versus(spark, sf), reps=200), "excess", "statistic", "lower", "consistent", "upper", "p")
 
 
 # limits under which the fixture's noise passes and fails

@@ -496,3 +496,76 @@ def test_sliding_ranks_are_the_loop(spark, n, strict, monkeypatch):
         w = x[i - n + 1 : i + 1] if i >= n - 1 else np.array([np.nan])
         want = math.nan if np.isnan(w).any() else ((w < x[i]) if strict else (w <= x[i])).mean()
         assert got["p"][i] == want or math.isnan(want) and math.isnan(got["p"][i])
+
+
+# --- ranks and percentiles without sorting a group in one task
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    """Ties, negative numbers, tiny and huge ones, infinities, a null group, nulls, a group of one value."""
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v), float(rng.random() < 0.3)) for g in ("a", None) for v in np.r_[rng.normal(0, 1, 400), np.round(rng.normal(0, 3, 400)), rng.normal(0, 1e-9, 50), [1e300, -1e300, math.inf, -math.inf, 0.0, -0.0, 5e-324]]]
+    rows += [("same", 2.5, float(i % 2)) for i in range(40)] + [("one", 7.0, 1.0), ("a", None, 1.0)]
+    pdf = pd.DataFrame(rows, columns=["g", "v", "s"])
+    return pdf, spark.createDataFrame(rows, "g string, v double, s double").repartition(5)
+
+
+def test_distributed_ranks_are_pandas_ranks(groups):
+    from tidemark.operators import ranks
+
+    pdf, df = groups
+    want = pdf.dropna(subset=["v"]).assign(r=lambda x: x.groupby("g", dropna=False)["v"].rank())
+    got = ranks.average_ranks(df, "r", "v", "g").toPandas()
+    key = lambda t: sorted(map(str, zip(t["g"].where(t["g"].notna(), None), t["v"] + 0.0, t["s"], t["r"])))
+    assert got.columns.tolist() == ["g", "v", "s", "r"] and key(got) == key(want)
+    finite = df.where("abs(v) < 1e299")
+    ic = {r.g: (r.ic, r.n, r.n_signals) for r in ranks.signal_correlation(finite, "s", "v", "g").collect()}
+    for g, part in pdf[pdf["v"].abs() < 1e299].groupby("g", dropna=False):
+        g = None if isinstance(g, float) else g
+        assert ic[g][1:] == (len(part), part["s"].sum())
+        want_ic = part["s"].rank().corr(part["v"].rank()) if part["v"].nunique() > 1 and part["s"].nunique() > 1 else None
+        assert ic[g][0] == (None if want_ic is None else pytest.approx(want_ic, abs=1e-9))
+    two = edge.spearman(finite.withColumn("w", F.col("v") * F.col("v")), "v", "w", "g").where("g = 'a'").first()
+    part = pdf[(pdf["g"] == "a") & (pdf["v"].abs() < 1e299)]["v"]
+    assert two.n == len(part) and two.ic == pytest.approx(part.rank().corr((part * part).rank()), abs=1e-9)
+
+
+def test_selected_percentiles_are_exact(groups):
+    from tidemark.operators import ranks
+
+    pdf, df = groups
+    shares = {"lo": 0.0, "p1": 0.01, "q1": 0.25, "mid": 0.5, "q3": 0.75, "hi": 1.0}
+    finite = df.where("abs(v) < 1e299")
+    got = {r.g: r for r in ranks.percentiles(finite, "v", shares, "g").collect()}
+    for g, part in pdf[pdf["v"].abs() < 1e299].groupby("g", dropna=False):
+        for name, q in shares.items():
+            assert got[None if isinstance(g, float) else g][name] == pytest.approx(np.quantile(part["v"], q), rel=1e-12, abs=1e-15)
+    whole = ranks.percentiles(finite, "v", {"mid": 0.5}).collect()
+    assert [r.mid for r in whole] == [pytest.approx(pdf[pdf["v"].abs() < 1e299]["v"].median(), rel=1e-12)]
+    assert ranks.percentiles(df.limit(0), "v", shares, "g").count() == 0
+
+
+@pytest.mark.parametrize("keys", [(), ("g",)])
+def test_discoveries_are_those_of_the_sorted_list(spark, keys):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(p), i) for g, k in (("a", 2e-3), ("b", 1.0), (None, 5e-2)) for i, p in enumerate(np.round(rng.random(60) ** 3 * k + (g == "b") * 0.5, 4))] + [("a", None, 99)]
+    df = spark.createDataFrame(rows, "g string, p double, i long").repartition(3)
+    for alpha in (0.001, 0.05, 0.2):
+        got = {(r.g, r.i): r.significant for r in edge.fdr_bh(df, "p", alpha, *keys).collect()}
+        for part in [[r for r in rows if not keys or r[0] == g] for g in (("a", "b", None) if keys else ("all",))]:
+            ps = sorted(r[1] for r in part if r[1] is not None)
+            last = max([p for k, p in enumerate(ps, 1) if p <= k / len(ps) * alpha], default=-1.0)
+            assert all(got[r[0], r[2]] == (r[1] is not None and r[1] <= last) for r in part)
+        assert len(got) == len(rows)
+
+
+def test_no_window_holds_a_whole_group(spark, groups):
+    """Every window over rows is by bucket; those by group alone run over counts of buckets."""
+    from tidemark.operators import ranks
+
+    _, df = groups
+    for got in (ranks.average_ranks(df, "r", "v", "g"), ranks.signal_correlation(df, "s", "v", "g"), ranks.percentiles(df, "v", {"m": 0.5}, "g"), edge.fdr_bh(df.withColumnRenamed("v", "p"), "p", 0.1, "g")):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        for line in [x for x in plan.splitlines() if "windowspecdefinition" in x]:
+            assert "bucket__" in line

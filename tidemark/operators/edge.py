@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats_udf as udf
+from tidemark.operators import ranks
 
 
 def W():
@@ -25,17 +26,11 @@ def forward_returns(bars: DataFrame, horizons: list[int], short: bool = False, k
     return bars.select("symbol", "ts", *keep, each.alias("x")).select("symbol", "ts", *keep, "x.horizon", "x.fwd")
 
 
-def average_rank(value: Column | str, *keys: str) -> Column:
-    """Rank with ties sharing their mean."""
-    c = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-
-
 def spearman(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """Rank correlation in each group, with its size; ranks of 0-1 signals need no sort of their own beyond the window's."""
-    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = rows.withColumns({"rx__": average_rank(x, *keys), "ry__": average_rank(y, *keys)})
-    return rows.groupBy(*keys).agg(F.corr("rx__", "ry__").alias("ic"), F.count("*").alias("n"), F.sum(x).alias("n_signals"))
+    """keys, ic, n: rank correlation of two columns in each group (``ranks.signal_correlation`` is the one for 0-1 signals)."""
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    rows = ranks.average_ranks(ranks.average_ranks(rows, "rx__", x, *keys), "ry__", y, *keys)
+    return rows.groupBy(*keys).agg(F.corr("rx__", "ry__").alias("ic"), F.count("*").alias("n"))
 
 
 def split_by_place(rows: DataFrame, share: float = 0.6, *keys: str) -> DataFrame:
@@ -49,7 +44,7 @@ def split_by_place(rows: DataFrame, share: float = 0.6, *keys: str) -> DataFrame
 def information_coefficient(scored: DataFrame, least: int = 30, least_signals: int = 3, keys: tuple = ("symbol", "horizon")) -> DataFrame:
     """Spearman correlation of signal and forward return, by train and validation part."""
     parts = split_by_place(scored, 0.6, *keys)
-    ic = spearman(parts, "signal", "fwd", *keys, "part")
+    ic = ranks.signal_correlation(parts, "signal", "fwd", *keys, "part")
     return ic.where((F.col("n") >= least) & (F.col("n_signals") >= least_signals) & F.col("ic").isNotNull())
 
 
@@ -81,7 +76,7 @@ def ic_stability(scored: DataFrame, size: int, least_signals: int = 5, least_win
     """
     w = Window.partitionBy(*keys).orderBy("ts")
     rows = scored.where("fwd is not null").withColumn("block", F.floor((F.row_number().over(w) - 1) / size))
-    ic = spearman(rows, "signal", "fwd", *keys, "block").where(f"n = {size} and n_signals >= {least_signals} and ic is not null and not isnan(ic)")
+    ic = ranks.signal_correlation(rows, "signal", "fwd", *keys, "block").where(f"n = {size} and n_signals >= {least_signals} and ic is not null")
     out = ic.groupBy(*keys).agg(F.count("*").alias("n_windows"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.avg("ic").alias("mean_ic"), F.stddev_pop("ic").alias("sd_ic"), F.percentile("ic", 0.025).alias("lo"), F.percentile("ic", 0.975).alias("hi"))
     return out.where(F.col("n_windows") >= least_windows)
 
@@ -99,18 +94,14 @@ def finalists(ics: DataFrame, horizon: int, least_ic: float = 0.02, least_positi
     ``ics`` has ``config``, symbol, horizon, ic and n of validation parts; the control runs over all of them at that horizon.
     """
     at = ics.where(F.col("horizon") == horizon).withColumn("p", ic_p_value())
-    flagged = fdr_bh(at, "p", alpha)
+    flagged = ranks.false_discoveries(at, "p", alpha)
     out = flagged.groupBy(config).agg(F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.count_if("significant").alias("n_significant"), F.countDistinct("symbol").alias("n_assets"))
     return out.where((F.col("mean_ic") > least_ic) & (F.col("positive") > least_positive) & (F.col("n_significant") > 0))
 
 
 def fdr_bh(tests: DataFrame, p: str, alpha: float, *keys: str) -> DataFrame:
     """Benjamini-Hochberg: ``significant`` up to the last p that lies under its line; none if none does."""
-    w = Window.partitionBy(*keys).orderBy(p)
-    k, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*keys))
-    rows = tests.withColumn("k__", k).withColumn("ok__", F.col(p) <= F.col("k__") / n * alpha)
-    last = F.max(F.when(F.col("ok__"), F.col("k__"))).over(Window.partitionBy(*keys))
-    return rows.withColumn("significant", F.coalesce(F.col("k__") <= last, F.lit(False))).drop("k__", "ok__")
+    return ranks.false_discoveries(tests, p, alpha, *keys)
 
 
 def baseline(bars: DataFrame, horizons: list[int]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats_udf as udf
+from tidemark.operators.ranks import percentiles
 
 EULER = 0.5772156649015329
 
@@ -250,9 +251,9 @@ def vol_regime_perf(rows: DataFrame, n: int = 60, deep: float = 0.05, least: int
     mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.col("n__")
     rows = rows.withColumn("m__", mean).withColumn("vol", F.sqrt(F.aggregate(last, F.lit(0.0), lambda a, x: a + (x - F.col("m__")) * (x - F.col("m__"))) / (F.col("n__") - 1)))
     rows = rows.withColumn("dd__", 1 - F.col("e__") / F.max("e__").over(run)).where("k__ > n__").select("candidate", "ret", "vol", "dd__")
-    cut = rows.groupBy("candidate").agg(F.percentile("vol", [0.25, 0.75]).alias("c"), F.count("*").alias("all"))
+    cut = percentiles(rows, "vol", {"low__": 0.25, "high__": 0.75}, "candidate").join(rows.groupBy("candidate").agg(F.count("*").alias("all")), "candidate")
     rows = rows.join(cut, "candidate")
-    regime = F.when(F.col("dd__") > deep, "deep_drawdown").when(F.col("vol") > F.col("c")[1], "high_vol").when(F.col("vol") < F.col("c")[0], "low_vol").otherwise("normal")
+    regime = F.when(F.col("dd__") > deep, "deep_drawdown").when(F.col("vol") > F.col("high__"), "high_vol").when(F.col("vol") < F.col("low__"), "low_vol").otherwise("normal")
     out = rows.groupBy("candidate", regime.alias("regime")).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), _or_zero(F.when(F.stddev_samp("ret") > 1e-12, sharpe())).alias("sharpe"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), (F.count("*") / F.first("all")).alias("share"))
     enough = F.col("n") >= least
     out = out.withColumns({c: F.when(enough, F.col(c)).otherwise(0.0) for c in ("mean", "sd", "sharpe", "win_rate", "share")})
@@ -264,15 +265,15 @@ def vol_regime_perf(rows: DataFrame, n: int = 60, deep: float = 0.05, least: int
 
 def tail_risk(rows: DataFrame) -> DataFrame:
     """Value at risk and its tail mean at 95 and 99 %, mean of the best 5 % by that of the worst, losing streak, worst, best, large losses, skew and excess kurtosis."""
-    p = rows.groupBy("candidate").agg(F.percentile("ret", [0.05, 0.01, 0.95]).alias("p"))
+    p = percentiles(rows, "ret", {"p5__": 0.05, "p1__": 0.01, "p95__": 0.95}, "candidate")
     w = Window.partitionBy("candidate").orderBy("t")
     x = rows.withColumns({"lost__": F.col("ret") < 0, "k__": F.row_number().over(w)})
     x = x.withColumn("i__", F.col("k__") - F.row_number().over(Window.partitionBy("candidate", "lost__").orderBy("t")))
     runs = x.where("lost__").groupBy("candidate", "i__").agg(F.count("*").alias("c")).groupBy("candidate").agg(F.max("c").alias("losing_streak"))
     at = rows.join(p, "candidate")
-    low, top = (F.avg(F.when(F.col("ret") <= F.col("p")[0], F.col("ret"))), F.avg(F.when(F.col("ret") >= F.col("p")[2], F.col("ret"))))
+    low, top = (F.avg(F.when(F.col("ret") <= F.col("p5__"), F.col("ret"))), F.avg(F.when(F.col("ret") >= F.col("p95__"), F.col("ret"))))
     out = at.groupBy("candidate").agg(
-        F.first("p")[0].alias("var95"), F.first("p")[1].alias("var99"), low.alias("cvar95"), F.avg(F.when(F.col("ret") <= F.col("p")[1], F.col("ret"))).alias("cvar99"),
+        F.first("p5__").alias("var95"), F.first("p1__").alias("var99"), low.alias("cvar95"), F.avg(F.when(F.col("ret") <= F.col("p1__"), F.col("ret"))).alias("cvar99"),
         F.when(F.abs(low) > 1e-12, top / F.abs(low)).otherwise(0.0).alias("tail_ratio"), F.min("ret").alias("worst"), F.max("ret").alias("best"), F.avg((F.col("ret") < -0.02).cast("double")).alias("p_loss"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurt"),
     )
     return out.join(runs, "candidate", "left").withColumn("losing_streak", F.coalesce("losing_streak", F.lit(0)))

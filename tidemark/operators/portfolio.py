@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.edge import average_rank
 from tidemark.operators.overfit import draw
+from tidemark.operators.ranks import average_ranks
 
 
 def S():
@@ -38,7 +38,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
 
 
 def spearman_correlations(rows: DataFrame) -> DataFrame:
-    return correlations(rows.withColumn("rank", average_rank("ret", "strategy_id")), "rank")
+    return correlations(average_ranks(rows, "rank", "ret", "strategy_id"), "rank")
 
 
 def drawdown_correlations(curves: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, combine, edge
+from tidemark.operators import asof, combine, edge, ranks
 from tidemark.operators import windows as win
 from tidemark.plans.fixtures import BARS_1H, bars_1h
 from tidemark.plans import sqlstats
@@ -98,7 +98,7 @@ def cross_asset_ic(spark, sf):
     pairs = spark.createDataFrame([("click", "view"), ("error", "click"), ("view", "error")], "symbol string, reference string")
     rows = asof.reference_join(bars_1h(spark, sf), pairs)
     rows = rows.withColumns({"signal": F.coalesce(F.col("ref_close") / win.lag("ref_close", 6) - 1 > 0, F.lit(False)).cast("double"), "fwd": F.lead("close", 4).over(win.W()) / F.col("close") - 1})
-    return rnd(edge.spearman(rows, "signal", "fwd", "symbol", "reference"), "ic")
+    return rnd(ranks.signal_correlation(rows, "signal", "fwd", "symbol", "reference"), "ic")
 
 
 ENS = f"{SCORED}, e AS (SELECT a.symbol, a.ts, a.signal AS a, b.signal AS b, a.fwd FROM scored a JOIN scored b ON a.symbol = b.symbol AND a.ts = b.ts AND a.horizon = b.horizon AND a.config = 3 AND b.config = 12 WHERE a.horizon = 4 AND a.fwd IS NOT NULL), m AS (SELECT 'a' AS which, symbol, a AS signal, fwd FROM e UNION ALL SELECT 'b', symbol, b, fwd FROM e UNION ALL SELECT 'a_given_b', symbol, a, fwd FROM e WHERE b = 1 UNION ALL SELECT 'both', symbol, a * b, fwd FROM e)"
@@ -109,7 +109,7 @@ def ensemble_ic(spark, sf):
     s = scored(spark, sf).where("horizon = 4 and fwd is not null").groupBy("symbol", "ts").agg(F.max(F.when(F.col("config") == 3, F.col("signal"))).alias("a"), F.max(F.when(F.col("config") == 12, F.col("signal"))).alias("b"), F.first("fwd").alias("fwd"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("which"), c.alias("signal")) for n, c in (("a", F.col("a")), ("b", F.col("b")), ("a_given_b", F.when(F.col("b") == 1, F.col("a"))), ("both", F.col("a") * F.col("b")))]))
     rows = s.select("symbol", "fwd", each.alias("x")).select("symbol", "fwd", "x.*").where("signal is not null")
-    return rnd(edge.spearman(rows, "signal", "fwd", "which", "symbol"), "ic")
+    return rnd(ranks.signal_correlation(rows, "signal", "fwd", "which", "symbol"), "ic")
 
 
 FOR = "(2), (6), (12)"

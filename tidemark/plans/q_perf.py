@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, perf
+from tidemark.operators.ranks import percentiles
 from tidemark.plans.fixtures import BARS_1H, TICKS, bars_1h, table, ticks
 from tidemark.plans.registry import query
 
@@ -167,8 +168,8 @@ def metric_histogram(spark, sf):
 
 @query("box_stats", f"SELECT archetype, timeframe, " + ", ".join(f"round(quantile_cont(sharpe, {q / 4}), {R}) AS q{q}" for q in range(5)) + f" FROM ({RUNS}) GROUP BY 1, 2")
 def box_stats(spark, sf):
-    p = runs(spark, sf).groupBy("archetype", "timeframe").agg(F.percentile("sharpe", [q / 4 for q in range(5)]).alias("p"))
-    return p.select("archetype", "timeframe", *[F.round(F.col("p")[q], R).alias(f"q{q}") for q in range(5)])
+    p = percentiles(runs(spark, sf), "sharpe", {f"q{q}": q / 4 for q in range(5)}, "archetype", "timeframe")
+    return p.select("archetype", "timeframe", *[F.round(f"q{q}", R).alias(f"q{q}") for q in range(5)])
 
 
 POS = "pos AS (SELECT concat('s', c_nationkey % 4) AS strategy_id, t AS symbol, CASE WHEN c_acctbal > 2000 THEN 1.0 ELSE -2.0 END::DOUBLE AS quantity, 50.0 + c_custkey % 7 AS price, CASE WHEN c_custkey % 3 = 0 THEN 48.0 END AS stop FROM customer JOIN (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT event_type AS t FROM events)) ON c_custkey % 5 = i)"

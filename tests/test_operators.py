@@ -220,3 +220,121 @@ def test_issues_and_trades_of_all_symbols(spark, monkeypatch):
     assert [(r.severity, r.symbol) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 1201))
     trades = q_overfit.trade_bootstrap(spark, "/root/testdata/sf0.001").collect()
     assert len({r.symbol for r in trades}) == len(trades) == 5
+
+
+def dealt(spark, pdf, n=5):
+    return spark.createDataFrame(pdf).repartition(n)
+
+
+@pytest.mark.parametrize("m", [30, 5_000, 1_000_000])
+def test_range_join_is_brute_force(spark, m, tmp_path):
+    """Lengths from 1 to 100,000, places on both sides of zero, one place that holds a third of the rows, empty ranges, nulls."""
+    import duckdb
+
+    rng = np.random.default_rng(m)
+    start = rng.integers(-5 * 10**8, 5 * 10**8, m)
+    ranges = pd.DataFrame({"r": np.arange(m), "start": start, "end": start + np.exp(rng.uniform(0, np.log(1e5), m)).astype(np.int64) - (np.arange(m) % 7 == 0)})
+    ranges.loc[0, ["start", "end"]] = [-6 * 10**8, 6 * 10**8]
+    rows = pd.DataFrame({"id": np.arange(6_000), "t": rng.integers(-5 * 10**8, 5 * 10**8, 6_000)})
+    rows.loc[:2_000, "t"] = start[5]
+    want = duckdb.sql('SELECT count(*), sum(id * (r % 1009))::BIGINT FROM rows JOIN ranges ON t >= start AND t < "end"').fetchall()[0]
+    ranges.to_parquet(tmp_path / "r.parquet")
+    r = spark.read.parquet(f"file://{tmp_path}/r.parquet").union(spark.createDataFrame([(-1, None, 5), (-2, 1, None)], "r long, start long, end long"))
+    t = dealt(spark, rows).union(spark.createDataFrame([(7, None)], "id long, t long"))
+    met = asof.range_join(t, r, "t")
+    assert met.columns == ["id", "t", "r", "start", "end"]
+    got = met.agg(F.count("*"), F.sum(F.col("id") * (F.col("r") % 1009))).first()
+    assert tuple(got) == want
+
+
+def test_range_join_of_times_and_folds(spark):
+    """Over the limit of single comparisons as under it; other kinds of places are refused."""
+    ts = spark.range(500).select("id", F.timestamp_seconds(F.col("id") * 3600 + 1_700_000_000).alias("ts"))
+    periods = spark.range(200).select(F.col("id").alias("p"), F.timestamp_seconds(F.col("id") * 7200 + 1_700_000_000).alias("start"), F.timestamp_seconds(F.col("id") * 9000 + 1_700_003_601).alias("end"))
+    want = sorted((i, p) for i in range(500) for p in range(200) if p * 7200 <= i * 3600 < p * 9000 + 3601)
+    assert sorted((r.id, r.p) for r in asof.period_range_join(ts, periods).collect()) == want
+    folds = spark.range(100).select(F.col("id").alias("fold"), F.col("id").alias("is_start"), (F.col("id") + 10).alias("is_end"), (F.col("id") + 12).alias("oos_start"), (F.col("id") + 15).alias("oos_end"))
+    parts = asof.fold_range_join(spark.range(200).withColumnRenamed("id", "t"), folds)
+    assert sorted((r.t, r.fold, r.part) for r in parts.collect()) == sorted((f + k, f, "is" if k < 10 else "oos") for f in range(100) for k in (*range(10), 12, 13, 14))
+    with pytest.raises(TypeError):
+        asof.range_join(ts.withColumn("t", F.lit(1.5)), folds, "t", "is_start", "is_end").count()
+
+
+def front(points):
+    return sorted(i for i, p in enumerate(points) if not np.isnan(p).any() and not ((points >= p).all(1) & (points > p).any(1)).any())
+
+
+@pytest.mark.parametrize("shape", ["cloud", "arc", "ties"])
+def test_pareto_is_brute_force(spark, shape):
+    """Signs mixed, equal trials, NaN; on an arc every trial stays."""
+    rng = np.random.default_rng(3)
+    a = rng.uniform(0, np.pi / 2, 3_000)
+    points = {"cloud": rng.normal(0, 100, (3_000, 2)), "arc": np.c_[np.cos(a), np.sin(a)], "ties": rng.integers(-4, 5, (3_000, 2)).astype(float)}[shape]
+    points[5, 1] = np.nan
+    df = dealt(spark, pd.DataFrame({"id": np.arange(3_000), "x": points[:, 0], "y": points[:, 1]})).union(spark.createDataFrame([(-1, None, 1e9)], "id long, x double, y double"))
+    got = grid.pareto(df, "x", "y")
+    assert sorted(r.id for r in got.collect()) == front(points)
+    assert got.columns == ["id", "x", "y"]
+
+
+def test_pareto_has_no_window_without_a_key(spark, capsys):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "id long, x double, y double")
+    grid.pareto(df, "x", "y").explain()
+    plan = capsys.readouterr().out
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert len(windows) == 2 and all("far__" in w.split("windowspec")[-1] for w in windows)
+
+
+@pytest.mark.parametrize("shape", ["cloud", "sphere", "ties"])
+def test_skyline_is_brute_force(spark, shape, monkeypatch, tmp_path):
+    """Three measures and blocks of 200, so that many blocks meet."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(grid, "BLOCK", 200)
+    rng = np.random.default_rng(4)
+    g = np.abs(rng.normal(0, 1, (1_500, 3)))
+    points = {"cloud": rng.normal(0, 9, (1_500, 3)), "sphere": g / np.sqrt((g * g).sum(1))[:, None], "ties": rng.integers(0, 4, (1_500, 3)).astype(float)}[shape]
+    points[9, 2] = np.nan
+    df = dealt(spark, pd.DataFrame({"id": np.arange(1_500), "a": points[:, 0], "b": points[:, 1], "c": points[:, 2]}))
+    assert sorted(r.id for r in grid.skyline(df, "a", "b", "c").collect()) == front(points)
+    assert grid.skyline(df.limit(0), "a", "b").count() == 0
+
+
+def test_klines_plain_and_in_archives(spark, tmp_path, monkeypatch):
+    """The first csv member alone, in chunks; empty members; milliseconds and microseconds; an archive without a csv is an error."""
+    import zipfile
+
+    line = lambda t, c: f"{t},1.0,2.5,0.5,{c},10.0,{t},0,3,0,0,0\n"
+    monkeypatch.setattr(store, "ROWS", 2)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(line(1_700_000_000_000, 1.5) + line(1_700_000_060_000, 1.6))
+    with zipfile.ZipFile(tmp_path / "in" / "b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("CHECKSUM", "x")
+        z.writestr("b.csv", "".join(line(1_700_000_120_000_000 + i * 60_000_000, 2 + i / 10) for i in range(5)))
+        z.writestr("later.csv", line(1_700_009_000_000, 9.9))
+    with zipfile.ZipFile(tmp_path / "in" / "c.zip", "w") as z:
+        z.writestr("c.csv", "")
+    got = store.read_klines(spark, f"file://{tmp_path}/in").orderBy("ts").select(F.unix_seconds("ts").alias("t"), "close", "volume").collect()
+    assert [tuple(r) for r in got] == [(1_700_000_000 + 60 * i, c, 10.0) for i, c in enumerate([1.5, 1.6, 2.0, 2.1, 2.2, 2.3, 2.4])]
+    with zipfile.ZipFile(tmp_path / "in" / "d.zip", "w") as z:
+        z.writestr("note.txt", "")
+    with pytest.raises(Exception, match="no csv in"):
+        store.read_klines(spark, f"file://{tmp_path}/in").count()
+
+
+def test_results_of_any_keys(spark):
+    """Keys differ by file; later sections replace earlier ones; broken files give nothing; mixed types become texts."""
+    files = [
+        ('{"1": {"name": "a", "combination": {"indicators": {"Use RSI": true, "n": 3, "mix": 1}, "requires": {"need": "x", "n": 4}}, "result": {"profit": "−1.234,5 USDT", "trades": 7}}}',),
+        ('{"2": {"name": "b", "combination": {"riskManagement": {"stop": 1.5, "mix": "two"}}, "result": {"profit": "none"}}, "3": {"name": null}}',),
+        ("not json",),
+        (None,),
+    ]
+    df = store.flatten_results(spark.createDataFrame(files, "json string"))
+    assert df.columns == ["id", "name", "Use RSI", "mix", "n", "stop", "need", "profit", "trades"]
+    assert dict(df.dtypes)["Use RSI"] == "boolean" and dict(df.dtypes)["n"] == "bigint" and dict(df.dtypes)["mix"] == "string"
+    rows = {r.id: r.asDict() for r in df.collect()}
+    assert rows["1"] == {"id": "1", "name": "a", "Use RSI": True, "mix": "1", "n": 4, "stop": None, "need": "x", "profit": -1234.5, "trades": 7.0}
+    assert (float(rows["2"]["stop"]), rows["2"]["mix"], rows["2"]["profit"], rows["2"]["trades"]) == (1.5, "two", None, None)
+    assert set(rows) == {"1", "2", "3"} and all(v is None for k, v in rows["3"].items() if k != "id")
+    assert store.flatten_results(spark.createDataFrame([], "json string")).columns == ["id", "name"]

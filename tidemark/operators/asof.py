@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,24 +80,62 @@ def forward_asof(signals: DataFrame, bars: DataFrame, ahead: int) -> DataFrame:
     return rows.withColumn("bar", F.first("bar", ignorenulls=True).over(f)).where("side__ = 0").select("symbol", "ts", "bar.bar_ts", "bar.entry", "bar.exit")
 
 
-#: Rows of a range table that goes to all tasks.
+#: Ranges that each row is compared with one by one; above, rows and ranges meet by bins.
+FEW_RANGES = 64
+#: Binned ranges of this many ranges go to all tasks; above, both sides are shuffled by bin.
 MOST_RANGES = 100_000
+#: A range covers at most 2 ** SPREAD + 1 bins.
+SPREAD = 4
 
 
-def few(ranges: DataFrame) -> DataFrame:
-    """Broadcast a range table after a look at its size; a larger one is refused."""
-    if ranges.limit(MOST_RANGES + 1).count() > MOST_RANGES:
-        raise ValueError(f"more than {MOST_RANGES} ranges")
-    return F.broadcast(ranges)
+def _place(df: DataFrame, column: str, timed: bool) -> Column:
+    """A time in microseconds, a date in days, a whole number as it is."""
+    kind = dict(df.dtypes)[column]
+    if timed:
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if kind == "date":
+        return F.unix_date(column)
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}: ranges are of whole numbers, dates or times")
+    return F.col(column).cast("long")
+
+
+def range_join(rows: DataFrame, ranges: DataFrame, at: str, low: str = "start", high: str = "end") -> DataFrame:
+    """Rows with each range [low, high) that holds ``at``; columns of both. Null places, null bounds and empty ranges meet nothing.
+
+    A few ranges are compared one by one. More meet by bins: a range lies at a level, the power of two next to its
+    length, and covers at most 17 bins of a sixteenth of that; a row has one bin at each level that occurs, of 64 at
+    most. So a pair meets in one bin alone, long ranges don't burden short ones, and a crowded bin is an ordinary hot
+    join key, which adaptive execution splits.
+    """
+    n = ranges.limit(MOST_RANGES + 1).count()
+    inside = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    if n <= FEW_RANGES:
+        return rows.join(F.broadcast(ranges), inside)
+    timed = any("timestamp" in dict(df.dtypes)[c] for df, c in ((rows, at), (ranges, low), (ranges, high)))
+    first, last = _place(ranges, low, timed), _place(ranges, high, timed) - 1
+    length = _place(ranges, high, timed).cast("double") - _place(ranges, low, timed).cast("double")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(length)).cast("int") - SPREAD)
+    binned = ranges.where(F.col(low) < F.col(high)).withColumn("level__", level)
+    levels = [r[0] for r in binned.select("level__").distinct().collect()]  # 64 at most
+    bins = F.sequence(F.call_function("shiftright", first, F.col("level__")), F.call_function("shiftright", last, F.col("level__")))
+    binned = binned.withColumn("bin__", F.explode(bins))
+    if n <= MOST_RANGES:
+        binned = F.broadcast(binned)
+    placed = rows.withColumn("level__", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    placed = placed.withColumn("bin__", F.call_function("shiftright", _place(rows, at, timed), F.col("level__")))
+    return placed.join(binned, ["level__", "bin__"]).where(inside).drop("level__", "bin__")
 
 
 def period_range_join(rows: DataFrame, periods: DataFrame, at: str = "ts") -> DataFrame:
-    """Rows inside named periods [start, end), ``MOST_RANGES`` at most."""
-    return rows.join(few(periods), (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end")))
+    """Rows inside named periods [start, end), however many there are."""
+    return range_join(rows, periods, at)
 
 
 def fold_range_join(rows: DataFrame, folds: DataFrame, at: str = "t") -> DataFrame:
-    """Rows in each fold's in-sample or out-of-sample range, with ``part``; ``MOST_RANGES`` folds at most."""
+    """Rows in each fold's in-sample or out-of-sample range, with ``part``; a row in both is out of sample."""
     t = F.col(at)
     inside = ((t >= F.col("is_start")) & (t < F.col("is_end"))) | ((t >= F.col("oos_start")) & (t < F.col("oos_end")))
-    return rows.join(few(folds), inside).withColumn("part", F.when(t >= F.col("oos_start"), "oos").otherwise("is"))
+    hull = folds.withColumns({"low__": F.least("is_start", "oos_start"), "high__": F.greatest("is_end", "oos_end")})
+    met = range_join(rows, hull, at, "low__", "high__").where(inside).drop("low__", "high__")
+    return met.withColumn("part", F.when(t >= F.col("oos_start"), "oos").otherwise("is"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import run_id
 from tidemark.operators.overfit import draw
+from tidemark.operators.ranks import bucket
 from tidemark.sources.scratch import folder
 
 
@@ -88,17 +92,80 @@ def combinations(spark: SparkSession, indicators: dict[str, bool], counts: list[
 
 
 def pareto(trials: DataFrame, x: str, y: str) -> DataFrame:
-    """Trials that none beats in both: more of x, and of y among at least as much x.
+    """Trials that none beats in both; equal ones stay or go together, those with a null or NaN measure go.
 
-    Per x only its best y can stay; the running best over larger x is a window over
-    distinct x values after a cut to each value's best.
+    Per x only its best y can stay, and only if it exceeds each y over larger x. These prefix maxima are taken in
+    order-keeping buckets of x; what lies over a bucket comes from one row a bucket and one a thousand buckets.
     """
-    best = trials.groupBy(x).agg(F.max(y).alias("y__"))
-    w = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("above__", F.max("y__").over(w)).where("above__ is null or y__ > above__").select(F.col(x).alias("x__"), "y__")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    best = trials.where(known(x) & known(y)).groupBy(F.col(x).alias("x__")).agg(F.max(y).alias("y__"))
+    best = best.withColumn("bucket__", bucket(F.col("x__"))).withColumn("far__", F.floor(F.col("bucket__") / 1024)).repartition("far__", "bucket__")
+    tops = best.groupBy("far__", "bucket__").agg(F.max("y__").alias("top__"))
+    above = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    near = tops.withColumn("near__", F.max("top__").over(above("far__").orderBy(F.desc("bucket__")))).select("far__", "bucket__", "near__")
+    far = tops.groupBy("far__").agg(F.max("top__").alias("top__")).agg(F.collect_list(F.struct("far__", "top__")).alias("all__"))  # 2,049 entries at most
+    over = F.array_max(F.transform(F.filter("all__", lambda e: e["far__"] > F.col("far__")), lambda e: e["top__"]))
+    rows = best.join(near, ["far__", "bucket__"]).crossJoin(F.broadcast(far)).withColumn("within__", F.max("y__").over(above("far__", "bucket__").orderBy(F.desc("x__"))))
+    limit = F.greatest("within__", "near__", over)
+    front = rows.where(limit.isNull() | (F.col("y__") > limit)).select("x__", "y__")
     return trials.join(front, (F.col(x) == F.col("x__")) & (F.col(y) == F.col("y__"))).drop("x__", "y__")
 
 
+#: Points of a block in ``skyline``; two blocks are compared in a task.
+BLOCK = 20_000
+
+
+def undominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which points no row of ``by`` beats: at least as much everywhere, more somewhere."""
+    keep = np.ones(len(points), bool)
+    for i in range(0, len(by), 64):
+        left = np.flatnonzero(keep)
+        if not len(left):
+            break
+        a, b = points[left][:, None, :], by[None, i : i + 64, :]
+        keep[left[((b >= a).all(2) & (b > a).any(2)).any(1)]] = False
+    return keep
+
+
+def skyline(trials: DataFrame, *measures: str) -> DataFrame:
+    """Trials that none beats in all measures (more is better); equal ones stay or go together, null or NaN ones go.
+
+    Each task first keeps its own front. What is left is dealt over blocks, and each block meets each other in a task of its
+    own, which names the beaten: no task holds more than two blocks, whatever the front's size.
+    """
+    at = [f"m{i}__" for i in range(len(measures))]
+    points = trials.select(*[F.col(m).cast("double").alias(a) for m, a in zip(measures, at, strict=True)]).na.drop().distinct()
+    schema = ", ".join(f"{a} double" for a in at)
+
+    def own_front(frames):
+        front = np.empty((0, len(at)))
+        for frame in frames:
+            new = frame[at].to_numpy(float)
+            new = new[np.argsort(-new.sum(1))]
+            new = new[undominated(new, front)]
+            new = new[undominated(new, new)]
+            front = np.vstack([front[undominated(front, new)], new])
+            if len(front) > BLOCK:
+                yield pd.DataFrame(front, columns=at)
+                front = front[:0]
+        yield pd.DataFrame(front, columns=at)
+
+    fronts = points.mapInPandas(own_front, schema).checkpoint()
+    n = max(1, -(-fronts.count() // BLOCK))
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    block = fronts.withColumn("block__", F.pmod(F.xxhash64(*at), F.lit(n)))
+    tested = block.withColumn("other__", F.explode(numbers))
+    testers = block.withColumnRenamed("block__", "other__").withColumn("block__", F.explode(numbers))
+
+    def beaten(a, b):
+        return a[at][~undominated(a[at].to_numpy(float), b[at].to_numpy(float))]
+
+    gone = tested.groupBy("block__", "other__").cogroup(testers.groupBy("block__", "other__")).applyInPandas(beaten, schema).distinct()
+    front = fronts.join(gone, at, "left_anti")
+    same = [F.col(m).cast("double") == F.col(a) for m, a in zip(measures, at, strict=True)]
+    return trials.join(front, reduce(and_, same), "left_semi")
+
+
 def penalised(value: Column, trades: Column, least: int = 300) -> Column:
     clean = F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
     return F.when(trades < least, -10.0).otherwise(clean)

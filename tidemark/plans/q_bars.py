@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -43,12 +47,28 @@ def bars_inventory(spark, sf):
     return out.withColumns({"has_mb": (F.col("mb") > 0) & (F.col("mb") < F.col("n_rows") * 48 / 1e6 + 0.1), "source": F.regexp_extract("source", r"exchange=.*", 0)}).drop("mb")
 
 
+def archived(rows):
+    """(path, content): a zip archive for each symbol and month of kline rows, as ``binaryFile`` would read it."""
+
+    def pack(key, frame):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("readme.txt", "klines")
+            z.writestr("klines.csv", frame.drop(columns=["symbol", "month"]).to_csv(index=False, header=False))
+        return pd.DataFrame({"path": ["-".join(key) + ".zip"], "content": [out.getvalue()]})
+
+    return rows.groupBy("symbol", "month").applyInPandas(pack, "path string, content binary")
+
+
 @query("kline_csv_scan", f"WITH {BARS_1H} SELECT ts, open, high, low, close, volume FROM bars")
 def kline_csv_scan(spark, sf):
+    """Days with an even number come as plain files, the others in archives of a symbol's month."""
     path = folder(spark, "klines")
-    b, z = bars_1h(spark, sf), F.lit(0)
-    b.select(F.unix_millis("ts"), *OHLCV, F.unix_millis("ts"), z, z, z, z, z).write.csv(path)
-    return store.read_klines(spark, path)
+    rest = ["close_time", "quote_volume", "trades", "buy_base", "buy_quote", "ignore"]
+    b = bars_1h(spark, sf).withColumns({"open_time": F.unix_millis("ts"), "month": F.date_format("ts", "yyyy-MM")} | {n: F.lit(0) for n in rest})
+    even = F.dayofmonth("ts") % 2 == 0
+    b.where(even).select(*store.KLINE).write.csv(path)
+    return store.read_klines(spark, path).unionByName(store.klines_of_archives(archived(b.where(~even).select("symbol", "month", *store.KLINE))))
 
 
 @query("epoch_normalise", "SELECT event_id, ts FROM events")
@@ -87,13 +107,21 @@ def evidence_scan(spark, sf):
     return store.best_evidence(cards, 0.5)
 
 
-@query("v1_results_flatten", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CAST(-(p_partkey * 1.5) AS DOUBLE) AS profit, CAST(p_partkey + 1000 AS DOUBLE) AS trades FROM part")
+@query(
+    "v1_results_flatten",
+    'SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_size % 2 = 0 AS "Use RSI", CASE WHEN p_size % 3 = 0 THEN true END AS "Use MACD", CAST(p_size AS BIGINT) AS stop, p_type AS "take profit",'
+    " CASE WHEN p_size % 5 <> 0 THEN p_brand END AS requires, CAST(-(p_partkey * 1.5) AS DOUBLE) AS profit, CAST(p_partkey + 1000 AS DOUBLE) AS trades FROM part",
+)
 def v1_results_flatten(spark, sf):
     p = table(spark, sf, "part")
     profit = F.concat(F.lit("−"), F.regexp_replace(F.format_string("%.1f", F.col("p_partkey") * 1.5), r"\.", ","), F.lit(" USDT"))
     trades = F.regexp_replace((F.col("p_partkey") + 1000).cast("string"), r"(\d)(\d{3})$", "$1.$2")
-    entry = F.create_map(F.col("p_partkey").cast("string"), F.struct(F.col("p_name").alias("name"), F.struct(profit.alias("profit"), trades.alias("trades")).alias("result")))
-    return store.flatten_results(p.select(F.to_json(entry).alias("json"))).select("id", "name", (F.col("profit") + 0).alias("profit"), "trades")
+    indicators = F.struct((F.col("p_size") % 2 == 0).alias("Use RSI"), F.when(F.col("p_size") % 3 == 0, F.lit(True)).alias("Use MACD"), F.lit("first").alias("take profit"))
+    risk = F.struct(F.col("p_size").alias("stop"), F.col("p_type").alias("take profit"))
+    requires = F.struct(F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("requires"))
+    parts = F.struct(indicators.alias("indicators"), risk.alias("riskManagement"), requires.alias("requires"))
+    entry = F.create_map(F.col("p_partkey").cast("string"), F.struct(F.col("p_name").alias("name"), parts.alias("combination"), F.struct(profit.alias("profit"), trades.alias("trades")).alias("result")))
+    return store.flatten_results(p.select(F.to_json(entry).alias("json"))).withColumn("profit", F.col("profit") + 0)
 
 
 @query("chunk_results", "SELECT DISTINCT o_custkey % 50 AS chunk_id FROM orders WHERE o_custkey % 50 >= 30")

@@ -6,9 +6,15 @@ by time, so that partition and row-group statistics prune date ranges.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import clean_locale_number
 from tidemark.functions.timeframes import is_intraday
 from tidemark.operators.bars import dedup_keep_last
 
@@ -74,14 +80,49 @@ def epoch_normalise(raw: Column) -> Column:
     return F.timestamp_micros(micros.cast("long"))
 
 
+#: The twelve columns of a kline file, which has no header.
+KLINE = ("open_time", *OHLCV, "close_time", "quote_volume", "trades", "buy_base", "buy_quote", "ignore")
+
+
 def read_klines(spark: SparkSession, path: str) -> DataFrame:
-    """12-column CSV without header to ts and OHLCV."""
-    names = ["open_time", *OHLCV, "close_time", "quote_volume", "trades", "buy_base", "buy_quote", "ignore"]
-    schema = ", ".join(f"{n} {'long' if n in ('open_time', 'close_time', 'trades') else 'double'}" for n in names)
-    rows = spark.read.schema(schema).csv(path)
+    """Kline files of a folder, plain (``.csv``, or compressed as Spark reads it) and in ``.zip`` archives, to ts and OHLCV."""
+    schema = ", ".join(f"{n} {'long' if n in ('open_time', 'close_time', 'trades') else 'double'}" for n in KLINE)
+    plain = spark.read.schema(schema).csv(path).where(~F.lower("_metadata.file_name").endswith(".zip"))
+    plain = plain.select(epoch_normalise(F.col("open_time")).alias("ts"), *OHLCV)
+    return plain.unionByName(klines_of_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.{zip,ZIP}").load(path)))
+
+
+def klines_of_archives(files: DataFrame) -> DataFrame:
+    """Bars in ``.zip`` archives (path, content), the rows of ``binaryFile``: the first ``.csv`` member of each, read as a stream.
+
+    An archive without such a member is an error that names it; an empty member and a null content give no rows. A task holds
+    one archive's bytes and ``ROWS`` unpacked rows.
+    """
+    names = ["open_time", *OHLCV]
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                if content is None:
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
+                    if not members:
+                        raise ValueError(f"no csv in {path}")
+                    if archive.getinfo(members[0]).file_size == 0:
+                        continue
+                    kinds = {"open_time": "int64"} | dict.fromkeys(OHLCV, "float64")
+                    with archive.open(members[0]) as stream:
+                        yield from pd.read_csv(stream, header=None, names=list(KLINE), usecols=names, dtype=kinds, chunksize=ROWS, float_precision="round_trip")
+
+    rows = files.select("path", "content").mapInPandas(unpack, "open_time long, " + ", ".join(f"{c} double" for c in OHLCV))
     return rows.select(epoch_normalise(F.col("open_time")).alias("ts"), *OHLCV)
 
 
+#: Unpacked rows that a task holds at once.
+ROWS = 65_536
+
+
 def parse_json_bars(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     """Lists of [ms, open, high, low, close, volume] in JSON to bars; of equal times the last in the list stays."""
     lists = rows.select(*keys, F.posexplode(F.from_json(column, "array<array<double>>")).alias("n", "x"))
@@ -102,12 +143,40 @@ def best_evidence(cards: DataFrame, max_pbo: float) -> DataFrame:
     return rows.withColumn("label", F.concat_ws("_", *keys))
 
 
+#: Where the columns of a result come from, in the order in which later ones replace earlier ones of the same name.
+SECTIONS = ("combination.indicators", "combination.riskManagement", "combination.requires", "result")
+
+
 def flatten_results(files: DataFrame, column: str = "json") -> DataFrame:
-    """Nested {id: {name, result}} JSON to one row for each combination; locale numbers become doubles."""
-    from tidemark.functions.text import clean_locale_number
+    """Nested {id: {name, combination, result}} JSON to one row for each combination: id, name, a column for every key of ``SECTIONS``.
 
-    rows = files.select(F.explode(F.from_json(column, "map<string,struct<name:string,result:struct<profit:string,trades:string>>>")).alias("id", "v"))
-    return rows.select("id", "v.name", clean_locale_number(F.col("v.result.profit")).alias("profit"), clean_locale_number(F.col("v.result.trades")).alias("trades"))
+    Keys aren't known beforehand. A column's type is what its values have in common: boolean, bigint, double or decimal, else
+    string; texts of ``result`` are numbers in a locale's form, null if none. A missing key and a JSON null are null. The last section
+    that has a key counts, and it replaces ``id`` and ``name`` too. Files that aren't JSON objects give no rows. One pass finds
+    keys and types (one row a key comes to the driver), a second one fills the columns, sections and keys in order.
+    """
+    part = "map<string,variant>"
+    kind = f"map<string,struct<name:string,combination:struct<indicators:{part},riskManagement:{part},requires:{part}>,result:{part}>>"
+    rows = files.select(F.explode(F.from_json(column, kind)).alias("id", "v"))
+    found = F.array(*[F.coalesce(F.map_entries(f"v.{s}"), F.array().cast("array<struct<key:string,value:variant>>")) for s in SECTIONS])
+    entries = F.flatten(F.transform(found, lambda es, i: F.transform(es, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("section")))))
+    keys = rows.select(F.explode(entries).alias("e")).select("e.*").groupBy("key")
+    keys = keys.agg(F.min("section").alias("first"), F.max("section").alias("last"), F.schema_of_variant_agg("value").alias("kind")).collect()
+
+    def value(r):
+        held = [F.try_element_at(F.col(f"v.{s}"), F.lit(r["key"])) for s in SECTIONS]
+        number = clean_locale_number(F.try_variant_get(held[-1], "$", "string"))
+        if r["first"] == r["last"] == len(SECTIONS) - 1:
+            return F.when(F.schema_of_variant(held[-1]) == "STRING", number).otherwise(F.try_variant_get(held[-1], "$", "double"))
+        if r["last"] == len(SECTIONS) - 1:  # a number where the result has the key, the other sections' value elsewhere
+            other = [F.try_variant_get(h, "$", "string") for h in held[-2::-1]]
+            return F.coalesce(number.cast("string"), *other)
+        plain = r["kind"].lower() if r["kind"].split("(")[0] in ("BOOLEAN", "BIGINT", "DOUBLE", "DECIMAL") else "string"
+        return F.coalesce(*[F.try_variant_get(h, "$", plain) for h in held[-2::-1]])
+
+    made = {"id": F.col("id"), "name": F.col("v.name")}
+    made |= {r["key"]: value(r) for r in sorted(keys, key=lambda r: (r["first"], r["key"]))}
+    return rows.select(*[c.alias(n) for n, c in made.items()])
 
 
 def append_chunks(rows: DataFrame, path: str) -> None:

@@ -338,3 +338,38 @@ def test_results_of_any_keys(spark):
     assert (float(rows["2"]["stop"]), rows["2"]["mix"], rows["2"]["profit"], rows["2"]["trades"]) == (1.5, "two", None, None)
     assert set(rows) == {"1", "2", "3"} and all(v is None for k, v in rows["3"].items() if k != "id")
     assert store.flatten_results(spark.createDataFrame([], "json string")).columns == ["id", "name"]
+
+
+@pytest.mark.parametrize("level", [0.0, 1e6])
+def test_pair_products_are_the_join(spark, monkeypatch, level):
+    """Many blocks, stretches and chunks of times; gaps, repeated times, nulls, NaN, a constant series, disjoint series."""
+    monkeypatch.setattr(pf, "STRATEGIES", 8)
+    monkeypatch.setattr(pf, "ROWS", 1_000)
+    monkeypatch.setattr(pf, "TIMES", 16)
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 1, 200)
+    pdf = pd.concat([pd.DataFrame({"strategy_id": f"s{k}", "t": np.arange(200), "ret": level + base * (k % 5) / 4 + rng.normal(0, 1, 200)})[rng.random(200) < 0.8] for k in range(40)])
+    pdf = pd.concat([pdf, pdf.iloc[::17].assign(ret=level + 1.0), pd.DataFrame({"strategy_id": "flat", "t": np.arange(200), "ret": 0.1 + level}), pd.DataFrame({"strategy_id": "late", "t": np.arange(900, 950), "ret": 1.0})])
+    odd = "strategy_id string, t long, ret double"
+    df = dealt(spark, pdf).union(spark.createDataFrame([("s1", 5, None), ("s3", 7, float("nan")), ("only", 7, None), (None, 7, 1.0), ("s2", None, 1.0)], odd)).cache()
+    x, y = df.selectExpr("strategy_id a", "t", "ret x"), df.selectExpr("strategy_id b", "t", "ret y")
+    lists = x.join(y, "t").where("a < b").groupBy("a", "b").agg(F.collect_list(F.struct(F.col("x").isNotNull() & F.col("y").isNotNull(), "x", "y")).alias("p"))
+    want = {}
+    for r in lists.collect():
+        p = np.array([q[1:] for q in r.p if q[0]], float).reshape(-1, 2)
+        d = p - p.mean(0) if len(p) else p
+        c, v = (d[:, 0] * d[:, 1]).sum(), np.sqrt((d * d).sum(0).prod())
+        want[r.a, r.b] = (len(p), c / (len(p) - 1) if len(p) > 1 else None, c / v if v > 0 else np.nan)
+    got = {(r.a, r.b): r.rho for r in pf.correlations(df).collect()}
+    cov = {(r.a, r.b): r.cov for r in pf.covariances(df).where("a < b").collect()}
+    n = {(r.a, r.b): r.n for r in pf.pair_sums(df).collect()}
+    assert set(got) == set(want) == set(cov) == set(n) and len(got) > 800
+    for k, w in want.items():
+        count, covariance, rho = w
+        assert got[k] == pytest.approx(0.0 if np.isnan(rho) or "flat" in k else rho, abs=1e-7), k
+        assert n[k] == count
+        if covariance is None or np.isnan(covariance):
+            assert cov[k] is None
+        else:
+            assert cov[k] == pytest.approx(covariance, abs=1e-6), k
+    assert pf.correlations(df.limit(0)).count() == 0

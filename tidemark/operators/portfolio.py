@@ -1,11 +1,13 @@
 """Correlation, covariance, selection and ensembles of strategies.
 
 Returns are a long table (strategy_id, t, ret); matrices are pair tables (a, b, ...)
-with a < b, made by an equi-join on t, so their size is pairs of strategies, not bars.
+with a < b, made by products of blocks, so their size is pairs of strategies, not bars.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +19,81 @@ def S():
     return Window.partitionBy("strategy_id").orderBy("t")
 
 
-def pair_join(rows: DataFrame, value: str = "ret") -> DataFrame:
-    """(a, b, t, x, y) for all pairs a < b that share t."""
-    left = rows.select(F.col("strategy_id").alias("a"), "t", F.col(value).alias("x"))
-    right = rows.select(F.col("strategy_id").alias("b"), "t", F.col(value).alias("y"))
-    return left.join(right, "t").where("a < b")
+#: Strategies of a block, rows of a block in one stretch of time, and times multiplied at once.
+STRATEGIES, ROWS, TIMES = 128, 250_000, 2_048
+_SUMS = ("n", "x", "y", "xx", "yy", "xy", "bad")
+
+
+def pair_sums(rows: DataFrame, value: str = "ret") -> DataFrame:
+    """(a, b, n, x, y, xx, yy, xy, bad) for all pairs a < b that share a time: sums over shared times, as of a join on t.
+
+    Strategies are dealt over blocks and times over stretches by hashes; a pair of blocks is one matrix product in each
+    stretch, and the products are added up. So a row is copied once a block, not once a strategy, and a task holds two
+    blocks of one stretch. ``n`` counts shared times where both have a value, ``bad`` those where one is NaN or infinite, which
+    count as 0 in the sums. A strategy's repeated rows of a time count each, as in the join; null keys meet nothing.
+    """
+    have = rows.where("strategy_id is not null and t is not null")
+    size = have.agg(F.count_distinct("strategy_id").alias("k"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-size.k // STRATEGIES))
+    stretches = max(1, -(-size.n // (blocks * ROWS)))
+    dealt = have.select(F.col("strategy_id").alias("id"), "t", F.col(value).cast("double").alias("v"), F.pmod(F.xxhash64("strategy_id"), F.lit(blocks)).alias("block"), F.pmod(F.xxhash64("t"), F.lit(stretches)).alias("stretch"))
+    other = F.col("other")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"one": F.least("block", other), "two": F.greatest("block", other)})
+    kind = rows.schema["strategy_id"].dataType.simpleString()
+
+    def side(frame, times):
+        """Ids and, for each of the shared times and ids, counts of rows and of values, their sums and squares, and what isn't finite."""
+        ids, at = np.unique(frame["id"].to_numpy(), return_inverse=True)
+        v, there = frame["v"].to_numpy(float), ~frame["null"].to_numpy(bool)
+        finite = there & np.isfinite(v)
+        clean = np.where(finite, v, 0.0)
+        place = np.searchsorted(times, frame["t"].to_numpy()) * len(ids) + at
+        made = [np.ones(len(v)), there.astype(float), clean, clean * clean, (there & ~finite).astype(float)]
+        return ids, [np.bincount(place, w, len(times) * len(ids)).reshape(len(times), len(ids)) for w in made]
+
+    def multiply(frame):
+        first, second = frame["one"].iloc[0], frame["two"].iloc[0]
+        left = frame[frame["block"] == first]
+        right = left if first == second else frame[frame["block"] == second]
+        times = np.intersect1d(left["t"].to_numpy(), right["t"].to_numpy())
+        parts = []
+        for i in range(0, len(times), TIMES):
+            few = times[i : i + TIMES]
+            ids_a, (pa, ma, xa, qa, ba) = side(left[left["t"].isin(few)], few)
+            ids_b, (pb, mb, xb, qb, bb) = side(right[right["t"].isin(few)], few)
+            sums = [ma.T @ mb, xa.T @ mb, ma.T @ xb, qa.T @ mb, ma.T @ qb, xa.T @ xb, ba.T @ mb + ma.T @ bb]
+            shared, ordered = pa.T @ pb > 0, ids_a[:, None] < ids_b[None, :]
+            for keep, swap in ((shared & ordered, False), (shared & (ids_b[None, :] < ids_a[:, None]) & (first != second), True)):
+                a, b = np.nonzero(keep)
+                ids = (ids_b[b], ids_a[a]) if swap else (ids_a[a], ids_b[b])
+                order = (0, 2, 1, 4, 3, 5, 6) if swap else range(7)
+                parts.append(pd.DataFrame({"a": ids[0], "b": ids[1]} | {n: sums[k][a, b] for n, k in zip(_SUMS, order, strict=True)}))
+        return pd.concat(parts).groupby(["a", "b"], as_index=False).sum() if parts else pd.DataFrame(columns=["a", "b", *_SUMS])
+
+    # the null flag travels apart, as pandas writes null and NaN alike
+    sent = met.select("one", "two", "stretch", "block", "id", "t", "v", F.col("v").isNull().alias("null"))
+    products = sent.groupBy("one", "two", "stretch").applyInPandas(multiply, f"a {kind}, b {kind}, " + ", ".join(f"{n} double" for n in _SUMS))
+    return products.groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in _SUMS])
+
+
+def pair_moments(rows: DataFrame, value: str = "ret") -> DataFrame:
+    """(a, b, n, vx, vy, cov): sums of squared and mixed deviations of pairs over shared times; null where a value isn't finite.
+
+    Values are taken from each strategy's mean first, so large levels don't cost digits; a deviation under 1e-12 of what
+    is summed is rounding and counts as 0.
+    """
+    finite = F.when(~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf")), F.col(value))
+    mean = rows.groupBy("strategy_id").agg(F.avg(finite).alias("mean__"))
+    s = pair_sums(rows.join(mean, "strategy_id").withColumn(value, F.col(value) - F.coalesce("mean__", F.lit(0.0))), value)
+    apart = lambda q, x, y: F.when(F.col("bad") == 0, F.col(q) - F.try_divide(F.col(x) * F.col(y), "n"))
+    spread = lambda q, x: F.when(apart(q, x, x) > F.col(q) * 1e-12, apart(q, x, x)).otherwise(F.when(F.col("bad") == 0, F.lit(0.0)))
+    return s.select("a", "b", "n", spread("xx", "x").alias("vx"), spread("yy", "y").alias("vy"), apart("xy", "x", "y").alias("cov"))
 
 
 def correlations(rows: DataFrame, value: str = "ret") -> DataFrame:
     """(a, b, rho): Pearson correlation on shared times, 0 where undefined."""
-    rho = pair_join(rows, value).groupBy("a", "b").agg(F.corr("x", "y").alias("rho"))
-    return rho.withColumn("rho", F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0)))
+    rho = F.coalesce(F.try_divide(F.col("cov"), F.sqrt("vx") * F.sqrt("vy")), F.lit(0.0))
+    return pair_moments(rows, value).select("a", "b", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("rho"))
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -77,7 +143,7 @@ def effective_n(pairs: DataFrame, n: int) -> DataFrame:
 
 def covariances(rows: DataFrame) -> DataFrame:
     """(a, b, cov) of all ordered pairs, a = b too."""
-    p = pair_join(rows).groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+    p = pair_moments(rows).select("a", "b", F.when(F.col("n") > 1, F.col("cov") / (F.col("n") - 1)).alias("cov"))
     own = rows.groupBy(F.col("strategy_id").alias("a")).agg(F.var_samp("ret").alias("cov")).select("a", F.col("a").alias("b"), "cov")
     return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "cov")).unionByName(own)
 

@@ -46,7 +46,7 @@ def checkpointed(spark):
 
 @query("pairwise_self_join", f"WITH {PAIRS} SELECT a, b, count(*) AS n, round(sum(x * y), 8) AS xy FROM prs GROUP BY 1, 2")
 def pairwise_self_join(spark, sf):
-    return pf.pair_join(rets(spark, sf)).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") * F.col("y")), 8).alias("xy"))
+    return pf.pair_sums(rets(spark, sf)).select("a", "b", F.col("n").cast("long").alias("n"), F.round("xy", 8).alias("xy"))
 
 
 @query("corr_pearson", f"WITH {PAIRS} SELECT a, b, round(rho, {R}) AS rho FROM rho")

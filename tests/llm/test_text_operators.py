@@ -233,11 +233,38 @@ def test_chat_reads_back_and_checks_order(spark):
     with pytest.raises(Exception, match="closing"):
         read_back(whole.where("segment <> '</s>'")).collect()
     assert read_back(whole.withColumn("loss", F.lit(False))).agg(F.sum("loss_chars")).first()[0] == 0
+    assert not read_back(whole.withColumn("valid", F.lit(False))).where("valid").count()
     for bad in ({"before": "{role}:"}, {"before": "[{role}"}, {"after": ""}, {"after": "\\end"}):
         with pytest.raises(ValueError):
             Template(**bad)
 
 
+def test_chat_machine_emits_and_checks_each_turn():
+    from tidemark.llm.chat_format import BROKEN, Machine, Template
+
+    machine = Machine(Template())
+    assert machine.begin() == ("<s>", False, True)
+    assert list(machine.step("user", "a[b")) == [("[TURN user]", False, True), ("a\\[b", False, True), ("[/TURN]", False, True)]
+    assert machine.at == "user"
+    assert [x[1:] for x in machine.step("assistant", "c")] == [(False, True), (True, True), (False, True)]
+    assert machine.end() == ("</s>", False, True) and machine.at == "end"
+    # out of order: the same segments, never valid again
+    machine.begin()
+    assert list(machine.step("assistant", "c")) == [("[TURN assistant]", False, False), ("c", True, False), ("[/TURN]", False, False)]
+    assert machine.at == BROKEN
+    assert [x[2] for r in ("user", "assistant") for x in machine.step(r, "t")] == [False] * 6 and machine.end() == ("</s>", False, False)
+    # "end" is no role, a conversation can't end behind a user, and another order is another machine
+    machine.begin()
+    list(machine.step("user", "")), list(machine.step("assistant", "")), list(machine.step("end", ""))
+    assert machine.at == BROKEN
+    machine.begin()
+    list(machine.step("user", ""))
+    assert not machine.end()[2]
+    tools = Machine(Template(learned=frozenset({"tool"}), order={"": {"tool"}, "tool": {"tool", "end"}}))
+    tools.begin()
+    assert [x[1:] for x in tools.step("tool", "x")] == [(False, True), (True, True), (False, True)] and tools.end()[2]
+
+
 def fewest_bytes(rows, shards):
     """Least bytes that must leave their shard, over every choice of the shards that hold one row more."""
     import itertools

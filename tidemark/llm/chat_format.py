@@ -71,26 +71,55 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def segments(template: Template, role: str, text: str) -> list[tuple[str, bool]]:
-    """Output of one turn as (text, loss) segments; the text of a learned role alone carries loss."""
-    head, tail = template.role_marks
-    return [(head + template.escape(role) + tail, False), (template.escape(text), role in template.learned), (template.after, False)]
+#: The state behind the first turn out of order; no transition leaves it.
+BROKEN = "\0broken"
+#: What a transition emits stands in for the turn's own role or text.
+ROLE, TEXT = object(), object()
 
 
 class Machine:
-    """States are the last role; ``valid`` falls for good at the first step that the table lacks."""
+    """A template as a finite-state machine over roles: each transition checks the order and emits its segments with their loss flags.
 
-    def __init__(self, order: dict):
-        self.order, self.at, self.valid = order, "", True
+    States are the roles of ``order``, "" before the first turn, "end" behind the
+    last, and ``BROKEN``. A role that the state's row lacks leads to ``BROKEN`` for
+    good; what it emits stays the same, so no text is lost. Entering or leaving a
+    conversation are transitions too: they emit the opening and the closing.
+    """
+
+    def __init__(self, template: Template):
+        self.template = template
+        self.next = {(at, role): role for at, roles in template.order.items() for role in roles if role != "end"}
+        self.final = {at for at, roles in template.order.items() if "end" in roles}
+        head, tail = template.role_marks
+        #: the segments of a turn, each as its parts and whether it can carry loss (it does if the role is learned)
+        self.emitted = (((head, ROLE, tail), False), ((TEXT,), True), ((template.after,), False))
+        self.at = None
+
+    @property
+    def valid(self) -> bool:
+        return self.at != BROKEN
+
+    def begin(self) -> tuple[str, bool, bool]:
+        self.at = ""
+        return self.template.opening, False, True
 
-    def step(self, role: str) -> bool:
-        self.valid &= role in self.order.get(self.at, ())
-        self.at = role
-        return self.valid
+    def step(self, role: str, text: str) -> Iterator[tuple[str, bool, bool]]:
+        """Take one turn: (segment, loss, in order so far) for each segment of it."""
+        self.at = self.next.get((self.at, role), BROKEN)
+        learned = role in self.template.learned
+        own = {ROLE: role, TEXT: text}
+        for parts, loss in self.emitted:
+            yield "".join(self.template.escape(own[x]) if x in own else x for x in parts), loss and learned, self.valid
+
+    def end(self) -> tuple[str, bool, bool]:
+        self.at = "end" if self.at in self.final else BROKEN
+        return self.template.closing, False, self.valid
 
 
 def format_segments(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """All conversations as text: conv_id, seq (from 0 in each conversation), segment, loss; joined by seq they are the formatted text.
+    """All conversations as text: conv_id, seq (from 0 in each conversation), segment, loss, valid; joined by seq they are the formatted text.
+
+    The template's machine emits them; ``valid`` says whether the turns are in order up to this segment, so the last one's holds for the conversation.
 
     Rows are partitioned by conversation and sorted by turn, role, text; a task
     streams over them and holds one turn, so a conversation of any length takes
@@ -99,10 +128,10 @@ def format_segments(conversations: DataFrame, template: Template | None = None)
     turns of their own; other columns are not read. An empty table gives none.
     """
     template = template or Template()
-    arrow = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_())])
+    arrow = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, seq = _NONE, 0
+        conv, seq, machine = _NONE, 0, Machine(template)
 
         def batch(out):
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
@@ -112,21 +141,21 @@ def format_segments(conversations: DataFrame, template: Template | None = None)
             for c, _, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if conv is _NONE or c != conv:
                     if conv is not _NONE:
-                        out.append((conv, seq, template.closing, False))
+                        out.append((conv, seq, *machine.end()))
                     conv, seq = c, 1
-                    out.append((c, 0, template.opening, False))
-                for s, loss in segments(template, role, text):
-                    out.append((c, seq, s, loss))
+                    out.append((c, 0, *machine.begin()))
+                for emitted in machine.step(role, text):
+                    out.append((c, seq, *emitted))
                     seq += 1
             if out:
                 yield batch(out)
         if conv is not _NONE:
-            yield batch([(conv, seq, template.closing, False)])
+            yield batch([(conv, seq, *machine.end())])
 
     prepare(conversations.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), empty("role"), empty("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, seq long, segment string, loss boolean")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, seq long, segment string, loss boolean, valid boolean")
 
 
 _NONE = object()
@@ -136,11 +165,12 @@ class Reader:
     """Reads one formatted conversation, segment by segment: turns by the template's pattern, learned text by the loss flags."""
 
     def __init__(self, template: Template):
-        self.template, self.pattern, self.machine = template, template.turn_pattern(), Machine(template.order)
+        self.template, self.pattern = template, template.turn_pattern()
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.held, self.begun, self.n_turns, self.loss_chars, self.chars = "", False, 0, 0, 0
+        self.held, self.begun, self.n_turns, self.loss_chars, self.chars, self.valid = "", False, 0, 0, 0, True
 
-    def feed(self, segment: str, loss: bool) -> None:
+    def feed(self, segment: str, loss: bool, valid: bool) -> None:
+        self.valid &= valid
         self.held += segment
         self.chars += len(segment)
         if loss:
@@ -155,18 +185,16 @@ class Reader:
             role, text = unescape(m[1]), unescape(m[2])
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            self.machine.step(role)
             self.held = self.held[m.end() :]
 
     def close(self) -> tuple:
         if self.held != self.template.closing:
             raise ValueError("a conversation ends without its closing")
-        self.machine.step("end")
-        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.machine.valid
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """Read the output of ``format_segments``: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid (turns in the template's order).
+    """Read the output of ``format_segments``: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid (turns in the template's order, as the machine wrote it).
 
     Everything comes from the segments and their flags. Digests grow turn by turn; a task holds one turn. Output that the template can't have made raises.
     """
@@ -182,18 +210,18 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
 
         for b in batches:
             out = []
-            for c, _, segment, loss in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for c, _, segment, loss, valid in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if conv is _NONE or c != conv:
                     if reader:
                         out.append((conv, *reader.close()))
                     conv, reader = c, Reader(template)
-                reader.feed(segment, loss)
+                reader.feed(segment, loss, valid)
             if out:
                 yield batch(out)
         if reader:
             yield batch([(conv, *reader.close())])
 
-    rows = formatted.select("conv_id", "seq", "segment", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    rows = formatted.select("conv_id", "seq", "segment", "loss", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     return rows.mapInArrow(run, ", ".join(names))
 
 

@@ -89,16 +89,24 @@ def test_token_counts_and_words_are_the_library_s():
 
 
 def test_elias_fano_selects_every_boundary():
-    from tidemark.llm.token_files import EliasFano, open_block, pack_block
+    from tidemark.llm.token_files import Block, EliasFano, pack_block
 
     for values in ([], [0], [5], [0, 0, 0, 7], np.cumsum(np.random.default_rng(1).integers(0, 500, 700)).tolist()):
         ef = EliasFano.load(EliasFano.build(np.array(values, np.int64)).dump())
         assert ef.all().tolist() == values == [ef.select(i) for i in range(len(values))]
-    raw = pack_block([b"\1\0\0\0" * 3, b"", b"\2\0\0\0"])
+    wide = [-(1 << 63), -5, -5, 0, 7, (1 << 63) - 1]
+    assert [EliasFano.build(np.array([k - wide[0] for k in wide], np.uint64)).select(i) + wide[0] for i in range(6)] == wide
+    keys, ids = [None, None, *wide], [b"\1\0\0\0" * n for n in (3, 0, 1, 2, 0, 5, 1, 1)]
+    raw = pack_block(keys, ids)
+    block = Block(raw)
+    assert [block.key(i) for i in range(8)] == keys and [bytes(block.ids(i)) for i in range(8)] == ids
+    assert [block.span(i) for i in range(3)] == [(0, 3), (3, 3), (3, 4)]
     with pytest.raises(ValueError):
-        open_block(raw[:-4])
+        Block(raw[:-4])
     with pytest.raises(ValueError):
-        open_block(b"XXXX" + raw[4:])
+        Block(b"XXXX" + raw[4:])
+    # keys and boundaries of 1000 documents of 300 ids in less than 3 bytes a document, ids apart
+    assert len(pack_block(list(range(10**12, 10**12 + 1000)), [bytes(1200)] * 1000)) - 1_200_000 < 3000
 
 
 def test_pieces_and_counts_of_awkward_rows(spark, odd):

@@ -5,6 +5,7 @@ A file block holds the ids of consecutive documents as little-endian unsigned
 low bits of each boundary packed, the high bits in unary, and the place of every
 ``SAMPLE``-th one bit, so that ``select(i)`` answers without a table of 64-bit
 offsets. Boundaries are relative to the block; a block's own start is one number.
+The documents' ascending keys are coded in the same way, less the block's first.
 
 Documents are range-partitioned by key, sorted, encoded and packed in the same
 task. Block starts come from sums by partition and a running sum inside it, so
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import prepare, stage
 from tidemark.llm.words import word_pipeline
 
-MAGIC = b"EFID"
+MAGIC = b"EFI2"
 #: Every so many boundaries the place of a one bit is kept.
 SAMPLE = 64
 #: Documents and ids at which a block is closed.
@@ -105,21 +106,42 @@ class EliasFano:
         return cls(n, bits, raw[at : at + low], raw[at + low : at + low + high], np.frombuffer(raw, "<u4", samples, at + low + high))
 
 
-def pack_block(ids: list[bytes]) -> bytes:
-    """One block of the file format from each document's ids in bytes."""
+#: Behind MAGIC: documents, documents with a null key (they come first), the first other key, bytes of both sequences.
+_HEAD = struct.Struct("<IIqII")
+
+
+def pack_block(keys: list[int | None], ids: list[bytes]) -> bytes:
+    """One block of the file format from each document's key, ascending with nulls first, and its ids in bytes."""
+    own = [k for k in keys if k is not None]
+    base = own[0] if own else 0
+    coded = EliasFano.build(np.array([k - base for k in own], np.uint64)).dump()
     ends = EliasFano.build(np.cumsum([len(x) // 4 for x in ids])).dump()
-    return MAGIC + struct.pack("<II", len(ids), len(ends)) + ends + b"".join(ids)
+    return MAGIC + _HEAD.pack(len(ids), len(ids) - len(own), base, len(coded), len(ends)) + coded + ends + b"".join(ids)
+
+
+class Block:
+    """A stored block: ``key`` and ``span`` select one document's key and place, ``ids`` its ids. Another header or length is refused."""
+
+    def __init__(self, raw: bytes):
+        if raw[:4] != MAGIC:
+            raise ValueError("not a token-id block")
+        self.n, self.nulls, self.base, keys, ends = _HEAD.unpack_from(raw, 4)
+        at = 4 + _HEAD.size
+        self.keys, self.ends = EliasFano.load(raw[at : at + keys]), EliasFano.load(raw[at + keys : at + keys + ends])
+        self.body = memoryview(raw)[at + keys + ends :]
+        if self.ends.n != self.n or self.keys.n + self.nulls != self.n or (self.ends.select(self.n - 1) * 4 if self.n else 0) != len(self.body):
+            raise ValueError("the block's keys and boundaries don't fit its ids")
+
+    def key(self, i: int) -> int | None:
+        return None if i < self.nulls else self.base + self.keys.select(i - self.nulls)
 
+    def span(self, i: int) -> tuple[int, int]:
+        """First id of document i and the one behind its last, counted in the block."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
-def open_block(raw: bytes) -> tuple[EliasFano, memoryview]:
-    """Boundaries and id bytes of a block; a block with another header or length is refused."""
-    if raw[:4] != MAGIC:
-        raise ValueError("not a token-id block")
-    n, size = struct.unpack_from("<II", raw, 4)
-    ends, body = EliasFano.load(raw[12 : 12 + size]), memoryview(raw)[12 + size :]
-    if ends.n != n or n and ends.select(n - 1) * 4 != len(body):
-        raise ValueError("the block's boundaries don't fit its ids")
-    return ends, body
+    def ids(self, i: int) -> memoryview:
+        begin, end = self.span(i)
+        return self.body[4 * begin : 4 * end]
 
 
 class WordEncoder:
@@ -206,23 +228,22 @@ def encoder(path: str) -> WordEncoder:
 def write_token_blocks(docs: DataFrame, path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode ``docs`` and write them as blocks in ascending ``key`` order; returns the written table.
 
-    Columns: first_key, seq (blocks of one task count up from 0), part_key (first
-    key of the task), n_docs, n_ids, keys (Elias-Fano isn't used for them: they
-    may be negative), payload. A null text counts as empty, so it has the end id
+    Columns: seq (blocks of one task count up from 0), part_key (first
+    key of the task), n_docs, n_ids, payload (see ``Block``). A null text counts as empty, so it has the end id
     alone. Null keys sort first. Rows with equal keys are all written, ordered by text.
     """
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     rows = rows.repartitionByRange(parts, "k").sortWithinPartitions("k", "t")
-    arrow = pa.schema([("part_key", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("payload", pa.binary())])
+    arrow = pa.schema([("part_key", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(path), b"" if end_id is None else struct.pack("<I", end_id)
         keys, ids, held, first, seq = [], [], 0, None, 0
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((first, seq, len(keys), held, keys, pack_block(ids)), arrow, strict=True)], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((first, seq, len(keys), held, pack_block(keys, ids)), arrow, strict=True)], schema=arrow)
 
         for b in batches:
             got = b.column(0).to_pylist()
@@ -239,7 +260,7 @@ def write_token_blocks(docs: DataFrame, path: str, end_id: int | None = 1, key:
         if keys:
             yield block()
 
-    return stage(rows.mapInArrow(run, "part_key long, seq long, n_docs long, n_ids long, keys array<long>, payload binary"), "token-blocks")
+    return stage(rows.mapInArrow(run, "part_key long, seq long, n_docs long, n_ids long, payload binary"), "token-blocks")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
@@ -263,15 +284,15 @@ def read_token_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, seq, keys, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ends, body = open_block(raw)
-                stop = ends.all()
-                begin = np.concatenate(([0], stop[:-1]))
-                crc = [zlib.crc32(body[4 * i : 4 * j]) for i, j in zip(begin.tolist(), stop.tolist(), strict=True)]
-                cols = ([part] * len(keys), [seq] * len(keys), keys, begin, stop - begin, crc)
+            for part, seq, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                block = Block(raw)
+                docs = range(block.n)
+                spans = [block.span(i) for i in docs]
+                crc = [zlib.crc32(block.body[4 * i : 4 * j]) for i, j in spans]
+                cols = ([part] * block.n, [seq] * block.n, [block.key(i) for i in docs], [i for i, _ in spans], [j - i for i, j in spans], crc)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=arrow)
 
-    got = blocks.select("part_key", "seq", "keys", "payload").mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+    got = blocks.select("part_key", "seq", "payload").mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
     at = block_starts(blocks).select(F.col("part_key").alias("p"), F.col("seq").alias("s"), "block_start")
     got = got.join(at, F.col("part_key").eqNullSafe(F.col("p")) & (F.col("seq") == F.col("s")))
     return got.select(key, (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import struct
 import re
 import zlib
 
@@ -60,7 +61,7 @@ def test_unigram_path_is_the_best_of_all_paths():
     pieces = ["a", "b", "c", "ab", "bc", "abc", "ca"]
     m.pieces = [(p, -rnd.random() * 5, 1) for p in pieces]
     m.ids, m.score = {p: i for i, p in enumerate(pieces)}, [s for _, s, _ in m.pieces]
-    m.unigram, m.floor, m.pairs, m.prefix, m.squeeze = True, -20.0, {}, True, True
+    m.unigram, m.floor, m.pairs, m.prefix, m.squeeze, m.rewrite = True, -20.0, {}, True, True, None
     m.compile()
     assert m.normal("  a  b ") == "▁a▁b" and m.normal("   ") == ""
 
@@ -74,6 +75,62 @@ def test_unigram_path_is_the_best_of_all_paths():
         assert sum(-m.score[k] for k in m.shortest(w)) == pytest.approx(best(w))
 
 
+def with_map(rule, kind, prefix, squeeze, symbols=()):
+    """The 32k model's file with another kind, the character map of ``rule`` and user-defined pieces.
+
+    Unigram scores are multiples of 2**-11, which the library adds without rounding.
+    """
+    import sentencepiece
+
+    from tidemark.llm.sentence_pieces import wire
+
+    def varint(n):
+        return bytes((n,)) if n < 128 else bytes((n & 127 | 128,)) + varint(n >> 7)
+
+    def put(n, value):
+        if isinstance(value, float):
+            return varint(n << 3 | 5) + struct.pack("<f", value)
+        return varint(n << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(n << 3) + varint(value)
+
+    def piece(i, raw):
+        p = dict(wire(raw))
+        return put(1, p[1]) + put(2, -4 - i / 2048) + put(3, p.get(3, 1)) if kind == 1 else raw
+
+    with open(vocab("piece_bpe_32k.model"), "rb") as f:
+        fields = list(wire(f.read()))
+    (chars,) = [dict(wire(v))[2] for n, v in wire(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()) if n == 3]
+    norm = put(1, rule.encode()) + put(2, chars) + put(3, prefix) + put(4, squeeze) + put(5, 1)
+    pieces = b"".join(put(1, piece(i, v)) for i, (n, v) in enumerate(fields) if n == 1) + b"".join(put(1, put(1, x.encode()) + put(3, 4)) for x in symbols)
+    return pieces + put(2, put(3, kind) + put(35, 1)) + put(3, norm)
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_models_with_a_character_map_are_the_library_s(rule, tmp_path):
+    import sentencepiece
+
+    from tidemark.llm.sentence_pieces import PieceTransducer, Rewriter, character_map
+
+    odd_ones = ["ﬁne ﬀ ① Ⅷ ½", "ｆｕｌｌ　ｗｉｄｔｈ", "e\u0301 A\u030a\u0301 \u0301", "\u1112\u1161\u11ab한", "a\u00a0b\u200bc\u2028d\te\nf\r\n", "\x01\x02", "\x01", "\u3000 x \u3000", "ＡÅ ẛ̣ ſ ß STRASSE İ", "㍿ ㌔ ﷺ", "▁ x ▁▁", "<sep>Ａ<sep><sep> b<se"]
+    rnd = random.Random(3)
+    pool = [c for x in odd_ones for c in x] + list("ab  .")
+    mixed = ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 40))) for _ in range(400)]
+    for kind, prefix, squeeze in ((1, 1, 1), (2, 1, 1), (1, 0, 1), (1, 1, 0), (2, 0, 0)):
+        path = tmp_path / f"{kind}{prefix}{squeeze}.model"
+        path.write_bytes(with_map(rule, kind, prefix, squeeze))
+        lib, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), PieceTransducer(str(path))
+        for t in odd_ones + mixed + texts(30) + [x for x in HARD if x]:
+            ids = np.frombuffer(own.encode(t), "<i4").tolist()
+            assert ids == lib.encode(t), (kind, prefix, squeeze, t)
+            assert own.decode(ids) == lib.decode(ids), (kind, prefix, squeeze, t)
+    assert character_map(b"\0\0\0\0") == {}
+    rewrite = Rewriter({"ab": "x", "abc": "y", "b": "", "c": "cc"})
+    assert [rewrite(t) for t in ("abcab", "aab", "cabc", "zz", "", "bbb")] == ["yx", "ax", "ccy", "zz", "", ""] and Rewriter({})("ab") == "ab"
+    for kind in (1, 2):
+        path.write_bytes(with_map(rule, kind, 1, 1, ("<sep>",)))
+        with pytest.raises(ValueError):
+            PieceTransducer(str(path))
+
+
 def test_token_counts_and_words_are_the_library_s():
     from tokenizers import Tokenizer
 

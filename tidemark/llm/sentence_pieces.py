@@ -2,8 +2,10 @@
 
 Three machines are compiled from a ``.model`` file into tables:
 
-* the normaliser reads runs of blanks and of other characters; (state, kind of run)
-  gives the next state and what it writes (the dummy prefix, blanks as U+2581);
+* the normaliser first rewrites by the file's own character map, the longest rule at each
+  place (``Rewriter``, a trie read out of the file's double array), then reads runs of
+  blanks and of other characters: (state, kind of run) gives the next state and what it
+  writes (the dummy prefix, blanks as U+2581);
 * the pieces are a trie: (state, character) gives the next state, and states where a
   piece ends have its id and weight;
 * byte fallback has an arc for each character that is no piece: its UTF-8 bytes' ids,
@@ -74,6 +76,74 @@ def wire(raw: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
+def character_map(raw: bytes) -> dict[str, str]:
+    """Rules of a compiled character map: a double array over UTF-8 bytes whose leaves are places in a block of texts ending in a null byte.
+
+    A unit holds its byte, bit 8 (a leaf hangs on it) and the offset of its children, which lie at the offset XOR their
+    byte. All nodes of a depth are expanded at once.
+    """
+    size = struct.unpack_from("<I", raw)[0]
+    units, texts = np.frombuffer(raw, "<u4", size // 4, 4).astype(np.int64), raw[4 + size :]
+    if not len(units):
+        return {}
+
+    def children(at):
+        return at ^ ((units[at] >> 10) << ((units[at] & 512) >> 6))
+
+    labels, rules = np.arange(1, 256), {}
+    nodes, keys = children(np.zeros(1, np.int64)), [b""]
+    while len(keys):
+        places = nodes[:, None] ^ labels
+        inside = places < len(units)
+        own, byte = np.nonzero(inside & ((units[np.where(inside, places, 0)] & 0x800000FF) == labels))
+        at = places[own, byte]
+        keys = [keys[i] + bytes((b,)) for i, b in zip(own.tolist(), labels[byte].tolist(), strict=True)]
+        nodes = children(at)
+        for i in np.flatnonzero(units[at] >> 8 & 1).tolist():
+            begin = int(units[nodes[i]] & 0x7FFFFFFF)
+            rules[keys[i].decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+    return rules
+
+
+class Rewriter:
+    """Replaces the longest key of ``rules`` at each place, from left to right."""
+
+    def __init__(self, rules: dict[str, str]):
+        self.go: list[dict[str, int]] = [{}]
+        self.out: list[str | None] = [None]
+        for key, text in rules.items():
+            at = 0
+            for c in key:
+                at = self.go[at].setdefault(c, len(self.go))
+                if at == len(self.go):
+                    self.go.append({})
+                    self.out.append(None)
+            self.out[at] = text
+        # a rule begins only at a character that is a key, or before one that is second in a key
+        alone, second = ("".join(sorted(x)) for x in ({k for k in rules if len(k) == 1}, {k[1] for k in rules if len(k) > 1}))
+        ways = [x for x, some in ((f"[{re.escape(alone)}]", alone), (f".(?=[{re.escape(second)}])", second)) if some]
+        self.next = re.compile("|".join(ways) or "(?!)", re.DOTALL).search
+
+    def __call__(self, text: str) -> str:
+        if not (m := self.next(text)):
+            return text
+        go, rule, out, done, n = self.go, self.out, [], 0, len(text)
+        while m:
+            begin = m.start()
+            out.append(text[done:begin])
+            at, done, new = 0, begin + 1, text[begin]
+            for end in range(begin, n):
+                at = go[at].get(text[end], -1)
+                if at < 0:
+                    break
+                if rule[at] is not None:
+                    done, new = end + 1, rule[at]
+            out.append(new)
+            m = self.next(text, done)
+        out.append(text[done:])
+        return "".join(out)
+
+
 class PieceTransducer:
     """The compiled machines of one model, with ``encode`` and ``decode``."""
 
@@ -90,17 +160,21 @@ class PieceTransducer:
                 trainer = dict(wire(value))
             elif n == 3:
                 norm = dict(wire(value))
-        if norm.get(2):
-            raise ValueError("a normaliser with its own character map is not supported")
+        if not norm.get(5, 1) or trainer.get(24):
+            raise ValueError("only models that mark blanks, and mark them before words, are supported")
         self.unigram = trainer.get(3, 1) == 1
         if not self.unigram and trainer.get(3) != 2:
             raise ValueError("only unigram and BPE models are supported")
+        if any(kind in (4, 5) for _, _, kind in self.pieces):
+            raise ValueError("models with user-defined or unused pieces are not supported")
+        rules = character_map(norm[2]) if norm.get(2) else {}
+        self.rewrite = Rewriter(rules) if rules else None
         self.prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
-        self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (1, 4, 5)}
+        self.ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == 1}
         self.score = [s for _, s, _ in self.pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == 6}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == 2), 0)
-        self.floor = min(self.score, default=0.0) - 10
+        self.floor = min((s for _, s, kind in self.pieces if kind == 1), default=0.0) - 10
         self.out = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else b" \xe2\x81\x87 " if kind == 2 else p.replace(BLANK, " ").encode() for p, _, kind in self.pieces]
         inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         newline = any("\n" in p for p in self.ids)
@@ -141,16 +215,21 @@ class PieceTransducer:
         self.fallback = -self.floor if self.unigram else 0.0
 
     def normal(self, text: str) -> str:
+        if self.rewrite and not (text := self.rewrite(text)):
+            return "" if self.squeeze or not self.prefix else BLANK
         if text and "  " not in text and text[0] != " " and text[-1] != " ":
             # blanks one at a time between other runs: the machine goes around TEXT and BEHIND alone
-            return (self.steps[BEGIN, False][1] + text).replace(" ", BLANK)
+            text = (self.steps[BEGIN, False][1] + text).replace(" ", BLANK)
+            return text.rstrip(BLANK) if self.squeeze else text
         state, out = BEGIN, []
         for run in _RUNS(text):
             state, before, kept = self.steps[state, run[0] == " "]
             out.append(before)
             if kept:
                 out.append(run)
-        return "".join(out).replace(" ", BLANK)
+        text = "".join(out).replace(" ", BLANK)
+        # blanks that stand as U+2581 in the text go at its end alone
+        return text.rstrip(BLANK) if self.squeeze else text
 
     # --- weights between neighbours (BPE)
 
@@ -275,10 +354,17 @@ class PieceTransducer:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """Text of an id sequence; bytes that are no UTF-8 become U+FFFD, and the dummy prefix goes."""
-        out = self.out
-        text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        """Text of an id sequence; bytes that are no UTF-8 become U+FFFD, and the dummy prefix goes.
+
+        Of a model that squeezes blanks each piece before the first character gives one up.
+        """
+        parts = [self.out[i] for i in ids]
+        for n, i in enumerate(ids if self.prefix or self.squeeze else ()):
+            if blank := parts[n][:1] == b" " and self.pieces[i][2] == 1:
+                parts[n] = parts[n][1:]
+            if parts[n] or blank and not self.squeeze:
+                break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _machines: dict[str, PieceTransducer] = {}

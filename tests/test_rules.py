@@ -569,3 +569,27 @@ def test_no_window_holds_a_whole_group(spark, groups):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         for line in [x for x in plan.splitlines() if "windowspecdefinition" in x]:
             assert "bucket__" in line
+
+
+def test_false_rate_of_permuted_bars_by_a_loop(spark):
+    """The query over whole tables against ranks and correlations by pandas on the same permuted bars."""
+    from tidemark.plans.fixtures import bars_1h
+    from tidemark.plans.q_overfit import null_ic
+
+    folder = "/root/testdata/sf0.01"
+    got = {r.seed: (r.false_rate, r.n) for r in null_ic(spark, folder).collect()}
+    bars, want = bars_1h(spark, folder), {}
+    for seed in range(3):
+        found = []
+        for _, b in overfit.permute_bars(bars, seed).select("symbol", "ts", "close").toPandas().sort_values("ts").groupby("symbol"):
+            signal = (b.close / b.close.shift(6) - 1 > 0.2).astype(float).rolling(3, min_periods=1).max()
+            for horizon in (2, 4):
+                fwd = b.close.shift(-horizon) / b.close - 1
+                x, y, cut = signal[fwd.notna()], fwd[fwd.notna()], int(len(b) * 0.6)
+                # train and validation: 30 returns, 3 signals and both sides varying
+                for i, j in ((x[:cut], y[:cut]), (x[cut:], y[cut:])):
+                    if len(i) >= 30 and i.sum() >= 3 and i.nunique() > 1 and j.nunique() > 1:
+                        found.append(np.corrcoef(i.rank(), j.rank())[0, 1])
+        if found:
+            want[seed] = (pytest.approx(np.mean([x > 0.1 for x in found]), abs=1e-6), len(found))
+    assert want and got == want

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arithmetic import quotient
+
 
 def W():
     return Window.partitionBy("symbol").orderBy("ts")
@@ -105,10 +107,17 @@ def partition_audit(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cross_validate(ours: DataFrame, native: DataFrame) -> DataFrame:
-    """Largest differences on shared times, and whether they pass: prices within 0.01 %, volume within 1e-9."""
-    price = [F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) / F.col(f"b.{c}") * 100).alias(f"{c}_pct") for c in ("open", "high", "low", "close")]
-    rows = ours.alias("a").join(native.alias("b"), ["symbol", "ts"]).groupBy("symbol").agg(F.count("*").alias("n_rows"), *price, F.max(F.abs(F.col("a.volume") - F.col("b.volume"))).alias("volume_diff"))
-    return rows.withColumn("passed", (F.greatest("open_pct", "high_pct", "low_pct", "close_pct") <= 0.01) & (F.col("volume_diff") <= 1e-9))
+    """Largest differences on shared times, and whether they pass: prices within 0.01 %, volume within 1e-9.
+
+    A percentage of a native 0 is NaN where ours is 0 too, which agrees and may pass, and infinite where it isn't, which fails.
+    """
+    prices = ("open", "high", "low", "close")
+    a, b = ({c: F.col(f"{side}.{c}") for c in (*prices, "volume")} for side in "ab")
+    pct = {c: quotient(F.abs(a[c] - b[c]), b[c]) * 100 for c in prices}
+    worst = [F.max(pct[c]).alias(f"{c}_pct") for c in prices]
+    apart = [F.max(F.when((a[c] == 0) & (b[c] == 0), 0.0).otherwise(pct[c])).alias(f"{c}__") for c in prices]
+    rows = ours.alias("a").join(native.alias("b"), ["symbol", "ts"]).groupBy("symbol").agg(F.count("*").alias("n_rows"), *worst, F.max(F.abs(a["volume"] - b["volume"])).alias("volume_diff"), *apart)
+    return rows.withColumn("passed", (F.greatest(*[f"{c}__" for c in prices]) <= 0.01) & (F.col("volume_diff") <= 1e-9)).drop(*[f"{c}__" for c in prices])
 
 
 def trim_partial_head(bars: DataFrame, step: int) -> DataFrame:

@@ -50,3 +50,8 @@ def test_cross_validation_of_zero_prices(spark, zeros):
     rows = {r.symbol: r for r in quality.cross_validate(ours, native).collect()}
     assert rows["agrees"].passed and math.isnan(rows["agrees"].low_pct) and rows["agrees"].high_pct == 0
     assert not rows["fails"].passed and rows["fails"].low_pct == math.inf
+
+
+def test_ratio_to_a_low_of_zero(spark, zeros):
+    columns, got = same_as_sql(spark, zeros, "long_short_ratio")
+    assert 0 < sum(r[columns.index("signal")] for r in got) < len(got)

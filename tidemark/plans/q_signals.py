@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.arithmetic import quotient
 from tidemark.operators import combine
 from tidemark.operators import signals as sig
 from tidemark.operators import windows as win
@@ -28,7 +29,15 @@ MORE = f"{BARS_1H}, more AS MATERIALIZED (SELECT *, {', '.join(f'{x} AS {c}' for
 
 
 def more(spark, sf):
-    return bars_1h(spark, sf).selectExpr("*", *[f"{x} AS {c}" for c, x in EXTRA.items()])
+    """Bars with the columns of ``EXTRA``; those with a divisor that may be 0 divide as SQL does, not as Spark's ANSI mode."""
+    hour, c = F.hour("ts"), F.col
+    ratios = {
+        "funding_rate": F.when(hour % 8 == 0, quotient(c("close") - c("open"), c("open"))),
+        "long_short_ratio": F.when(hour % 3 != 0, quotient(c("high"), c("low"))),
+        "taker_buy_ratio": F.when(hour % 2 == 0, quotient(c("close") - c("low"), c("high") - c("low") + 1)),
+        "credit_spread": F.when(hour % 12 == 3, quotient(c("high"), c("open") + 1)),
+    }
+    return bars_1h(spark, sf).select("*", *[ratios.get(name, F.expr(x)).alias(name) for name, x in EXTRA.items()])
 
 
 def S() -> Steps:

@@ -55,3 +55,8 @@ def test_cross_validation_of_zero_prices(spark, zeros):
 def test_ratio_to_a_low_of_zero(spark, zeros):
     columns, got = same_as_sql(spark, zeros, "long_short_ratio")
     assert 0 < sum(r[columns.index("signal")] for r in got) < len(got)
+
+
+def test_volatility_regimes_beside_a_low_of_zero(spark, zeros):
+    columns, got = same_as_sql(spark, zeros, "volatility_regime")
+    assert 0 < sum(r[columns.index("signal")] for r in got) < len(got)

@@ -593,3 +593,20 @@ def test_false_rate_of_permuted_bars_by_a_loop(spark):
         if found:
             want[seed] = (pytest.approx(np.mean([x > 0.1 for x in found]), abs=1e-6), len(found))
     assert want and got == want
+
+
+def test_next_bars_across_stretches_of_time(spark):
+    """Against a loop: gaps of many stretches, equal times, times before all bars and after, odd keys; and no window looks ahead from each row."""
+    rng = np.random.default_rng(5)
+    bar_at = {s: sorted(rng.choice(24 * 40, 60, replace=False).tolist()) for s in "ab"}
+    rows = [(s, T0 + h * HOUR, float(h), float(h)) for s, hours in bar_at.items() for h in hours] + [(None, T0, 1.0, 1.0), ("a", None, 1.0, 1.0)]
+    b = spark.createDataFrame(rows, "symbol string, ts timestamp, close double, open double")
+    when = [(s, T0 + h * HOUR / 2) for s in "abc" for h in range(-60, 24 * 100, 7)] + [("a", T0 + bar_at["a"][3] * HOUR)] * 2 + [(None, T0), ("a", None)]
+    found = asof.forward_asof(spark.createDataFrame(when, "symbol string, ts timestamp"), b, 3)
+    want = []
+    for s, t in when:
+        hours = bar_at.get(s, []) if t is not None else []
+        k = next((i for i, h in enumerate(hours) if T0 + h * HOUR >= t), None)
+        want.append((s, t) + ((None,) * 3 if k is None else (T0 + hours[k] * HOUR, float(hours[k]), float(hours[k + 3]) if k + 3 < len(hours) else None)))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()

@@ -71,13 +71,25 @@ def reference_join(bars: DataFrame, pairs: DataFrame, max_null: float = 0.5) ->
     return rows.withColumn("null_share", share).where(F.col("null_share") <= max_null).drop("null_share")
 
 
-def forward_asof(signals: DataFrame, bars: DataFrame, ahead: int) -> DataFrame:
-    """First bar at or after each signal time: its time and close, and the close ``ahead`` bars later."""
+def forward_asof(signals: DataFrame, bars: DataFrame, ahead: int, seconds: int = 86400) -> DataFrame:
+    """First bar at or after each signal time: its time and close, and the close ``ahead`` bars later; null without such a bar.
+
+    Each stretch of ``seconds`` of a symbol is one window that runs backwards in time, so a row finds its bar among those
+    before it. The first bar after a stretch comes from a table of one row a stretch.
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
-    b = bars.select("symbol", "ts", F.struct(F.col("ts").alias("bar_ts"), F.col("close").alias("entry"), F.lead("close", ahead).over(w).alias("exit")).alias("bar"), F.lit(1).alias("side__"))
+    exits = bars.where("symbol is not null and ts is not null").select("symbol", "ts", "close", F.lead("close", ahead).over(w).alias("exit"))
+    b = exits.select("symbol", "ts", F.struct(F.col("ts").alias("bar_ts"), F.col("close").alias("entry"), "exit").alias("bar"), F.lit(1).alias("side__"))
     rows = signals.select("symbol", "ts", F.lit(None).cast(b.schema["bar"].dataType).alias("bar"), F.lit(0).alias("side__")).union(b)
-    f = Window.partitionBy("symbol").orderBy("ts", "side__").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("bar", F.first("bar", ignorenulls=True).over(f)).where("side__ = 0").select("symbol", "ts", "bar.bar_ts", "bar.entry", "bar.exit")
+    rows = rows.withColumn("stretch__", F.floor(F.unix_seconds("ts") / seconds))
+    at = F.col("bar.bar_ts")
+    firsts = rows.groupBy("symbol", "stretch__").agg(F.min(at).alias("bar_ts"), F.min_by("bar.entry", at).alias("entry"), F.min_by("bar.exit", at).alias("exit"))
+    after = Window.partitionBy("symbol").orderBy(F.desc("stretch__")).rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch of time
+    first = F.when(F.col("bar_ts").isNotNull(), F.struct("bar_ts", "entry", "exit"))
+    firsts = firsts.where("symbol is not null and stretch__ is not null").select("symbol", "stretch__", F.last(first, ignorenulls=True).over(after).alias("later__"))
+    back = Window.partitionBy("symbol", "stretch__").orderBy(F.desc("ts"), F.desc("side__")).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("bar", F.last("bar", ignorenulls=True).over(back)).where("side__ = 0").join(firsts, ["symbol", "stretch__"], "left")
+    return found.withColumn("bar", F.coalesce("bar", "later__")).select("symbol", "ts", "bar.bar_ts", "bar.entry", "bar.exit")
 
 
 #: Ranges that each row is compared with one by one; above, rows and ranges meet by bins.

@@ -411,6 +411,26 @@ def test_letters_beyond_latin_have_vectors_of_their_own():
     assert (vectors_of(g) == vectors_of(g[::-1])[::-1]).all()
 
 
+def test_language_models_and_floors_count_every_labelled_text(spark):
+    """Labels that one text in thousands has are learned, and the twenty long texts among tens of thousands have their floor."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.language_id import ENOUGH, held_out, size_class, train, with_floors
+
+    rare = F.when(F.col("doc_id") % 1000 == 1, F.concat(F.lit("rare"), "doc_id")).otherwise("common")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text")).where(~held_out("doc_id")).withColumn("lang", rare)
+    assert docs.count() > 45_000
+    model = train(docs)
+    assert model.languages == sorted(r[0] for r in docs.select("lang").distinct().collect()) and len(model.languages) > 40
+    one = train(docs.limit(1).withColumn("lang", F.lit("a")))
+    out = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("lang")).where(held_out("doc_id"))
+    long = [r[0] for r in out.orderBy("doc_id").limit(ENOUGH).collect()]
+    out = out.withColumn("text", F.when(F.col("doc_id").isin(long), F.concat(F.lit("the cat sat on a mat by the door of our old house in town number "), F.repeat(F.lit("q"), F.col("doc_id").cast("int") % 3))).otherwise("the cat"))
+    floors = with_floors(one, out).floors
+    assert set(floors) == {size_class(n) for n in (one.look("the cat")[2], one.look("the cat sat on a mat by the door of our old house in town number")[2])} and len(floors) == 2
+    assert all(v > 0 for v in floors.values()) and floors[size_class(one.look("the cat")[2])] == pytest.approx(0.5, abs=1e-3)
+
+
 def test_texts_in_no_language_go(spark, odd):
     from tidemark.llm.language_id import in_some_language, train, with_floors
 

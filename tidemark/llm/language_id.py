@@ -17,12 +17,13 @@ A model is one vector a language and one number a size.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -31,8 +32,8 @@ from tidemark.llm.words import mix
 
 #: Dimensions of the vectors.
 DIMENSIONS = 512
-#: Labelled documents that training reads at most, on average, and held-out ones that the floors read.
-TRAINING = 40_000
+#: Steps of the scale on which held-out texts' cosines are counted.
+SCALE = 10_000
 UNKNOWN = "und"
 #: A floor is this share of the cosine that all but a hundredth of ``ENOUGH`` held-out texts or more of a size have.
 FLOOR, ENOUGH = 0.5, 20
@@ -178,34 +179,40 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _labelled(docs: DataFrame, out: bool, key: str, text: str, lang: str, bound: int) -> DataFrame:
-    """(lang, text) of labelled documents, held out or not: about ``bound``, picked by a hash of the key."""
-    rows = docs.where(F.col(lang).isNotNull() & (held_out(key) == out)).select(F.xxhash64(F.col(key), F.lit("train")).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    n = rows.count()
-    if n > bound:
-        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * bound / n) + 1)
-    return rows.select("lang", "text")
+def _labelled(docs: DataFrame, out: bool, key: str, text: str, lang: str) -> DataFrame:
+    """(lang, text) of all labelled documents that are held out, or of all others."""
+    rows = docs.where(F.col(lang).isNotNull() & (held_out(key) == out))
+    return rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
 
-def with_floors(profiles: Profiles, docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAINING) -> Profiles:
-    """The same profiles with floors from about ``bound`` held-out labelled documents that get their own label; sizes with few of them have no floor."""
+def with_floors(profiles: Profiles, docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
+    """The same profiles with floors from all held-out labelled documents that get their own label; sizes with few of them have no floor.
+
+    Tasks count cosines by their place on a scale of ``SCALE`` steps, so a size has that many rows at most, however many texts there are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[int, int]] = Counter()
         for b in batches:
-            got = [(size_class(n), score) for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for found, score, n in [shared.value.look(t)] if found == name]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.float64())], names=["size", "score"])
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found, score, n = shared.value.look(t)
+                if found == name:
+                    seen[size_class(n), int(score * SCALE)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["size", "step", "n"])
 
-    scores = _labelled(docs, True, key, text, lang, bound).mapInArrow(run, "size int, score double")
-    rows = scores.groupBy("size").agg(F.count("*").alias("n"), F.percentile("score", 0.01).alias("least")).collect()  # a row for each power of two
-    return Profiles(profiles.languages, profiles.prototypes, {r.size: FLOOR * r.least for r in rows if r.n >= ENOUGH})
+    steps = _labelled(docs, True, key, text, lang).mapInArrow(run, "size int, step int, n long").groupBy("size", "step").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("size")
+    upto = steps.select("size", "step", F.sum("n").over(w.orderBy("step")).alias("upto"), F.sum("n").over(w).alias("all"))
+    # the step of the text with a hundredth of the others of its size below it
+    least = upto.where((F.col("all") >= ENOUGH) & (F.col("upto") > (F.col("all") - 1) * 0.01)).groupBy("size").agg(F.min("step").alias("least"))
+    return Profiles(profiles.languages, profiles.prototypes, {r.size: FLOOR * r.least / SCALE for r in least.collect()})  # a row for each power of two
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAINING) -> Profiles:
-    """Profiles from labelled documents that aren't held out.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
+    """Profiles from all labelled documents that aren't held out.
 
-    About ``bound`` of them are read, picked by a hash of the key; fewer if there
-    are fewer. Tasks bundle their documents' vectors by language, Spark adds those of
+    Tasks bundle their documents' vectors by language, Spark adds those of
     tasks up, and ``DIMENSIONS`` numbers a language come to the driver.
     """
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +229,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         for name, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(v.astype(np.int64))], names=["lang", "dimension", "n"])
 
-    sums = _labelled(docs, False, key, text, lang, bound).mapInArrow(bundle, "lang string, dimension int, n long").groupBy("lang", "dimension").agg(F.sum("n").alias("n"))
+    sums = _labelled(docs, False, key, text, lang).mapInArrow(bundle, "lang string, dimension int, n long").groupBy("lang", "dimension").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = {}
     for name, at, x in sums.collect():  # languages x DIMENSIONS rows
         out.setdefault(name, np.zeros(DIMENSIONS))[at] = x

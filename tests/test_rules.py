@@ -341,6 +341,21 @@ def test_indicator_combinations_and_importance_threshold(spark):
     assert [r.feature for r in grid.feature_importance(t, [], ["x", "flat"], "y", 2, threshold=0.01).collect()] == ["x"]
 
 
+def test_importances_of_many_trials_in_small_tasks(spark, monkeypatch):
+    """Neither the table's layout nor copies of all its rows change anything, and no task gets many more rows than wanted."""
+    monkeypatch.setattr(grid, "TRIALS", 2000)
+    n = 24_000
+    t = spark.range(n).select((F.col("id") % 7).cast("string").alias("kind"), (F.col("id") * 7919 % 1009).cast("double").alias("x"), F.col("id").cast("double").alias("z")).withColumn("y", F.col("x") * 2 + F.col("z") / 100)
+    dealt = grid.weighted(t.coalesce(1), "n__")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) == 12 and max(sizes) < 2500
+    twice = grid.weighted(t.union(t), "n__")
+    assert twice.agg(F.count("*"), F.sum("n__"), F.min("n__")).first()[:] == (n, 2.0 * n, 2.0)
+    importances = [{r.feature: r.importance for r in grid.feature_importance(rows, ["kind"], ["x", "z"], "y", 2).collect()} for rows in (t.coalesce(1), t.repartition(5))]
+    assert importances[0] == importances[1] and sum(importances[0].values()) == pytest.approx(1)
+    assert importances[0]["x"] > importances[0]["z"] > importances[0]["kind"]
+
+
 def test_rebalanced_weights_drift_and_return(spark):
     r = {"a": [0.1, 0.0, 0.0, 0.1, 0.0], "b": [0.0, 0.2, 0.0, 0.0, 0.0]}
     rows = spark.createDataFrame([(k, t, x) for k, v in r.items() for t, x in enumerate(v)], "strategy_id string, t long, ret double")

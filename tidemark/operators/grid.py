@@ -171,15 +171,31 @@ def penalised(value: Column, trades: Column, least: int = 300) -> Column:
     return F.when(trades < least, -10.0).otherwise(clean)
 
 
+#: Rows that a task of ``feature_importance`` reads from the cached trials, about.
+TRIALS = 100_000
+
+
+def weighted(rows: DataFrame, weight: str) -> DataFrame:
+    """Distinct rows with how many there are of each, dealt by hash over tasks of about ``TRIALS`` rows or fewer and sorted in each.
+
+    So what a task holds doesn't grow with the table or with copies, and rows lie the same however the table was read.
+    """
+    tasks = max(1, -(-rows.count() // TRIALS))
+    names = rows.columns
+    return rows.groupBy(*names).agg(F.count("*").cast("double").alias(weight)).repartition(tasks, *names).sortWithinPartitions(*names)
+
+
 def feature_importance(trials: DataFrame, categorical: list[str], numeric: list[str], target: str, rounds: int = 10, threshold: float | None = None) -> DataFrame:
-    """(feature, importance) of boosted trees that predict the target; those above ``threshold`` alone if given."""
+    """(feature, importance) of boosted trees that predict the target; those above ``threshold`` alone if given. Equal trials are one with their number as its weight."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    trials = trials.select(*dict.fromkeys([*categorical, *numeric, target]))
     index = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in categorical]
+    indexed = Pipeline(stages=index).fit(trials).transform(weighted(trials, "n__"))
     inputs = [f"{c}__i" for c in categorical] + numeric
-    model = Pipeline(stages=[*index, VectorAssembler(inputCols=inputs, outputCol="f__"), GBTRegressor(featuresCol="f__", labelCol=target, maxIter=rounds, maxDepth=3, seed=1, maxBins=64)]).fit(trials)
+    model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="f__"), GBTRegressor(featuresCol="f__", labelCol=target, weightCol="n__", maxIter=rounds, maxDepth=3, seed=1, maxBins=64)]).fit(indexed)
     scores = model.stages[-1].featureImportances.toArray().tolist()
     kept = [x for x in zip(categorical + numeric, scores, strict=True) if threshold is None or x[1] > threshold]
     return trials.sparkSession.createDataFrame(kept, "feature string, importance double")

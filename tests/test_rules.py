@@ -625,3 +625,14 @@ def test_next_bars_across_stretches_of_time(spark):
         want.append((s, t) + ((None,) * 3 if k is None else (T0 + hours[k] * HOUR, float(hours[k]), float(hours[k + 3]) if k + 3 < len(hours) else None)))
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_top_params_fits_in_small_tasks(spark, monkeypatch):
+    from tidemark.plans import catalog
+
+    seen, real = [], grid.weighted
+    monkeypatch.setattr(grid, "TRIALS", 500)
+    monkeypatch.setattr(grid, "weighted", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert [tuple(r) for r in catalog.queries()["top_params"](spark, "/root/testdata/sf0.01").collect()] == [("p_size", 1), ("p_retailprice", 2)]
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 700

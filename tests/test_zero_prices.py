@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arithmetic import quotient
 from tidemark.operators import quality
+from tidemark.operators import windows as win
+from tidemark.operators.signals import REGISTRY
 from tidemark.plans import catalog
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -60,3 +62,23 @@ def test_ratio_to_a_low_of_zero(spark, zeros):
 def test_volatility_regimes_beside_a_low_of_zero(spark, zeros):
     columns, got = same_as_sql(spark, zeros, "volatility_regime")
     assert 0 < sum(r[columns.index("signal")] for r in got) < len(got)
+
+
+@pytest.mark.parametrize("zone", ["Etc/UTC", "America/New_York"])
+@pytest.mark.parametrize("name", ["volatility_regime", "firestorm", "hurst", "pct_rank"])
+def test_ranks_and_bands_in_another_time_zone(spark, name, zone):
+    """Sessions whose zone isn't called UTC: the same instants and signals as in UTC, also over an hour that comes twice."""
+    closes = [100 + (7 * h * h) % 31 for h in range(24 * 40)]
+    rows = [(datetime.datetime(2024, 10, 20).timestamp() + 3600 * h, float(c)) for h, c in enumerate(closes)]
+    bars = spark.createDataFrame(rows, "s double, close double").select(F.lit("a").alias("symbol"), F.timestamp_seconds("s").alias("ts"), *[(F.col("close") + d).alias(c) for c, d in (("open", 0), ("high", 2), ("low", -2), ("close", 0))], F.lit(1.0).alias("volume"))
+
+    def found():
+        df = win.pct_rank(bars, "p", "close", 30) if name == "pct_rank" else REGISTRY[name](bars)
+        return sorted(map(str, df.withColumn("ts", F.unix_micros("ts")).collect()))
+
+    want = found()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert found() == want and len(want) == len(closes)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SIDES = ("up", "dn")
 LISTS = ("r_at", "r_from", "r_to", "c_at", "c_from", "c_to")
@@ -121,10 +122,11 @@ def ratchet(rows: DataFrame, size: int) -> DataFrame:
             plus.append(a)
             minus.append(b)
         last = [False] * (len(close) - 1) + [True]
-        return pa.table({"symbol": t["symbol"], "ts": t["ts"], "k": t["k"], "up_band": band["up"], "dn_band": dns[1:], "plus": pa.array(plus, pa.int32()), "minus": pa.array(minus, pa.int32()), "last": last})
+        return pa.table({"symbol": t["symbol"], "ts": t["ts"].cast(kind), "k": t["k"], "up_band": band["up"], "dn_band": dns[1:], "plus": pa.array(plus, pa.int32()), "minus": pa.array(minus, pa.int32()), "last": last})
 
     met = rows.join(come, ["symbol", "block"])
     ts = rows.schema["ts"].dataType.simpleString()
+    kind = to_arrow_type(rows.schema["ts"].dataType)  # times come in the session's zone, and Spark takes them back in UTC alone
     got = met.groupBy("symbol", "block").applyInArrow(replay, f"symbol string, ts {ts}, k long, up_band double, dn_band double, plus int, minus int, last boolean")
     return _trend(got)
 

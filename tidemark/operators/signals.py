@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.operators import signal_params
 from tidemark.operators import windows as win
@@ -491,26 +493,29 @@ def hurst(bars, window=100, mode="trending", threshold_high=0.55, threshold_low=
     n = window
     size = max(1024, 4 * n)
 
-    def run(pdf):
+    def run(key, t):
         import numpy as np
+        import pyarrow as pa
 
         from tidemark.functions.stats import hurst_exponent
 
-        pdf = pdf.sort_values("ts")
-        r, own = pdf["r__"].to_numpy(), pdf["own__"].to_numpy()
+        t = t.sort_by("ts")
+        r, own = t["r__"].to_numpy(), t["own__"].to_numpy()
         h = np.full(len(r), np.nan)
         for i in np.flatnonzero(own):
             last = r[max(0, i - n + 1) : i + 1]
             if len(last) == n and not np.isnan(last).any():
                 h[i] = hurst_exponent(last)
-        return pdf[["symbol", "ts"]].assign(h=h)[own]
+        return t.select(["symbol", "ts"]).append_column("h", pa.array(h)).filter(pa.array(own)).cast(kinds)
 
     rows = bars.select("symbol", "ts", F.ln(F.col("close") / lag("close")).alias("r__"), (F.row_number().over(W()) - 1).alias("k__"))
     block = F.floor(F.col("k__") / size)
     # the last rows of a block are also the start of the next one's first windows
     both = F.when(F.pmod("k__", F.lit(size)) >= size - n, F.array(block, block + 1)).otherwise(F.array(block))
     rows = rows.select("symbol", "ts", "r__", block.alias("home__"), F.explode(both).alias("block__")).withColumn("own__", F.col("home__") == F.col("block__"))
-    h = rows.groupBy("symbol", "block__").applyInPandas(run, "symbol string, ts timestamp, h double")
+    schema = StructType([bars.schema["symbol"], bars.schema["ts"], StructField("h", DoubleType())])
+    kinds = to_arrow_schema(schema)
+    h = rows.groupBy("symbol", "block__").applyInArrow(run, schema)
     rows = bars.join(h.select("symbol", "ts", F.nanvl("h", F.lit(None).cast("double")).alias("h__")), ["symbol", "ts"])
     x = F.col("h__")
     return _done(rows, x > threshold_high if mode == "trending" else x < threshold_low if mode == "mean_reverting" else (x > threshold_high) | (x < threshold_low), hold_bars, n)

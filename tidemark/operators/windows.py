@@ -12,6 +12,8 @@ from bisect import bisect_left, bisect_right, insort
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def W():
@@ -154,7 +156,7 @@ def pct_rank(rows: DataFrame, out: str, value: str, n: int, strict: bool = False
                 insort(window, v)
             under = None if v is None or missing or i < n - 1 else (bisect_left if strict else bisect_right)(window, v)
             got.append(None if under is None else under / n)
-        return t.select(names).append_column(out, pa.array(got, pa.float64())).filter(pa.array(own))
+        return t.select(names).append_column(out, pa.array(got, pa.float64())).filter(pa.array(own)).cast(kinds)
 
     names = rows.columns
     block = F.floor(F.col("k__") / size)
@@ -162,8 +164,9 @@ def pct_rank(rows: DataFrame, out: str, value: str, n: int, strict: bool = False
     # the last rows of a block are also the start of the next one's first windows
     both = F.when(F.pmod("k__", F.lit(size)) > size - n, F.array(block, block + 1)).otherwise(F.array(block))
     rows = rows.withColumns({"home__": block, "block__": F.explode(both)}).withColumn("own__", F.col("home__") == F.col("block__"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.groupBy("symbol", "block__").applyInArrow(run, f"{schema}, `{out}` double")
+    schema = StructType([StructField(f.name, f.dataType) for f in (*rows.select(*names).schema, StructField(out, DoubleType()))])
+    kinds = to_arrow_schema(schema)  # times come in the session's zone, and Spark takes them back in UTC alone
+    return rows.groupBy("symbol", "block__").applyInArrow(run, schema)
 
 
 def drawdown(c: Column | str) -> Column:

@@ -751,3 +751,24 @@ def test_pieces_that_may_follow_are_tried_few_times():
         assert np.frombuffer(machine.encode(w), "<i4").tolist() == library.encode(w), w
         assert [machine.pieces[k][0] if k >= 0 else chr(-2 - k) for k in machine.shortest("▁" + w)] == machine.merge("▁" + w)[0], w
     assert len(machine.pairs) < 1700  # 1,970 where all arcs are weighed
+
+
+def test_new_words_go_to_the_library_in_few_texts():
+    import public_tokenizers
+
+    from tidemark.llm.token_files import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, texts = WordEncoder(path), []
+    library = encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            texts.extend(some)
+            return library.encode_batch_fast(some, **options)
+
+    encoder.tokenizer = Counted()
+    rnd = random.Random(5)
+    docs = [" ".join("".join(rnd.choices("abcdefghié", k=rnd.randrange(2, 12))) for _ in range(400)) + "." for _ in range(10)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(docs)] == [library.encode(d, add_special_tokens=False).ids for d in docs]
+    assert len(texts) < 15

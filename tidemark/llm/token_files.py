@@ -36,6 +36,8 @@ SAMPLE = 64
 BLOCK_DOCS, BLOCK_IDS = 1024, 1 << 20
 #: Entries in a task's table of encoded words.
 CACHE = 700_000
+#: New words that go to the library as one text.
+TOGETHER = 400
 _WORDS = re.compile(r"[^ \n\t\r]+").findall
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 _ODD = re.compile("[\x1c-\x1f]").search
@@ -176,7 +178,7 @@ class WordEncoder:
             (plain if _LETTERS(w) else rest).append(w)
         for at in range(0, len(plain), 5_000):
             part = plain[at : at + 5_000]
-            got = self.tokenizer.encode_batch_fast([" ".join(part[i : i + 50]) for i in range(0, len(part), 50)], add_special_tokens=False)
+            got = self.tokenizer.encode_batch_fast([" ".join(part[i : i + TOGETHER]) for i in range(0, len(part), TOGETHER)], add_special_tokens=False)
             ids = np.array([i for e in got for i in e.ids], "<u4")
             cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw, begin = ids.tobytes(), 0
@@ -287,9 +289,10 @@ def read_token_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
             for part, seq, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block = Block(raw)
                 docs = range(block.n)
-                spans = [block.span(i) for i in docs]
-                crc = [zlib.crc32(block.body[4 * i : 4 * j]) for i, j in spans]
-                cols = ([part] * block.n, [seq] * block.n, [block.key(i) for i in docs], [i for i, _ in spans], [j - i for i, j in spans], crc)
+                ends = [block.ends.select(i) for i in docs]
+                begins = [0, *ends[:-1]]
+                crc = [zlib.crc32(block.body[4 * i : 4 * j]) for i, j in zip(begins, ends, strict=True)]
+                cols = ([part] * block.n, [seq] * block.n, [block.key(i) for i in docs], begins, [j - i for i, j in zip(begins, ends, strict=True)], crc)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=arrow)
 
     got = blocks.select("part_key", "seq", "payload").mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
